@@ -50,7 +50,7 @@ def perplexity(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
 def trusted_model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log-probabilities under the model of every document labelled quality 1."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left_semi").select("text", F.lit(0).alias("kind"))
+    texts = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("text", F.lit(0).alias("kind"))
     return kn.log_probabilities(gram_counts(texts, 1, fold=False)[0])
 
 
@@ -71,11 +71,11 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
 def _judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """scored with perplexity, bound and keep; the cuts have one row a language."""
     own = cuts.where("not lang_pooled").select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
-    pooled = cuts.where("lang_pooled").select(F.col("bound").alias("_pooled"))
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(pooled), F.lit(True), "left")
-    bound = F.coalesce("_own", "_pooled")
+    pooled = cuts.where("lang_pooled").select("bound").first()
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    bound = F.coalesce("_own", F.lit(pooled and pooled.bound).cast("double"))
     keep = F.col("nll").isNotNull() & F.coalesce(F.col("nll") < bound, F.lit(True))
-    return out.withColumns({"perplexity": F.exp("nll"), "bound": F.exp(bound), "keep": keep}).drop("_lang", "_own", "_pooled")
+    return out.withColumns({"perplexity": F.exp("nll"), "bound": F.exp(bound), "keep": keep}).drop("_lang", "_own")
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
@@ -94,7 +94,7 @@ def _scored(docs: DataFrame, labels: DataFrame, quantile: float, log_p: np.ndarr
     log_p = trusted_model(docs, labels) if log_p is None else log_p
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")).distinct()
     slim = perplexity(docs.select("doc_id", "lang", "text"), log_p).drop("text")
-    marked = slim.join(good, F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("_good", F.lit(False))).drop("_id", "_good")
+    marked = slim.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("_good", F.lit(False))).drop("_id", "_good")
     scored = stage(marked, "quality")
     return scored, stage(thresholds(scored, quantile), "quality-cuts")
 
