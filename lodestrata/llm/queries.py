@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe, quality, simhash, toxicity
-from .common import table
+from . import license_scan, mixing, piece_bpe, quality, simhash, toxicity, warc
+from .common import fresh_path, table
 
 
 def piece_model() -> str:
@@ -26,10 +26,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["first_word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["first_word"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("spans")).alias("labels"),
+        # Half for any license, the rest by the share of the words that tell it.
+        F.when(F.size("spans") > 0, 0.5 + 0.5 * F.col("covered") / F.col("n_words")).otherwise(0.0).alias("score"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = piece_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
     return tokens.select(
@@ -40,8 +61,13 @@ def op9_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = warc.write(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op6_simhash, op9_piece_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op4_license_scan, op6_simhash, op8_mixing, op9_piece_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
