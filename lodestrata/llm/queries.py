@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, piece_bpe, quality, simhash, toxicity, warc
+from . import license_scan, mixing, piece_bpe, quality, simhash, topk, toxicity, vector_dedup, warc
 from .common import fresh_path, table
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
@@ -43,6 +47,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,7 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op4_license_scan, op6_simhash, op8_mixing, op9_piece_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op8_mixing, op9_piece_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
