@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, piece_bpe, quality, simhash, topk, toxicity, vector_dedup, warc
+from . import license_scan, line_dedup, mixing, piece_bpe, quality, simhash, topk, toxicity, vector_dedup, warc
 from .common import fresh_path, table
 
 
@@ -55,6 +55,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op8_mixing, op9_piece_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op7_line_dedup, op8_mixing, op9_piece_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
