@@ -30,34 +30,43 @@ def gram_counts(texts: DataFrame, classes: int, fold: bool) -> list[kn.Counts]:
     return [kn.Counts(gram[kind == k], n[kind == k]) for k in range(classes)]
 
 
-def perplexity(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
-    """docs with n_symbols and nll, the mean negative log-probability of a symbol (null without symbols)."""
+def perplexity(docs: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
+    """docs with n_symbols and a column for each model, the mean negative log-probability of a symbol (null
+    without symbols)."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent, schema = spark.sparkContext.broadcast(log_p), docs.schema
-    out = type(schema)([*schema.fields]).add("n_symbols", "long").add("nll", "double")
+    sent, names = spark.sparkContext.broadcast([*models.values()]), [*models]
+    out = type(docs.schema)([*docs.schema.fields]).add("n_symbols", "long")
+    for name in names:
+        out = out.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, values = kn.symbol_table(False), sent.value
         for batch in batches:
             total, n = kn.sums(batch.column("text").to_pylist(), batch.num_rows, values, table)
-            nll = pa.array(-total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), nll], names=out.names)
+            nll = [pa.array(-t / np.maximum(n, 1), mask=n == 0) for t in total]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), *nll], names=out.names)
 
     return docs.mapInArrow(run, out)
 
 
-def trusted_model(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log-probabilities under the model of every document labelled quality 1."""
+def _trusted(labels: DataFrame) -> DataFrame:
+    """(_id, _half) of the documents labelled quality 1, in two halves."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("text", F.lit(0).alias("kind"))
-    return kn.log_probabilities(gram_counts(texts, 1, fold=False)[0])
+    return good.withColumn("_half", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int"))
+
+
+def trusted_counts(docs: DataFrame, labels: DataFrame) -> list[kn.Counts]:
+    """4-gram counts of every document labelled quality 1, by half."""
+    good = _trusted(labels).hint("merge")
+    texts = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id")).select("text", F.col("_half").alias("kind"))
+    return gram_counts(texts, 2, fold=False)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     """(lang, bound): the smallest perplexity step that `quantile` of a language's trusted documents stay
     within.  A row with every lang pooled (lang_pooled) serves languages without trusted documents."""
-    steps = scored.where("trusted and nll is not null").select("lang", F.floor(F.col("nll") / STEP).alias("step"))
+    steps = scored.where("unseen is not null").select("lang", F.floor(F.col("unseen") / STEP).alias("step"))
     one = steps.groupBy("lang", "step").count()
     both = one.withColumn("lang_pooled", F.lit(False)).unionByName(
         one.groupBy("step").agg(F.sum("count").alias("count")).withColumns({"lang": F.lit(None).cast("string"), "lang_pooled": F.lit(True)})
@@ -82,26 +91,29 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFr
     """One row per document: doc_id, lang, n_symbols, perplexity, bound, keep.
 
     A 4-gram model is trained on all documents labelled quality 1.  A document is kept if its perplexity
-    stays within the bound that `quantile` of its language's trusted documents keep.  Null and empty texts
-    have no perplexity and aren't kept; a null lang is a language of its own; languages without trusted
-    documents take the bound of all trusted documents; without any trusted document all texts are kept.
-    Repeated rows are judged alike.  Other columns of docs are ignored."""
-    scored, cuts = _scored(docs, labels, quantile)
+    stays within the bound that `quantile` of its language's trusted documents keep, each judged by a model
+    of the other half of them.  Null and empty texts have no perplexity and aren't kept; a null lang is a
+    language of its own; languages without trusted documents take the bound of all trusted documents;
+    without any trusted document all texts are kept.  Repeated rows are judged alike.  Other columns of docs
+    are ignored."""
+    counts = trusted_counts(docs, labels)
+    scored, cuts = _scored(docs, labels, quantile, counts)
     return _judged(scored, cuts).select("doc_id", "lang", "n_symbols", "perplexity", "bound", "keep")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float, log_p: np.ndarray | None = None) -> tuple[DataFrame, DataFrame]:
-    log_p = trusted_model(docs, labels) if log_p is None else log_p
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"), F.lit(True).alias("_good")).distinct()
-    slim = perplexity(docs.select("doc_id", "lang", "text"), log_p).drop("text")
-    marked = slim.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("trusted", F.coalesce("_good", F.lit(False))).drop("_id", "_good")
-    scored = stage(marked, "quality")
+def _scored(docs: DataFrame, labels: DataFrame, quantile: float, counts: list[kn.Counts]) -> tuple[DataFrame, DataFrame]:
+    models = {"nll": kn.log_probabilities(counts[0] + counts[1])} | {f"_by_{k}": kn.log_probabilities(c) for k, c in enumerate(counts)}
+    slim = perplexity(docs.select("doc_id", "lang", "text"), models).drop("text")
+    marked = slim.join(_trusted(labels).hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    other = F.when(F.col("_half") == 0, F.col("_by_1")).when(F.col("_half") == 1, F.col("_by_0"))
+    scored = stage(marked.select("doc_id", "lang", "n_symbols", "nll", other.alias("unseen")), "quality")
     return scored, stage(thresholds(scored, quantile), "quality-cuts")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
     """docs without the documents that score() rejects, in the columns of docs; texts are scored again
     rather than shuffled."""
-    log_p = trusted_model(docs, labels)
-    _, cuts = _scored(docs, labels, quantile, log_p)
-    return _judged(perplexity(docs, log_p), cuts).where("keep").select(*docs.columns)
+    counts = trusted_counts(docs, labels)
+    _, cuts = _scored(docs, labels, quantile, counts)
+    model = {"nll": kn.log_probabilities(counts[0] + counts[1])}
+    return _judged(perplexity(docs, model), cuts).where("keep").select(*docs.columns)
