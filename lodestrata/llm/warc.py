@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import delete, small_batches, stage, with_columns
+from .common import delete, small_batches, stage, unstage, with_columns
 
 #: Compressed bytes at which a file is full; the record that fills it still goes in.
 ROLL = 16 << 20
 #: Every record's date, as archives must not depend on when they are written.
 DATE = "2024-01-01T00:00:00Z"
-_END = b"\x00"
+LEVEL = 1
+_END, _STEP = b"\x00", 4096
 
 
 def digest(payload: bytes) -> str:
@@ -58,30 +59,35 @@ def record(page_id: int | None, url: str | None, payload: bytes, own: str, refer
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    out = gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+    out = gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
     # A member ends with the high byte of its length, a zero up to 16 MiB; beyond, an empty member follows.
-    return out if out.endswith(_END) else out + gzip.compress(b"", 6, mtime=0)
+    return out if out.endswith(_END) else out + gzip.compress(b"", LEVEL, mtime=0)
 
 
-def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One row per page: page_id, url, payload_digest, payload_bytes, response_bytes (compressed, as a
-    response), refers_to (null for responses)."""
+def compressed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload_digest, payload_bytes, response): each page's record as a response, written
+    to the shared folder."""
     small_batches(pages.sparkSession, 500)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, n, size = [], [], []
+        own, n, out = [], [], []
         for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             payload = (html or "").encode()
             own.append(digest(payload))
             n.append(len(payload))
-            size.append(len(record(i, url, payload, own[-1], None)))
-        return [pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64())]
+            out.append(record(i, url, payload, own[-1], None))
+        return [pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(out, pa.binary())]
+
+    return stage(with_columns(pages, ["page_id", "url", "html"], "payload_digest string, payload_bytes long, response binary", make).drop("html"), "warc-responses")
 
-    marked = with_columns(pages, ["page_id", "url", "html"], "payload_digest string, payload_bytes long, response_bytes long", make)
-    marked = stage(marked.drop("html"), "warc-digests")
+
+def plan(responses: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """One row per page: page_id, url, payload_digest, payload_bytes, response_bytes (compressed, as a
+    response), refers_to (null for responses)."""
+    marked = responses.select("page_id", "url", "payload_digest", "payload_bytes", F.octet_length("response").cast("long").alias("response_bytes"))
     firsts = marked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     firsts = firsts.select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "_first")
-    out = marked.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+    out = marked.join(firsts.hint("merge"), (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return out.select(*marked.columns, F.when(again, F.col("_first")).alias("refers_to"))
 
@@ -125,26 +131,17 @@ def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL)
     none.  A table without rows gives a manifest without files.  Other columns are ignored.  Reruns over
     the same rows give the same files."""
     spark = pages.sparkSession
-    placed = stage(layout(plan(pages, least_bytes), roll), "warc-layout")
-
-    def responses(batch: pa.RecordBatch) -> list[pa.Array]:
-        own, out, n = [], [], []
-        for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            payload = (html or "").encode()
-            own.append(digest(payload))
-            out.append(record(i, url, payload, own[-1], None))
-            n.append(len(payload))
-        return [pa.array(own, pa.string()), pa.array(out, pa.binary()), pa.array(n, pa.int64())]
+    whole = compressed(pages)
+    placed = stage(layout(plan(whole, least_bytes), roll), "warc-layout")
 
     def final(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "own", "response", "n", "refers_to")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "response")), strict=True)
         # The writer ends every row with the zero byte that ends a record.
-        return [pa.array([(x if refers is None else record(i, url, bytes(n), own, refers))[:-1] for i, url, own, x, n, refers in rows], pa.binary())]
+        return [pa.array([(x if refers is None else record(i, url, bytes(n), own, refers))[:-1] for i, url, own, n, refers, x in rows], pa.binary())]
 
-    whole = with_columns(pages, ["page_id", "url", "html"], "own string, response binary, n long", responses).drop("html")
     to = placed.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("payload_digest").alias("_digest"), "refers_to", "file", "place")
-    met = whole.join(to.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("own") == F.col("_digest")))
-    columns = ["page_id", "url", "own", "n", "refers_to", "file", "place"]
+    met = whole.join(to.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("payload_digest") == F.col("_digest")))
+    columns = ["page_id", "url", "payload_digest", "payload_bytes", "refers_to", "file", "place"]
     met = met.select(*columns, F.when(F.col("refers_to").isNull(), F.col("response")).alias("response"))
     records = with_columns(met, [*columns, "response"], "record binary", final).select(F.format_string("%010d", "file").alias("file"), "place", "record")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -152,6 +149,8 @@ def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL)
     temporary = f"{target}/_temporary-records"
     dealt.write.partitionBy("file").option("lineSep", _END.decode()).option("compression", "none").text(temporary)
     _commit(spark, temporary, target, roll)
+    unstage(placed)
+    unstage(whole)
     return target
 
 
@@ -183,11 +182,15 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-cased names) and block of each record of an archive, one gzip member at a time."""
     view, at = memoryview(content), 0
     while at < len(view):
-        member = zlib.decompressobj(31)
-        data = member.decompress(view[at:])
+        member, parts = zlib.decompressobj(31), []
+        # What follows the member's end is copied, so it is fed in small steps.
+        while not member.eof and at < len(view):
+            step = view[at : at + _STEP]
+            parts.append(member.decompress(step))
+            at += len(step) - len(member.unused_data)
         if not member.eof:
             raise ValueError("an archive ends within a record")
-        at = len(view) - len(member.unused_data)
+        data = b"".join(parts)
         if not data:
             continue
         head, _, block = data.partition(b"\r\n\r\n")
