@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +31,18 @@ def gram_counts(texts: DataFrame, classes: int, fold: bool) -> list[kn.Counts]:
     return [kn.Counts(gram[kind == k], n[kind == k]) for k in range(classes)]
 
 
-def perplexity(docs: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
-    """docs with n_symbols and a column for each model, the mean negative log-probability of a symbol (null
-    without symbols)."""
+def perplexity(docs: DataFrame, models: dict[str, kn.Counts]) -> DataFrame:
+    """docs with n_symbols and a column for the model of each counts, the mean negative log-probability of a
+    symbol (null without symbols)."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent, names = spark.sparkContext.broadcast([*models.values()]), [*models]
+    sent, names, token = spark.sparkContext.broadcast([*models.values()]), [*models], uuid.uuid4().hex
     out = type(docs.schema)([*docs.schema.fields]).add("n_symbols", "long")
     for name in names:
         out = out.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, values = kn.symbol_table(False), sent.value
+        table, values = kn.symbol_table(False), kn.built(token, lambda: [*map(kn.log_probabilities, sent.value)])
         for batch in batches:
             total, n = kn.sums(batch.column("text").to_pylist(), batch.num_rows, values, table)
             nll = [pa.array(-t / np.maximum(n, 1), mask=n == 0) for t in total]
@@ -102,7 +103,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFr
 
 
 def _scored(docs: DataFrame, labels: DataFrame, quantile: float, counts: list[kn.Counts]) -> tuple[DataFrame, DataFrame]:
-    models = {"nll": kn.log_probabilities(counts[0] + counts[1])} | {f"_by_{k}": kn.log_probabilities(c) for k, c in enumerate(counts)}
+    models = {"nll": kn.total(counts)} | {f"_by_{k}": c for k, c in enumerate(counts)}
     slim = perplexity(docs.select("doc_id", "lang", "text"), models).drop("text")
     marked = slim.join(_trusted(labels).hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     other = F.when(F.col("_half") == 0, F.col("_by_1")).when(F.col("_half") == 1, F.col("_by_0"))
@@ -115,5 +116,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> Da
     rather than shuffled."""
     counts = trusted_counts(docs, labels)
     _, cuts = _scored(docs, labels, quantile, counts)
-    model = {"nll": kn.log_probabilities(counts[0] + counts[1])}
+    model = {"nll": kn.total(counts)}
     return _judged(perplexity(docs, model), cuts).where("keep").select(*docs.columns)
