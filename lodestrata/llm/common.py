@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +72,17 @@ def with_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=names)
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *added.fields]))
+
+
+class Guard:
+    """A table whose needed columns keep their names while all others stand under names of their own, so that
+    columns which an operator adds can't clash with them."""
+
+    def __init__(self, df: DataFrame, needed: list[str]):
+        self.columns, self.names = df.columns, {c: c if c in needed else f"_x{k}_" for k, c in enumerate(df.columns)}
+        self.df = df.select(*(F.col(f"`{c}`").alias(name) for c, name in self.names.items()))
+
+    def restore(self, df: DataFrame, added: list[str] | None = None) -> DataFrame:
+        """df in the columns and types of the table, and the added ones (which replace equal names)."""
+        added = added or []
+        return df.select(*(F.col(self.names[c]).alias(c) for c in self.columns if c not in added), *added)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, unstage
+from .common import Guard, small_batches, stage
 from .graph import bucket_pieces, components, search_pieces, spanning
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -239,10 +239,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs without the lines that go, in the columns of docs (n_chars told anew); a document that had lines
     and loses all of them goes."""
     _, gone = removed(docs)
-    met = docs.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    guard = Guard(docs, ["doc_id", "text", "n_chars"])
+    met = guard.df.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, k: F.when(F.array_contains("lines", k), F.lit(None)).otherwise(x))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n"))
-    out = met.withColumn("text", text).where(F.col("lines").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    out = met.withColumn("text", text).where(F.col("lines").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return guard.restore(out)

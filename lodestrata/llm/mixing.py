@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Guard, stage
 
 #: Weights of the sources in code point order, repeating; the share of all words that a mix holds; how often
 #: at most a document is taken.
@@ -123,7 +123,8 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each pass that takes some of a document.  Where a
     source's quota ends within a document, its row holds the words taken."""
-    marked = sized(docs)
+    guard = Guard(docs, ["doc_id", "source", "text"])
+    marked = sized(guard.df)
     where, pieces = takes(marked.select("doc_id", "source", "size"))
     named = where.where("size > 0").join(pieces.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "epoch", "taken"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
     # Repeated rows are told apart by number: the k-th of equal documents takes the k-th of their places.
@@ -133,4 +134,4 @@ def mixture(docs: DataFrame) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size")) & (F.col("_nth") == F.col("_copy"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("taken").cast("int")), "")
     out = own.join(places, on)
-    return out.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    return guard.restore(out.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text"))))

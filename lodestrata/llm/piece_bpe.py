@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import Guard, small_batches
 
 SPACE = "▁"
 #: Entries of the caches of one worker; a full cache is emptied.
@@ -208,8 +208,9 @@ def loaded(model: bytes) -> PieceBpe:
     return _LOADED[key]
 
 
-def _map(docs: DataFrame, model_path: str, added: list[tuple[str, str]]) -> DataFrame:
-    spark = docs.sparkSession
+def _map(table: DataFrame, model_path: str, added: list[tuple[str, str]]) -> DataFrame:
+    guard = Guard(table, ["text"] if added[0][0] == "ids" else ["ids"])
+    docs, spark = guard.df, table.sparkSession
     small_batches(spark, 500)
     with open(model_path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
@@ -230,14 +231,14 @@ def _map(docs: DataFrame, model_path: str, added: list[tuple[str, str]]) -> Data
                 new["decoded"] = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(new[n] for n in names)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return guard.restore(docs.mapInArrow(run, schema), [n for n, _ in added])
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """docs with ids, the token ids of the whole text, without begin or end ids.
 
     Null and empty texts have no ids.  Rows are encoded one by one: repeated rows give equal ids, other
-    columns pass through; a column named ids or decoded must not exist already."""
+    columns pass through, but columns named ids or decoded are replaced."""
     return _map(docs, model_path, [("ids", "array<int>")])
 
 

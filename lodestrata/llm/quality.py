@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import small_batches, stage
+from .common import Guard, small_batches, stage
 
 #: Perplexities are told apart by thousandths of their logarithm.
 STEP = 1e-3
@@ -116,5 +116,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> Da
     rather than shuffled."""
     counts = trusted_counts(docs, labels)
     _, cuts = _scored(docs, labels, quantile, counts)
-    model = {"nll": kn.total(counts)}
-    return _judged(perplexity(docs, model), cuts).where("keep").select(*docs.columns)
+    guard = Guard(docs, ["doc_id", "lang", "text"])
+    return guard.restore(_judged(perplexity(guard.df, {"nll": kn.total(counts)}), cuts).where("keep"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, with_columns
+from .common import Guard, small_batches, stage, with_columns
 from .graph import bucket_pieces, components, search_pieces, spanning
 
 BITS, SEGMENTS, SEED, SHINGLE = 64, 2, 42, 3
@@ -109,5 +109,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     slim = stage(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "simhash")
     found = groups(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stays = found.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp"))
-    out = with_fingerprint(docs).join(stays, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.dropDuplicates(["fp"]).select(*docs.columns)
+    guard = Guard(docs, ["doc_id", "text"])
+    out = with_fingerprint(guard.df).join(stays, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return guard.restore(out.dropDuplicates(["fp"]))

@@ -1,0 +1,471 @@
+"""Each operator against brute force, and over nulls, empty texts, repeats, empty tables and odd columns."""
+
+import base64
+import collections
+import hashlib
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lodestrata.llm import graph, license_scan, line_dedup, mixing, piece_bpe, quality, queries, simhash, topk, toxicity, vector_dedup, warc
+from lodestrata.llm import kneser_ney as kn
+
+SF_DIR = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, `key` long, fp string, lines int, size string, _id int, nll int, ids string"
+LONG = "alpha beta gamma delta. " * 20_000
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(*r, None, 1, "f", 2, "s", 3, 4, "i") for r in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "one two three four five", None, None), (3, "one two three four five", None, None), (None, "no id here at all", "en", "b"), (5, LONG, "fr", "b"), (6, " \n\t ", "en", None), (7, "Tab\tand\nline é 日本 🙂", "xx", "c")]
+    return documents(spark, rows).cache()
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame([*rows], "doc_id long, quality int, toxic int")
+
+
+def find(parent, a):
+    while parent[a] != a:
+        a = parent[a]
+    return a
+
+
+def smallest(n, pairs, ids):
+    parent = list(range(n))
+    for i, j in pairs:
+        parent[find(parent, i)] = find(parent, j)
+    groups = collections.defaultdict(list)
+    for k in range(n):
+        groups[find(parent, k)].append(ids[k])
+    return [min(groups[find(parent, k)]) for k in range(n)]
+
+
+# Kneser-Ney
+
+
+def brute(texts, fold):
+    """Interpolated modified Kneser-Ney over dictionaries."""
+    table = kn.symbol_table(fold)
+    c = collections.Counter()
+    for t in texts:
+        s = [0, 0, 0, *(int(table[ord(x)]) for x in t)]
+        c.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+    orders = [c]
+    for _ in range(3):
+        orders.append(collections.Counter({g: 1 for g in ()}))
+        for g in {x[1:] for x in orders[-2]}:
+            orders[-1][g] = 0
+        for x in orders[-2]:
+            orders[-1][x[1:]] += 1
+
+    def p(level, gram):
+        if level == 4:
+            return 1 / 64
+        counts = orders[level]
+        d = kn.discounts(np.array([*counts.values()]))
+        own = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        lower = p(level + 1, gram[1:])
+        if not own:
+            return lower
+        total = sum(own.values())
+        back = sum(d[min(n, 3)] for n in own.values()) / total
+        n = own.get(gram, 0)
+        return (n - d[min(n, 3)]) / total + back * lower
+
+    return lambda gram: p(0, gram)
+
+
+def test_model_equals_brute_force(spark):
+    texts = ["the cat sat", "the mat", "a cat ate the hat"]
+    (counts,) = quality.gram_counts(spark.createDataFrame([(t, 0) for t in texts], "text string, kind int"), 1, fold=False)
+    got, want = kn.log_probabilities(counts), brute(texts, False)
+    table = kn.symbol_table(False)
+    for gram in ("the ", "cat ", "zzzz", " cat", "xthe"):
+        s = tuple(int(table[ord(x)]) for x in gram)
+        assert got[((s[0] * 64 + s[1]) * 64 + s[2]) * 64 + s[3]] == pytest.approx(np.log(want(s)), abs=0.01)
+    assert np.exp(got.reshape(-1, 64).astype(float)).sum(axis=1)[:500] == pytest.approx(np.ones(500), abs=0.02)
+
+
+def test_slices_change_nothing(monkeypatch):
+    texts, table = ["some text that goes on " * 20, "", None, "x"], kn.symbol_table(False)
+    values = np.random.default_rng(1).random(kn.CELLS).astype(np.float16)
+    whole = kn.sums(texts, 4, [values], table)
+    monkeypatch.setattr(kn, "SLICE", 37)
+    parts = kn.sums(texts, 4, [values], table)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_quality(spark, odd, none):
+    good = "The people of the town went to the market in the morning and came home at night. " * 3
+    rows = [(k, f"{good} {k}", "en", "a") for k in range(60)] + [(100, "QX#! ZZ@@ 0x0x " * 30, "en", "a"), (101, "", "en", "a")]
+    docs = documents(spark, rows)
+    known = labels(spark, [(k, 1, 0) for k in range(50)])
+    got = {r.doc_id: r.keep for r in quality.score(docs, known).collect()}
+    assert all(got[k] for k in range(60)) and not got[100] and not got[101]
+    kept = quality.keep_good(docs, known)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert quality.score(odd, labels(spark)).count() == odd.count()
+    assert quality.score(none, labels(spark)).count() == 0
+
+
+def test_toxicity_held_out(spark, odd, none):
+    rng = np.random.default_rng(3)
+    words = ["market", "people", "garden", "river", "window", "table", "morning", "letter", "house", "music"]
+    text = lambda k: " ".join([*rng.choice(words, 40), *(["vilewretch"] if k % 3 == 0 else []), *rng.choice(words, 20)])
+    docs = documents(spark, [(k, text(k), "en", "a") for k in range(300)])
+    got = {r.doc_id: r for r in toxicity.score(docs, labels(spark, [(k, 1, int(k % 3 == 0)) for k in range(300)])).collect()}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items())
+    right = [r.predicted == int(k % 3 == 0) for k, r in got.items() if r.held_out]
+    assert np.mean(right) > 0.95 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert toxicity.score(odd, labels(spark, [(1, None, None), (3, 1, 1)])).count() == odd.count()
+    assert toxicity.score(none, labels(spark)).count() == 0
+
+
+# Vectors
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int, n int")
+
+
+def sample(seed=0):
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((60, 16))
+    near = base[:30] + rng.standard_normal((30, 16)) * 0.08
+    crowd = base[0] + rng.standard_normal((40, 16)) * 0.06
+    x = np.concatenate([base, near, crowd, base[:5]]).astype(np.float32)
+    label = np.concatenate([np.arange(60) % 3, np.arange(30) % 3, np.zeros(40), np.arange(5) % 3]).astype(int)
+    return x, label
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_vector_links(spark, monkeypatch, chunk):
+    monkeypatch.setattr(vector_dedup, "CHUNK", chunk)
+    x, label = sample()
+    rows = [(k + 1, x[k].tolist(), int(label[k]), 0, 0) for k in range(len(x))]
+    bad = [(901, None, 1, 0, 0), (902, [0.0] * 16, 1, 0, 0), (903, [float("nan")] * 16, 1, 0, 0), (904, x[0].tolist(), None, 0, 0), (905, [None] * 16, 1, 0, 0), (906, [], 1, 0, 0)]
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(vectors(spark, rows + bad)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    want = smallest(len(x), np.argwhere(link), list(range(1, len(x) + 1)))
+    assert [(got[k + 1].n_links, got[k + 1].component_id) for k in range(len(x))] == [(int(link[k].sum()), want[k]) for k in range(len(x))]
+    assert link.sum() > 100
+    assert all((got[b[0]].n_links, got[b[0]].component_id, got[b[0]].kept) == (0, b[0], True) for b in bad) and len(got) == len(rows) + len(bad)
+
+
+def test_vector_edges(spark):
+    assert vector_dedup.near_duplicates(vectors(spark, []).limit(0)).count() == 0
+    twice = vectors(spark, [(1, [1.0, 0.0], 0, 0, 0), (1, [1.0, 0.0], 0, 0, 0), (None, [1.0, 0.0], 0, 0, 0)])
+    assert sorted(map(str, vector_dedup.near_duplicates(twice).collect())) == sorted(map(str, [*vector_dedup.near_duplicates(twice).collect()]))
+    with pytest.raises(ValueError):
+        vector_dedup.near_duplicates(vectors(spark, [(1, [1.0], 0, 0, 0), (2, [1.0, 2.0], 0, 0, 0)]))
+
+
+@pytest.mark.parametrize(("blocks", "bins"), [((4096, 512), 256), ((16, 8), 4)])
+def test_topk(spark, monkeypatch, blocks, bins):
+    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
+    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+    monkeypatch.setattr(topk, "BINS", bins)
+    x, _ = sample(1)
+    x = np.concatenate([x, np.repeat(x[:1], 30, axis=0)])  # ties
+    rows = [(k + 1, x[k].tolist(), 0, 0, 0) for k in range(len(x))] + [(900, None, 0, 0, 0), (920, [float("inf")] * 16, 0, 0, 0)]
+    got = collections.defaultdict(list)
+    for r in topk.search(vectors(spark, rows), F.col("vec_id") % 5 == 0, 7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    n = np.floor(64 * x.astype(float)).astype(int)
+    for q in range(4, len(x), 5):
+        s = n @ n[q]
+        order = [k for k in np.lexsort((np.arange(len(x)), -s)) if k != q][:7]
+        assert got[q + 1] == [(k + 1, s[k]) for k in order]
+    assert len(got) == len(x) // 5
+
+
+def test_topk_small(spark):
+    assert topk.search(vectors(spark, []).limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = vectors(spark, [(20, [1.0, 0.0], 0, 0, 0), (20, [1.0, 0.0], 0, 0, 0), (3, [0.5, 0.0], 0, 0, 0)])
+    assert [tuple(r) for r in topk.search(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 3, 2048)]
+
+
+# Licenses
+
+
+def test_base_phrases(spark, odd, none):
+    texts = ["Released under the MIT License. mit  LICENSE, submit license", "Apache-License General Public License general public licenses", "no", None, "émit license mit license"]
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    spans = {r.doc_id: [(s.label, s.first_word) for s in r.spans if s.base] for r in license_scan.scan(docs).collect()}
+    assert spans == {0: [("mit", 3), ("mit", 5)], 1: [("apache", 0), ("gpl", 2)], 2: [], 3: [], 4: [("mit", 2)]}
+    assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
+
+
+@pytest.mark.parametrize(("text", "labels"), [("Licensed under the Apache License, Version 2.0.", ["apache", "apache-2.0"]), ("GNU General Public License, version 3 or later", ["gpl", "gpl-3-or-later"]), ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("GNU Lesser General Public License", ["gpl", "lgpl"]), ("plain text", [])])
+def test_license_labels(text, labels):
+    scanner = license_scan.Scanner(license_scan.rules())
+    _, hits, _ = scanner(text.encode())
+    assert sorted({scanner.order[h.rule].label for h in hits}) == labels
+
+
+def test_prefilter_loses_nothing():
+    order = license_scan.rules()
+    scanner, plain = license_scan.Scanner(order), lambda t: license_scan.suppress([license_scan.Hit(m.start(), m.end(), k) for k, r in enumerate(order) for m in r.pattern.finditer(t)], order)
+    for text in (b"licensed under the\nmozilla public license 2.0, bsd 3-clause; all rights reserved", b"spdx-license-identifier: cc by-sa 4.0 and mit", b"free  of charge, permission is hereby granted, free of charge, to any person obtaining a copy"):
+        assert sorted(scanner(text)[1]) == sorted(plain(text))
+    assert len(order) > 200
+
+
+# SimHash
+
+
+def reference_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    sets = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sets]
+    return sum(1 << b for b in range(64) if h and sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def test_fingerprints(odd):
+    for text in ("", None, "One", "one two", "A b c d e a b c", "é ü x\ty\nz \x1c w"):
+        assert simhash.fingerprint(text.encode() if text else None) == reference_print(text)
+
+
+def test_near_copies(spark, odd, none):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(30)]
+    texts += [t.replace(" w7 ", " w8 ", 1) for t in texts] + [texts[0]] * 5 + ["", None]
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    x = [reference_print(t) for t in texts]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i) if (x[i] ^ x[j]).bit_count() <= 3]
+    want = smallest(len(x), pairs, list(range(len(x))))
+    assert [(got[k].fingerprint, got[k].component_id) for k in range(len(x))] == [(f"{x[k]:016x}", want[k]) for k in range(len(x))]
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    assert simhash.near_duplicates(odd).count() == odd.count() and simhash.near_duplicates(none).count() == 0
+    assert simhash.keep_first(odd).where("doc_id = 3").count() == 1
+
+
+def test_all_links_within_three_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    x = {int(b) for b in base}
+    for b in base:
+        for _ in range(12):
+            y = int(b)
+            for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+                y ^= 1 << int(bit)
+            x.add(y)
+    x = sorted(np.array(sorted(x), dtype=np.uint64).view(np.int64).tolist())
+    u = np.array(x, dtype=np.int64).view(np.uint64)
+    pairs = np.argwhere(np.bitwise_count(u[:, None] ^ u[None, :]) <= 3)
+    found = graph.components(simhash.links(spark.createDataFrame([(v,) for v in x], "fp long")))
+    got = {r.node: r.component for r in found.collect()}
+    assert [got.get(v, v) for v in x] == smallest(len(x), pairs, x)
+
+
+def test_components(spark):
+    n = 200
+    edges = [(k, k + 1) for k in range(n)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5, 5), (None, 3)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(n + 1)} | {1000 + k: 1000 for k in range(80)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sorted_groups_cross_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 3, 3, 3, 4]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b])], names=["k"]) for a, b in ((0, 1), (1, 4), (4, 4), (4, 7))]
+    assert [g.column("k").to_pylist() for g in graph.sorted_groups(iter(batches), ["k"])] == [[1, 1], [2], [3, 3, 3], [4]]
+
+
+# Lines
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_lines(spark, monkeypatch, chunk):
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(7)
+    words = [f"word{k}" for k in range(200)]
+    long = [" ".join(rng.choice(words, 40)) for _ in range(12)]
+    rows = [[long[k], "short", "", long[(k + 1) % 12].replace("word7", "word8"), long[k].upper() + " end"] for k in range(12)] + [["tiny"], [long[0]] * 2]
+    docs = documents(spark, [(k, "\n".join(r), "en", "a") for k, r in enumerate(rows)])
+    got = {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.dedup(docs).collect()}
+    places = [(d, k, x) for d, r in enumerate(rows) for k, x in line_dedup.lines("\n".join(r))]
+    sets = [line_dedup.shingles(x) for *_, x in places]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if places[i][2] == places[j][2] or min(len(places[i][2]), len(places[j][2])) >= 8 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    first = smallest(len(sets), pairs, [p[:2] for p in places])
+    want = {d: (sum(p[0] == d for p in places), [p[1] for p, f in zip(places, first, strict=True) if p[0] == d and f != p[:2]]) for d in range(len(rows))}
+    assert got == want
+    out = line_dedup.without_repeats(docs)
+    assert out.columns == docs.columns
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts == {d: "\n".join(x for k, x in enumerate(r) if k not in want[d][1]) for d, r in enumerate(rows) if len(want[d][1]) < want[d][0]}
+
+
+def test_lines_of_odd_rows(odd, none):
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup(odd).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), None: (1, 0), 5: (1, 0), 6: (0, 0), 7: (2, 0)}
+    assert line_dedup.dedup(none).count() == 0 and line_dedup.without_repeats(none).count() == 0
+    assert line_dedup.without_repeats(odd).count() == odd.count()
+
+
+def test_shared_keys_cross_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 9), (4, 1), (4, 2)]
+    got = sorted(tuple(r) for r in line_dedup.shared(spark.createDataFrame(rows, "key long, h1 long")).collect())
+    assert got == [(2, 1), (2, 2), (2, 3), (4, 1), (4, 2)]
+
+
+# Mixing
+
+
+def test_targets(spark):
+    rows = [("a", 100), ("b", 1000), ("c", 10), ("d", 500), (None, 40), ("e", 0)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    names = ["a", "b", "c", "d", "e", None]
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    size, fixed, total = dict(rows), {}, 1.5 * sum(n for _, n in rows)
+    while True:
+        rest = [n for n in names if n not in fixed]
+        level = (total - sum(fixed.values())) / sum(weight[n] for n in rest)
+        over = [n for n in rest if level * weight[n] > 2 * size[n]]
+        if not over:
+            break
+        fixed |= {n: 2 * size[n] for n in over}
+    assert got == {n: pytest.approx(fixed.get(n, level * weight[n])) for n in names}
+
+
+def test_mix(spark, odd, none):
+    rng = np.random.default_rng(8)
+    docs = documents(spark, [(k, " ".join(["w"] * int(rng.integers(0, 90))), "en", f"s{k % 7 if k % 3 else 0}") for k in range(400)])
+    got = mixing.mix(docs).collect()
+    sums = collections.defaultdict(lambda: [0, 0, 0])
+    source = {k: f"s{k % 7 if k % 3 else 0}" for k in range(400)}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        s = sums[source[r.doc_id]]
+        s[0], s[1], s[2] = s[0] + r.size, s[1] + r.taken, r.target
+    assert all(abs(s[1] - s[2]) <= 1 for s in sums.values()) and sum(s[2] for s in sums.values()) == pytest.approx(1.5 * sum(s[0] for s in sums.values()))
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+    mixture = mixing.mixture(docs)
+    assert mixture.columns == docs.columns
+    words = collections.Counter()
+    for r in mixture.collect():
+        words[r.source] += len(r.text.split())
+    assert {k: s[1] for k, s in sums.items() if s[1]} == words
+    assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0
+    assert mixing.mixture(odd).count() >= 1
+
+
+def test_schedule_is_spread(spark):
+    goals = spark.createDataFrame([("a", 1000, 1000.0), ("b", 3000, 3000.0)], "source string, source_size long, target double")
+    plan = mixing.schedule(goals, 10).orderBy("slot").collect()
+    share = np.cumsum([r.source == "a" for r in plan]) / np.arange(1, len(plan) + 1)
+    assert len(plan) == 400 and abs(share[20:] - 0.25).max() < 0.05 and sum(r.words for r in plan) == 4000
+
+
+# Pieces
+
+
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+
+
+@pytest.fixture(scope="module")
+def own():
+    with open(queries.piece_model(), "rb") as f:
+        return piece_bpe.PieceBpe(f.read())
+
+
+def test_pieces_equal_the_library(library, own):
+    rng = np.random.default_rng(9)
+    parts = [" ", "  ", "\n", "\t", "▁", "the", "tion", "é", "日本", "🙂", "<0x0A>", "<s>", "...", "1234", "\r\n", "\x00", "ing", " " * 9, "Z", "//"] + [str(x) for x in rng.choice([*own.id], 200)]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 9)))
+        ids = own.encode(text)
+        assert ids.tolist() == library.encode(text) and own.decode(ids) == library.decode(ids.tolist()), repr(text)
+
+
+def test_pieces_of_tables(spark, library, odd, none):
+    for docs in (odd, spark.read.parquet(f"{SF_DIR}/documents.parquet")):
+        tokens = piece_bpe.encode(docs, queries.piece_model())
+        for r in tokens.collect():
+            assert r.ids == library.encode(r.text or "")
+        for r in piece_bpe.decode(tokens, queries.piece_model()).collect():
+            assert r.decoded == library.decode(list(r.ids))
+    assert piece_bpe.round_trip(none, queries.piece_model()).count() == 0
+
+
+# Archives
+
+
+def test_archives(spark, tmp_path):
+    rows = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (2, None, "<p>x</p>"), (None, "n", "<p>x</p>"), (5, "big", "y" * 200_000), (6, "é", "ü🙂"), (7, "seven", "7")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, file int")
+    first = {"<p>x</p>": 1, "": 3}
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = sorted(str((i, len((h or "").encode()), digest(h or ""), "response" if first.get(h or "", i) == i else "revisit", None if first.get(h or "", i) == i else first[h or ""])) for i, _, h in rows)
+    written = []
+    for k, source in enumerate((pages, pages.repartition(5))):
+        target = warc.write(source, f"file://{tmp_path}/w{k}", roll=2000)
+        got = warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+        files = sorted((tmp_path / f"w{k}").glob("*.warc.gz"))
+        written.append([(f.name, f.read_bytes()) for f in files])
+        manifest = json.loads((tmp_path / f"w{k}" / "manifest.json").read_text())
+        assert [(m["file"], m["bytes"]) for m in manifest["files"]] == [(n, len(b)) for n, b in written[-1]]
+    assert written[0] == written[1] and len(written[0]) > 1
+    payload = {r.page_id: r.payload for r in warc.read(spark, target).where("payload is not null").collect()}
+    assert bytes(payload[6]).decode() == "ü🙂" and len(payload[5]) == 200_000
+    target = warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read(spark, target).count() == 0
+
+
+def test_large_record_and_damage(monkeypatch):
+    big = warc.record(1, "u", b"z" * (17 << 20), "D", None)
+    assert big.endswith(b"\0") and len([*warc.parse(big)][0][1]) > 17 << 20
+    with pytest.raises(ValueError):
+        [*warc.parse(big[:-30])]
+
+
+def test_least_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "a", "xx"), (2, "b", "xx"), (3, "c", "x" * 9), (4, "d", "x" * 9)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.read(spark, warc.write(pages, f"file://{tmp_path}/w", least_bytes=5)).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 3}
+
+
+# The pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "SimHash near-dedup", "mixing sources", "SentencePiece encoding"]
+    out = corpus_pipeline.run(spark, SF_DIR)
+    rows = out.collect()
+    assert rows and all(r.n_tokens == len(r.ids) for r in rows)
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+
+
+def test_registered():
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == set(map(str, range(1, 11)))
