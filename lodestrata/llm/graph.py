@@ -86,7 +86,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds; each replaces the edges by at most as many, joins and
     minima are by node, and a round's edges are written to the shared folder.  Null ends are ignored."""
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     for k in range(2 * most):
         if k % 2 == 0:
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -100,10 +99,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         unstage(now)
         now = new
         if k % 2:
-            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if state == seen:
+            ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+            each = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            # Settled if every node points once, to nodes that point nowhere.
+            if not each.where("up > 1 or (up = 1 and down = 1)").limit(1).collect():
                 break
-            seen = state
     else:
         raise RuntimeError("components did not settle")
     # Stars: each node points to its smallest; the smallest is its own.

@@ -21,7 +21,7 @@ BANDS, ROWS = 12, 4
 CHUNK = 256
 _SLICE = 1 << 19
 _U = np.uint64
-_FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -74,10 +74,15 @@ def band_keys(found: list[str]) -> np.ndarray:
     h ^= h >> _U(29)
     signature = np.full((ROWS, len(found) * BANDS), _EMPTY, dtype=np.uint32)
     base = owner * BANDS
-    for f, own in enumerate(signature):
-        g = h * _FAMILIES[f]
+    for f, factor in enumerate(_FAMILIES):
+        g = h * factor
         g ^= g >> _U(31)
-        np.minimum.at(own, base + (((g >> _U(32)) * _U(BANDS)) >> _U(32)).astype(np.int64), g.astype(np.uint32))
+        # Two families of each product: one half tells the bin, the other the value.
+        halves = (g >> _U(32)).astype(np.uint32), g.astype(np.uint32)
+        for side in (0, 1):
+            where = ((halves[side].astype(_U) * _U(BANDS)) >> _U(32)).view(np.int64)
+            where += base
+            np.minimum.at(signature[2 * f + side], where, halves[1 - side])
     signature = signature.reshape(ROWS, len(found), BANDS)
     filled = signature.copy()
     for k in range(1, BANDS):
@@ -164,6 +169,14 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", "h1").mapInArrow(run, "key long, h1 long")
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """rows(key, h1) of one key for each set of lines: bands that put the same lines together ask for the
+    same comparisons.  Sets are told apart by their size and two 64-bit sums of their members' hashes."""
+    marks = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
+    one = marks.groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
+    return rows.join(one.select("_key").hint("merge"), F.col("key") == F.col("_key"), "left_semi")
+
+
 def _node() -> Column:
     return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
 
@@ -172,7 +185,7 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Edges (a, b) between lines, as 32 hex digits, that connect just what verified pairs connect.
 
     firsts tells where each distinct line (h1, h2) first stands, as `at` (doc_id, line)."""
-    buckets = stage(shared(bands(docs)), "line-buckets")
+    buckets = stage(distinct_buckets(stage(shared(bands(docs)), "line-buckets")), "line-buckets")
     wanted = buckets.select(F.col("h1").alias("_h")).distinct()
     places = firsts.join(wanted.hint("merge"), F.col("h1") == F.col("_h"), "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.line").alias("_lines")).withColumnRenamed("doc_id", "_id")
     met = docs.select("doc_id", "text").join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_lines")
