@@ -19,7 +19,7 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Lines of a bucket that are compared with one another at once.
 CHUNK = 256
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 _U = np.uint64
 _FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _EMPTY = np.uint32(0xFFFFFFFF)

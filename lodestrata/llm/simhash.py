@@ -66,7 +66,9 @@ def links(prints: DataFrame) -> DataFrame:
         for i in range(WIDTH):
             struck = value.bitwiseAND(F.lit(((1 << WIDTH) - 1) ^ (1 << i))) + F.lit((s << 40) | ((i + 1) << 32))
             variants.append(F.struct(struck.alias("key"), F.getbit(value, F.lit(i)).cast("int").alias("bit")))
-    rows = prints.select("fp", F.explode(F.array(*variants)).alias("v")).select("v.key", "v.bit", "fp")
+    # Few small partitions grow by two orders here, so they are dealt out first.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt.select("fp", F.explode(F.array(*variants)).alias("v")).select("v.key", "v.bit", "fp")
     useful = (F.min("bit") == -1) | (F.min("bit") < F.max("bit"))
     pieces = bucket_pieces(rows, "key", F.col("fp"), CHUNK, useful, ["fp"])
 
