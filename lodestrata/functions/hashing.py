@@ -29,3 +29,14 @@ def content_hash(x: Column) -> Column:
 def cache_key(item: Column, text: Column) -> Column:
     """An item's id and the first 16 hex digits of its text's hash."""
     return F.concat_ws(":", item.cast("string"), F.substring(content_hash(text), 1, 16))
+
+
+def processing_fingerprint(content: Column, version: str, profile: str, grammars: list[str], config: str = "") -> Column:
+    """What a build depends on: the content's hash, version, profile, sorted grammars and configuration."""
+    return key(content_hash(content), F.lit(version), F.lit(profile), F.lit(",".join(sorted(grammars))), F.lit(config))
+
+
+def subject_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a JSON object with its keys in order and nulls kept."""
+    row = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)

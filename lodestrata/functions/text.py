@@ -157,3 +157,70 @@ def legal_function(x: Column) -> Column:
 def parse_date(x: Column) -> Column:
     """'5 Mar 2024' or '2024-03-05'; null for anything else."""
     return F.coalesce(F.try_to_date(x, "d MMM yyyy"), F.try_to_date(x, "yyyy-MM-dd"))
+
+
+def split_acts(x: Column) -> Column:
+    """The acts of a cell that lists several, by semicolons and newlines."""
+    return F.filter(F.transform(F.split(x, r"[;\n]+"), lambda a: F.trim(a)), lambda a: a != "")
+
+
+def indicator_code(x: Column) -> Column:
+    """'6.4' or 'Indicator 6.4' as P6-I4; null without such a number."""
+    pillar, number = F.regexp_extract(x, r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9]|$)", 1), F.regexp_extract(x, r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9]|$)", 2)
+    return F.when(pillar != "", F.concat(F.lit("P"), pillar, F.lit("-I"), number))
+
+
+def expects_anchor(score: Column, restrictive_when_high: Column) -> Column:
+    """Whether a recorded score says that a provision exists: above 0, or below 1 for inverted indicators;
+    a score that can't be read says so too."""
+    n = score.try_cast("double")
+    return F.when(n.isNull(), True).when(restrictive_when_high, n > 0).otherwise(n < 1)
+
+
+def citation_path(x: Column) -> Column:
+    """The section and its bracketed parts of a citation, outermost first: 12(1)(a) gives 12, 12(1), 12(1)(a)."""
+    base = F.regexp_extract(x, r"([0-9]+[A-Za-z]{0,3})(\([0-9A-Za-z]+\))*", 1)
+    parts = F.regexp_extract_all(F.regexp_extract(x, r"[0-9]+[A-Za-z]{0,3}((?:\([0-9A-Za-z]+\))*)", 1), F.lit(r"(\([0-9A-Za-z]+\))"), F.lit(1))
+    path = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.concat(base, F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(k, F.lit(1))), "")).otherwise("")))
+    return F.when(base == "", F.array().cast("array<string>")).otherwise(path)
+
+
+def expand_citations(x: Column) -> Column:
+    """'Sections 4, 5A and 7(1)' as s4, s5A, s7(1), each once."""
+    found = F.regexp_extract_all(F.regexp_extract(x, r"(?i)(?:sections?|ss?\.?)\s+(.*)$", 1), F.lit(r"([0-9]+[A-Za-z]{0,2}(?:\([0-9A-Za-z]+\))*)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda r: F.concat(F.lit("s"), r)))
+
+
+def strip_markdown(x: Column) -> Column:
+    """Links to their text, emphasis and code marks away."""
+    return collapse(F.regexp_replace(F.regexp_replace(x, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"[*_`]+", ""))
+
+
+def markdown_urls(x: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(https?://[^\s)|>\]]+)"), F.lit(1)))
+
+
+def citation_tier(x: Column) -> Column:
+    return F.when(F.contains(x, F.lit("(")), "pinpoint").otherwise("section")
+
+
+def usable_unit(x: Column, least: int = 30, most: int = 20_000) -> Column:
+    """The text of a unit, cut at `most` characters; null below `least`."""
+    return F.when(F.length(F.trim(x)) >= least, F.substring(x, 1, most))
+
+
+def needs_review(confidence: Column, warned: Column, escalated: Column, tag: Column) -> Column:
+    return (F.coalesce(confidence, F.lit(0.0)) < 0.8) | F.coalesce(warned, F.lit(False)) | F.coalesce(escalated, F.lit(False)) | F.coalesce(tag == "NEW", F.lit(False))
+
+
+#: Roles of a reference by the words before it, the strongest last.
+REFERENCE_ROLES = (("operative", r"(shall|must|may not|prohibit)"), ("definition", r"(means|defined|definition)"), ("supporting", r"(see|under|pursuant)"), ("instrument_title", r"(act|regulations|order)$"))
+
+
+def reference_role(before: Column) -> Column:
+    """The role that the 90 characters before a reference give it."""
+    near = F.lower(F.substring(before, -90, 90))
+    out = F.lit("negative_evidence")
+    for name, pattern in reversed(REFERENCE_ROLES):
+        out = F.when(near.rlike(pattern), name).otherwise(out)
+    return out

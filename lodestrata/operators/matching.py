@@ -86,3 +86,33 @@ def unresolved(seeds: DataFrame, attempts: DataFrame, keys: list[str]) -> DataFr
     last = attempts.groupBy(*keys).agg(F.bool_or("ok").alias("_ok"), F.max_by("detail", "at").alias("detail"))
     out = seeds.join(last, keys, "left").where(~F.coalesce("_ok", F.lit(False)))
     return out.withColumn("detail", F.coalesce("detail", F.lit("never attempted"))).drop("_ok")
+
+
+def audit(rows: DataFrame, official: DataFrame, sections: DataFrame) -> DataFrame:
+    """(id, check, verdict) of rows(id, act, article, host, status, years): dead links, hosts that aren't
+    official, articles that the act lacks, bills as acts, and missing time frames."""
+    hosts = official.select(F.col("domain").alias("_d"))
+    away = rows.join(hosts, F.col("host") == F.col("_d"), "left_anti").select("id", F.lit("host").alias("check"), F.lit("WARN").alias("verdict"))
+    there = sections.select(F.col("law").alias("_l"), F.col("section").alias("_s"))
+    lost = rows.join(there, (F.col("act") == F.col("_l")) & (F.col("article") == F.col("_s")), "left_anti").select("id", F.lit("article").alias("check"), F.lit("ERROR").alias("verdict"))
+    dead = rows.where(F.col("status") >= 400).select("id", F.lit("link").alias("check"), F.lit("ERROR").alias("verdict"))
+    bills = rows.where(F.lower(F.col("act").cast("string")).rlike("(^|[^a-z])bill([^a-z]|$)")).select("id", F.lit("bill").alias("check"), F.lit("ERROR").alias("verdict"))
+    undated = rows.where(~F.coalesce(F.col("years"), F.lit("")).rlike("(19|20)[0-9]{2}")).select("id", F.lit("timeframe").alias("check"), F.lit("WARN").alias("verdict"))
+    return away.unionByName(lost).unionByName(dead).unionByName(bills).unionByName(undated)
+
+
+def proofs(findings: DataFrame, spans: DataFrame) -> DataFrame:
+    """findings(id, span_ids) with proof_text, the texts of their spans in the order of the ids, and missing,
+    the number of ids without a span."""
+    asked = findings.select("id", F.posexplode("span_ids").alias("place", "_span"))
+    met = asked.join(spans.select(F.col("span_id").alias("_s"), "text"), F.col("_span") == F.col("_s"), "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("place", "text")))), lambda x: x["text"]), " ")
+    return met.groupBy("id").agg(text.alias("proof_text"), F.count_if(F.col("_s").isNull()).alias("missing"))
+
+
+def token_disagreement(one: DataFrame, two: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """keys with the tokens that either reading of a page has and the other lacks."""
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)))
+    met = one.withColumnRenamed("text", "_a").join(two.withColumnRenamed("text", "_b"), keys, "left")
+    apart = F.array_sort(F.array_union(F.array_except(tokens(F.col("_a")), tokens(F.col("_b"))), F.array_except(tokens(F.col("_b")), tokens(F.col("_a")))))
+    return met.select(*keys, apart.alias("apart"))

@@ -121,3 +121,30 @@ def closure(rows: DataFrame, hard: int = 3000, soft: int = 700) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def best_grammar(hits: DataFrame, declared: Column) -> DataFrame:
+    """hits(doc_id, grammar, n): each document's grammar of most hits; a declared one wins ties, then the name."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.coalesce(F.col("grammar") == declared, F.lit(False))), "grammar")
+    return hits.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def after_last(rows: DataFrame, by: list[str], order: str, title: Column) -> DataFrame:
+    """The rows from the last title on, which drops tables of contents; all rows of a group without one."""
+    at = F.max(F.when(title, F.col(order))).over(Window.partitionBy(*by))
+    return rows.withColumn("_at", at).where(F.col("_at").isNull() | (F.col(order) >= F.col("_at"))).drop("_at")
+
+
+def occurrence_distinct(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """Each value of a group once, at its first place."""
+    return rows.groupBy(*by, value).agg(F.min(order).alias(order))
+
+
+#: Openings of the parts of a rule; a part reaches to the next full stop.
+COMPONENTS = {"exception": r"(except|unless|does not apply)", "condition": r"(if|where|provided that)", "definition": r"(means|includes)", "note": r"note:", "cross_reference": r"(subject to|under section)"}
+
+
+def rule_components(text: Column) -> Column:
+    """The number of parts of each role in a text, as a map."""
+    pairs = [(F.lit(role), F.regexp_count(F.lower(text), F.lit(rf"(^|[^a-z]){pattern}[^.]*"))) for role, pattern in COMPONENTS.items()]
+    return F.create_map(*(x for pair in pairs for x in pair))

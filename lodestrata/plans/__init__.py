@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import corpus, documents, matching, retrieval
+from lodestrata.plans import citations, corpus, documents, matching, retrieval
 
-_ALL = retrieval.QUERIES | matching.QUERIES | documents.QUERIES | corpus.QUERIES
+_ALL = retrieval.QUERIES | matching.QUERIES | documents.QUERIES | corpus.QUERIES | citations.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

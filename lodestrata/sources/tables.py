@@ -181,3 +181,28 @@ def quarantine(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without a reason, and the others with it."""
     marked = rows.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def named_rows(rows: DataFrame) -> DataFrame:
+    """(path, sheet, row, cells as a map by header) of rows(path, sheet, row, cells).
+
+    A sheet's header is its first row with a cell that begins with 'act' and one that begins with
+    'indicator' or 'pillar'; names are lower-cased, blank ones dropped, and of equal names the first stays."""
+    low = F.transform("cells", lambda c: F.lower(F.trim(c)))
+    is_header = F.exists(low, lambda c: c.startswith("act")) & F.exists(low, lambda c: c.startswith("indicator") | c.startswith("pillar"))
+    head = rows.where(is_header).groupBy("path", "sheet").agg(F.min(F.struct("row", low.alias("names"))).alias("h"))
+    met = rows.join(head, ["path", "sheet"]).where(F.col("row") > F.col("h.row"))
+    pairs = F.filter(F.arrays_zip(F.col("h.names").alias("k"), F.col("cells").alias("v"), F.sequence(F.lit(0), F.size("cells") - 1).alias("n")), lambda p: F.coalesce(p["k"], F.lit("")) != "")
+    first = F.filter(pairs, lambda p: F.array_position(F.col("h.names"), p["k"]) == p["n"] + 1)
+    return met.select("path", "sheet", "row", F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], p["v"]))).alias("cells"))
+
+
+def known_rows(named: DataFrame, economy: Column) -> DataFrame:
+    """(economy, indicator, act, score, references) of named rows, one for each act of a cell; rows without
+    an act are dropped."""
+    from lodestrata.functions.text import indicator_code, split_acts
+
+    cell = lambda prefix: F.get(F.map_values(F.map_filter("cells", lambda k, v: k.startswith(prefix) & (F.trim(v) != ""))), F.lit(0))
+    refs = F.map_values(F.map_filter("cells", lambda k, v: k.startswith("reference") & (F.trim(v) != "")))
+    out = named.select(economy.alias("economy"), indicator_code(F.coalesce(cell("indicator"), cell("pillar"))).alias("indicator"), F.explode(split_acts(cell("act"))).alias("act"), cell("score").alias("score"), refs.alias("references"))
+    return out.where("economy is not null and economy <> ''")

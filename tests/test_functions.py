@@ -55,3 +55,11 @@ def test_located_text_folds_to_the_snippet(source, at, n):
     found = locate(snippet, source)
     if found and folded(snippet)[0]:
         assert folded(snippet)[0] in folded(source[slice(*found)])[0]
+
+
+def test_citations(spark):
+    assert values(spark, X.citation_path, ["s 12(1)(a)", "12A", "none"]) == [["12", "12(1)", "12(1)(a)"], ["12A"], []]
+    assert values(spark, X.expand_citations, ["Sections 4, 5A and 7(1)", "x"]) == [["s4", "s5A", "s7(1)"], []]
+    assert values(spark, X.indicator_code, ["Indicator 6.4", "6.4", "v1.2.3", None]) == ["P6-I4", "P6-I4", None, None]
+    assert values(spark, X.reference_role, ["No person shall, ", "as defined in ", "Data Act", "something"]) == ["operative", "definition", "instrument_title", "negative_evidence"]
+    assert values(spark, X.strip_markdown, ["**a** [b](http://c)"]) == ["a b"]

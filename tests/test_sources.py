@@ -61,3 +61,10 @@ def test_append_once(spark):
 def test_quarantine(spark):
     good, bad = tables.quarantine(spark.range(4), F.when(F.col("id") > 2, "large"))
     assert good.count() == 3 and [r.reason for r in bad.collect()] == ["large"]
+
+
+def test_known_rows(spark):
+    cells = [("p", "s", 0, ["title", "", "", ""]), ("p", "s", 1, ["Act name", "Indicator", "Score", "Reference 1"]), ("p", "s", 2, ["Data Act; Privacy Act", "6.4", "1", "s. 5"]), ("p", "s", 3, ["", "6.1", "0", ""])]
+    rows = spark.createDataFrame(cells, "path string, sheet string, row int, cells array<string>")
+    got = tables.known_rows(tables.named_rows(rows), F.lit("X")).collect()
+    assert [(r.indicator, r.act, r.score, r.references) for r in got] == [("P6-I4", "Data Act", "1", ["s. 5"]), ("P6-I4", "Privacy Act", "1", ["s. 5"])]
