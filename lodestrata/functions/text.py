@@ -166,7 +166,8 @@ def split_acts(x: Column) -> Column:
 
 def indicator_code(x: Column) -> Column:
     """'6.4' or 'Indicator 6.4' as P6-I4; null without such a number."""
-    pillar, number = F.regexp_extract(x, r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9]|$)", 1), F.regexp_extract(x, r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9]|$)", 2)
+    found = r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9.]|\.(?:[^0-9]|$)|$)"
+    pillar, number = (F.regexp_extract(x, found, k) for k in (1, 2))
     return F.when(pillar != "", F.concat(F.lit("P"), pillar, F.lit("-I"), number))
 
 
