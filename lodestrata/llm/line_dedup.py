@@ -19,6 +19,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 4
 #: Lines of a bucket that are compared with one another at once.
 CHUNK = 256
+#: Up to so many lines are compared by one matrix product.
+_MATRIX = 64
 _SLICE = 1 << 18
 _U = np.uint64
 _FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -40,11 +42,36 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
 
 
-def similar(one: frozenset[str], two: frozenset[str]) -> bool:
+def _numbers(found: list[str]) -> list[np.ndarray] | None:
+    """Each line's shingles in their order, 8 characters as one number; None if some don't fit a byte each."""
+    try:
+        raw = [x.encode("latin-1") for x in found]
+    except UnicodeEncodeError:
+        return None
+    if min(map(len, raw)) < SHINGLE:
+        return None
+    return [np.ndarray(len(b) - SHINGLE + 1, "<u8", b, strides=(1,)) for b in raw]
+
+
+def similar(one: set | frozenset, two: set | frozenset) -> bool:
     if min(len(one), len(two)) < SIMILARITY * max(len(one), len(two)):
         return False
     both = len(one & two)
-    return both >= SIMILARITY * (len(one) + len(two) - both)
+    return both >= SIMILARITY * (len(one) + len(two) - both) - 1e-9
+
+
+def similar_roots(found: list[str]) -> np.ndarray:
+    """For each line, one that similar lines connect it with: the same for all of a component."""
+    numbers, n = _numbers(found), len(found)
+    if numbers is None or n == 2 or n > _MATRIX:
+        sets = [*map(shingles, found)] if numbers is None else [set(x.tolist()) for x in numbers]
+        return spanning(n, lambda some, others: np.array([[similar(sets[i], sets[j]) for j in others] for i in some]))
+    values, at = np.unique(np.concatenate(numbers), return_inverse=True)
+    has = np.zeros((n, len(values)), dtype=np.float32)
+    has[np.repeat(np.arange(n), [len(x) for x in numbers]), at] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-3
+    return spanning(n, lambda some, others: near[np.ix_(some, others)])
 
 
 def _ids(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +221,8 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for text, some in zip(batch.column("text").to_pylist(), batch.column("_lines").to_pylist(), strict=True):
-                every = dict(lines(text))
-                found += [every[k] for k in some if k in every]
+                every = (text or "").split("\n")
+                found += [normal(every[k]) for k in some if k < len(every)]
             h1, h2 = _ids(found)
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(found, pa.string())], names=["h1", "h2", "x"])
 
@@ -204,8 +231,7 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     pieces = bucket_pieces(rows, "key", F.col("node"), CHUNK, carry=["node", "x"])
 
     def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        sets = [shingles(x) for x in group.column("x").to_pylist()]
-        root = spanning(len(sets), lambda some, others: np.array([[similar(sets[i], sets[j]) for j in others] for i in some]))
+        root = similar_roots(group.column("x").to_pylist())
         own = np.flatnonzero(root != np.arange(len(root)))
         if len(own):
             node = group.column("node").combine_chunks()
