@@ -65,8 +65,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, own: str, refer
 
 
 def compressed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload_digest, payload_bytes, response): each page's record as a response, written
-    to the shared folder."""
+    """(page_id, url, payload_digest, payload_bytes, response): each page's record as a response.
+
+    Made twice, for the layout and for the files: equal bytes either time, and less than what storing costs."""
     small_batches(pages.sparkSession, 500)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -78,13 +79,14 @@ def compressed(pages: DataFrame) -> DataFrame:
             out.append(record(i, url, payload, own[-1], None))
         return [pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(out, pa.binary())]
 
-    return stage(with_columns(pages, ["page_id", "url", "html"], "payload_digest string, payload_bytes long, response binary", make).drop("html"), "warc-responses")
+    return with_columns(pages, ["page_id", "url", "html"], "payload_digest string, payload_bytes long, response binary", make).drop("html")
 
 
 def plan(responses: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One row per page: page_id, url, payload_digest, payload_bytes, response_bytes (compressed, as a
     response), refers_to (null for responses)."""
-    marked = responses.select("page_id", "url", "payload_digest", "payload_bytes", F.octet_length("response").cast("long").alias("response_bytes"))
+    slim = responses.select("page_id", "url", "payload_digest", "payload_bytes", F.octet_length("response").cast("long").alias("response_bytes"))
+    marked = stage(slim, "warc-digests")
     firsts = marked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     firsts = firsts.select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "_first")
     out = marked.join(firsts.hint("merge"), (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
@@ -150,7 +152,6 @@ def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL)
     dealt.write.partitionBy("file").option("lineSep", _END.decode()).option("compression", "none").text(temporary)
     _commit(spark, temporary, target, roll)
     unstage(placed)
-    unstage(whole)
     return target
 
 
