@@ -124,8 +124,13 @@ def band_keys(found: list[str]) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _tag() -> Column:
+    """Tells apart the documents that share a doc_id, or have none."""
+    return F.xxhash64("text")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h1, h2) of each line that isn't blank."""
+    """(doc_id, tag, line, h1, h2) of each line that isn't blank."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -135,9 +140,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             flat = [x for one in found for x in one]
             h1, h2 = _ids([x for _, x in flat])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([k for k, _ in flat], pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "line", "h1", "h2"])
+            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in flat], pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "tag", "line", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, h1 long, h2 long")
+    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, line int, h1 long, h2 long")
 
 
 def bands(docs: DataFrame) -> DataFrame:
@@ -211,11 +217,11 @@ def _node() -> Column:
 def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Edges (a, b) between lines, as 32 hex digits, that connect just what verified pairs connect.
 
-    firsts tells where each distinct line (h1, h2) first stands, as `at` (doc_id, line)."""
+    firsts tells where each distinct line (h1, h2) first stands, as `at` (doc_id, line, tag)."""
     buckets = stage(distinct_buckets(stage(shared(bands(docs)), "line-buckets")), "line-buckets")
     wanted = buckets.select(F.col("h1").alias("_h")).distinct()
-    places = firsts.join(wanted.hint("merge"), F.col("h1") == F.col("_h"), "left_semi").groupBy("at.doc_id").agg(F.collect_list("at.line").alias("_lines")).withColumnRenamed("doc_id", "_id")
-    met = docs.select("doc_id", "text").join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_lines")
+    places = firsts.join(wanted.hint("merge"), F.col("h1") == F.col("_h"), "left_semi").groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line").alias("_lines")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    met = docs.select("doc_id", "text", _tag().alias("tag")).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "_lines")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,9 +247,9 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of lines, and (doc_id, lines): the sorted numbers of the lines that go."""
+    """Occurrences of lines, and (doc_id, tag, lines): the sorted numbers of the lines that go."""
     every = stage(occurrences(docs), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("at")
+    first = F.min(F.struct("doc_id", "line", "tag")).alias("at")
     firsts = stage(every.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "line-firsts")
     connected = stage(components(links(docs, firsts)), "line-components").withColumnRenamed("node", "_node")
     fuzzy = firsts.withColumn("node", _node()).join(connected.hint("merge"), F.col("node") == F.col("_node")).select("h1", "h2", "at", "component")
@@ -252,24 +258,27 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = firsts.where("n > 1").select("h1", "h2", F.col("at").alias("keep"))
     # A line that is both repeated and connected takes its component's place, the smaller one.
     goal = exact.unionByName(fuzzy).groupBy("h1", "h2").agg(F.min("keep").alias("keep")).withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
-    gone = every.join(goal.hint("merge"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~F.struct("doc_id", "line").eqNullSafe(F.col("keep")))
-    return every, gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    gone = every.join(goal.hint("merge"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~F.struct("doc_id", "line", "tag").eqNullSafe(F.col("keep")))
+    return every, gone.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per doc_id: doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0).
+    """One row per document, a doc_id with a text: doc_id, n_lines, n_removed, removed (numbers of the lines
+    that go, from 0).
 
     Lines are what stands between newlines; blank ones aren't counted and stay.  Lines are compared by
     their normal form: equal ones, and those whose sets of SHINGLE-character shingles have a Jaccard
     similarity of SIMILARITY or more, are linked; of each component the line of the smallest (doc_id, line)
     stays.  Shorter lines are linked only with equal ones.  Null and empty texts have no lines.  Rows that
-    share a doc_id are one document: repeated rows keep the same lines.  A null doc_id comes before all
-    others.  Other columns are ignored."""
+    share doc_id and text are one document: repeated rows keep the same lines.  Unlike texts that share a
+    doc_id, or have none, are documents of their own; where they tie, a hash of the text decides.  A null
+    doc_id comes before all others.  Other columns are ignored."""
     every, gone = removed(docs)
-    ids = docs.select("doc_id").distinct()
-    counts = every.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines")).withColumnRenamed("doc_id", "_a")
-    gone = gone.withColumnRenamed("doc_id", "_b")
-    out = ids.join(counts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_a")), "left").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_b")), "left")
+    ids = docs.select("doc_id", _tag().alias("tag")).distinct()
+    counts = every.select("doc_id", "tag", "line").distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_lines")).withColumnsRenamed({"doc_id": "_a", "tag": "_at"})
+    gone = gone.withColumnsRenamed({"doc_id": "_b", "tag": "_bt"})
+    same = lambda i, t: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("tag") == F.col(t))
+    out = ids.join(counts.hint("merge"), same("_a", "_at"), "left").join(gone.hint("merge"), same("_b", "_bt"), "left")
     lost = F.coalesce("lines", F.array().cast("array<int>"))
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_removed"), lost.alias("removed"))
 
@@ -279,7 +288,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     and loses all of them goes."""
     _, gone = removed(docs)
     guard = Guard(docs, ["doc_id", "text", "n_chars"])
-    met = guard.df.join(gone.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    gone = gone.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    met = guard.df.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_tag() == F.col("_tag")), "left")
     numbered = F.transform(F.split("text", "\n"), lambda x, k: F.when(F.array_contains("lines", k), F.lit(None)).otherwise(x))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(numbered, lambda x: x.isNotNull()), "\n"))
     out = met.withColumn("text", text).where(F.col("lines").isNull() | F.col("text").rlike(r"\S"))

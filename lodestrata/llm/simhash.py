@@ -83,13 +83,14 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def groups(prints: DataFrame) -> DataFrame:
-    """(fp, first, component_id) for prints(fp, first): first is the smallest doc_id of a fingerprint,
-    component_id that of all fingerprints connected with it."""
+    """(fp, first, component, component_id) for prints(fp, first): first is the smallest doc_id of a
+    fingerprint, component the smallest of all fingerprints connected with it, component_id their smallest
+    doc_id, which may be null or shared by components."""
     connected = components(links(prints.select("fp"))).withColumnRenamed("node", "_fp")
     named = prints.join(connected, F.col("fp") == F.col("_fp"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = stage(named, "simhash-groups")
     least = named.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_c")
-    return named.join(least, F.col("component") == F.col("_c")).select("fp", "first", "component_id")
+    return named.join(least, F.col("component") == F.col("_c")).select("fp", "first", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -107,10 +108,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that with the smallest doc_id, in the columns of docs."""
+    """docs with one row of each component, that with the smallest doc_id, in the columns of docs; one with a
+    null doc_id only where no row of the component has any."""
     slim = stage(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "simhash")
     found = groups(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stays = found.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("_fp"))
+    stays = found.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("_fp"))
     guard = Guard(docs, ["doc_id", "text"])
     out = with_fingerprint(guard.df).join(stays, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     return guard.restore(out.dropDuplicates(["fp"]))

@@ -295,6 +295,15 @@ def test_sorted_groups_cross_batches():
     assert [g.column("k").to_pylist() for g in graph.sorted_groups(iter(batches), ["k"])] == [[1, 1], [2], [3, 3, 3], [4]]
 
 
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_first_of_each_component(spark, doc_id):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], 200)) for _ in range(4)]
+    docs = documents(spark, [(doc_id, t, "en", "a") for t in [*texts, texts[0]]] + [(9, texts[1], "en", "a")])
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_first(docs).collect())
+    assert got == sorted((str(9 if doc_id is None and k == 1 else doc_id), t) for k, t in enumerate(texts))
+
+
 # Lines
 
 
@@ -326,6 +335,15 @@ def test_lines_of_odd_rows(odd, none):
     assert line_dedup.without_repeats(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("doc_id", [None, 4])
+def test_lines_of_unlike_documents_with_one_id(spark, doc_id):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in ("apple", "brick", "cloud"))
+    docs = documents(spark, [(doc_id, f"{a}\n{b}", "en", "a"), (doc_id, f"{c}\n{a}", "en", "a"), (9, f"{b}\n{c} end", "en", "a")])
+    assert sorted(r.text for r in line_dedup.without_repeats(docs).collect()) == sorted([f"{a}\n{b}", c])
+    got = sorted((str(r.doc_id), r.n_lines, list(r.removed)) for r in line_dedup.dedup(docs).collect())
+    assert got == sorted([(str(doc_id), 2, []), (str(doc_id), 2, [1]), ("9", 2, [0, 1])])
+
+
 def test_shared_keys_cross_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 9), (4, 1), (4, 2)]
