@@ -10,8 +10,10 @@ from .common import Guard, stage
 #: Weights of the sources in code point order, repeating; the share of all words that a mix holds; how often
 #: at most a document is taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-#: A schedule has about so many slots, whatever the size of the corpus, and a block at least so many words.
-SLOTS, LEAST_BLOCK = 1 << 18, 32
+#: Words of a block: a schedule has a slot for each, so it grows with the corpus.
+BLOCK = 512
+#: Slots and blocks are made and ranked in runs of so many.
+RUN = 4096
 #: A source's shuffled documents are added up in this many pieces.
 PIECES = 1024
 GOLDEN = 0.6180339887498949
@@ -59,17 +61,13 @@ def placed(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return out.withColumn("start", F.col("_before") + F.col("_upto")).drop("_key", "_piece", "_upto", "_source", "_of", "_before")
 
 
-def block_words(goals: DataFrame) -> int:
-    total = goals.agg(F.sum("target")).first()[0] or 0
-    return max(LEAST_BLOCK, -int(-total // SLOTS))
-
-
 def schedule(goals: DataFrame, block: int) -> DataFrame:
-    """(source, rank, words, slot): the mix's blocks in their order, at most SLOTS and two for each source.
+    """(source, rank, words, slot): the mix's blocks in their order, one for each `block` words.
 
     Slot i stands at the golden-ratio point frac(i * GOLDEN); the cumulative shares of the targets map it to
     a source, and a source's slots in their order take its blocks 0, 1, ...  The last block of a source is
-    cut at its quota; blocks that its points don't reach follow at the end."""
+    cut at its quota; blocks that its points don't reach follow at the end.  Slots are ranked within runs,
+    after the slots of the runs before."""
     spark = goals.sparkSession
     total = goals.agg(F.sum("target")).first()[0] or 0
     n = int(total // block) + 1
@@ -77,11 +75,16 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     shares = goals.where("target > 0").select("source", F.round("target").cast("long").alias("quota"), (F.sum("target").over(order) / total).alias("hi"), ((F.sum("target").over(order) - F.col("target")) / total).alias("lo"))
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))))
     points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % 1.0).alias("point")).withColumn("_cell", F.floor(F.col("point") * _CELLS))
-    met = points.join(cells, F.col("_cell") == F.col("cell")).where("lo <= point and point < hi")
-    ranked = met.select(F.col("source").alias("_source"), "slot", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).alias("_rank"))
-    blocks = shares.where("quota > 0").select("source", "quota", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / block).cast("int"))).alias("rank"))
+    met = points.join(F.broadcast(cells), F.col("_cell") == F.col("cell")).where("lo <= point and point < hi").select("source", "slot", F.floor(F.col("slot") / RUN).alias("_run"))
+    sums = met.groupBy("source", "_run").agg(F.count("*").alias("_n"))
+    before = sums.select(F.col("source").alias("_of"), F.col("_run").alias("_r"), (F.sum("_n").over(Window.partitionBy("source").orderBy("_run")) - F.col("_n")).alias("_before"))
+    within = met.withColumn("_k", F.row_number().over(Window.partitionBy("source", "_run").orderBy("slot")) - 1)
+    ranked = within.join(before, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_r"))).select(F.col("source").alias("_source"), "slot", (F.col("_before") + F.col("_k")).alias("_rank"))
+    last = F.floor((F.col("quota") - 1) / block)
+    runs = shares.where("quota > 0").select("source", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))).alias("_run"))
+    blocks = runs.select("source", "quota", F.explode(F.sequence(F.col("_run") * RUN, F.least(last, F.col("_run") * RUN + RUN - 1))).alias("rank"))
     out = blocks.join(ranked, F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank")), "left")
-    words = F.least(F.lit(block), F.col("quota") - F.col("rank").cast("long") * block)
+    words = F.least(F.lit(block), F.col("quota") - F.col("rank") * block)
     return out.select("source", "rank", words.alias("words"), F.coalesce("slot", F.lit(n) + F.col("rank")).alias("slot"))
 
 
@@ -90,48 +93,51 @@ def takes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks take of the document at `start`, by epoch; slot is the first that takes some."""
     spots = stage(docs, "mixing")
     goals = stage(targets(spots.select("source", "size")), "mixing-targets")
-    block = block_words(goals)
+    block = BLOCK
     plan = schedule(goals, block).select(F.col("source").alias("_source"), "rank", "words", "slot")
     where = stage(placed(spots, goals), "mixing-places")
     runs = where.where("size > 0").select("source", "start", "size", "quota", F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")) for e in range(REPEATS)))).alias("x"))
     runs = runs.select("source", "start", "size", "quota", "x.epoch", "x.at").where("at < quota")
-    parts = runs.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / block).cast("int"), F.floor((F.col("at") + F.col("size") - 1) / block).cast("int"))))
+    parts = runs.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     met = parts.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("rank")))
-    low = F.col("rank").cast("long") * block
+    low = F.col("rank") * block
     taken = F.least(F.col("at") + F.col("size"), low + F.col("words")) - F.greatest(F.col("at"), low)
     pieces = met.withColumn("taken", taken).where("taken > 0").groupBy("source", "start", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
     return where, pieces
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+    """One row per document: doc_id, size, source_size, target, taken, slots.
 
     size is the number of words; source_size and target those of the document's source; taken the words
     that the mix takes of it, at most REPEATS times its size.  A source's documents are shuffled by a hash
     of doc_id and cut, as one run of words, into equal blocks; the mix takes each source's first
-    round(target) words, of a second pass where the first ends.  Null texts have size 0 and give nothing; a
+    round(target) words, of a second pass where the first ends.  slots has the place of the document
+    in the mix, the first slot of the schedule that takes some of it, for each pass that does; documents of
+    one slot follow one another in their source's order.  Null texts have size 0 and give nothing; a
     null source is a source of its own, last in order; a null doc_id is shuffled like any other.  Repeated
     rows are documents of their own.  An empty table gives no rows.  Other columns are ignored."""
     where, pieces = takes(sized(docs.select("doc_id", "source", "text")).drop("text"))
-    sums = pieces.groupBy("source", "start").agg(F.sum("taken").alias("taken")).select(F.col("source").alias("_source"), F.col("start").alias("_start"), "taken")
+    sums = pieces.groupBy("source", "start").agg(F.sum("taken").alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots")).select(F.col("source").alias("_source"), F.col("start").alias("_start"), "taken", "slots")
     # Documents without words share their start with the next one.
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
     out = where.join(sums, on, "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each pass that takes some of a document.  Where a
-    source's quota ends within a document, its row holds the words taken."""
+    """The mix itself, in the columns of docs and the order of the schedule: a row for each pass that takes
+    some of a document, at the first slot that does.  Where a source's quota ends within a document, its row
+    holds the words taken."""
     guard = Guard(docs, ["doc_id", "source", "text"])
     marked = sized(guard.df)
     where, pieces = takes(marked.select("doc_id", "source", "size"))
-    named = where.where("size > 0").join(pieces.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "epoch", "taken"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
+    named = where.where("size > 0").join(pieces.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "epoch", "taken", "slot"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
     # Repeated rows are told apart by number: the k-th of equal documents takes the k-th of their places.
     alike = Window.partitionBy("doc_id", "source", "size").orderBy("start")
-    places = named.withColumn("_copy", F.dense_rank().over(alike)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "_copy", "taken")
+    places = named.withColumn("_copy", F.dense_rank().over(alike)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "_copy", "taken", "slot", "start", "epoch")
     own = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size")) & (F.col("_nth") == F.col("_copy"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("taken").cast("int")), "")
-    out = own.join(places, on)
+    out = own.join(places, on).orderBy("slot", "epoch", "start")
     return guard.restore(out.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text"))))

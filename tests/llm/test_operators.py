@@ -399,6 +399,28 @@ def test_schedule_is_spread(spark):
     assert len(plan) == 400 and abs(share[20:] - 0.25).max() < 0.05 and sum(r.words for r in plan) == 4000
 
 
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 40, raising=False)
+    monkeypatch.setattr(mixing, "RUN", 16, raising=False)
+    docs = documents(spark, [(k, "w " * 20, "en", "abc"[k % 3]) for k in range(300)])
+    mixed = mixing.mix(docs).collect()
+    slots = {r.doc_id: list(r.slots) for r in mixed}
+    assert all(bool(r.taken) == bool(r.slots) and len(r.slots) <= mixing.REPEATS for r in mixed)
+    order = [(r.doc_id, r.source) for r in mixing.mixture(docs).collect()]
+    seen = collections.Counter()
+    places = []
+    for d, _ in order:
+        places.append(slots[d][seen[d]])
+        seen[d] += 1
+    assert places == sorted(places) and seen == {d: len(x) for d, x in slots.items() if x}
+    share = collections.Counter(s for _, s in order)
+    for s, n in share.items():
+        upto = np.cumsum([x == s for _, x in order]) / np.arange(1, len(order) + 1)
+        assert abs(upto[60:] - n / len(order)).max() < 0.08
+    goals = mixing.targets(mixing.sized(docs).select("source", "size"))
+    assert mixing.schedule(goals, 4).count() > 5 * mixing.schedule(goals, 40).count()
+
+
 # Pieces
 
 
