@@ -213,7 +213,7 @@ def session_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def unicode_metrics(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.round(X.unicode_quality(F.col("text")), 6).alias("quality"), X.legal_function(F.substring("text", 1, 300)).alias("kind"), X.open_ending(F.col("text")).alias("ending"))
+    return docs.select("doc_id", F.round(X.unicode_quality(F.col("text")), 6).alias("quality"), X.legal_function(F.col("text")).alias("kind"), X.open_ending(F.col("text")).alias("ending"))
 
 
 def cer_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -48,6 +49,16 @@ def test_query(spark, duck, name):
     assert got == rows(duck.sql(f"select {quoted} from ({sql})").fetchall())
 
 
+def test_unicode_metrics_reads_whole_texts(spark, tmp_path):
+    from lodestrata.functions.text import LEGAL_FUNCTIONS
+
+    rows = [(1, "plain words " * 40 + "whoever shall not do so"), (2, "plain words " * 40), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kind = lambda t: next((n for n, p in LEGAL_FUNCTIONS if re.search(p, (t or "").lower())), "other")
+    got = {r.doc_id: r.kind for r in plans.queries()["unicode_metrics"](spark, str(tmp_path)).collect()}
+    assert got == {k: kind(t) for k, t in rows} and got[1] != "other"
+
+
 def test_entry(spark):
     import __spark_entry__
 
