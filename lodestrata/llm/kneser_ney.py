@@ -1,216 +1,292 @@
-"""Interpolated modified Kneser-Ney models over symbol 4-grams.
+"""Interpolated modified Kneser-Ney models over character n-grams of an open alphabet.
 
-A text is read as symbols of a closed alphabet of 64 classes (letters one by one, accented letters by
-their base letter, other characters by kind).  A model therefore has at most 64**4 = 16.7 million cells
-whatever the corpus holds: counts are summed by Spark from every training text, sharded by n-gram id, and
-what was seen has a proven bound of 64**4 rows, so it is broadcast.  Each scorer makes the dense table of
-log-probabilities (32 MiB) from it, shard by shard, and joins it with its texts by n-gram id.
+An n-gram is a string of code points; the counts of a corpus are rows of a Spark table, one for each n-gram
+seen, and stay there.  The texts to be scored are in blocks: each block asks for the distinct n-grams that it
+holds, the requests are joined with the model by n-gram, shard against shard, and the answers go to their
+block, which adds up its documents.  So what is shuffled is one row for each distinct n-gram of a block
+instead of one for each of its characters, and no machine ever holds the model.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .blocks import Blocks
+from .common import stage
 
-SYMBOLS = 64
 ORDER = 4
-CELLS = SYMBOLS**ORDER
-BOUNDARY, UPPER, DIGIT, SPACE, NEWLINE, OTHER_PUNCT, ACCENTED, UPPER_OTHER, LETTER_OTHER, SCRIPTS, REST = (0, 27, 28, 29, 30, 41, 42, 50, 51, 52, 60)
-_PUNCT = {".": 31, ",": 32, "!": 33, "?": 34, ";": 35, ":": 35, "-": 36, "'": 37, '"': 37, "`": 37, "|": 38}
-_PUNCT |= dict.fromkeys("()[]{}<>", 39) | dict.fromkeys("@#&$%", 40)
-_LISTED = 0x3000
+#: Stands before a text ORDER - 1 times.
+BOUNDARY = "\x02"
+#: Characters of an alphabet at most, so that an n-gram is a number below 2**64; a block with more of them
+#: is read under several alphabets, one after the other.
+RADIX = 65535
 #: Characters handled at once, which bounds a worker's memory whatever the length of a text.
 SLICE = 1 << 20
-
-
-def _symbol(char: str, fold: bool) -> int:
-    if char == "\0":
-        return BOUNDARY
-    if char == "\n":
-        return NEWLINE
-    if char.isspace():
-        return SPACE
-    if "a" <= char <= "z":
-        return ord(char) - 96
-    if "A" <= char <= "Z":
-        return ord(char) - 64 if fold else UPPER
-    if char.isdigit():
-        return DIGIT
-    if char < "\x80":
-        return _PUNCT.get(char, OTHER_PUNCT)
-    if char.isalpha():
-        lower = char.lower()[:1]
-        if char != lower and not fold:
-            return UPPER_OTHER
-        base = unicodedata.normalize("NFD", lower)[0]
-        if base in "aeioucn":
-            return ACCENTED + "aeioucn".index(base)
-        return ACCENTED + 7 if ord(char) < 0x250 else SCRIPTS + (ord(char) >> 8) % 8
-    return REST
-
-
-def symbol_table(fold: bool) -> np.ndarray:
-    """The symbol of each code point below U+3000; those above are told apart by their block alone."""
-    return np.array([_symbol(chr(c), fold) for c in range(_LISTED)], dtype=np.uint8)
-
-
-def _encode(text: str, table: np.ndarray) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = table[np.minimum(codes, _LISTED - 1)]
-    high = codes >= _LISTED
-    if high.any():
-        out[high] = SCRIPTS + (codes[high] >> 8) % 8
-    return out
-
-
-def grams(texts: Iterable[str | None], table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of about SLICE characters: the rows in a slice, where each one's symbols start, and the 4-gram
-    id at each symbol; an id divisible by 64 predicts a boundary and counts for nothing.
-
-    A text opens with three boundaries.  One longer than a slice goes on in the next with its last three
-    characters as context."""
-    rows: list[int] = []
-    starts: list[int] = []
-    held: list[str] = []
-    size, context = 0, []
-
-    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = _encode("".join(held), table).astype(np.int32)
-        ids = s.copy()
+_POWER = [np.uint64(RADIX**k) for k in range(ORDER + 1)]
+_R = np.uint64(RADIX)
+
+
+class Alphabet:
+    """Numbers for characters, given in the order in which they come."""
+
+    def __init__(self) -> None:
+        self.ids, self.known = np.zeros(0x110000, dtype=np.uint16), np.zeros(0x110000, dtype=bool)
+        self.codes = np.array([ord(BOUNDARY)], dtype=np.uint32)
+        self.known[ord(BOUNDARY)] = True
+
+    def add(self, codes: np.ndarray) -> bool:
+        """Takes in different characters; False, and nothing changes, if there is no room for all."""
+        new = codes[~self.known[codes]]
+        if len(self.codes) + len(new) > RADIX:
+            return False
+        self.ids[new] = np.arange(len(self.codes), len(self.codes) + len(new))
+        self.known[new] = True
+        self.codes = np.concatenate([self.codes, new])
+        return True
+
+    def strings(self, keys: np.ndarray, n: int) -> pa.Array:
+        """The n-grams of n characters that stand behind numbers."""
+        out, rest = np.empty((len(keys), n), dtype="<u4"), keys.copy()
+        for k in range(n - 1, -1, -1):
+            out[:, k] = self.codes[(rest % _R).astype(np.int64)]
+            rest //= _R
+        return pa.array(out.view(f"<U{n}").ravel() if n else np.full(len(keys), ""), pa.string())
+
+
+Span = tuple[int, str, int, int]
+
+
+def _slices(spans: Iterable[Span], size: int) -> Iterator[list[Span]]:
+    """Spans (row, text, from, to), cut where need be, in lists of at most `size` characters with their
+    contexts."""
+    held: list[Span] = []
+    room = size
+    for row, text, a, b in spans:
+        while a < b:
+            if room < ORDER:
+                yield held
+                held, room = [], size
+            to = min(b, a + room - ORDER + 1)
+            held.append((row, text, a, to))
+            room -= to - a + ORDER - 1
+            a = to
+    if held:
+        yield held
+
+
+def _codes(spans: list[Span]) -> np.ndarray:
+    """The characters of spans, each after its context."""
+    pad = BOUNDARY * (ORDER - 1)
+    parts = (pad + text[:b] if a == 0 else (pad + text[max(0, a - ORDER + 1) : b])[a - b - ORDER + 1 :] for _, text, a, b in spans)
+    return np.frombuffer("".join(parts).replace("\0", "\ufffd").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _different(codes: np.ndarray) -> np.ndarray:
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[codes] = True
+    return np.flatnonzero(seen)
+
+
+def _fitting(texts: Iterable[str | None]) -> Iterator[tuple[list[Span], np.ndarray, np.ndarray]]:
+    """Slices with their characters and the different ones among them, never too many for an alphabet."""
+    for some in _slices(((k, t, 0, len(t)) for k, t in enumerate(texts) if t), SLICE):
+        codes = _codes(some)
+        chars = _different(codes)
+        if len(chars) < RADIX:
+            yield some, codes, chars
+        else:
+            for small in _slices(some, RADIX - 1):
+                codes = _codes(small)
+                yield small, codes, _different(codes)
+
+
+def grams(texts: Iterable[str | None]) -> Iterator[tuple[Alphabet, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts: the alphabet, the rows in a slice, where each one's n-grams begin, and the n-gram that
+    ends at each character, as a number.  Empty texts have no rows.  NUL is read as U+FFFD."""
+    alphabet = Alphabet()
+    for spans, codes, chars in _fitting(texts):
+        if not alphabet.add(chars):
+            alphabet = Alphabet()
+            alphabet.add(chars)
+        numbers = alphabet.ids[codes].astype(np.uint64)
+        keys = numbers.copy()
         for k in range(1, ORDER):
-            ids[k:] += s[:-k] << (6 * k)
-        for at in context:
-            ids[at : at + ORDER - 1] = 0
-        return np.array(rows), np.array(starts), ids
-
-    for row, text in enumerate(texts):
-        text = text or ""
-        for at in range(0, max(1, len(text)), SLICE):
-            part = text[at - ORDER + 1 : at + SLICE] if at else "\0" * (ORDER - 1) + text[:SLICE]
-            if size and size + len(part) > SLICE:
-                yield done()
-                rows, starts, held, context, size = [], [], [], [], 0
-            if at:
-                context.append(size)
-            rows.append(row)
-            starts.append(size)
-            held.append(part)
-            size += len(part)
-    if rows:
-        yield done()
-
-
-class Counts:
-    """Sorted 4-gram ids and their counts; shards by the first symbol are made dense one at a time."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        order = np.argsort(grams)
-        keep = order[n[order] > 0]
-        self.grams, self.n = grams[keep].astype(np.int64), n[keep].astype(np.int64)
-
-    def shard(self, first: int) -> np.ndarray:
-        lo, hi = np.searchsorted(self.grams, [first * SYMBOLS**3, (first + 1) * SYMBOLS**3])
-        out = np.zeros(SYMBOLS**3, dtype=np.int64)
-        out[self.grams[lo:hi] - first * SYMBOLS**3] = self.n[lo:hi]
-        return out
-
-
-def total(parts: Iterable[Counts]) -> Counts:
-    parts = [*parts]
-    grams, at = np.unique(np.concatenate([p.grams for p in parts]), return_inverse=True)
-    n = np.zeros(len(grams), dtype=np.int64)
-    np.add.at(n, at, np.concatenate([p.n for p in parts]))
-    return Counts(grams, n)
-
-
-def count_batches(batches: Iterator[tuple[list[str | None], list[int]]], classes: int, fold: bool) -> Iterator[pa.RecordBatch]:
-    """Counts of all 4-grams in one task's texts by class: one row per distinct class and 4-gram."""
-    table, counts = symbol_table(fold), np.zeros((classes, CELLS), dtype=np.int64)
-    for texts, kinds in batches:
-        for kind in set(kinds):
-            for _, _, ids in grams((x for x, k in zip(texts, kinds, strict=True) if k == kind), table):
-                np.add.at(counts[kind], ids[(ids & 63) != 0], 1)
-    for kind in range(classes):
-        found = np.flatnonzero(counts[kind])
-        for at in range(0, len(found), 1 << 16):
-            part = found[at : at + (1 << 16)]
-            columns = [np.full(len(part), kind, dtype=np.int32), part.astype(np.int32), counts[kind][part]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "gram", "n"])
-
-
-def sums(texts: Iterable[str | None], n: int, models: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For n texts: the sum of each model's values[4-gram], and the number of symbols."""
-    total, length = np.zeros((len(models), n)), np.zeros(n, dtype=np.int64)
-    for rows, starts, ids in grams(texts, table):
-        real = (ids & 63) != 0
-        for k, values in enumerate(models):
-            np.add.at(total[k], rows, np.add.reduceat(np.where(real, values[ids], 0), starts, dtype=np.float64))
-        np.add.at(length, rows, np.add.reduceat(real, starts, dtype=np.int64))
-    return total, length
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more, from the counts of counts."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
+            keys[k:] += numbers[:-k] * _POWER[k]
+        length = np.array([b - a for *_, a, b in spans])
+        first = np.cumsum(length + ORDER - 1) - length - ORDER + 1
+        own = np.ones(len(keys), dtype=bool)
+        own[first[:, None] + np.arange(ORDER - 1)] = False
+        yield alphabet, np.array([row for row, *_ in spans]), np.cumsum(length) - length, keys[own]
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    out, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return out, np.bincount(at, np.concatenate(counts), len(out)).astype(np.int64)
+
+
+def counted(texts: Iterable[str | None]) -> Iterator[tuple[Alphabet, np.ndarray, np.ndarray]]:
+    """The distinct n-grams of texts and their counts, for each alphabet."""
+    last, keys, counts = None, [], []
+    for alphabet, _, _, own in grams(texts):
+        if keys and alphabet is not last:
+            yield last, *_merged(keys, counts)
+            keys, counts = [], []
+        last = alphabet
+        x, n = np.unique(own, return_counts=True)
+        keys.append(x)
+        counts.append(n)
+    if keys:
+        yield last, *_merged(keys, counts)
+
+
+def counts(blocks: Blocks, known: DataFrame, kinds: list[str]) -> DataFrame:
+    """(kinds..., x, n): how often each n-gram x stands in the documents of each kind.
+
+    known(_block, doc_id, kinds...) has the documents to count, each once; kinds are small integers."""
+
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        kind_of = dict(zip(own.column("doc_id").to_pylist(), zip(*(own.column(k).to_pylist() for k in kinds), strict=True), strict=True))
+        texts: dict[tuple, list] = {}
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+            if doc_id in kind_of:
+                texts.setdefault(kind_of[doc_id], []).append(text)
+        parts = []
+        for kind in sorted(texts):
+            for alphabet, keys, n in counted(texts[kind]):
+                parts.append(pa.table([*(pa.array(np.full(len(keys), k, np.int32)) for k in kind), alphabet.strings(keys, ORDER), pa.array(n)], names=[*kinds, "x", "n"]))
+        empty = pa.table([*(pa.array([], pa.int32()) for _ in kinds), pa.array([], pa.string()), pa.array([], pa.int64())], names=[*kinds, "x", "n"])
+        return pa.concat_tables([empty, *parts])
+
+    found = blocks.join(["doc_id", "text"], known, run, ", ".join([*(f"{k} int" for k in kinds), "x string", "n long"]))
+    return found.groupBy(*kinds, "x").agg(F.sum("n").alias("n"))
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """(part, x, k, c) of the n-grams x of every order k that stand in counts(part, x, n): the count of those
+    of the highest order, of the others the number of different characters before them."""
+    top = counts.select("part", "x", F.lit(ORDER).alias("k"), F.col("n").alias("c"))
+    longer = counts.select("part", F.explode(F.array(*(F.substring("x", -k, k) for k in range(2, ORDER + 1)))).alias("y")).distinct()
+    lower = longer.groupBy("part", F.expr("substring(y, 2)").alias("x")).agg(F.count("*").alias("c"))
+    return top.unionByName(lower.select("part", "x", F.length("x").alias("k"), "c"))
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the numbers of n-grams counted so."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([0.0, *(min(max(d, 0.05), k) for k, d in enumerate(raw, 1))])
-
-
-def _interpolate(counts: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Rows are contexts, columns next symbols; lower has the backed-off probability of each cell."""
-    kind = np.minimum(counts, 3)
-    total = counts.sum(axis=1, keepdims=True)
-    left = d[kind].sum(axis=1, keepdims=True)
-    seen = total > 0
-    safe = np.where(seen, total, 1)
-    return np.where(seen, (counts - d[kind]) / safe + left / safe * lower, lower)
-
-
-def lower_orders(counts: Counts) -> np.ndarray:
-    """p(w | b c) of the backed-off models, as (context, w): every order below the highest counts the
-    distinct left extensions."""
-    k3 = np.zeros(SYMBOLS**3, dtype=np.int64)
-    for a in range(SYMBOLS):
-        k3 += counts.shard(a) > 0
-    k2 = (k3.reshape(SYMBOLS, -1) > 0).sum(axis=0)
-    k1 = (k2.reshape(SYMBOLS, -1) > 0).sum(axis=0)
-    p = _interpolate(k1.reshape(1, SYMBOLS), np.full((1, SYMBOLS), 1.0 / SYMBOLS), discounts(k1))
-    for k in (k2, k3):
-        p = _interpolate(k.reshape(-1, SYMBOLS), np.tile(p, (SYMBOLS, 1)), discounts(k))
-    return p
-
-
-def log_probabilities(counts: Counts) -> np.ndarray:
-    """log p(w | a b c) of every cell."""
-    p, d, out = lower_orders(counts), discounts(counts.n), np.empty(CELLS, dtype=np.float16)
-    for a, part in enumerate(out.reshape(SYMBOLS, -1)):
-        part[:] = np.log(_interpolate(counts.shard(a).reshape(-1, SYMBOLS), p, d)).ravel()
-    return out
-
-
-def log_ratios(one: Counts, two: Counts) -> np.ndarray:
-    """log p1(w | a b c) - log p2(w | a b c) of every cell, where each class's discounted counts back off to
-    the Kneser-Ney model of the pooled counts, so that what neither class tells apart gives nothing."""
-    pooled = total((one, two))
-    p, d, of = lower_orders(pooled), discounts(pooled.n), [discounts(x.n) for x in (one, two)]
-    out = np.empty(CELLS, dtype=np.float16)
-    for a, part in enumerate(out.reshape(SYMBOLS, -1)):
-        shared = _interpolate(pooled.shard(a).reshape(-1, SYMBOLS), p, d)
-        p1, p2 = (_interpolate(x.shard(a).reshape(-1, SYMBOLS), shared, y) for x, y in zip((one, two), of, strict=True))
-        part[:] = (np.log(p1) - np.log(p2)).ravel()
-    return out
-
-
-_BUILT: dict[str, list[np.ndarray]] = {}
-
-
-def built(token: str, make: Callable[[], list[np.ndarray]]) -> list[np.ndarray]:
-    """The tables of one model, made once in each Python worker; those of another model are dropped."""
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = make()
-    return _BUILT[token]
+    raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return tuple(min(max(d, 0.05), k) for k, d in enumerate(raw, 1))
+
+
+def discounted(counts: DataFrame, by: tuple[str, ...] = ("part", "k")) -> DataFrame:
+    """counts(by..., c) with the discount d of each count; the classes by which discounts differ are few."""
+    numbers = counts.groupBy(*by).agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
+    d = F.lit(None).cast("double")
+    for r in numbers:
+        own = F.lit(True)
+        for name in by:
+            own = own & (F.col(name) == r[name])
+        one, two, more = discounts(r.n1, r.n2, r.n3, r.n4)
+        d = F.when(own, F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)).otherwise(d)
+    return counts.withColumn("d", d)
+
+
+def _context() -> Column:
+    return F.expr("left(x, k - 1)")
+
+
+def parts(counts: DataFrame) -> DataFrame:
+    """(part, x, k, q, h, gamma) of every n-gram of every order: p(x) = q + gamma * p(x less its first
+    character), where h is its context; of a context's n-grams that were not seen, q is 0."""
+    all_levels = stage(levels(counts), "ngram-levels")
+    each = discounted(all_levels).withColumn("h", _context())
+    contexts = each.groupBy("part", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left")).withColumnsRenamed({"part": "_part", "h": "_h"})
+    met = each.join(contexts.hint("merge"), (F.col("part") == F.col("_part")) & (F.col("h") == F.col("_h")))
+    return met.select("part", "x", "k", ((F.col("c") - F.col("d")) / F.col("total")).alias("q"), "h", (F.col("left") / F.col("total")).alias("gamma"))
+
+
+def symbols(counts: DataFrame) -> dict[int, int]:
+    """The number of different characters that each part's n-grams end with, and one for all others."""
+    ends = counts.groupBy("part").agg(F.count_distinct(F.substring("x", -1, 1)).alias("n"))
+    return {r.part: r.n + 1 for r in ends.collect()}
+
+
+def probabilities(found: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """(part, x, h, p) of the n-grams of the highest order in parts(), each order on top of the one below."""
+    base = F.lit(None).cast("double")
+    for part, n in sizes.items():
+        base = F.when(F.col("part") == part, 1.0 / n).otherwise(base)
+    now = found.where("k = 1").select("part", "x", "h", (F.col("q") + F.col("gamma") * base).alias("p"))
+    for k in range(2, ORDER + 1):
+        lower = now.select(F.col("part").alias("_part"), F.col("x").alias("_x"), F.col("p").alias("_p"))
+        met = found.where(F.col("k") == k).join(lower.hint("merge"), (F.col("part") == F.col("_part")) & (F.expr("substring(x, 2)") == F.col("_x")))
+        now = met.select("part", "x", "h", (F.col("q") + F.col("gamma") * F.col("_p")).alias("p"))
+    return now
+
+
+def requests(blocks: Blocks, lowest: int) -> DataFrame:
+    """(_block, x): the distinct n-grams of each block, of the highest order, and the shorter ones that they
+    back off to, with their contexts; of the context alone, if that is what `lowest` admits."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        found = [pa.array([""] if lowest == 0 else [], pa.string())]
+        for alphabet, keys, _ in counted(docs.column("text").to_pylist()):
+            found.append(alphabet.strings(keys, ORDER))
+            for k in range(max(lowest, 1), ORDER):
+                # A suffix is an n-gram of a lower order; what stands before its last character is its context.
+                shorter = context(suffix(keys, k + 1))
+                shorter = shorter if lowest == ORDER - 1 else np.concatenate([shorter, suffix(keys, k)])
+                found.append(alphabet.strings(np.unique(shorter), k))
+        x = pa.concat_arrays(found)
+        return pa.table([pa.repeat(docs.column("_block")[0], len(x)), x], names=["_block", "x"])
+
+    return blocks.map(["text"], run, "_block long, x string")
+
+
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """The requests that the model(x, values...) has, with its values."""
+    return asked.join(model.withColumnRenamed("x", "_x").hint("merge"), F.col("x") == F.col("_x")).drop("_x")
+
+
+class Lookup:
+    """The values of a block's answers by order and number, under one alphabet."""
+
+    def __init__(self, alphabet: Alphabet, table: pa.Table, values: list[str]):
+        x = table.column("x").combine_chunks()
+        length = pc.utf8_length(x).to_numpy(zero_copy_only=False)
+        codes = np.zeros((len(x), ORDER), dtype="<u4")
+        if len(x):
+            codes[:] = x.to_numpy(zero_copy_only=False).astype(f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
+        filled = np.arange(ORDER) < length[:, None]
+        known = (alphabet.known[codes] | ~filled).all(axis=1)
+        every = np.column_stack([np.zeros((len(x), 0)), *(table.column(v).to_numpy().astype(np.float64) for v in values)])
+        self.keys, self.values = [], []
+        for n in range(ORDER + 1):
+            own = np.flatnonzero(known & (length == n))
+            keys = np.zeros(len(own), dtype=np.uint64)
+            for k in range(n):
+                keys = keys * _R + alphabet.ids[codes[own, k]]
+            # Answers may come twice where a block has several alphabets.
+            keys, at = np.unique(keys, return_index=True)
+            self.keys.append(keys)
+            self.values.append(every[own[at]])
+
+    def __call__(self, n: int, keys: np.ndarray) -> np.ndarray:
+        """A row of values for each n-gram of n characters, NaN where there is none."""
+        if not len(self.keys[n]):
+            return np.full((len(keys), self.values[n].shape[1]), np.nan)
+        at = np.minimum(np.searchsorted(self.keys[n], keys), len(self.keys[n]) - 1)
+        return np.where((self.keys[n][at] == keys)[:, None], self.values[n][at], np.nan)
+
+
+def suffix(keys: np.ndarray, n: int) -> np.ndarray:
+    return keys % _POWER[n] if n < ORDER else keys
+
+
+def context(keys: np.ndarray) -> np.ndarray:
+    return keys // _R

@@ -2,72 +2,72 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from . import kneser_ney as kn
-from .common import Guard, small_batches, stage
+from .blocks import Blocks
+from .common import Guard, stage
 
 #: Perplexities are told apart by thousandths of their logarithm.
 STEP = 1e-3
-
-
-def gram_counts(texts: DataFrame, classes: int, fold: bool) -> list[kn.Counts]:
-    """4-gram counts of all rows of texts(text, kind), summed in shards by 4-gram; at most 64**4 a kind."""
-    spark = texts.sparkSession
-    small_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return kn.count_batches(((b.column("text").to_pylist(), b.column("kind").to_pylist()) for b in batches), classes, fold)
-
-    parts = texts.select("text", F.col("kind").cast("int").alias("kind")).mapInArrow(run, "kind int, gram int, n long")
-    got = parts.groupBy("kind", "gram").agg(F.sum("n").alias("n")).toArrow()
-    kind, gram, n = (got.column(c).to_numpy() for c in ("kind", "gram", "n"))
-    return [kn.Counts(gram[kind == k], n[kind == k]) for k in range(classes)]
-
-
-def perplexity(docs: DataFrame, models: dict[str, kn.Counts]) -> DataFrame:
-    """docs with n_symbols and a column for the model of each counts, the mean negative log-probability of a
-    symbol (null without symbols)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent, names, token = spark.sparkContext.broadcast([*models.values()]), [*models], uuid.uuid4().hex
-    out = type(docs.schema)([*docs.schema.fields]).add("n_symbols", "long")
-    for name in names:
-        out = out.add(name, "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, values = kn.symbol_table(False), kn.built(token, lambda: [*map(kn.log_probabilities, sent.value)])
-        for batch in batches:
-            total, n = kn.sums(batch.column("text").to_pylist(), batch.num_rows, values, table)
-            nll = [pa.array(-t / np.maximum(n, 1), mask=n == 0) for t in total]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), *nll], names=out.names)
-
-    return docs.mapInArrow(run, out)
+#: Trusted documents are dealt into so many parts, each with a model of its own.
+PARTS = 2
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
-    """(_id, _half) of the documents labelled quality 1, in two halves."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    return good.withColumn("_half", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(2)).cast("int"))
-
-
-def trusted_counts(docs: DataFrame, labels: DataFrame) -> list[kn.Counts]:
-    """4-gram counts of every document labelled quality 1, by half."""
-    good = _trusted(labels).hint("merge")
-    texts = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id")).select("text", F.col("_half").alias("kind"))
-    return gram_counts(texts, 2, fold=False)
+    """(_id, part) of the documents labelled quality 1."""
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    return good.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(PARTS)).cast("int"))
+
+
+def model(found: DataFrame) -> DataFrame:
+    """(x, q0, g0, q1, g1, ...): kn.parts() by n-gram; q of x as an n-gram, g (gamma) of x as a context."""
+    none = F.lit(None).cast("double")
+    own = found.select("x", "part", "q", none.alias("g"))
+    contexts = found.groupBy("part", "h").agg(F.first("gamma").alias("g")).select(F.col("h").alias("x"), "part", none.alias("q"), "g")
+    values = [F.max(F.when(F.col("part") == k, F.col(v))).cast("float").alias(f"{v}{k}") for k in range(PARTS) for v in "qg"]
+    return own.unionByName(contexts).groupBy("x").agg(*values)
+
+
+def perplexity(blocks: Blocks, counts: DataFrame) -> DataFrame:
+    """(_block, _row, doc_id, lang, n_symbols, nll0, nll1, ...) of each document: the mean negative
+    log-probability of a character under each part's model (null without characters or without the part)."""
+    sizes = kn.symbols(counts)
+    answers = kn.answers(kn.requests(blocks, 0), model(kn.parts(counts)))
+    kept = ["_block", "_row", "doc_id", "lang"]
+    schema = StructType([*(blocks.df.schema[c] for c in kept)]).add("n_symbols", LongType())
+    for k in range(PARTS):
+        schema = schema.add(f"nll{k}", DoubleType())
+    values = [f"{v}{k}" for k in range(PARTS) for v in "qg"]
+
+    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        total, n, last = np.zeros((PARTS, docs.num_rows)), np.zeros(docs.num_rows, dtype=np.int64), None
+        for alphabet, rows, starts, keys in kn.grams(docs.column("text").to_pylist()):
+            if alphabet is not last:
+                last, lookup = alphabet, kn.Lookup(alphabet, table, values)
+            x, at = np.unique(keys, return_inverse=True)
+            p = np.tile([1 / sizes.get(k, 1) for k in range(PARTS)], (len(x), 1))
+            for k in range(1, kn.ORDER + 1):
+                q = np.nan_to_num(lookup(k, kn.suffix(x, k))[:, ::2])
+                g = lookup(k - 1, kn.context(kn.suffix(x, k)))[:, 1::2]
+                p = q + np.where(np.isnan(g), 1.0, g) * p
+            logs = np.log(p)[at]
+            np.add.at(total.T, rows, np.add.reduceat(logs, starts))
+            np.add.at(n, rows, np.diff([*starts, len(keys)]))
+        nll = [pa.array(-total[k] / np.maximum(n, 1), mask=(n == 0) | (k not in sizes)) for k in range(PARTS)]
+        return pa.table([*(docs.column(c) for c in kept), pa.array(n), *nll], names=schema.names)
+
+    return blocks.join(["doc_id", "lang", "text"], answers, run, schema)
 
 
 def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     """(lang, bound): the smallest perplexity step that `quantile` of a language's trusted documents stay
     within.  A row with every lang pooled (lang_pooled) serves languages without trusted documents."""
-    steps = scored.where("unseen is not null").select("lang", F.floor(F.col("unseen") / STEP).alias("step"))
+    steps = scored.where("part is not null and nll is not null").select("lang", F.floor(F.col("nll") / STEP).alias("step"))
     one = steps.groupBy("lang", "step").count()
     both = one.withColumn("lang_pooled", F.lit(False)).unionByName(
         one.groupBy("step").agg(F.sum("count").alias("count")).withColumns({"lang": F.lit(None).cast("string"), "lang_pooled": F.lit(True)})
@@ -78,43 +78,51 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
     return cut.where(F.col("upto") >= quantile * F.col("all")).groupBy("lang_pooled", "lang").agg(((F.min("step") + 1) * STEP).alias("bound"))
 
 
-def _judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
-    """scored with perplexity, bound and keep; the cuts have one row a language."""
+def _judged(blocks: Blocks, labels: DataFrame, quantile: float) -> DataFrame:
+    """(_block, _row, doc_id, lang, n_symbols, perplexity, bound, keep) of each document."""
+    trusted = _trusted(labels)
+    counts = stage(kn.counts(blocks, blocks.labelled(trusted), ["part"]), "quality-counts")
+    found = perplexity(blocks, counts).join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    names = [f"nll{k}" for k in range(PARTS)]
+    by_all = F.array_min(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    others = F.lit(None).cast("double")
+    for k in range(PARTS):
+        rest = [F.col(n) for n in names if n != f"nll{k}"]
+        others = F.when(F.col("part") == k, sum(rest[1:], rest[0]) / len(rest)).otherwise(others)
+    scored = stage(found.withColumn("nll", F.when(F.col("part").isNull(), by_all).otherwise(others)).drop(*names), "quality-scores")
+    cuts = stage(thresholds(scored, quantile), "quality-cuts")
     own = cuts.where("not lang_pooled").select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
     pooled = cuts.where("lang_pooled").select("bound").first()
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     bound = F.coalesce("_own", F.lit(pooled and pooled.bound).cast("double"))
-    keep = F.col("nll").isNotNull() & F.coalesce(F.col("nll") < bound, F.lit(True))
-    return out.withColumns({"perplexity": F.exp("nll"), "bound": F.exp(bound), "keep": keep}).drop("_lang", "_own")
+    keep = (F.col("n_symbols") > 0) & F.coalesce(F.col("nll") < bound, F.lit(True))
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return out.select("_block", "_row", "doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), F.exp(bound).alias("bound"), keep.alias("keep"))
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
     """One row per document: doc_id, lang, n_symbols, perplexity, bound, keep.
 
-    A 4-gram model is trained on all documents labelled quality 1.  A document is kept if its perplexity
-    stays within the bound that `quantile` of its language's trusted documents keep, each judged by a model
-    of the other half of them.  Null and empty texts have no perplexity and aren't kept; a null lang is a
-    language of its own; languages without trusted documents take the bound of all trusted documents;
-    without any trusted document all texts are kept.  Repeated rows are judged alike.  Other columns of docs
-    are ignored."""
-    counts = trusted_counts(docs, labels)
-    scored, cuts = _scored(docs, labels, quantile, counts)
-    return _judged(scored, cuts).select("doc_id", "lang", "n_symbols", "perplexity", "bound", "keep")
-
-
-def _scored(docs: DataFrame, labels: DataFrame, quantile: float, counts: list[kn.Counts]) -> tuple[DataFrame, DataFrame]:
-    models = {"nll": kn.total(counts)} | {f"_by_{k}": c for k, c in enumerate(counts)}
-    slim = perplexity(docs.select("doc_id", "lang", "text"), models).drop("text")
-    marked = slim.join(_trusted(labels).hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    other = F.when(F.col("_half") == 0, F.col("_by_1")).when(F.col("_half") == 1, F.col("_by_0"))
-    scored = stage(marked.select("doc_id", "lang", "n_symbols", "nll", other.alias("unseen")), "quality")
-    return scored, stage(thresholds(scored, quantile), "quality-cuts")
+    The documents labelled quality 1 are dealt into PARTS parts, and a model is trained on each.  A trusted
+    document is judged by the models of the other parts, so that no model has seen it, any other by that
+    model which finds it likeliest.  A document is kept if its perplexity stays within the bound that `quantile`
+    of its language's trusted documents keep.  Null and empty texts have no perplexity and aren't kept; a
+    null lang is a language of its own; languages without trusted documents take the bound of all trusted
+    documents; without any trusted document all other texts are kept.  Rows that share a doc_id share its label; repeated
+    rows are judged alike.  An empty table gives no rows.  Other columns of docs are ignored."""
+    blocks = Blocks(docs.select("doc_id", "lang", "text"))
+    return _judged(blocks, labels, quantile).drop("_block", "_row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
-    """docs without the documents that score() rejects, in the columns of docs; texts are scored again
-    rather than shuffled."""
-    counts = trusted_counts(docs, labels)
-    _, cuts = _scored(docs, labels, quantile, counts)
+    """docs without the documents that score() rejects, in the columns of docs."""
     guard = Guard(docs, ["doc_id", "lang", "text"])
-    return guard.restore(_judged(perplexity(guard.df, {"nll": kn.total(counts)}), cuts).where("keep"))
+    blocks = Blocks(guard.df)
+    kept = _judged(blocks, labels, quantile).where("keep").select("_block", "_row")
+    names = guard.df.columns
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        stays = np.zeros(rows.num_rows, dtype=bool)
+        stays[own.column("_row").to_numpy()] = True
+        return rows.select(names).filter(pa.array(stays))
+
+    return guard.restore(blocks.join(names, kept, run, guard.df.schema))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import graph, license_scan, line_dedup, mixing, piece_bpe, quality, queries, simhash, topk, toxicity, vector_dedup, warc
 from lodestrata.llm import kneser_ney as kn
+from lodestrata.llm.blocks import Blocks
 
 SF_DIR = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, `key` long, fp string, lines int, size string, _id int, nll int, ids string"
@@ -58,63 +59,172 @@ def smallest(n, pairs, ids):
 # Kneser-Ney
 
 
-def brute(texts, fold):
-    """Interpolated modified Kneser-Ney over dictionaries."""
-    table = kn.symbol_table(fold)
+def brute(texts, size):
+    """Interpolated modified Kneser-Ney over dictionaries of strings."""
+    n = kn.ORDER
     c = collections.Counter()
     for t in texts:
-        s = [0, 0, 0, *(int(table[ord(x)]) for x in t)]
-        c.update(tuple(s[k - 3 : k + 1]) for k in range(3, len(s)))
+        s = kn.BOUNDARY * (n - 1) + t
+        c.update(s[k - n + 1 : k + 1] for k in range(n - 1, len(s)))
     orders = [c]
-    for _ in range(3):
-        orders.append(collections.Counter({g: 1 for g in ()}))
-        for g in {x[1:] for x in orders[-2]}:
-            orders[-1][g] = 0
-        for x in orders[-2]:
-            orders[-1][x[1:]] += 1
+    for _ in range(n - 1):
+        orders.append(collections.Counter(x[1:] for x in orders[-1]))
 
     def p(level, gram):
-        if level == 4:
-            return 1 / 64
+        if level == n:
+            return 1 / size
         counts = orders[level]
-        d = kn.discounts(np.array([*counts.values()]))
-        own = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        d = (0, *kn.discounts(*(sum(v == k for v in counts.values()) for k in (1, 2, 3, 4))))
+        own = {g: v for g, v in counts.items() if g[:-1] == gram[:-1]}
         lower = p(level + 1, gram[1:])
         if not own:
             return lower
         total = sum(own.values())
-        back = sum(d[min(n, 3)] for n in own.values()) / total
-        n = own.get(gram, 0)
-        return (n - d[min(n, 3)]) / total + back * lower
+        v = own.get(gram, 0)
+        return (v - d[min(v, 3)]) / total + sum(d[min(v, 3)] for v in own.values()) / total * lower
 
-    return lambda gram: p(0, gram)
+    return lambda text: [p(0, (kn.BOUNDARY * (n - 1) + text)[k : k + n]) for k in range(len(text))]
 
 
-def test_model_equals_brute_force(spark):
-    texts = ["the cat sat", "the mat", "a cat ate the hat"]
-    (counts,) = quality.gram_counts(spark.createDataFrame([(t, 0) for t in texts], "text string, kind int"), 1, fold=False)
-    got, want = kn.log_probabilities(counts), brute(texts, False)
-    table = kn.symbol_table(False)
-    for gram in ("the ", "cat ", "zzzz", " cat", "xthe"):
-        s = tuple(int(table[ord(x)]) for x in gram)
-        assert got[((s[0] * 64 + s[1]) * 64 + s[2]) * 64 + s[3]] == pytest.approx(np.log(want(s)), abs=0.01)
-    assert np.exp(got.reshape(-1, 64).astype(float)).sum(axis=1)[:500] == pytest.approx(np.ones(500), abs=0.02)
+TRUSTED = ["the cat sat", "the mat", "a cat ate the hat", "cats and hats", "\u732b\u304c\u5ea7\u3063\u305f", "that cat sat at that mat", "ten hats"] * 2
 
 
-def test_slices_change_nothing(monkeypatch):
-    texts, table = ["some text that goes on " * 20, "", None, "x"], kn.symbol_table(False)
-    values = np.random.default_rng(1).random(kn.CELLS).astype(np.float16)
-    whole = kn.sums(texts, 4, [values], table)
-    monkeypatch.setattr(kn, "SLICE", 37)
-    parts = kn.sums(texts, 4, [values], table)
-    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    texts = [*TRUSTED, "zzz cat", "", None, "\U0001f642 h\u00e2t", "the cat sat\0 on", "he"]
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    known = quality._trusted(labels(spark, [(k, 1, 0) for k in range(len(TRUSTED))]))
+    part = {r._id: r.part for r in known.collect()}
+    assert set(part.values()) == {0, 1}
+    blocks = Blocks(docs.select("doc_id", "lang", "text"))
+    counts = kn.counts(blocks, blocks.labelled(known), ["part"])
+    got = {r.doc_id: r for r in quality.perplexity(blocks, counts).collect()}
+    for k in (0, 1):
+        own = [t for i, t in enumerate(TRUSTED) if part[i] == k]
+        model = brute(own, len(set("".join(own))) + 1)
+        for i, t in enumerate(texts):
+            t = (t or "").replace("\0", "\ufffd")
+            assert got[i][f"nll{k}"] == (pytest.approx(-np.log(model(t)).mean(), rel=1e-5) if t else None) and got[i].n_symbols == len(t)
+    # Probabilities of what can follow add up to one.
+    chars = sorted(set("".join(t for i, t in enumerate(TRUSTED) if part[i] == 0)))
+    assert sum(model_sum([t for i, t in enumerate(TRUSTED) if part[i] == 0], c) for c in chars) < 1
+
+
+def model_sum(own, char):
+    return brute(own, len(set("".join(own))) + 1)(f"the{char}")[-1]
+
+
+def test_quality_decisions_equal_brute_force(spark):
+    rows = [(k, t, "en" if k % 3 else None, "a") for k, t in enumerate([*TRUSTED, "zzz cat", "", None, "qqqqqq", "the hat"])] + [(2, TRUSTED[2], None, "a"), (None, "the cat", "xx", "a")]
+    docs, known = documents(spark, rows), labels(spark, [(k, 1, 0) for k in range(len(TRUSTED))] + [(None, 1, 0), (15, 0, 0)])
+    part = {r._id: r.part for r in quality._trusted(known).collect()}
+    own = [[t for i, t, *_ in rows if part.get(i) == k and i is not None] for k in (0, 1)]
+    models = [brute(x, len(set("".join(x))) + 1) for x in own]
+    nll = lambda k, t: float(-np.log(models[k](t)).mean())
+    judged = [None if not t else nll(1 - part[i], t) if i in part else min(nll(0, t), nll(1, t)) for i, t, *_ in rows]
+
+    def bound(some):
+        steps = sorted(int(np.floor(x / quality.STEP)) for x in some)
+        return (steps[int(np.ceil(0.75 * len(steps) - 1e-9)) - 1] + 1) * quality.STEP
+
+    of = {lang: [x for x, r in zip(judged, rows, strict=True) if x and r[0] in part and r[2] == lang] for lang in ("en", None)}
+    want = []
+    for x, r in zip(judged, rows, strict=True):
+        cut = bound(of[r[2]]) if of.get(r[2]) else bound([*of["en"], *of[None]])
+        want.append((str(r[0]), x is not None and x < cut, round(float(np.exp(x)), 4) if x else None, round(float(np.exp(cut)), 4)))
+    got = [(str(r.doc_id), r.keep, r.perplexity and round(r.perplexity, 4), round(r.bound, 4)) for r in quality.score(docs, known, 0.75).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_log_ratios_equal_brute_force(spark):
+    texts = ["you vile wretch", "a vile thing", "what a wretch he is", "vile vile", "a fine thing", "what a day it is", "you are kind", "a kind thing"] * 2
+    known = {k: (k // 8, int(k % 8 < 4)) for k in range(16)}
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate([*texts, "a wretch is vile", "zz"])])
+    blocks = Blocks(docs.select("doc_id", "text"))
+    sides = spark.createDataFrame([(k, *v) for k, v in known.items()], "_id long, part int, toxic int")
+    got = {r.x: r for r in toxicity.ratios(kn.counts(blocks, blocks.labelled(sides), ["part", "toxic"])).collect()}
+    n, pad = kn.ORDER, kn.BOUNDARY * (kn.ORDER - 1)
+    for part in (0, 1):
+        own = [[t for k, t in enumerate(texts) if known[k] == (part, c)] for c in (0, 1)]
+        pooled = brute(own[0] + own[1], len(set("".join(own[0] + own[1]))) + 1)
+        by_class = [collections.Counter((pad + t)[k : k + n] for t in some for k in range(len(t))) for some in own]
+        ds = [(0, *kn.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4)))) for c in by_class]
+
+        def of(c, gram, lower, by_class=by_class, ds=ds):
+            same = [v for g, v in by_class[c].items() if g[:-1] == gram[:-1]]
+            if not same:
+                return lower
+            v = by_class[c][gram]
+            return (v - ds[c][min(v, 3)] + sum(ds[c][min(x, 3)] for x in same) * lower) / sum(same)
+
+        for text in ("a wretch is vile", "what a thing"):
+            whole = pooled(text)
+            for k, shared in enumerate(whole):
+                gram = (pad + text)[k : k + n]
+                want = np.log(of(1, gram, shared)) - np.log(of(0, gram, shared))
+                known_gram = gram in by_class[0] or gram in by_class[1]
+                row = got.get(gram if known_gram else gram[:-1])
+                assert (row[f"r{part}"] if row and row[f"r{part}"] is not None else 0.0) == pytest.approx(want, abs=1e-5)
+
+
+def test_slices_and_alphabets_change_nothing(spark, monkeypatch):
+    texts = ["some text that goes on " * 20, "", None, "x", "".join(map(chr, range(0x4E00, 0x4E00 + 300)))]
+    count = lambda: sorted((g, int(c)) for alphabet, keys, n in kn.counted(texts) for g, c in zip(alphabet.strings(keys, kn.ORDER).to_pylist(), n, strict=True))
+    whole = collections.Counter()
+    for g, c in count():
+        whole[g] += c
+    s = [kn.BOUNDARY * (kn.ORDER - 1) + t for t in texts if t]
+    assert whole == collections.Counter(t[k - kn.ORDER + 1 : k + 1] for t in s for k in range(kn.ORDER - 1, len(t)))
+    for size, radix in ((37, 65535), (1 << 20, 90), (64, 40)):
+        monkeypatch.setattr(kn, "SLICE", size)
+        monkeypatch.setattr(kn, "RADIX", radix)
+        monkeypatch.setattr(kn, "_R", np.uint64(radix))
+        monkeypatch.setattr(kn, "_POWER", [np.uint64(radix**k) for k in range(kn.ORDER + 1)])
+        parts = collections.Counter()
+        for g, c in count():
+            parts[g] += c
+        assert parts == whole
+
+
+def test_features_equal_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (0, 3, 9, 40, 300)] + [None]
+    n, pad = kn.ORDER, kn.BOUNDARY * (kn.ORDER - 1)
+    values = {}
+    for t in texts:
+        for k in range(len(t or "")):
+            g = (pad + t)[k : k + n]
+            if rng.random() < 0.5:
+                values[g] = rng.standard_normal(2).astype(np.float32)
+            values.setdefault(g[:-1], rng.standard_normal(2).astype(np.float32))
+    table = pa.table({"x": [*values], "r0": [v[0] for v in values.values()], "r1": [v[1] for v in values.values()]})
+    got = toxicity.features(texts, table)
+    for i, t in enumerate(texts):
+        grams = [(pad + (t or ""))[k : k + n] for k in range(len(t or ""))]
+        for part in (0, 1):
+            r = [float(values.get(g, values[g[:-1]])[part]) for g in grams]
+            want = [np.mean(r) if r else 0, *((max(sum(r[max(0, k - w + 1) : k + 1]) / w for k in range(len(r))) if r else 0) for w in toxicity.WINDOWS)]
+            assert got[part][i] == pytest.approx(want, abs=1e-5)
+
+
+def test_blocks_keep_every_row(spark, monkeypatch):
+    monkeypatch.setattr("lodestrata.llm.blocks.BLOCK_BYTES", 200)
+    docs = documents(spark, [(k, None if k % 7 == 0 else "word " * (k % 30), "en", "a") for k in range(120)])
+    blocks = Blocks(docs)
+    rows = blocks.df.collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(map(str, range(120))) and len({(r._block, r._row) for r in rows}) == 120
+    assert len({r._block for r in rows}) > 30
+    plan = blocks.join(["text"], blocks.df.select("_block", "doc_id"), lambda a, b: a.select(["text"]), "text string")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
+    blocks.drop()
 
 
 def test_quality(spark, odd, none):
     good = "The people of the town went to the market in the morning and came home at night. " * 3
     rows = [(k, f"{good} {k}", "en", "a") for k in range(60)] + [(100, "QX#! ZZ@@ 0x0x " * 30, "en", "a"), (101, "", "en", "a")]
     docs = documents(spark, rows)
-    known = labels(spark, [(k, 1, 0) for k in range(50)])
+    known = labels(spark, [(k, 1, 0) for k in range(60) if k % 6])
     got = {r.doc_id: r.keep for r in quality.score(docs, known).collect()}
     assert all(got[k] for k in range(60)) and not got[100] and not got[101]
     kept = quality.keep_good(docs, known)
