@@ -11,8 +11,8 @@ from .common import Guard, stage
 #: at most a document is taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Words of a block: a schedule has a slot for each, so it grows with the corpus.
-BLOCK = 512
-#: Slots and blocks are made and ranked in runs of so many.
+BLOCK = 128
+#: Slots are ranked in runs of so many.
 RUN = 4096
 #: A source's shuffled documents are added up in this many pieces.
 PIECES = 1024
@@ -47,13 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def placed(docs: DataFrame, goals: DataFrame) -> DataFrame:
-    """docs(doc_id, source, size) with source_size, target, quota and start: the words of its source's
-    shuffled documents before it."""
+    """docs(doc_id, source, size) with source_size, target and start: the words of its source's shuffled
+    documents before it."""
     key = F.xxhash64(F.lit(8), "doc_id")
     dealt = docs.withColumn("_key", key).withColumn("_piece", F.pmod("_key", F.lit(PIECES)))
     sums = dealt.groupBy("source", "_piece").agg(F.sum("size").alias("_sum"))
     before = sums.select(F.col("source").alias("_source"), F.col("_piece").alias("_of"), (F.sum("_sum").over(Window.partitionBy("source").orderBy("_piece")) - F.col("_sum")).alias("_before"))
-    goals = goals.select(F.col("source").alias("_goal"), "source_size", "target", F.round("target").cast("long").alias("quota"))
+    goals = goals.select(F.col("source").alias("_goal"), "source_size", "target")
     before = before.join(goals, F.col("_source").eqNullSafe(F.col("_goal"))).drop("_goal")
     within = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     out = dealt.withColumn("_upto", within - F.col("size"))
@@ -62,30 +62,28 @@ def placed(docs: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def schedule(goals: DataFrame, block: int) -> DataFrame:
-    """(source, rank, words, slot): the mix's blocks in their order, one for each `block` words.
+    """(source, rank, slot): the mix's blocks in their order, one for each `block` words of all targets.
 
     Slot i stands at the golden-ratio point frac(i * GOLDEN); the cumulative shares of the targets map it to
-    a source, and a source's slots in their order take its blocks 0, 1, ...  The last block of a source is
-    cut at its quota; blocks that its points don't reach follow at the end.  Slots are ranked within runs,
+    a source, and a source's slots in their order take its blocks 0, 1, ...  So the points that fall into its
+    share decide how many blocks a source gives, a few more or less than its target asks for, and where they
+    stand.  A source whose share no point meets gives one block at the end.  Slots are ranked within runs,
     after the slots of the runs before."""
     spark = goals.sparkSession
     total = goals.agg(F.sum("target")).first()[0] or 0
     n = int(total // block) + 1
     order = Window.orderBy(F.asc_nulls_last("source"))
-    shares = goals.where("target > 0").select("source", F.round("target").cast("long").alias("quota"), (F.sum("target").over(order) / total).alias("hi"), ((F.sum("target").over(order) - F.col("target")) / total).alias("lo"))
+    upto = F.sum("target").over(order)
+    shares = goals.where("target > 0").select("source", (upto / total).alias("hi"), ((upto - F.col("target")) / total).alias("lo"), (F.row_number().over(order) + n).alias("late"))
     cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))))
     points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % 1.0).alias("point")).withColumn("_cell", F.floor(F.col("point") * _CELLS))
     met = points.join(F.broadcast(cells), F.col("_cell") == F.col("cell")).where("lo <= point and point < hi").select("source", "slot", F.floor(F.col("slot") / RUN).alias("_run"))
     sums = met.groupBy("source", "_run").agg(F.count("*").alias("_n"))
+    missed = shares.join(sums.select(F.col("source").alias("_of")).distinct(), F.col("source").eqNullSafe(F.col("_of")), "left_anti").select("source", F.lit(0).cast("long").alias("rank"), F.col("late").cast("long").alias("slot"))
     before = sums.select(F.col("source").alias("_of"), F.col("_run").alias("_r"), (F.sum("_n").over(Window.partitionBy("source").orderBy("_run")) - F.col("_n")).alias("_before"))
     within = met.withColumn("_k", F.row_number().over(Window.partitionBy("source", "_run").orderBy("slot")) - 1)
-    ranked = within.join(before, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_r"))).select(F.col("source").alias("_source"), "slot", (F.col("_before") + F.col("_k")).alias("_rank"))
-    last = F.floor((F.col("quota") - 1) / block)
-    runs = shares.where("quota > 0").select("source", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))).alias("_run"))
-    blocks = runs.select("source", "quota", F.explode(F.sequence(F.col("_run") * RUN, F.least(last, F.col("_run") * RUN + RUN - 1))).alias("rank"))
-    out = blocks.join(ranked, F.col("source").eqNullSafe(F.col("_source")) & (F.col("rank") == F.col("_rank")), "left")
-    words = F.least(F.lit(block), F.col("quota") - F.col("rank") * block)
-    return out.select("source", "rank", words.alias("words"), F.coalesce("slot", F.lit(n) + F.col("rank")).alias("slot"))
+    ranked = within.join(before, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_r"))).select("source", (F.col("_before") + F.col("_k")).alias("rank"), "slot")
+    return ranked.unionByName(missed)
 
 
 def takes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,16 +92,15 @@ def takes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spots = stage(docs, "mixing")
     goals = stage(targets(spots.select("source", "size")), "mixing-targets")
     block = BLOCK
-    plan = schedule(goals, block).select(F.col("source").alias("_source"), "rank", "words", "slot")
+    plan = schedule(goals, block).select(F.col("source").alias("_source"), "rank", "slot")
     where = stage(placed(spots, goals), "mixing-places")
-    runs = where.where("size > 0").select("source", "start", "size", "quota", F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")) for e in range(REPEATS)))).alias("x"))
-    runs = runs.select("source", "start", "size", "quota", "x.epoch", "x.at").where("at < quota")
+    runs = where.where("size > 0").select("source", "start", "size", F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")) for e in range(REPEATS)))).alias("x"))
+    runs = runs.select("source", "start", "size", "x.epoch", "x.at")
     parts = runs.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     met = parts.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("rank")))
     low = F.col("rank") * block
-    taken = F.least(F.col("at") + F.col("size"), low + F.col("words")) - F.greatest(F.col("at"), low)
-    pieces = met.withColumn("taken", taken).where("taken > 0").groupBy("source", "start", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
-    return where, pieces
+    taken = F.least(F.col("at") + F.col("size"), low + block) - F.greatest(F.col("at"), low)
+    return where, met.withColumn("taken", taken).groupBy("source", "start", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -111,8 +108,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     size is the number of words; source_size and target those of the document's source; taken the words
     that the mix takes of it, at most REPEATS times its size.  A source's documents are shuffled by a hash
-    of doc_id and cut, as one run of words, into equal blocks; the mix takes each source's first
-    round(target) words, of a second pass where the first ends.  slots has the place of the document
+    of doc_id and cut, as one run of words that is passed REPEATS times, into equal blocks; the mix takes
+    the blocks that schedule() has slots for, which come within a few blocks of the target.  slots has the place of the document
     in the mix, the first slot of the schedule that takes some of it, for each pass that does; documents of
     one slot follow one another in their source's order.  Null texts have size 0 and give nothing; a
     null source is a source of its own, last in order; a null doc_id is shuffled like any other.  Repeated
@@ -127,8 +124,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of docs and the order of the schedule: a row for each pass that takes
-    some of a document, at the first slot that does.  Where a source's quota ends within a document, its row
-    holds the words taken."""
+    some of a document, at the first slot that does.  Where a source's last block ends within a document, its
+    row holds the words taken.  Documents without words (null and empty texts) are in no mix; repeated rows are
+    documents of their own; an empty table gives no rows."""
     guard = Guard(docs, ["doc_id", "source", "text"])
     marked = sized(guard.df)
     where, pieces = takes(marked.select("doc_id", "source", "size"))

@@ -480,7 +480,8 @@ def test_targets(spark):
     assert got == {n: pytest.approx(fixed.get(n, level * weight[n])) for n in names}
 
 
-def test_mix(spark, odd, none):
+def test_mix(spark, monkeypatch, odd, none):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
     rng = np.random.default_rng(8)
     docs = documents(spark, [(k, " ".join(["w"] * int(rng.integers(0, 90))), "en", f"s{k % 7 if k % 3 else 0}") for k in range(400)])
     got = mixing.mix(docs).collect()
@@ -490,7 +491,7 @@ def test_mix(spark, odd, none):
         assert 0 <= r.taken <= 2 * r.size
         s = sums[source[r.doc_id]]
         s[0], s[1], s[2] = s[0] + r.size, s[1] + r.taken, r.target
-    assert all(abs(s[1] - s[2]) <= 1 for s in sums.values()) and sum(s[2] for s in sums.values()) == pytest.approx(1.5 * sum(s[0] for s in sums.values()))
+    assert all(abs(s[1] - s[2]) <= 3 * mixing.BLOCK for s in sums.values()) and sum(s[2] for s in sums.values()) == pytest.approx(1.5 * sum(s[0] for s in sums.values()))
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
     mixture = mixing.mixture(docs)
     assert mixture.columns == docs.columns
@@ -499,14 +500,63 @@ def test_mix(spark, odd, none):
         words[r.source] += len(r.text.split())
     assert {k: s[1] for k, s in sums.items() if s[1]} == words
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0
-    assert mixing.mixture(odd).count() >= 1
+    assert sorted({str(r.doc_id) for r in mixing.mixture(odd).collect()}) == ["3", "5", "7", "None"]
 
 
 def test_schedule_is_spread(spark):
     goals = spark.createDataFrame([("a", 1000, 1000.0), ("b", 3000, 3000.0)], "source string, source_size long, target double")
     plan = mixing.schedule(goals, 10).orderBy("slot").collect()
     share = np.cumsum([r.source == "a" for r in plan]) / np.arange(1, len(plan) + 1)
-    assert len(plan) == 400 and abs(share[20:] - 0.25).max() < 0.05 and sum(r.words for r in plan) == 4000
+    assert len(plan) == 401 and abs(share[20:] - 0.25).max() < 0.05
+
+
+def by_hand(rows, golden=None):
+    """The mix of rows(doc_id, source, size) by plain lists."""
+    golden = mixing.GOLDEN if golden is None else golden
+    names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
+    size = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    target, free, rest = {}, [*names], 1.5 * sum(size.values())
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * size[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            rest -= target[s]
+            free.remove(s)
+    total, hi, bounds = sum(target.values()), 0.0, []
+    for s in names:
+        if target[s] > 0:
+            bounds.append((s, hi / total, (hi + target[s]) / total))
+            hi += target[s]
+    blocks = collections.Counter()
+    for i in range(int(total // mixing.BLOCK) + 1):
+        point = i * golden % 1.0
+        blocks.update(s for s, a, b in bounds if a <= point < b)
+    return size, target, {s: max(1, blocks[s]) * mixing.BLOCK for s, *_ in bounds}
+
+
+@pytest.mark.parametrize("golden", [None, 0.25])
+def test_points_decide_what_is_taken(spark, monkeypatch, golden):
+    monkeypatch.setattr(mixing, "BLOCK", 10)
+    if golden:
+        monkeypatch.setattr(mixing, "GOLDEN", golden)
+    rng = np.random.default_rng(12)
+    rows = [(k, [None, "a", "b", "c", "tiny"][k % 4 if k else 4], int(rng.integers(0, 60)) if k else 2) for k in range(120)]
+    docs = documents(spark, [(k, "w " * n, "en", s) for k, s, n in rows])
+    size, target, gives = by_hand(rows, golden)
+    found = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    order = {r.doc_id: r.start for r in mixing.placed(mixing.sized(docs).select("doc_id", "source", "size"), mixing.targets(mixing.sized(docs).select("source", "size"))).collect()}
+    for k, s, n in rows:
+        upto = min(gives[s], 2 * size[s])
+        want = sum(max(0, min(upto, order[k] + e * size[s] + n) - (order[k] + e * size[s])) for e in (0, 1))
+        assert (found[k].size, found[k].source_size, found[k].taken) == (n, size[s], want) and found[k].target == pytest.approx(target[s])
+    if golden:  # another sequence, another mix
+        monkeypatch.setattr(mixing, "GOLDEN", 0.6180339887498949)
+        assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} != {k: r.taken for k, r in found.items()}
 
 
 def test_mix_follows_the_schedule(spark, monkeypatch):
