@@ -36,6 +36,32 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.concat_tables(held).combine_chunks()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Stretches of sorted batches that end where a run of equal keys ends, and where their runs begin, and
+    end last; small runs come many at a time."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        part = pa.concat_tables(held)
+        cuts = _cuts(part, keys)
+        if len(cuts) > 2:
+            yield part.slice(0, cuts[-2]), cuts[:-1]
+            held = [part.slice(cuts[-2])]
+    if held:
+        part = pa.concat_tables(held)
+        yield part, _cuts(part, keys)
+
+
+def _cuts(part: pa.Table, keys: list[str]) -> list[int]:
+    new = np.zeros(part.num_rows, dtype=bool)
+    for k in keys:
+        c = part.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return [0, *np.flatnonzero(new).tolist(), part.num_rows]
+
+
 def bucket_pieces(rows: DataFrame, key: str, member: Column, size: int, useful: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """rows in buckets of two or more by key, as (key, left, right, chunk, carried columns).
 
@@ -52,17 +78,21 @@ def bucket_pieces(rows: DataFrame, key: str, member: Column, size: int, useful:
     return met.withColumn("_piece", F.explode(others)).select(key, "_piece.left", "_piece.right", "chunk", *(carry or []))
 
 
+def dealt_pieces(pieces: DataFrame, key: str) -> DataFrame:
+    """The pieces (key, left, right), each in one partition and its rows together."""
+    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(n, key, "left", "right").sortWithinPartitions(key, "left", "right")
+
+
 def search_pieces(pieces: DataFrame, key: str, run: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """run() on each piece (key, left, right), many to a task."""
-    by = [key, "left", "right"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, by):
+        for group in sorted_groups(batches, [key, "left", "right"]):
             if group.num_rows > 1:
                 yield from run(group)
 
-    n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(each, schema)
+    return dealt_pieces(pieces, key).mapInArrow(each, schema)
 
 
 def spanning(n: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:

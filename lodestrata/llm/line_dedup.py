@@ -12,15 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Guard, small_batches, stage
-from .graph import bucket_pieces, components, search_pieces, spanning
+from .graph import bucket_pieces, components, dealt_pieces, whole_groups
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.998 at 0.8.
 BANDS, ROWS = 12, 4
 #: Lines of a bucket that are compared with one another at once.
 CHUNK = 256
-#: Up to so many lines are compared by one matrix product.
-_MATRIX = 64
 _SLICE = 1 << 18
 _U = np.uint64
 _FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -42,36 +40,52 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
 
 
-def _numbers(found: list[str]) -> list[np.ndarray] | None:
-    """Each line's shingles in their order, 8 characters as one number; None if some don't fit a byte each."""
-    try:
-        raw = [x.encode("latin-1") for x in found]
-    except UnicodeEncodeError:
-        return None
-    if min(map(len, raw)) < SHINGLE:
-        return None
-    return [np.ndarray(len(b) - SHINGLE + 1, "<u8", b, strides=(1,)) for b in raw]
-
-
-def similar(one: set | frozenset, two: set | frozenset) -> bool:
-    if min(len(one), len(two)) < SIMILARITY * max(len(one), len(two)):
-        return False
-    both = len(one & two)
-    return both >= SIMILARITY * (len(one) + len(two) - both) - 1e-9
-
-
-def similar_roots(found: list[str]) -> np.ndarray:
-    """For each line, one that similar lines connect it with: the same for all of a component."""
-    numbers, n = _numbers(found), len(found)
-    if numbers is None or n == 2 or n > _MATRIX:
-        sets = [*map(shingles, found)] if numbers is None else [set(x.tolist()) for x in numbers]
-        return spanning(n, lambda some, others: np.array([[similar(sets[i], sets[j]) for j in others] for i in some]))
-    values, at = np.unique(np.concatenate(numbers), return_inverse=True)
-    has = np.zeros((n, len(values)), dtype=np.float32)
-    has[np.repeat(np.arange(n), [len(x) for x in numbers]), at] = 1
-    both, size = has @ has.T, has.sum(axis=1)
-    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-3
-    return spanning(n, lambda some, others: near[np.ix_(some, others)])
+def _codes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the SHINGLE characters from each place of lines of SHINGLE characters or more on, and the
+    number of places of each line."""
+    length = np.array([len(x) for x in found])
+    h = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U)
+    factor, step = _FAMILIES[0], 1
+    while step < SHINGLE:  # of two halves, each time
+        h = h[:-step] * factor + h[step:]
+        factor, step = factor * factor, 2 * step
+    inside = np.ones(len(h), dtype=bool)
+    inside[(np.cumsum(length)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    h = h[inside]
+    h ^= h >> _U(32)
+    h *= _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(29)
+    return h, length - SHINGLE + 1
+
+
+def similar_roots(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each line, one that similar lines connect it with: the same for all of a component.
+
+    h has the hashes of the lines' shingles one after the other, length how many each has.  What a line
+    shares with all others is counted at once, from the places where its shingles occur."""
+    n = len(length)
+    values, at = np.unique(h, return_inverse=True)
+    both = np.unique(np.repeat(np.arange(n), length) * len(values) + at)
+    owner, at = np.divmod(both, len(values))
+    size = np.bincount(owner, minlength=n)
+    ends = np.cumsum(size)
+    begins = ends - size
+    marked = np.zeros(len(values), dtype=np.int32)
+    root, rest = np.arange(n), np.ones(n, dtype=bool)
+    for start in range(n):
+        front = [start] if rest[start] else []
+        rest[start] = False
+        while front and rest.any():
+            i = front.pop()
+            own = at[begins[i] : ends[i]]
+            marked[own] = 1
+            common = np.add.reduceat(marked[at], begins)
+            marked[own] = 0
+            new = np.flatnonzero(rest & (common >= SIMILARITY * (size + size[i] - common) - 1e-9))
+            root[new] = start
+            rest[new] = False
+            front += new.tolist()
+    return root
 
 
 def _ids(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,29 +99,16 @@ def band_keys(found: list[str]) -> np.ndarray:
 
     Each of ROWS hash families puts a line's shingles into BANDS bins and keeps the least value of each; a
     bin without shingles takes that of the next bin that has some.  Band j holds bin j of every family."""
-    length = np.array([len(x) for x in found])
-    ends = np.cumsum(length)
-    codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, dtype=_U)
-    for k in range(SHINGLE):
-        h *= _U(0x100000001B3)
-        h += codes[k : k + n]
-    owner = np.repeat(np.arange(len(found)), length)[:n]
-    inside = np.arange(n) + SHINGLE <= ends[owner]
-    h, owner = h[inside], owner[inside]
-    h ^= h >> _U(32)
-    h *= _U(0xFF51AFD7ED558CCD)
-    h ^= h >> _U(29)
+    h, length = _codes(found)
+    base = np.repeat(np.arange(len(found)) * BANDS, length)
     signature = np.full((ROWS, len(found) * BANDS), _EMPTY, dtype=np.uint32)
-    base = owner * BANDS
     for f, factor in enumerate(_FAMILIES):
         g = h * factor
         g ^= g >> _U(31)
         # Two families of each product: one half tells the bin, the other the value.
         halves = (g >> _U(32)).astype(np.uint32), g.astype(np.uint32)
         for side in (0, 1):
-            where = ((halves[side].astype(_U) * _U(BANDS)) >> _U(32)).view(np.int64)
+            where = (((halves[side] >> np.uint32(16)) * np.uint32(BANDS)) >> np.uint32(16)).astype(np.int64)
             where += base
             np.minimum.at(signature[2 * f + side], where, halves[1 - side])
     signature = signature.reshape(ROWS, len(found), BANDS)
@@ -119,7 +120,7 @@ def band_keys(found: list[str]) -> np.ndarray:
         filled[gap] = np.roll(signature, -k, axis=2)[gap]
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), filled.shape[1:]).copy()
     for own in filled:
-        key = (key ^ own) * _U(0x9E3779B97F4A7C15)
+        key = (key ^ own) * _FAMILIES[0]
         key ^= key >> _U(30)
     return key.view(np.int64)
 
@@ -150,26 +151,23 @@ def bands(docs: DataFrame) -> DataFrame:
     """(key, h1) for each band of each line of SHINGLE characters or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        held: list[str] = []
+        held: dict[str, None] = {}  # different lines; repeats from one slice to the next go later
         size = 0
 
         def done() -> pa.RecordBatch:
-            h1, _ = _ids(held)
-            return pa.RecordBatch.from_arrays([pa.array(band_keys(held).ravel()), pa.array(np.repeat(h1, BANDS))], names=["key", "h1"])
+            some = [*held]
+            h1, _ = _ids(some)
+            return pa.RecordBatch.from_arrays([pa.array(band_keys(some).ravel()), pa.array(np.repeat(h1, BANDS))], names=["key", "h1"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for _, x in lines(text):
-                    if len(x) >= SHINGLE and x not in seen:
-                        seen.add(x)
-                        held.append(x)
+                    if len(x) >= SHINGLE and x not in held:
+                        held[x] = None
                         size += len(x)
                         if size >= _SLICE:
                             yield done()
-                            held, size = [], 0
-            if not held:
-                seen.clear()  # repeats within a few batches go here, all others later
+                            held, size = {}, 0
         if held:
             yield done()
 
@@ -206,8 +204,8 @@ def distinct_buckets(rows: DataFrame) -> DataFrame:
     """rows(key, h1) of one key for each set of lines: bands that put the same lines together ask for the
     same comparisons.  Sets are told apart by their size and two 64-bit sums of their members' hashes."""
     marks = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
-    one = marks.groupBy("n", "x", "y").agg(F.min("key").alias("_key"))
-    return rows.join(one.select("_key").hint("merge"), F.col("key") == F.col("_key"), "left_semi")
+    one = stage(marks.groupBy("n", "x", "y").agg(F.min("key").alias("_key")).select("_key"), "line-buckets")
+    return rows.join(one.hint("merge"), F.col("key") == F.col("_key"), "left_semi")
 
 
 def _node() -> Column:
@@ -236,14 +234,19 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     rows = buckets.join(texts.withColumnRenamed("h1", "_h").hint("merge"), F.col("h1") == F.col("_h")).select("key", _node().alias("node"), "x")
     pieces = bucket_pieces(rows, "key", F.col("node"), CHUNK, carry=["node", "x"])
 
-    def verify(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        root = similar_roots(group.column("x").to_pylist())
-        own = np.flatnonzero(root != np.arange(len(root)))
-        if len(own):
-            node = group.column("node").combine_chunks()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cuts in whole_groups(batches, ["key", "left", "right"]):
+            h, length = _codes(part.column("x").to_pylist())
+            ends = np.concatenate([[0], np.cumsum(length)])
+            root = np.arange(part.num_rows)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b - a > 1:
+                    root[a:b] = a + similar_roots(h[ends[a] : ends[b]], length[a:b])
+            own = np.flatnonzero(root != np.arange(len(root)))
+            node = part.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(own)), node.take(pa.array(root[own]))], names=["a", "b"])
 
-    return search_pieces(pieces, "key", verify, "a string, b string")
+    return dealt_pieces(pieces, "key").mapInArrow(verify, "a string, b string")
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,8 +259,9 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = fuzzy.groupBy("component").agg(F.min("at").alias("keep")).withColumnRenamed("component", "_c")
     fuzzy = fuzzy.join(least, F.col("component") == F.col("_c")).select("h1", "h2", "keep")
     exact = firsts.where("n > 1").select("h1", "h2", F.col("at").alias("keep"))
-    # A line that is both repeated and connected takes its component's place, the smaller one.
-    goal = exact.unionByName(fuzzy).groupBy("h1", "h2").agg(F.min("keep").alias("keep")).withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+    # A line that is both repeated and connected takes its component's place, the smaller one.  Written, so
+    # that Spark can split what occurs most often.
+    goal = stage(exact.unionByName(fuzzy).groupBy("h1", "h2").agg(F.min("keep").alias("keep")), "line-goals").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
     gone = every.join(goal.hint("merge"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~F.struct("doc_id", "line", "tag").eqNullSafe(F.col("keep")))
     return every, gone.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
