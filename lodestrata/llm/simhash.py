@@ -66,8 +66,9 @@ def links(prints: DataFrame) -> DataFrame:
         for i in range(WIDTH):
             struck = value.bitwiseAND(F.lit(((1 << WIDTH) - 1) ^ (1 << i))) + F.lit((s << 40) | ((i + 1) << 32))
             variants.append(F.struct(struck.alias("key"), F.getbit(value, F.lit(i)).cast("int").alias("bit")))
-    # Few small partitions grow by two orders here, so they are dealt out first.
-    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Few small partitions grow by two orders here, so they are dealt out first; by a hash of fp, as Spark leaves
+    # out an exchange by fp itself after an aggregate by fp, and then merges its small partitions.
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     rows = dealt.select("fp", F.explode(F.array(*variants)).alias("v")).select("v.key", "v.bit", "fp")
     useful = (F.min("bit") == -1) | (F.min("bit") < F.max("bit"))
     pieces = bucket_pieces(rows, "key", F.col("fp"), CHUNK, useful, ["fp"])
@@ -109,7 +110,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that with the smallest doc_id, in the columns of docs; one with a
-    null doc_id only where no row of the component has any."""
+    null doc_id only where no row of the component has any.
+
+    Null and empty texts have fingerprint zero and link like any other, so one of them all stays.  Of rows that
+    tie (repeated rows, or unlike texts of one fingerprint and doc_id) any one stays.  An empty table gives no
+    rows; columns of any name are kept."""
     slim = stage(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "simhash")
     found = groups(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stays = found.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("_fp"))
