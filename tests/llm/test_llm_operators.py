@@ -323,13 +323,69 @@ def test_base_phrases(spark, odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 
 
-@pytest.mark.parametrize(("text", "labels"), [("Licensed under the Apache License, Version 2.0.", ["apache", "apache-2.0"]), ("GNU General Public License, version 3 or later", ["gpl", "gpl-3-or-later"]), ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("GNU Lesser General Public License", ["gpl", "lgpl"]), ("plain text", [])])
+@pytest.mark.parametrize(("text", "labels"), [("Licensed under the Apache License, Version 2.0.", ["apache", "apache-2.0"]), ("GNU General Public License, version 3 or later", ["gpl", "gpl-3-or-later"]), ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("GNU Lesser General Public License", ["gpl", "lgpl"]), ("plain text", []), ("available under the table", [])])
 def test_license_labels(text, labels):
     scanner = license_scan.Scanner(license_scan.rules())
     _, hits, _ = scanner(text.encode())
     assert sorted({scanner.order[h.rule].label for h in hits}) == labels
 
 
+@pytest.mark.parametrize(("text", "label"), [("Apache License 2.0", "apache-2.0"), ("Apache License v2.0", "apache-2.0"), ("Mozilla Public License 2.0", "mpl-2.0"), ("GNU General Public License v3", "gpl-3"), ("GNU General Public License 3", "gpl-3"), ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4.0"), ("Creative Commons Attribution-NonCommercial 4.0", "cc-by-nc-4.0"), ("Beerware License", "beerware"), ("released into the public domain", "public-domain"), ("GPL v2", "gpl-2"), ("GPL 2.0", "gpl-2"), ("MPL 2.0", "mpl-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3-or-later"), ("SPDX-License-Identifier: GPL-3.0", "gpl-3"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3-only"), ("Expat License", "mit"), ("Licence Ouverte", "etalab"), ("released under the terms of this license", "unspecified")])
+def test_phrases_give_their_license_alone(text, label):
+    scanner = license_scan.Scanner(license_scan.rules())
+    _, hits, _ = scanner(text.encode())
+    assert {scanner.order[h.rule].label for h in hits if not scanner.order[h.rule].base} == {label}
+
+
+def examples(parsed, limit=24):
+    """Texts that a pattern matches, every alternative of every branch in at least one."""
+    from re import _constants as c
+
+    out = [""]
+    for op, arg in parsed:
+        if op is c.LITERAL:
+            found = [chr(arg)]
+        elif op is c.ANY:
+            found = ["x"]
+        elif op is c.NOT_LITERAL:
+            found = [" "]
+        elif op is c.IN:
+            kind, own = arg[0] if arg[0][0] is not c.NEGATE else (None, None)
+            found = [" "] if kind is None else [chr(own if kind is c.LITERAL else own[0]) if kind is not c.CATEGORY else "w"]
+            if kind is c.LITERAL:
+                found = [chr(v) for k, v in arg if k is c.LITERAL]
+        elif op is c.BRANCH:
+            found = [x for branch in arg[1] for x in examples(branch, limit)]
+        elif op is c.SUBPATTERN:
+            found = examples(arg[3], limit)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            low, _, inner = arg
+            some = examples(inner, limit)
+            found = ([x * low for x in some] if low else [""]) + ([] if low else some)
+        elif op in (c.ASSERT, c.ASSERT_NOT, c.AT):
+            found = [""]
+        else:
+            raise AssertionError(op)
+        # Every choice once, with the first of all others.
+        n = max(len(out), len(found))
+        out = [out[min(k, len(out) - 1)] + found[0] for k in range(len(out))] + [out[0] + f for f in found[1:]] if n > 1 else [out[0] + found[0]]
+        out = list(dict.fromkeys(out))[: 40 * limit]
+    return out
+
+
+def test_every_alternative_passes_the_prefilter():
+    from re import _parser
+
+    order = license_scan.rules()
+    assert len(order) > 500
+    for rule in order:
+        texts = examples(_parser.parse(rule.pattern.pattern.decode("latin-1")))
+        matched = [t for t in texts if rule.pattern.fullmatch(t.encode())]
+        assert matched, rule
+        missed = [t for t in matched if rule.keyword not in re.sub(license_scan.GAP, b" ", t.encode())]
+        assert not missed, (rule.keyword, missed[:3])
+
+
 def test_prefilter_loses_nothing():
     order = license_scan.rules()
     scanner, plain = license_scan.Scanner(order), lambda t: license_scan.suppress([license_scan.Hit(m.start(), m.end(), k) for k, r in enumerate(order) for m in r.pattern.finditer(t)], order)
