@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -276,37 +277,34 @@ def suppress(hits: list[Hit], order: tuple[Rule, ...]) -> list[Hit]:
     return kept
 
 
+#: Everything but word characters becomes a space.
+_PLAIN = bytes(b if _IS_WORD[b] else 0x20 for b in range(256))
+
+
 class Scanner:
     def __init__(self, order: tuple[Rule, ...]):
         self.order = order
         self.by_keyword: dict[bytes, list[int]] = {}
         for k, r in enumerate(order):
             self.by_keyword.setdefault(r.keyword, []).append(k)
-        words = sorted(self.by_keyword, key=lambda w: (len(w), w))
-        # A keyword that holds a shorter one needs no look-up of its own where that one fails.
-        self.parents = [(w, next((x for x in words if x != w and x in w), None)) for w in words]
+        self.keywords = ahocorasick.Automaton()
+        for w in self.by_keyword:
+            self.keywords.add_word(w.decode("latin-1"), w)
+        self.keywords.make_automaton()
 
     def __call__(self, text: bytes) -> tuple[int, list[Hit], np.ndarray | None]:
         """Words, detections that stay, and the word index at each byte (None without detections)."""
         text = text.lower()
-        # A keyword's space stands for any gap, so it is looked for in text of single spaces.
+        words = text.translate(_PLAIN).split()
+        # A keyword's space stands for any gap, so keywords are looked for in text of single spaces.
+        seen = {w for _, w in self.keywords.iter(b" ".join(words).decode("latin-1"))}
+        hits = [Hit(m.start(), m.end(), k) for w in seen for k in self.by_keyword[w] for m in self.order[k].pattern.finditer(text)]
+        if not hits:
+            return len(words), [], None
         word = _IS_WORD[np.frombuffer(text, dtype=np.uint8)]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
-        seen, plain = {None: True}, None
-        for w, parent in self.parents:
-            if b" " in w:
-                head, _, rest = w.partition(b" ")
-                if head not in text:
-                    seen[w] = False
-                    continue
-                if plain is None:
-                    plain = re.sub(GAP, b" ", text)
-                seen[w] = w in plain
-            else:
-                seen[w] = seen.get(parent, True) is not False and w in text
-        hits = [Hit(m.start(), m.end(), k) for w, _ in self.parents if seen[w] for k in self.by_keyword[w] for m in self.order[k].pattern.finditer(text)]
-        return int(np.count_nonzero(begins)), suppress(hits, self.order), np.cumsum(begins) if hits else None
+        return len(words), suppress(hits, self.order), np.cumsum(begins)
 
 
 SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("priority", T.IntegerType()), T.StructField("base", T.BooleanType())])
