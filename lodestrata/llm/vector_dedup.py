@@ -25,6 +25,7 @@ CHUNK = 4096
 _ROWS = 256
 #: Guards candidates, not links, against rounding.
 _SLACK = 1e-9
+_EDGE = 1e-11
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -42,6 +43,18 @@ def _distances(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (one * one).sum(axis=1)[:, None] + (two * two).sum(axis=1)[None, :] - 2 * (one @ two.T)
 
 
+def _within(one: np.ndarray, two: np.ndarray, turn: np.ndarray, limit: float) -> np.ndarray:
+    """Whether vectors lie within a squared distance after `turn`.  Too close to the limit for products of
+    matrices, whose rounding depends on their shapes, each pair is worked out by itself, so that every piece
+    in which it meets comes to the same answer."""
+    d = _distances(one @ turn, two @ turn)
+    found = d <= limit
+    for i, j in np.argwhere(np.abs(d - limit) < _EDGE):
+        own = ((one[i] - two[j])[:, None] * turn).sum(axis=0)
+        found[i, j] = (own * own).sum() <= limit
+    return found
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -52,11 +65,17 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(~broken & (F.size("embedding") > 0), F.lit(False)))
 
 
+def dimensions(vectors: DataFrame) -> list[int]:
+    """The lengths of vectors, of which a table has few."""
+    return sorted(r[0] for r in vectors.select(F.size("embedding").alias("d")).distinct().collect()) or [1]
+
+
 def dimension(vectors: DataFrame) -> int:
-    found = [r[0] for r in vectors.select(F.size("embedding").alias("d")).distinct().limit(2).collect()]
+    """The one length that all vectors have."""
+    found = dimensions(vectors)
     if len(found) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(found)}")
-    return found[0] if found else 1
+        raise ValueError(f"vectors of different lengths: {found}")
+    return found[0]
 
 
 def _grid(dim: int, cosine: float) -> list[tuple[int, int, float]]:
@@ -84,7 +103,7 @@ def spread(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             turned = _unit(_matrix(batch.column("embedding"), dim)) @ turn
-            label = batch.column("label").to_numpy().astype(np.int64)
+            label = batch.column("label").to_numpy()
             for k, (a, b, share) in enumerate(blocks):
                 radius = np.sqrt(share)
                 x = turned[:, a : min(a + GRID, b)]
@@ -97,7 +116,7 @@ def spread(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
                     rest = [batch.column(c).take(pa.array(own)) for c in names[3:]]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(own), k, dtype=np.int32)), pa.array(at_home), *rest], names=names)
 
-    return reps.mapInArrow(run, f"key long, block int, home boolean, rep long, label {kind['label']}, copies long, embedding {kind['embedding']}")
+    return reps.mapInArrow(run, f"key long, block int, home boolean, rep long, label long, copies long, embedding {kind['embedding']}")
 
 
 def _linked(group: pa.Table, block: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,8 +124,7 @@ def _linked(group: pa.Table, block: int, dim: int, cosine: float) -> tuple[np.nd
     linked, not within an earlier block's share, one at home here (the other too, or of the larger rep),
     and of different chunks if there are two."""
     blocks = _grid(dim, cosine)
-    x = _unit(_matrix(group.column("embedding").combine_chunks(), dim))
-    turned = x @ rotation(dim)
+    x, turn = _unit(_matrix(group.column("embedding").combine_chunks(), dim)), rotation(dim)
     rep, copies, chunk = (group.column(c).to_numpy() for c in ("rep", "copies", "chunk"))
     home = group.column("home").to_numpy(zero_copy_only=False)
     cross = group.column("left")[0] != group.column("right")[0]
@@ -115,7 +133,7 @@ def _linked(group: pa.Table, block: int, dim: int, cosine: float) -> tuple[np.nd
     a, b, share = blocks[block]
     for at in range(0, len(rep), _ROWS):
         own = slice(at, at + _ROWS)
-        found = _distances(turned[own, a:b], turned[:, a:b]) <= share
+        found = _within(x[own], x, turn[:, a:b], share)
         # Searched from the smaller rep, in its home cell.
         found &= home[own][:, None] & (rep[own][:, None] < rep[None, :])
         if cross:
@@ -125,7 +143,7 @@ def _linked(group: pa.Table, block: int, dim: int, cosine: float) -> tuple[np.nd
             continue
         sub = found[np.ix_(rows, columns)]
         for c, d, limit in blocks[:block]:
-            sub &= _distances(turned[own, c:d][rows], turned[columns, c:d]) > limit
+            sub &= ~_within(x[own][rows], x[columns], turn[:, c:d], limit)
         sub &= x[own][rows] @ x[columns].T >= cosine
         n[rows + at] += sub @ copies[columns]
         n[columns] += sub.T @ copies[rows + at]
@@ -137,8 +155,9 @@ def _linked(group: pa.Table, block: int, dim: int, cosine: float) -> tuple[np.nd
 
 
 def links(reps: DataFrame, dim: int, cosine: float = COSINE) -> DataFrame:
-    """For representatives (rep, label, copies, embedding): (rep, n, to).  Rows of a rep add up in n to the
-    copies of the others that it is linked with; its edges to `to` connect just what the links connect."""
+    """For representatives (rep, label, copies, embedding), rep and label longs: (rep, n, to).  Rows of a rep
+    add up in n to the copies of the others that it is linked with; its edges to `to` connect just what the
+    links connect."""
     small_batches(reps.sparkSession, 1000)
     carry = ["block", "home", "rep", "label", "copies", "embedding"]
     pieces = bucket_pieces(spread(reps, dim, cosine), "key", F.col("rep"), CHUNK, carry=carry)
@@ -163,20 +182,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     n_links counts the other rows that a row is linked with; component_id is the smallest vec_id reachable.
     Vectors that are null, empty or zero, or hold null or non-finite components, or have no label, link with
     nothing and are components of their own, as is a row with a null vec_id (component_id null).  Rows with
-    equal vectors and labels are compared once and linked with one another.  vec_id is the identity of a
-    vector: rows that share it are counted one by one but make one node.  Vectors of different lengths
-    raise an error.  Other columns are ignored."""
+    equal vectors and labels are compared once and linked with one another.  Vectors of different lengths
+    aren't linked.  Rows that share a vec_id are counted one by one, each by its own vector.  Labels may be of
+    any type that can be compared.  An empty table gives no rows.  Other columns are ignored."""
     slim = vectors.select("vec_id", "label", "embedding")
     # Minus zero equals zero.
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(dict(slim.dtypes)["embedding"][6:-1])).otherwise(x))
     good = valid(slim).where(F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)).withColumn("embedding", plain)
-    dim = dimension(good)
-    reps = stage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-reps")
-    found = stage(links(reps, dim, cosine), "vector-links")
+    # A representative has a number of its own, written with it: a vec_id may stand for several.
+    groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    reps = stage(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
+    slim_reps = reps.select("rep", F.xxhash64("label").alias("label"), "copies", "embedding")
+    found = None
+    for dim in dimensions(reps):
+        some = links(slim_reps.where(F.size("embedding") == dim), dim, cosine)
+        found = some if found is None else found.unionByName(some)
+    found = stage(found, "vector-links")
     connected = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     others = found.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "_rep")
     named = reps.join(others, F.col("rep") == F.col("_rep"), "left").join(connected, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = stage(named.select("label", "embedding", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-groups")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_component")
+    named = named.join(least, F.col("component") == F.col("_component")).select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "n_links", "component_id")
     met = good.join(named.hint("merge"), (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))).select("vec_id", "n_links", "component_id")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
     broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0)

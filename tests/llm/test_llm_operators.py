@@ -280,11 +280,26 @@ def test_vector_links(spark, monkeypatch, chunk):
 
 
 def test_vector_edges(spark):
-    assert vector_dedup.near_duplicates(vectors(spark, []).limit(0)).count() == 0
+    found = lambda df: sorted(str(tuple(r)) for r in vector_dedup.near_duplicates(df).collect())
+    assert found(vectors(spark, []).limit(0)) == []
     twice = vectors(spark, [(1, [1.0, 0.0], 0, 0, 0), (1, [1.0, 0.0], 0, 0, 0), (None, [1.0, 0.0], 0, 0, 0)])
-    assert sorted(map(str, vector_dedup.near_duplicates(twice).collect())) == sorted(map(str, [*vector_dedup.near_duplicates(twice).collect()]))
-    with pytest.raises(ValueError):
-        vector_dedup.near_duplicates(vectors(spark, [(1, [1.0], 0, 0, 0), (2, [1.0, 2.0], 0, 0, 0)]))
+    assert found(twice) == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, False)]))
+    # Two vectors of one vec_id, each with neighbours of its own.
+    shared = vectors(spark, [(1, [1.0, 0.0], 0, 0, 0), (1, [0.0, 1.0], 0, 0, 0), (2, [1.0, 0.01], 0, 0, 0), (3, [1.0, 0.02], 0, 0, 0), (4, [0.01, 1.0], 0, 0, 0)])
+    assert found(shared) == sorted(map(str, [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False)]))
+    lengths = vectors(spark, [(1, [1.0], 0, 0, 0), (2, [1.0, 0.0], 0, 0, 0), (3, [2.0], 0, 0, 0), (4, [1.0, 0.001], 1, 0, 0)])
+    assert found(lengths) == sorted(map(str, [(1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False), (4, 0, 4, True)]))
+    named = spark.createDataFrame([(5, "x", [1.0, 0.0]), (4, "x", [1.0, 0.0]), (3, "y", [1.0, 0.0]), (2, None, [1.0, 0.0])], "vec_id long, label string, embedding array<double>")
+    assert found(named) == sorted(map(str, [(5, 1, 4, False), (4, 1, 4, True), (3, 0, 3, True), (2, 0, 2, True)]))
+
+
+def test_pairs_at_the_edge_are_told_alike():
+    rng = np.random.default_rng(4)
+    x = vector_dedup._unit(rng.standard_normal((300, 16)))
+    turn = vector_dedup.rotation(16)[:, :8]
+    limit = float(vector_dedup._distances(x[:1] @ turn, x[7:8] @ turn)[0, 0])
+    answers = {bool(vector_dedup._within(x[:n], x[: n + 9], turn, limit)[0, 7]) for n in (1, 3, 17, 200)} | {bool(vector_dedup._within(x[7:8], x[:n], turn, limit)[0, 0]) for n in (1, 5, 300)}
+    assert len(answers) == 1
 
 
 @pytest.mark.parametrize(("blocks", "bins"), [((4096, 512), 256), ((16, 8), 4)])
