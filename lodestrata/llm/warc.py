@@ -38,16 +38,34 @@ def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, own: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 record as one gzip member without a time, with all headers made from its content; a
-    revisit holds the HTTP head only.  Ends with a zero byte."""
+def _urn(page_id: int | None, url: str | None, own: str) -> str:
+    name = hashlib.sha1(f"{page_id}|{url}|{own}".encode()).hexdigest()
+    return f"<urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-a{name[17:20]}-{name[20:32]}>"
+
+
+def _member(lines: list[str], block: bytes) -> bytes:
+    """A record as one gzip member without a time.  Ends with a zero byte."""
+    out = gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
+    # A member ends with the high byte of its length, a zero up to 16 MiB; beyond, an empty member follows.
+    return out if out.endswith(_END) else out + gzip.compress(b"", LEVEL, mtime=0)
+
+
+def information(file: str) -> bytes:
+    """The warcinfo record with which an archive opens."""
+    block = b"software: lodestrata\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_urn(None, file, 'warcinfo')}", f"WARC-Date: {DATE}", f"WARC-Filename: {file}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return _member(lines, block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, own: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """A WARC/1.1 record with all headers made from its content; a revisit, of the response for page refers_to
+    at refers_url, holds the HTTP head only."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
-    name = hashlib.sha1(f"{page_id}|{url}|{own}".encode()).hexdigest()
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-5{name[13:16]}-a{name[17:20]}-{name[20:32]}>",
+        f"WARC-Record-ID: {_urn(page_id, url, own)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_clean(url)}",
         f"WARC-Payload-Digest: sha1:{own}",
@@ -57,11 +75,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, own: str, refer
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    out = gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
-    # A member ends with the high byte of its length, a zero up to 16 MiB; beyond, an empty member follows.
-    return out if out.endswith(_END) else out + gzip.compress(b"", LEVEL, mtime=0)
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_urn(refers_to, refers_url, own)}",
+            f"WARC-Refers-To-Target-URI: {_clean(refers_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page-ID: {refers_to}",
+        ]
+    return _member([*lines, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"], block)
 
 
 def compressed(pages: DataFrame) -> DataFrame:
@@ -84,18 +105,18 @@ def compressed(pages: DataFrame) -> DataFrame:
 
 def plan(responses: DataFrame, least_bytes: int = 0) -> DataFrame:
     """One row per page: page_id, url, payload_digest, payload_bytes, response_bytes (compressed, as a
-    response), refers_to (null for responses)."""
+    response), refers_to and refers_url (null for responses)."""
     slim = responses.select("page_id", "url", "payload_digest", "payload_bytes", F.octet_length("response").cast("long").alias("response_bytes"))
     marked = stage(slim, "warc-digests")
-    firsts = marked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    firsts = firsts.select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "_first")
+    firsts = marked.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("_first"), F.min_by("url", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("_url"), F.count("*").alias("_n")).where("_n > 1")
+    firsts = firsts.select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "_first", "_url")
     out = marked.join(firsts.hint("merge"), (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return out.select(*marked.columns, F.when(again, F.col("_first")).alias("refers_to"))
+    return out.select(*marked.columns, F.when(again, F.col("_first")).alias("refers_to"), F.when(again, F.col("_url")).alias("refers_url"))
 
 
 def layout(planned: DataFrame, roll: int) -> DataFrame:
-    """(page_id, url, payload_digest, refers_to, file, place) of distinct records.
+    """(page_id, url, payload_digest, refers_to, refers_url, file, place) of distinct records.
 
     Records are range-sorted by page_id; `place` counts the compressed bytes before a record, over all
     partitions, and file is place // roll, so neither depends on where the partitions are cut."""
@@ -103,13 +124,13 @@ def layout(planned: DataFrame, roll: int) -> DataFrame:
 
     def size(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        for i, own, url, refers, n, response, copies in zip(*(batch.column(c).to_pylist() for c in (*keys, "refers_to", "payload_bytes", "response_bytes", "copies")), strict=True):
+        for i, own, url, refers, at, n, response, copies in zip(*(batch.column(c).to_pylist() for c in (*keys, "refers_to", "refers_url", "payload_bytes", "response_bytes", "copies")), strict=True):
             # The length of the payload is all that a revisit tells of it.
-            one = response if refers is None else len(record(i, url, bytes(n), own, refers))
+            one = response if refers is None else len(record(i, url, bytes(n), own, refers, at))
             out.append(one * copies)
         return [pa.array(out, pa.int64())]
 
-    distinct = planned.groupBy(*keys, "refers_to", "payload_bytes", "response_bytes").agg(F.count("*").alias("copies"))
+    distinct = planned.groupBy(*keys, "refers_to", "refers_url", "payload_bytes", "response_bytes").agg(F.count("*").alias("copies"))
     sized = with_columns(distinct, distinct.columns, "size long", size).drop("payload_bytes", "response_bytes", "copies")
     n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc_nulls_first(k) for k in keys]
@@ -119,7 +140,7 @@ def layout(planned: DataFrame, roll: int) -> DataFrame:
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     place = F.col("before") + F.sum("size").over(Window.partitionBy("part").orderBy(*order)) - F.col("size")
     out = cut.join(before, "part").withColumn("place", place)
-    return out.select(*keys, "refers_to", F.floor(F.col("place") / roll).alias("file"), "place")
+    return out.select(*keys, "refers_to", "refers_url", F.floor(F.col("place") / roll).alias("file"), "place")
 
 
 def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL) -> str:
@@ -137,17 +158,23 @@ def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL)
     placed = stage(layout(plan(whole, least_bytes), roll), "warc-layout")
 
     def final(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "response")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "refers_url", "response")), strict=True)
         # The writer ends every row with the zero byte that ends a record.
-        return [pa.array([(x if refers is None else record(i, url, bytes(n), own, refers))[:-1] for i, url, own, n, refers, x in rows], pa.binary())]
+        return [pa.array([(x if refers is None else record(i, url, bytes(n), own, refers, at))[:-1] for i, url, own, n, refers, at, x in rows], pa.binary())]
+
+    def opening(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([information(f"records-{x}")[:-1] for x in batch.column("file").to_pylist()], pa.binary())]
 
-    to = placed.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("payload_digest").alias("_digest"), "refers_to", "file", "place")
+    to = placed.select(F.col("page_id").alias("_id"), F.col("url").alias("_url"), F.col("payload_digest").alias("_digest"), "refers_to", "refers_url", "file", "place")
     met = whole.join(to.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("payload_digest") == F.col("_digest")))
-    columns = ["page_id", "url", "payload_digest", "payload_bytes", "refers_to", "file", "place"]
+    columns = ["page_id", "url", "payload_digest", "payload_bytes", "refers_to", "refers_url", "file", "place"]
     met = met.select(*columns, F.when(F.col("refers_to").isNull(), F.col("response")).alias("response"))
-    records = with_columns(met, [*columns, "response"], "record binary", final).select(F.format_string("%010d", "file").alias("file"), "place", "record")
+    named = F.format_string("%010d", "file").alias("file")
+    records = with_columns(met, [*columns, "response"], "record binary", final).select(named, "place", "record")
+    firsts = with_columns(placed.select(named).distinct().withColumn("place", F.lit(-1).cast("long")), ["file", "place"], "record binary", opening)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = records.repartition(n, "file").sortWithinPartitions("file", "place").select("file", F.col("record").cast("string").alias("value"))
+    # Files are few and large, so ranges deal them out more evenly than hashes.
+    dealt = records.unionByName(firsts).repartitionByRange(n, "file").sortWithinPartitions("file", "place").select("file", F.col("record").cast("string").alias("value"))
     temporary = f"{target}/_temporary-records"
     dealt.write.partitionBy("file").option("lineSep", _END.decode()).option("compression", "none").text(temporary)
     _commit(spark, temporary, target, roll)
@@ -203,8 +230,9 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
-    """One row per record of the archives in target: page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, payload (null for revisits).  Block and payload digests are checked."""
+    """One row per response or revisit of the archives in target: page_id, url, payload_bytes, payload_digest,
+    record_type, refers_to, payload (null for revisits).  Only files that the manifest lists are read, so a
+    write that wasn't committed can't be; block and payload digests are checked."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     fields = T.StructType.fromDDL(schema)
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -219,7 +247,9 @@ def read(spark: SparkSession, target: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content").to_pylist():
                 for headers, block in parse(content):
-                    own, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+                    if (kind := headers["warc-type"]) == "warcinfo":
+                        continue
+                    own = headers["warc-payload-digest"].removeprefix("sha1:")
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     if payload is not None and (digest(payload) != own or len(payload) != int(headers["x-payload-length"])):
                         raise ValueError(f"the payload of {headers.get('warc-record-id')} is damaged")
@@ -232,5 +262,8 @@ def read(spark: SparkSession, target: str) -> DataFrame:
         if rows:
             yield done()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(target)
-    return files.select("content").mapInArrow(run, fields)
+    manifest = json.loads(spark.read.text(f"{target}/manifest.json", wholetext=True).first().value)
+    paths = [f"{target}/{x['file']}" for x in manifest["files"]]
+    if not paths:
+        return spark.createDataFrame([], fields)
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, fields)

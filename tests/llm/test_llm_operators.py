@@ -708,6 +708,13 @@ def test_archives(spark, tmp_path):
     assert written[0] == written[1] and len(written[0]) > 1
     payload = {r.page_id: r.payload for r in warc.read(spark, target).where("payload is not null").collect()}
     assert bytes(payload[6]).decode() == "ü🙂" and len(payload[5]) == 200_000
+    records = [h for _, b in written[0] for h, _ in warc.parse(b)]
+    assert [h["warc-type"] for h in records].count("warcinfo") == len(written[0])
+    urns = {h["warc-record-id"]: h for h in records if h["warc-type"] == "response"}
+    revisits = [h for h in records if h["warc-type"] == "revisit"]
+    assert revisits and all(urns[h["warc-refers-to"]]["warc-target-uri"] == h["warc-refers-to-target-uri"] and urns[h["warc-refers-to"]]["x-page-id"] == h["x-refers-to-page-id"] for h in revisits)
+    (tmp_path / "w1" / "records-9999999999-000.warc.gz").write_bytes(written[0][0][1])  # of no manifest
+    assert warc.read(spark, target).count() == len(rows)
     target = warc.write(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read(spark, target).count() == 0
 
