@@ -7,7 +7,7 @@ import unicodedata
 
 _DASHES = dict.fromkeys(map(ord, "‐‑‒–—―−"), "-") | dict.fromkeys(map(ord, "‘’‚′"), "'") | dict.fromkeys(map(ord, "“”„″"), '"')
 #: Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = frozenset("no nos s ss sec art cl para reg sch ch pt vol p pp v cf e.g i.e etc mr mrs ms dr st ltd inc co".split())
+ABBREVIATIONS = frozenset("s ss art arts no nos cl cls reg regs sch para paras pt vol ch".split())
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that tell nothing of a law's identity.
-LAW_STOP_WORDS = ("act", "the", "of", "and", "law", "on", "for", "in", "to", "a", "no")
+LAW_STOP_WORDS = ("act", "acts", "the", "of", "and", "a", "an", "no", "pu")
 #: Words of amending instruments.
 AMENDMENT_WORDS = ("amendment", "amending", "amended", "amend")
 ACCENTED, PLAIN = "äçèéêíñóöüáâúîô", "aceeeinoouaauio"
@@ -48,14 +48,12 @@ def same_law(a: Column, b: Column) -> Column:
 
 
 def section_base(x: Column) -> Column:
-    """sch1cl8 for schedules, else the first number with up to two decimals and a letter suffix, upper-cased;
-    null for years (four digits from 1000) and without a number."""
-    low = F.lower(x)
-    schedule = F.regexp_extract(low, r"sch(?:edule)?\.?\s*([0-9]+)", 1)
-    clause = F.regexp_extract(low, r"(?:cl(?:ause)?|para(?:graph)?)\.?\s*([0-9]+)", 1)
-    number = F.upper(F.regexp_extract(x, r"([0-9]+(?:\.[0-9]{1,2})?[A-Za-z]{0,3})(?:[^A-Za-z0-9]|$)", 1))
-    number = F.when(number == "", F.upper(F.regexp_extract(x, r"([0-9]+(?:\.[0-9]{1,2})?)", 1))).otherwise(number)
-    plain = F.when((number == "") | number.rlike("^[0-9]{4,}$"), F.lit(None)).otherwise(number)
+    """sch1Acl8 for clauses of schedules and sch1A for schedules, else the first number with up to two decimal
+    parts and its letters, upper-cased; null for years (whole numbers from 1000) and without a number."""
+    schedule = F.regexp_extract(x, r"(?i)\bsch(?:edule)?\.?\s+([0-9]+[A-Z]*)", 1)
+    clause = F.regexp_extract(x, r"(?i)\bcl\.?\s+([0-9]+[A-Z]*)", 1)
+    number = F.upper(F.regexp_extract(x, r"(?i)([0-9]+(?:\.[0-9]+){0,2}[A-Z]*)", 1))
+    plain = F.when((number == "") | number.rlike("^0*[1-9][0-9]{3,}$"), F.lit(None)).otherwise(number)
     return F.when(schedule != "", F.concat(F.lit("sch"), schedule, F.when(clause != "", F.concat(F.lit("cl"), clause)).otherwise(""))).otherwise(plain)
 
 
@@ -66,15 +64,15 @@ def base_ref(x: Column) -> Column:
 
 def section_matches(wanted: Column, found: Column) -> Column:
     """Equal, a child by '.', or any clause of a wanted whole schedule."""
-    schedule = wanted.rlike("^sch[0-9]+$") & F.startswith(found, F.concat(wanted, F.lit("cl")))
+    schedule = wanted.rlike("^sch") & ~F.contains(wanted, F.lit("cl")) & F.startswith(found, F.concat(wanted, F.lit("cl")))
     return (wanted == found) | F.startswith(found, F.concat(wanted, F.lit("."))) | schedule
 
 
 def section_ancestors(x: Column) -> Column:
     """A section and everything that would match it as a wanted section, for equality joins."""
-    parent = F.regexp_extract(x, r"^([0-9]+)\.", 1)
-    schedule = F.regexp_extract(x, r"^(sch[0-9]+)cl", 1)
-    return F.filter(F.array_distinct(F.array(x, parent, schedule)), lambda y: y.isNotNull() & (y != ""))
+    parent, upper = F.regexp_extract(x, r"^([0-9]+)\.", 1), F.regexp_extract(x, r"^([0-9]+\.[0-9]+)\.", 1)
+    schedule = F.regexp_extract(x, r"^(sch[0-9]+[A-Za-z]*?)cl", 1)
+    return F.filter(F.array_distinct(F.array(x, parent, upper, schedule)), lambda y: y.isNotNull() & (y != ""))
 
 
 def section_key(x: Column) -> Column:
@@ -143,6 +141,17 @@ def open_ending(x: Column) -> Column:
     return F.when(end.rlike(r"[:—-]$"), "FAIL_OPEN_LIST").when(F.lower(end).rlike(r"(^|[^a-z])(and|or|but|if|unless|where|the|of|to)[,;]?$"), "FAIL_DANGLING_CONNECTOR")
 
 
+def error_rates(reading: Column, truth: Column) -> dict[str, Column]:
+    """Edits of a reading by characters and by words, and the truth's characters and words.
+
+    Words are numbered within a pair and stand as one character each, so that both distances are Levenshtein's."""
+    split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    every = F.array_distinct(F.concat(split(reading), split(truth)))
+    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 0x4E00), 4, "0")), "UTF-16BE")
+    coded = lambda x: F.array_join(F.transform(split(x), sign), "")
+    return {"char_edits": F.levenshtein(reading, truth), "chars": F.length(truth), "word_edits": F.levenshtein(coded(reading), coded(truth)), "words": F.size(split(truth))}
+
+
 #: Legal functions, of which a text has the first that matches.
 LEGAL_FUNCTIONS = (("prohibition", r"(shall not|must not|prohibit|may not)"), ("consent", r"consent"), ("exception", r"(except|unless|exempt)"), ("obligation", r"(shall|must|required)"), ("definition", r"(means|includes)"))
 
@@ -202,7 +211,8 @@ def markdown_urls(x: Column) -> Column:
 
 
 def citation_tier(x: Column) -> Column:
-    return F.when(F.contains(x, F.lit("(")), "pinpoint").otherwise("section")
+    """Citations of a part of a section carry the higher risk of being invented."""
+    return F.when(F.contains(x, F.lit("(")), "[verify-pinpoint]").otherwise("[verify]")
 
 
 def usable_unit(x: Column, least: int = 30, most: int = 20_000) -> Column:

@@ -25,8 +25,11 @@ def media_suffix(url: Column, content_type: Column) -> Column:
 
 
 def blocked(status: Column, body: Column) -> Column:
-    """Whether a fetch met a block: its status, a captcha early on, or hardly any content."""
-    return status.isin(403, 429, 503) | F.lower(F.substring(body, 1, 4000)).rlike("(captcha|verify you are human)") | (F.length(body) < 2000)
+    """Whether a fetch met a block: its status or, of one that went well, a challenge early on or hardly any
+    content; no body counts as an empty one."""
+    body = F.coalesce(body, F.lit(""))
+    challenge = F.lower(F.substring(body, 1, 4000)).rlike("(captcha|are you a robot)") | (F.octet_length(body) < 2000)
+    return F.coalesce(status.isin(403, 429, 503) | ((status == 200) & challenge), F.lit(False))
 
 
 def legal_status(text: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import collapse, extract_refs, parse_date
+from lodestrata.functions.text import collapse, parse_date
 
 
 def g1_contained(snippet: Column, source: Column) -> Column:
@@ -14,9 +14,11 @@ def g1_contained(snippet: Column, source: Column) -> Column:
 
 
 def g2_location(location: Column, base: Column) -> Column:
-    """Anchors must hold the section; page and volume references are accepted; anything else warns."""
-    anchor = location.rlike("#(pr|sc)")
-    return F.when(anchor & F.contains(location, base), "PASS").when(anchor, "FAIL").when(location.rlike("(?i)(page|vol)"), "PASS").otherwise("WARN")
+    """A location that begins with an anchor must hold the section's base; page and volume references are
+    accepted; anything else warns.  A section without a base fails an anchor."""
+    place, base = F.lower(F.coalesce(location, F.lit(""))), F.lower(F.coalesce(base, F.lit("")))
+    held = (base != "") & F.contains(place, base)
+    return F.when(place.rlike("^#(pr|sc)"), F.when(held, "PASS").otherwise("FAIL")).when(place.rlike("page|vol"), "PASS").otherwise("WARN")
 
 
 def g3_authority(matched: Column) -> Column:
@@ -33,15 +35,93 @@ def g5_exceptions(indicator: Column, snippet: Column, text: Column, words: str)
     return F.when(hidden & (indicator == "P6-I1"), "FAIL").when(hidden, "WARN").otherwise("PASS")
 
 
-def g6_modality(rationale: Column, text: Column) -> Column:
-    claims = F.lower(rationale).rlike("(mandat|requir|oblig)")
-    return F.when(claims & ~F.lower(text).rlike("(must|shall)"), "WARN").otherwise("PASS")
+#: Claims of a rationale, what supports them, and how much of a text is read for it.
+CLAIMS = r"prohibit|require|mandate|must|ban"
+SUPPORT = r"\bmust\b|\bshall\b|is required|are required|\bmay not\b"
+SUPPORT_REACH = 1500
+
+
+def g6_modality(rationale: Column, snippet: Column, text: Column) -> Column:
+    """A rationale that claims a duty or a ban needs words of one in the snippet or the text's beginning."""
+    blob = F.lower(F.concat_ws(" ", snippet, F.substring(text, 1, SUPPORT_REACH)))
+    claims = F.lower(F.coalesce(rationale, F.lit(""))).rlike(CLAIMS)
+    return F.when(claims & ~blob.rlike(SUPPORT), "WARN").otherwise("PASS")
+
+
+#: The lexical tests of what an indicator asks of a provision, and how much of a text they read.
+FIT_REACH = 2000
+FIT = {
+    "abroad": r"outside|abroad|cross[- ]border|foreign|another country|other countr|place outside|out of",
+    "transfer": r"transfer|transmit|send|disclos\w+ to .{0,40}(outside|abroad|foreign)",
+    "retain": r"retain|keep|preserve|maintain|stor\w+|\bhold\b",
+    "duration": r"(year|month|day|week)s?",
+    "records": r"record|data|document|book|information|register",
+    "infrastructure": r"server|data cent(?:re|er)|comput(?:er|ing) (?:system|facility)|infrastructure|facility",
+    "domestic": r"\b(?:local|domestic(?:ally)?)\b|\b(?:located|established|maintained|hosted)\b.{0,35}\b(?:in|within)\b(?!\s+(?:another|other|foreign))|\b(?:server|data cent(?:re|er)|facility|infrastructure)\b.{0,35}\b(?:in|within)\b(?!\s+(?:another|other|foreign))",
+    "kept_out": r"(?s)\b(?:must not|shall not|may not|prohibit(?:s|ed)?)\b.{0,120}\b(?:hold|take|store|process|handle)\b.{0,80}\boutside\b.{0,40}\b(?:australia|malaysia|singapore|the country|the jurisdiction)\b",
+    "ban": r"\b(?:must not|shall not|may not|is prohibited|are prohibited|prohibit(?:s|ed)?)\b",
+    "condition": r"\b(?:if|unless|only if|consent|adequacy|adequate|approval|condition|safeguard|contract|except|subject to|in accordance with|prescribed|standard of protection)\b",
+    "service_condition": r"\b(?:condition|precondition)\b",
+    "duty": r"\b(?:must|shall|required to|not less than|at least|minimum(?: period)? of)\b",
+    "ceiling": r"\b(?:need only|may (?:retain|keep)|up to|not more than|no longer than|maximum(?: period)? of)\b",
+    "licence": r"licen[cs]e|permit",
+    "data": r"record|data",
+    "judicial": r"court order|order of (?:a|the) court|judge|magistrate|judicial|(?:warrant.{0,100}(?:issued|granted|authori[sz]ed) by .{0,30}(?:court|judge|magistrate))",
+    "without_judicial": r"\b(?:without|no need for|does not require|not required to obtain)\b.{0,35}\b(?:warrant|court order|judicial authori[sz]ation)\b|\bwarrantless\b",
+    "government": r"\b(?:police|law[- ]enforcement|security agency|intelligence agency|authori[sz]ed officer|commissioner|director[- ]general|attorney[- ]general|minister|inspector|magistrate|prosecutor|government|public authority|agency)\b",
+    "access": r"\b(?:access|intercept\w*|search|seiz\w*|obtain|inspect|copy|produce|give|provide|disclos\w*|warrant|enter)\b",
+    "object": r"\b(?:personal data|data|information|document|record|communication\w*|computer|device|account|book)\b",
+}
+
+
+def g7_fit(indicator: Column, snippet: Column, text: Column, law: Column) -> Column:
+    """Whether a provision says what its indicator asks for.  Bills always fail; then, for each indicator, the
+    first rule that applies decides, and what no rule stops passes."""
+    snippet = F.lower(F.coalesce(snippet, F.lit("")))
+    blob = F.concat_ws(" ", snippet, F.lower(F.substring(F.coalesce(text, F.lit("")), 1, FIT_REACH)))
+    has = {name: blob.rlike(pattern) for name, pattern in FIT.items()}
+    stays = (has["retain"] & has["records"] & has["domestic"] & has["duty"]) | (has["records"] & has["kept_out"])
+    hosted = has["infrastructure"] & has["domestic"] & (has["duty"] | has["service_condition"])
+    powers = has["government"] & has["access"] & has["object"]
+    permit_only = snippet.rlike(FIT["licence"]) & ~snippet.rlike(FIT["data"])
+    rules = (
+        (("P6-I1", "P6-I4"), ~(has["abroad"] & has["transfer"]), "FAIL"),
+        (("P6-I1",), ~has["ban"], "FAIL"),
+        (("P6-I2",), ~stays, "FAIL"),
+        (("P6-I3",), ~hosted, "FAIL"),
+        (("P6-I4",), ~has["condition"], "FAIL"),
+        (("P7-I3",), ~(has["retain"] & has["records"] & has["duty"]) | permit_only | has["ceiling"], "FAIL"),
+        (("P7-I3",), ~has["duration"], "WARN"),
+        (("P7-I5",), ~powers, "FAIL"),
+        (("P7-I5",), has["judicial"] & ~has["without_judicial"], "WARN"),
+    )
+    draft = F.array_contains(F.split(F.regexp_replace(F.lower(F.coalesce(law, F.lit(""))), "[^a-z ]", " "), " +"), "bill")
+    out = F.when(draft, "FAIL")
+    for indicators, stopped, verdict in rules:
+        out = out.when(indicator.isin(*indicators) & stopped, verdict)
+    return out.otherwise("PASS")
+
+
+#: A reference to a section, with the other act that it may name, and how much of a text is read.
+CROSS_REFERENCE = r"(?i)section\s+(\d{1,3}[A-Z]{0,2})(?:\s+of\s+(?:the\s+)?([A-Z][\w() ]{4,60}?(?:Act|Code|Regulations)[\w ]{0,12}))?"
+REFERENCE_REACH = 3000
+
+
+def g8_lost(text: Column, sections: Column) -> Column:
+    """The sections of the same act that the text's beginning refers to and `sections` (bases, upper-cased)
+    lacks, each once and sorted; none if no section is known."""
+    near = F.substring(F.coalesce(text, F.lit("")), 1, REFERENCE_REACH)
+    base, act = (F.regexp_extract_all(near, F.lit(CROSS_REFERENCE), F.lit(k)) for k in (1, 2))
+    met = F.arrays_zip(base.alias("base"), act.alias("act"))
+    # "of this Act" names no other one.
+    same = F.filter(met, lambda x: (x["act"] == "") | F.lower(F.trim(x["act"])).rlike("^(this |that |the said)"))
+    known = F.coalesce(sections, F.array().cast("array<string>"))
+    lost = F.array_except(F.transform(same, lambda x: F.upper(x["base"])), known)
+    return F.when(F.size(known) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(lost))
 
 
 def g8_dangling(text: Column, sections: Column) -> Column:
-    """References of the first 3000 characters to sections that the act lacks; passes when none is known."""
-    lost = F.array_except(extract_refs(F.substring(text, 1, 3000)), sections)
-    return F.when(F.coalesce(F.size(sections), F.lit(0)) <= 0, "PASS").when(F.size(lost) > 0, "WARN").otherwise("PASS")
+    return F.when(F.size(g8_lost(text, sections)) > 0, "WARN").otherwise("PASS")
 
 
 def overall(*gates: Column) -> Column:

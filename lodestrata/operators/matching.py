@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import law_tokens, same_law, section_ancestors
+from lodestrata.functions.text import family, law_tokens, same_law, section_ancestors
 
 
 def law_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left, right) of distinct names (column law) of both sides that mean one law.
 
-    A pair shares a token, so candidates come from an equality join on tokens, the pairwise test from them."""
+    One side's tokens, or its family's, lie within the other's, so the other has the rarest of them: candidates
+    come from an equality join of the rarest tokens of either side with all tokens of the other, which no
+    common word can swell."""
     sides = [df.select("law").distinct().withColumn("tokens", law_tokens(F.col("law"))) for df in (left, right)]
-    a = sides[0].select(F.col("law").alias("left"), F.col("tokens").alias("lt"), F.explode("tokens").alias("t"))
-    b = sides[1].select(F.col("law").alias("right"), F.col("tokens").alias("rt"), F.explode("tokens").alias("u"))
-    met = a.join(b, F.col("t") == F.col("u")).where(same_law(F.col("lt"), F.col("rt")))
-    return met.select("left", "right").distinct()
+    every = [side.select("law", "tokens", F.explode("tokens").alias("t")) for side in sides]
+    often = every[0].select("t").unionByName(every[1].select("t")).groupBy("t").agg(F.count("*").alias("n")).withColumnRenamed("t", "_t")
+
+    def rarest(side: DataFrame) -> DataFrame:
+        met = side.join(often, F.col("t") == F.col("_t"))
+        at = F.struct("n", "t")
+        kin = F.array_contains(family(F.col("tokens")), F.col("t"))
+        found = met.groupBy("law").agg(F.first("tokens").alias("tokens"), F.min(at).alias("one"), F.min(F.when(kin, at)).alias("two"))
+        return found.select("law", "tokens", F.explode(F.array_distinct(F.array("one.t", "two.t"))).alias("t"))
+
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = (df.select(F.col("law").alias(f"{n}"), F.col("tokens").alias(f"{n}t"), F.col("t").alias(f"{n}u")) for df, n in ((a, "left"), (b, "right")))
+        return a.join(b, F.col("leftu") == F.col("rightu")).where(same_law(F.col("leftt"), F.col("rightt"))).select("left", "right")
+
+    return meet(rarest(every[0]), every[1]).unionByName(meet(every[0], rarest(every[1]))).distinct()
 
 
 def section_hits(wanted: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:

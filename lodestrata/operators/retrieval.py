@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import words
+from lodestrata.functions.text import plain_letters
 
 #: Fixed values of the retrieval legs.
 PHRASE_SCORE, LEG_LIMIT, DENSE_FLOOR, UNION_CAP = 10.0, 40, 0.25, 400
@@ -60,30 +62,104 @@ def exact_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return out.withColumn("sparse", F.lit(PHRASE_SCORE))
 
 
-def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, allowed=None) -> DataFrame:
+#: Scores that are held at once, texts of a batch times queries.
+_SCORES = 1 << 22
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, allowed: Column | None = None) -> DataFrame:
     """(query_id, item_id, sparse, rank): Okapi BM25 of any query term (query_id, term); idf has a floor.
 
-    Corpus statistics cover all texts; `allowed` limits what is ranked, before the limit."""
-    every = texts.select("item_id", words(F.col("text")).alias("w"), *([] if allowed is None else [allowed.alias("_ok")]))
-    stats = every.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-    n, avgdl = stats.n, stats.avgdl or 1.0
-    terms = queries.select("query_id", "term").distinct()
-    wanted = terms.select("term").distinct()
-    tokens = every.select("item_id", F.size("w").alias("dl"), *([] if allowed is None else ["_ok"]), F.explode("w").alias("t"))
-    hits = tokens.join(wanted, F.col("t") == F.col("term"), "left_semi")
-    tf = hits.groupBy("item_id", "dl", "t", *([] if allowed is None else ["_ok"])).agg(F.count("*").alias("f"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.select(F.col("t").alias("_t"), F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    if allowed is not None:
-        tf = tf.where("_ok")
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = tf.join(weight, F.col("t") == F.col("_t")).join(terms, F.col("t") == F.col("term"))
-    scored = scored.groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("sparse"))
+    Corpus statistics cover all texts; `allowed` limits what is ranked, before the limit.  Packs of queries
+    are scored against every batch of texts, and a task hands on its own best `limit` of each query, so no
+    row is made for a query and a text that doesn't rank.  The document frequencies that are gathered are
+    those of a pack's terms.  Without a limit all scores come, unranked."""
+    spark, out = texts.sparkSession, None
+    ok = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
+    plain = texts.select("item_id", plain_letters(F.col("text")).alias("text"), ok.alias("ok"))
+    kind = dict(plain.dtypes)["item_id"]
+    for rows in _packs(queries.select("query_id", "term").distinct(), "octet_length(term)", "query_id"):
+        ids = sorted({r.query_id for r in rows})
+        terms = {t: k for k, t in enumerate(sorted({r.term for r in rows}))}
+        at = {q: k for k, q in enumerate(ids)}
+        pairs = np.array(sorted((terms[r.term], at[r.query_id]) for r in rows), dtype=np.int64).reshape(-1, 2)
+        sent = spark.sparkContext.broadcast((ids, terms, pairs))
+
+        def found(batch: pa.RecordBatch, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The lengths of texts (-1 for null) and, text by text, the terms that they hold and how often."""
+            length, row, term, n = np.full(batch.num_rows, -1), [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                if text is not None:
+                    words = _WORD.findall(text)
+                    length[k] = len(words)
+                    own = Counter(w for w in words if w in terms)
+                    row += [k] * len(own)
+                    term += [terms[w] for w in own]
+                    n += own.values()
+            return length, *(np.array(x, dtype=np.int64) for x in (row, term, n))
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            _, terms, _ = sent.value
+            df, texts_, words_, known = np.zeros(len(terms), dtype=np.int64), 0, 0, 0
+            for batch in batches:
+                length, _, term, _ = found(batch, terms)
+                np.add.at(df, term, 1)
+                texts_, words_, known = texts_ + len(length), words_ + int(length[length >= 0].sum()), known + int((length >= 0).sum())
+            own = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([-3, -2, -1, *own.tolist()], pa.int64()), pa.array([known, words_, texts_, *df[own].tolist()], pa.int64())], names=["term", "n"])
+
+        counts = {r.term: r.n for r in plain.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n, mean = counts.get(-1, 0), counts.get(-2, 0) / max(counts.get(-3, 0), 1) or 1.0
+        df = np.array([counts.get(k, 0) for k in range(len(terms))], dtype=np.float64)
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        weights = spark.sparkContext.broadcast(np.where(idf > 0, idf, LEAST_IDF))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent, weights=weights, mean=mean) -> Iterator[pa.RecordBatch]:
+            ids, terms, pairs = sent.value
+            starts = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+            best: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+            held = 0
+
+            def cut(parts: list) -> list:
+                query, item, got = np.concatenate([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+                order = np.lexsort((item.to_numpy(zero_copy_only=False), -got, query))
+                first = np.searchsorted(query[order], query[order])
+                order = order[np.arange(len(order)) - first < limit] if limit else order
+                return [(query[order], item.take(pa.array(order)), got[order])]
+
+            rows_ = max(1, _SCORES // max(len(ids), 1))
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows_):
+                    batch = whole.slice(at, rows_).filter(whole.slice(at, rows_).column("ok"))
+                    length, row, term, f = found(batch, terms)
+                    part = weights.value[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * length[row] / mean))
+                    many = starts[term + 1] - starts[term]
+                    to = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    scores = np.zeros((batch.num_rows, len(ids)))
+                    np.add.at(scores, (np.repeat(row, many), pairs[to, 1]), np.repeat(part, many))
+                    text, query = np.nonzero(scores)
+                    best += cut([(query, batch.column("item_id").take(pa.array(text)), np.round(scores[text, query], 6))])
+                    held += len(best[-1][0])
+                    if limit is None or held > 4 * limit * len(ids):
+                        if limit is None:
+                            yield from told(best, ids)
+                            best = []
+                        else:
+                            best = cut(best)
+                        held = sum(len(b[0]) for b in best)
+            if best:
+                yield from told(cut(best), ids)
+
+        def told(best: list, ids: list) -> Iterator[pa.RecordBatch]:
+            for query, item, got in best:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in query.tolist()], pa.int64()), item, pa.array(got)], names=["query_id", "item_id", "sparse"])
+
+        part = plain.mapInArrow(score, f"query_id long, item_id {kind}, sparse double")
+        out = part if out is None else out.unionByName(part)
     if limit is None:
-        return scored
+        return out
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sparse"), "item_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, floor: float = DENSE_FLOOR) -> DataFrame:

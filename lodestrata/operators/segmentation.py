@@ -28,10 +28,15 @@ def segments(rows: DataFrame, by: list[str], order: str, text: str, is_heading:
     return out.withColumn("body", F.array_join(F.transform("_p", lambda p: p[text]), "\n")).drop("_p")
 
 
+#: The parts of a page, from its top, where headers end and footers begin.
+HEADER, FOOTER = 0.15, 0.74
+
+
 def repeated_furniture(lines: DataFrame, share: float = 0.3) -> DataFrame:
-    """(doc_id, print, pages) of lines(doc_id, page, line) that occur on at least max(2, ceil(share * pages))
-    of a document's pages."""
-    marked = lines.withColumn("print", furniture_print(F.col("line"))).where("print <> ''")
+    """(doc_id, print, pages) of lines(doc_id, page, place, line) at the top or the bottom of a page (place
+    goes from 0 to 1) that occur on at least max(2, ceil(share * pages)) of a document's pages."""
+    edge = (F.col("place") <= HEADER) | (F.col("place") >= FOOTER)
+    marked = lines.where(edge).withColumn("print", furniture_print(F.col("line"))).where("print <> ''")
     total = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.countDistinct("page").alias("total"))
     often = marked.groupBy("doc_id", "print").agg(F.countDistinct("page").alias("pages"))
     met = often.join(total, F.col("doc_id") == F.col("_doc"))

@@ -102,7 +102,7 @@ def component_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usable_units(spark: SparkSession, d: str) -> DataFrame:
-    unit = X.usable_unit(F.col("line"), 30, 100)
+    unit = X.usable_unit(F.col("line"))
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(unit.isNotNull()).groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.length(unit)).alias("chars"))
 
@@ -110,7 +110,7 @@ def usable_units(spark: SparkSession, d: str) -> DataFrame:
 _COMPONENT = "select '{0}' role, count(*) filter (regexp_matches(lower(text), '(^|[^a-z]){1}')) docs from documents"
 
 QUERIES = {
-    "citation_paths": (citation_paths, "with n as (select o_orderkey, (o_orderkey % 90 + 1)::varchar || 'A' b, '(' || (o_orderkey % 4 + 1)::varchar || ')' p from orders) select o_orderkey, b || '|' || b || p || '|' || b || p || '(b)' path, case when o_orderkey % 2 = 0 then 'pinpoint' else 'section' end tier from n"),
+    "citation_paths": (citation_paths, "with n as (select o_orderkey, (o_orderkey % 90 + 1)::varchar || 'A' b, '(' || (o_orderkey % 4 + 1)::varchar || ')' p from orders) select o_orderkey, b || '|' || b || p || '|' || b || p || '(b)' path, case when o_orderkey % 2 = 0 then '[verify-pinpoint]' else '[verify]' end tier from n"),
     "citation_lists": (citation_lists, "with n as (select o_orderkey, 's' || (o_orderkey % 9)::varchar a, 's' || (o_orderkey % 7)::varchar || 'A' b from orders) select o_orderkey, a || ',' || b refs from n"),
     "indicator_codes": (indicator_codes, "select p_partkey, case when p_partkey % 3 = 0 then 'P' || (p_size % 7 + 1)::varchar || '-I' || (p_partkey % 5)::varchar end code, case when p_partkey % 4 = 0 then true when p_partkey % 2 = 0 then p_size % 3 > 0 else p_size % 3 < 2 end expected from part"),
     "split_cells": (split_cells, "select p_partkey, 0::int place, p_name act from part union all select p_partkey, 1, p_brand from part union all select p_partkey, 2, p_type from part"),
@@ -125,5 +125,5 @@ QUERIES = {
     "first_occurrences": (first_occurrences, "select user_id, event_type, min(event_id) event_id from events group by 1, 2"),
     "review_needed": (review_needed, "select 1 - l_discount * 3 < 0.8 or l_tax > 0.07 or l_quantity > 49 review, count(*) n from lineitem group by 1"),
     "component_counts": (component_counts, " union all ".join(_COMPONENT.format(role, pattern) for role, pattern in segmentation.COMPONENTS.items())),
-    "usable_units": (usable_units, "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) units, sum(length(substr(line,1,100)))::bigint chars from l where length(trim(line)) >= 30 group by 1"),
+    "usable_units": (usable_units, "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) units, sum(length(substr(line,1,20000)))::bigint chars from l where length(trim(line)) >= 30 group by 1"),
 }

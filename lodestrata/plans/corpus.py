@@ -24,12 +24,12 @@ def domain_whitelist(spark: SparkSession, d: str) -> DataFrame:
 
 def fetch_checks(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    status = F.when(F.col("page_id") % 13 == 0, 403).otherwise(200)
+    status = F.when(F.col("page_id") % 13 == 0, 403).when(F.col("page_id") % 11 == 0, 404).otherwise(200)
     return p.groupBy(corpus.blocked(status, F.col("html")).alias("blocked"), corpus.media_suffix(F.col("url"), F.when(F.col("page_id") % 5 == 0, "application/PDF")).alias("suffix")).agg(F.count("*").alias("n"))
 
 
 def status_cascade(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "In Force"), F.when(F.col("doc_id") % 5 == 0, "repealed by"), F.when(F.col("doc_id") % 7 == 0, "not yet commenced"), F.substring("text", 1, 20))
+    text = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "In Force"), F.when(F.col("doc_id") % 5 == 0, "repealed by"), F.when(F.col("doc_id") % 7 == 0, "not yet commenced"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in corpus.legal_status(text).items()))
 
 
@@ -84,7 +84,7 @@ def newest_version(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7 % 2001).alias("o_orderkey")).where("place < 800")
+    ids = table(spark, d, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7).alias("o_orderkey"))
     return corpus.ordered_lookup(ids, table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
 
 
@@ -172,8 +172,8 @@ _H = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^
 QUERIES = {
     "corpus_scan": (corpus_scan, "select doc_id, lang economy, true evidence_eligible, 'in_force' legal_status from documents where lang = 'de' and n_chars > 1000 and doc_id % 4 <> 0"),
     "domain_whitelist": (domain_whitelist, f"select distinct h as \"domain\" from (select {_H} h from pages) where h like '%.org' or h like 't%'"),
-    "fetch_checks": (fetch_checks, "select page_id % 13 = 0 or regexp_matches(lower(substr(html,1,4000)),'(captcha|verify you are human)') or length(html) < 2000 blocked, case when contains(lower(url),'.pdf') or page_id % 5 = 0 then '.pdf' when contains(lower(url),'.epub') then '.epub' else '.html' end suffix, count(*) n from pages group by 1, 2"),
-    "status_cascade": (status_cascade, "with t as (select doc_id, lower(concat_ws(' ', case when doc_id % 3 = 0 then 'In Force' end, case when doc_id % 5 = 0 then 'repealed by' end, case when doc_id % 7 = 0 then 'not yet commenced' end, substr(text,1,20))) t from documents), m as (select doc_id, contains(t,'repealed') a, regexp_matches(t,'not yet (commenced|in force)') b, contains(t,'superseded') c, regexp_matches(t,'(current version|in force)') d from t) select doc_id, case when a then 'repealed' when b then 'not_commenced' when c then 'superseded' when d then 'in_force' else 'unknown' end status, a::int+b::int+c::int+d::int > 1 conflict from m"),
+    "fetch_checks": (fetch_checks, "select page_id % 13 = 0 or page_id % 11 <> 0 and (regexp_matches(lower(substr(html,1,4000)),'(captcha|are you a robot)') or strlen(html) < 2000) blocked, case when contains(lower(url),'.pdf') or page_id % 5 = 0 then '.pdf' when contains(lower(url),'.epub') then '.epub' else '.html' end suffix, count(*) n from pages group by 1, 2"),
+    "status_cascade": (status_cascade, "with t as (select doc_id, lower(concat_ws(' ', case when doc_id % 3 = 0 then 'In Force' end, case when doc_id % 5 = 0 then 'repealed by' end, case when doc_id % 7 = 0 then 'not yet commenced' end, text)) t from documents), m as (select doc_id, contains(t,'repealed') a, regexp_matches(t,'not yet (commenced|in force)') b, contains(t,'superseded') c, regexp_matches(t,'(current version|in force)') d from t) select doc_id, case when a then 'repealed' when b then 'not_commenced' when c then 'superseded' when d then 'in_force' else 'unknown' end status, a::int+b::int+c::int+d::int > 1 conflict from m"),
     "page_routing": (page_routing, "with n as (select length(html) n, page_id % 4 = 0 i from pages) select case when n % 2000 < 25 and i then 'SCANNED' when n % 2000 < 25 then 'REVIEW' when n % 7 > 5 then 'REVIEW' when i and n % 50 < 3 then 'MIXED' when n % 300 > 250 or n % 10 > 8 then 'NATIVE_COMPLEX' else 'NATIVE_SIMPLE' end route, count(*) n from n group by 1"),
     "words_to_lines": (words_to_lines, "with w as (select doc_id, unnest(range(len(p))) k, unnest(p) word from (select doc_id, string_split(text,' ') p from documents)) select doc_id, (k // 12)::bigint block, min(k)::int place, sha256(string_agg(word,' ' order by k)) sha256 from w group by 1, 2"),
     "upsert_latest": (upsert_latest, "select o_custkey k, o_orderdate as \"version\", o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey % 2 desc, o_orderkey desc) = 1"),
@@ -182,7 +182,7 @@ QUERIES = {
     "build_pending": (build_pending, "select page_id from pages where sha256(html) not in (select sha256(html) from pages where page_id % 3 = 0)"),
     "expectations_unmet": (expectations_unmet, "with u as (select p_partkey law, substr(p_size::varchar,1,1) prefix from part) select prefix, count(*) n from u where not exists (select 1 from lineitem where l_partkey = law and starts_with(l_quantity::int::varchar, prefix)) group by 1"),
     "newest_version": (newest_version, "select o_custkey, o_totalprice, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1"),
-    "ordered_lookup": (ordered_lookup, "select o_orderkey, event_id place, o_orderstatus from events join orders on o_orderkey = event_id * 7 % 2001 where event_id < 800"),
+    "ordered_lookup": (ordered_lookup, "select o_orderkey, event_id place, o_orderstatus from events join orders on o_orderkey = event_id * 7"),
     "wildcard_approval": (wildcard_approval, "with r as (select o_orderkey id, case when o_orderstatus='P' then 1 when o_orderstatus='F' and o_orderpriority='1-URGENT' then 2 when o_orderpriority='5-LOW' then 3 when o_orderstatus='F' then 4 else 5 end::int \"rule\" from orders) select id, \"rule\", case \"rule\" when 1 then 'hold' when 2 then 'approve' when 3 then 'reject' when 4 then 'approve' else 'queue' end \"action\" from r"),
     "run_summary": (run_summary, "select l_suppkey, count(*) as \"rows\", count(*) filter (l_returnflag='N') as \"new\", count(*) filter (l_returnflag='R') known, string_agg(distinct 'm' || l_linenumber::varchar, ',' order by 'm' || l_linenumber::varchar) models from lineitem group by 1"),
     "first_gold_score": (first_gold_score, "select user_id, arg_min(trunc(value)::double, event_id) score from events where event_id % 3 <> 0 group by 1"),

@@ -46,7 +46,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_line_furniture(spark: SparkSession, d: str) -> DataFrame:
-    return segmentation.repeated_furniture(_lines(spark, d).withColumn("line", F.substring("line", 1, 12)))
+    """Pages are runs of three lines."""
+    lines = _lines(spark, d).select("doc_id", F.floor(F.col("page") / 3).alias("page"), (F.col("page") % 3 / 2).alias("place"), "line")
+    return segmentation.repeated_furniture(lines)
 
 
 def heading_carry_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +85,10 @@ def reference_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gate_location(spark: SparkSession, d: str) -> DataFrame:
-    base = F.regexp_extract("url", "/([0-9]+)[?]", 1)
-    place = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("#pr"), base, F.lit("-"))).when(F.col("page_id") % 3 == 1, F.lit("Page 4")).otherwise(F.lit("somewhere"))
-    return table(spark, d, "pages").select("page_id", gates.g2_location(place, F.substring(base, 1, 2)).alias("g2"))
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    place = F.when(k % 5 == 0, F.concat(F.lit("#PR"), n, F.lit("a-"))).when(k % 5 == 1, F.lit("Page 4")).when(k % 5 == 2, F.lit("see #pr9")).when(k % 5 == 3, F.lit("#sc7-"))
+    section = F.concat(F.lit("s. "), n, F.when(k % 2 == 0, F.lit("A(1)")).otherwise(F.lit("B")))
+    return table(spark, d, "pages").select("page_id", gates.g2_location(place, X.section_base(section)).alias("g2"))
 
 
 def gate_currentness(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +105,10 @@ def gate_exception_outside(spark: SparkSession, d: str) -> DataFrame:
 
 def gate_modality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", gates.g6_modality(F.when(F.length("text") % 2 == 0, "a requirement").otherwise("none"), F.col("text")).alias("g6"))
+    k = F.col("doc_id") % 7
+    claim = F.when(k < 2, "the law prohibits export").when(k < 4, "a requirement").when(k == 4, "storage is mandated").otherwise("none")
+    said = F.when(k == 0, "shallow mustard").when(k == 1, "Consent is Required").when(k == 2, "they May Not export").when(k == 3, "an operator may keep records")
+    return docs.select("doc_id", gates.g6_modality(claim, said, F.col("text")).alias("g6"))
 
 
 def gate_dangling_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +118,37 @@ def gate_dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     return graph.dangling(edges, part.where("p_size > 5").select(F.col("p_partkey").alias("node"))).groupBy("dst").agg(F.count("*").alias("n"))
 
 
+def gate_dangling(spark: SparkSession, d: str) -> DataFrame:
+    """Provisions that refer to their own act, to another one, and to sections that the act lacks."""
+    k = F.col("doc_id")
+    said = F.concat(F.lit("See section "), (k % 30).cast("string"), F.when(k % 3 == 0, F.lit(" of the Contracts Act.")).when(k % 3 == 1, F.lit(" of this Act.")).otherwise(F.lit("A.")), F.lit(" And Section "), (k % 7).cast("string"), F.lit(". "), F.col("text"))
+    sections = F.when(k % 5 > 0, F.transform(F.sequence(F.lit(1), F.lit(20)), lambda x: x.cast("string")))
+    return table(spark, d, "documents").select("doc_id", gates.g8_dangling(said, sections).alias("g8"), F.array_join(gates.g8_lost(said, sections), ",").alias("lost"))
+
+
+#: Provisions for the query of the seventh gate, which the documents don't hold by themselves.
+PROVISIONS = (
+    "An organisation must not transfer any personal data to a place outside the country except as prescribed.",
+    "An organisation may transfer personal data outside the country.",
+    "A company must retain every record for at least 5 years.",
+    "The Registrar need only keep a former name in the register for 5 years.",
+    "An employer shall keep the records of employees.",
+    "A provider must maintain its servers within the country as a condition of its licence.",
+    "An authorised officer may search computer data under a warrant issued by a magistrate.",
+    "The Attorney-General may issue a warrant authorising access to computer data.",
+    "Every register of documents must be kept at the local office.",
+)
+INDICATORS = ("P6-I1", "P6-I2", "P6-I3", "P6-I4", "P7-I3", "P7-I5", "P7-I1")
+
+
+def gate_fit(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    said = F.element_at(F.array(*map(F.lit, PROVISIONS)), (k % len(PROVISIONS) + 1).cast("int"))
+    indicator = F.element_at(F.array(*map(F.lit, INDICATORS)), (k % len(INDICATORS) + 1).cast("int"))
+    law = F.when(k % 11 == 0, "Data Bill 2024").otherwise("Data Billing Act")
+    return table(spark, d, "documents").select("doc_id", gates.g7_fit(indicator, said, F.col("text"), law).alias("g7"))
+
+
 def gate_overall(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     one = gates.g1_contained(F.substring("text", 5, 40), F.col("text"))
@@ -180,8 +217,8 @@ def graph_path_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_reference_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Links from the first 3000 characters of a page to pages whose path ends alike."""
-    refs = F.regexp_extract_all(F.substring("html", 1, 3000), F.lit('href="/([^"]*)"'), F.lit(1))
+    """Links of a page to pages whose host begins with the word they name."""
+    refs = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
     pages = table(spark, d, "pages")
     edges = pages.select(F.col("page_id").alias("src"), F.explode(F.array_distinct(refs)).alias("word"))
     host = pages.select(F.col("page_id").alias("dst"), F.element_at(F.split(X.url_host(F.col("url")), r"\."), 1).alias("_w"))
@@ -217,9 +254,13 @@ def unicode_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cer_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Character error rate of a text's first words against those of its line's repeat."""
-    a, b = F.substring("text", 1, 40), F.substring("text", 3, 40)
-    return table(spark, d, "documents").select("doc_id", F.round(F.levenshtein(a, b) / F.greatest(F.length(b), F.lit(1)), 4).alias("cer"))
+    """Character and word error rates of each text, line by line, against a reading of it that takes rn for m,
+    1 for l, and loses full stops."""
+    reading = F.translate(F.replace("line", F.lit("m"), F.lit("rn")), "l.", "1")
+    rates = X.error_rates(reading, F.col("line"))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", *(c.alias(k) for k, c in rates.items()))
+    share = lambda edits, of: F.round(F.sum(edits) / F.greatest(F.sum(of), F.lit(1)), 6)
+    return lines.groupBy("doc_id").agg(share("char_edits", "chars").alias("cer"), share("word_edits", "words").alias("wer"))
 
 
 def snippet_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -251,18 +292,23 @@ QUERIES = {
     "html_links": (html_links, "with l as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) href from pages) select href, count(distinct page_id) pages, count(*) n from l group by 1"),
     "url_host_official": (url_host_official, f"with p as (select page_id, {_HOST} h from pages), d as (select distinct regexp_replace(h,'^[^.]*\\.','') dom from (select h from p group by h having count(*) >= 2)) select page_id, h host, exists (select 1 from d where h = dom or ends_with(h, '.' || dom)) official, {_GOV} government from p"),
     "domain_frequency": (domain_frequency, f"with p as (select {_HOST} h from pages) select array_to_string(string_split(h,'.')[-2:], '.') \"domain\", {_GOV} government, count(*) n from p group by 1, 2"),
-    "repeated_line_furniture": (repeated_line_furniture, "with l as (select doc_id, unnest(range(len(p))) pg, unnest(p) line from (select doc_id, string_split(text, chr(10)) p from documents)), m as (select doc_id, pg, trim(regexp_replace(regexp_replace(lower(substr(line,1,12)),'[0-9]+','#','g'),'\\s+',' ','g')) print from l), t as (select doc_id, count(distinct pg) total from l group by 1) select m.doc_id, print, count(distinct pg) pages from m join t on t.doc_id = m.doc_id where print <> '' group by 1, 2, total having count(distinct pg) >= greatest(2, ceil(total*0.3))"),
+    "repeated_line_furniture": (repeated_line_furniture, "with l0 as (select doc_id, unnest(range(len(p))) k, unnest(p) line from (select doc_id, string_split(text, chr(10)) p from documents)), l as (select doc_id, k // 3 pg, k % 3 k, line from l0), m as (select doc_id, pg, trim(regexp_replace(regexp_replace(lower(line),'[0-9]+','#','g'),'\\s+',' ','g')) print from l where k <> 1), t as (select doc_id, count(distinct pg) total from l group by 1) select m.doc_id, print, count(distinct pg) pages from m join t on t.doc_id = m.doc_id where print <> '' group by 1, 2, total having count(distinct pg) >= greatest(2, ceil(total*0.3))"),
     "heading_carry_forward": (heading_carry_forward, "select conv_id, turn, last_value(case when role='user' then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) heading from conversations"),
     "segment_between_headings": (segment_between_headings, "with s as (select *, sum((role='user')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint segment from conversations) select conv_id, segment, min(turn) as \"first\", count(*) as \"rows\", sha256(string_agg(text, chr(10) order by turn)) body_sha from s group by 1, 2"),
     "span_offsets": (span_offsets, "select conv_id, turn, coalesce(s,0)::bigint as start, (coalesce(s,0)+length(text))::bigint as \"end\" from (select conv_id, turn, text, sum(length(text)+1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) s from conversations)"),
     "neighbour_repair": (neighbour_repair, "with r as (select conv_id, turn, floor(turn/4)::bigint number, case when turn % 3 = 1 then '' else chr((97 + turn % 20)::int) end suffix from conversations), w as (select *, lag(suffix) over x b, lead(suffix) over x a, lag(number) over x nb, lead(number) over x na from r window x as (partition by conv_id order by turn)) select conv_id, turn, number, suffix, case when suffix = '' and nb = number and na = number and b <> '' and a <> '' and unicode(a) - unicode(b) = 2 then chr(unicode(b)+1) else suffix end repaired from w"),
     "interval_span_bind": (interval_span_bind, "select o_orderpriority, count(*) n from orders join lineitem on o_orderkey = l_orderkey and l_shipdate between o_orderdate and o_orderdate + interval 30 days group by 1"),
     "reference_extract": (reference_extract, "select page_id, unnest(regexp_extract_all(lower(url), '/(en|fr|de|es)/([0-9]+)', 0)) path from pages"),
-    "gate_location": (gate_location, "with b as (select page_id, regexp_extract(url,'/([0-9]+)[?]',1) b from pages), p as (select page_id, substr(b,1,2) s, case page_id % 3 when 0 then '#pr' || b || '-' when 1 then 'Page 4' else 'somewhere' end p from b) select page_id, case when regexp_matches(p,'#(pr|sc)') and contains(p,s) then 'PASS' when regexp_matches(p,'#(pr|sc)') then 'FAIL' when regexp_matches(p,'(?i)(page|vol)') then 'PASS' else 'WARN' end g2 from p"),
+    "gate_location": (gate_location, "with p as (select page_id, page_id::varchar || case when page_id % 2 = 0 then 'a' else 'b' end b, coalesce(case page_id % 5 when 0 then '#pr' || page_id || 'a-' when 1 then 'page 4' when 2 then 'see #pr9' when 3 then '#sc7-' end, '') p from pages) select page_id, case when starts_with(p,'#pr') or starts_with(p,'#sc') then case when contains(p,b) then 'PASS' else 'FAIL' end when contains(p,'page') or contains(p,'vol') then 'PASS' else 'WARN' end g2 from p"),
     "gate_currentness": (gate_currentness, "select case when o_orderstatus = 'P' then 'WARN' when o_orderstatus <> 'F' then 'FAIL' when o_orderkey % 2 <> 0 then 'WARN' else 'PASS' end g4, count(*) n from orders group by 1"),
     "gate_exception_outside": (gate_exception_outside, f"with h as (select doc_id, lang, regexp_matches(lower(text),'{EXCEPTIONS}') and not regexp_matches(lower(substr(text,1,200)),'{EXCEPTIONS}') h from documents) select doc_id, case when h and lang='en' then 'FAIL' when h then 'WARN' else 'PASS' end g5 from h"),
-    "gate_modality": (gate_modality, "select doc_id, case when length(text) % 2 = 0 and not regexp_matches(lower(text),'(must|shall)') then 'WARN' else 'PASS' end g6 from documents"),
+    "gate_modality": (gate_modality, "select doc_id, case when doc_id % 7 in (0,3,4) and not regexp_matches(lower(substr(text,1,1500)),'\\bmust\\b|\\bshall\\b|is required|are required|\\bmay not\\b') then 'WARN' else 'PASS' end g6 from documents"),
     "gate_dangling_refs": (gate_dangling_refs, "select l_partkey dst, count(*) n from lineitem where l_partkey not in (select p_partkey from part where p_size > 5) group by 1"),
+    "gate_dangling": (
+        gate_dangling,
+        "with r as (select doc_id k, lower(substr('See section ' || (doc_id % 30) || case doc_id % 3 when 0 then ' of the Contracts Act.' when 1 then ' of this Act.' else 'A.' end || ' And Section ' || (doc_id % 7) || '. ' || text, 1, 3000)) t from documents), o as (select k, list_filter(list_distinct([case when k % 3 = 1 then (k % 30)::varchar when k % 3 = 2 then (k % 30) || 'A' end, (k % 7)::varchar] || list_transform(regexp_extract_all(substr(t, strpos(t, ' and section ') + 14), 'section\\s+(\\d{1,3}[a-z]{0,2})', 1), lambda x: upper(x))), lambda s: s is not null and not list_contains(list_transform(range(1, 21), lambda x: x::varchar), s)) l from (select k, t from r)) select k doc_id, case when k % 5 > 0 and len(l) > 0 then 'WARN' else 'PASS' end g8, case when k % 5 > 0 then array_to_string(list_sort(l), ',') else '' end lost from o",
+    ),
+    "gate_fit": (gate_fit, None),
     "gate_overall": (gate_overall, "with g as (select trim(substr(text,5,40)) <> '' and contains(trim(regexp_replace(lower(text),'\\s+',' ','g')), trim(regexp_replace(lower(substr(text,5,40)),'\\s+',' ','g'))) a, contains(lower(text),'license') b, lang from documents) select case when not a or lang='es' then 'FAIL' when b then 'WARN' else 'PASS' end overall, count(*) n from g group by 1"),
     "indicator_score": (indicator_score, "with r as (select source, bool_or(toxic=1 and n_chars>8000) h, count(*) filter (quality=0) real from documents join labels using (doc_id) group by 1), s as (select source, case when h then 1.0 when real > 0 then 0.5 else 0.0 end s from r) select source, (case when source like '%1' then 1.0 - s else s end)::double score from s"),
     "score_band": (score_band, "with v as (select doc_id, quality::double q, toxic::double t, (doc_id % 3 / 2.0)::double m, (doc_id % 2)::double o, case when doc_id % 5 <> 0 then quality::double end g from labels) select doc_id, least(o,q,t,m) low, greatest(o,q,t,m) high, greatest(o,q,t,m)-least(o,q,t,m) spread, abs(o-g) divergence, greatest(o,q,t,m)-least(o,q,t,m) >= 0.5 or coalesce(o<>g,false) review from v"),
@@ -274,7 +320,7 @@ QUERIES = {
     "revenue_by_month": (revenue_by_month, "select strftime(o_orderdate,'%Y-%m') as \"month\", round(sum(o_totalprice) filter (o_orderstatus='F'),2) f, round(sum(o_totalprice) filter (o_orderstatus='O'),2) o, round(sum(o_totalprice) filter (o_orderstatus='P'),2) p from orders where o_totalprice > 0 group by 1"),
     "graph_two_hop": (graph_two_hop, "with n as (select * from nation where n_regionkey = 0), c as (select * from customer where c_nationkey in (select n_nationkey from n)) select 0::int hop, 1::bigint nodes union all select 1, (select count(*) from n) union all select 2, (select count(*) from c) union all select -1, (select count(*) from n) + (select count(*) from c)"),
     "graph_path_match": (graph_path_match, "select c_nationkey a, o_orderpriority c, count(distinct c_custkey) paths from customer join orders on o_custkey = c_custkey group by 1, 2"),
-    "cross_reference_edges": (cross_reference_edges, f"with e as (select distinct page_id src, unnest(regexp_extract_all(substr(html,1,3000),'href=\"/([^\"]*)\"',1)) word from pages), h as (select page_id dst, string_split({_HOST},'.')[1] w from pages) select src, word, dst from e join h on word = w"),
+    "cross_reference_edges": (cross_reference_edges, f"with e as (select distinct page_id src, unnest(regexp_extract_all(html,'href=\"/([^\"]*)\"',1)) word from pages), h as (select page_id dst, string_split({_HOST},'.')[1] w from pages) select src, word, dst from e join h on word = w"),
     "json_props": (json_props, "select (props->>'$.k')::bigint k, event_type, count(*) n from events group by 1, 2"),
     "sliding_rate_limit": (sliding_rate_limit, "with e as (select event_id, user_id, epoch(date_trunc('second', ts))::bigint a from events), n as (select event_id, user_id, count(*) over (partition by user_id order by a range between 3600 preceding and current row) n from e) select event_id, user_id, n from n where n > 3"),
     "tumbling_counts": (tumbling_counts, "select strftime(ts,'%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value),4) total from events group by 1, 2"),

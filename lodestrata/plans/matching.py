@@ -27,7 +27,7 @@ def section_base_parse(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     number = (F.col("page_id") % 900 + 1).cast("string")
     ref = F.concat(F.lit("s. "), number, F.lit("A(1)"))
-    schedule = F.concat(F.lit("Schedule "), number, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" clause "), number)).otherwise(""))
+    schedule = F.concat(F.lit("Schedule "), number, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(", cl. "), number)).otherwise(""))
     return pages.select("page_id", X.section_base(ref).alias("base"), X.base_ref(ref).alias("ref"), X.section_base(schedule).alias("schedule"), X.section_base(F.concat(F.lit("Act "), F.lit(1990) + F.col("page_id") % 30)).alias("year"))
 
 
@@ -205,7 +205,7 @@ def coverage_complete(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "law_name_normalize": (law_name_normalize, "with p as (select p_partkey, p_name || ' and Part ' || p_brand \"name\", trim(regexp_replace(lower(p_name || ' pdpa part no 12 ' || p_brand), '[^a-z0-9 ]+', ' ', 'g')) plain from part) select p_partkey, trim(regexp_replace(\"name\", '\\s+', ' ', 'g')) \"name\", plain, array_to_string(list_sort(list_filter(list_distinct(string_split(plain, ' ')), lambda t: not list_contains(['act','the','of','and','law','on','for','in','to','a','no',''], t))), ' ') tokens from p"),
+    "law_name_normalize": (law_name_normalize, "with p as (select p_partkey, p_name || ' and Part ' || p_brand \"name\", trim(regexp_replace(lower(p_name || ' pdpa part no 12 ' || p_brand), '[^a-z0-9 ]+', ' ', 'g')) plain from part) select p_partkey, trim(regexp_replace(\"name\", '\\s+', ' ', 'g')) \"name\", plain, array_to_string(list_sort(list_filter(list_distinct(string_split(plain, ' ')), lambda t: not list_contains(['act','acts','the','of','and','a','an','no','pu',''], t))), ' ') tokens from p"),
     "law_identity_match": (law_identity_match, "select distinct p_type || ' Act' as \"left\", 'The ' || p_type || ' (Amendment) Law' as \"right\" from part"),
     "section_base_parse": (section_base_parse, "with n as (select page_id, (page_id % 900 + 1)::varchar n from pages) select page_id, n || 'A' base, 's. ' || n || 'a' \"ref\", 'sch' || n || case when page_id % 2 = 0 then 'cl' || n else '' end schedule, null::varchar as \"year\" from n"),
     "section_ladder_join": (section_ladder_join, "select p_brand brand, count(*) n, count(distinct p_partkey) sections from part join lineitem on l_partkey = p_partkey group by 1"),

@@ -87,7 +87,7 @@ def coverage_per_query(spark: SparkSession, d: str) -> DataFrame:
 def eligibility_reason(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     status = F.when(F.col("lang") == "en", "in_force").when(F.col("lang") == "fr", "repealed").when(F.col("lang") == "de", "in_force")
-    reason = gates.eligibility(F.col("source"), F.substring("text", 1, 200), status, tuple(f"src{k}" for k in range(18)), ("src4", "src5"))
+    reason = gates.eligibility(F.col("source"), F.substring_index("text", "\n", 1), status, tuple(f"src{k}" for k in range(18)), ("src4", "src5"))
     return docs.select("doc_id", reason.alias("reason"), (reason == "eligible").alias("eligible"))
 
 
@@ -109,10 +109,12 @@ def exact_duplicate_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """An order-independent hash per source: the hashed list of (id, hash of text) in the order of ids."""
-    docs = table(spark, d, "documents").select("source", F.struct("doc_id", content_hash(F.col("text")).alias("h")).alias("x"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["h"])), "\n")
-    return docs.groupBy("source").agg(F.sha2(lines, 256).alias("fingerprint"), F.count("*").alias("n"))
+    """An order-independent hash per source: two sums over the hashes of (id, hash of text), which partial
+    aggregation adds up without ever gathering a source."""
+    own = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), content_hash(F.col("text"))), 256)
+    docs = table(spark, d, "documents").select("source", own.alias("h"))
+    total = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return docs.groupBy("source").agg(F.concat_ws("-", total(1), total(16)).alias("fingerprint"), F.count("*").alias("n"))
 
 
 def embedding_cache_missing(spark: SparkSession, d: str) -> DataFrame:
@@ -139,12 +141,12 @@ QUERIES = {
     "coverage_per_query": (coverage_per_query, f"{_BM25} select b.item_id query_id, count(distinct leg.item_id) n from benchmark b left join leg on leg.query_id = b.item_id group by 1"),
     "eligibility_reason": (
         eligibility_reason,
-        "with s as (select doc_id, source, lower(substr(text,1,200)) name, case lang when 'en' then 'in_force' when 'fr' then 'repealed' when 'de' then 'in_force' end status from documents), r as (select doc_id, case when source in ('src4','src5') then 'source type ' || source when source <> 'treaty' and regexp_matches(name,'(agreement|convention)') then 'name of an agreement' when regexp_matches(name,'(draft|bill|proposal)') then 'name of a draft' when status is null or status <> 'in_force' then 'status ' || coalesce(status,'unknown') when source in ('src18','src19') then 'source type not allowed' else 'eligible' end reason from s) select doc_id, reason, reason = 'eligible' eligible from r",
+        "with s as (select doc_id, source, lower(string_split(text, chr(10))[1]) name, case lang when 'en' then 'in_force' when 'fr' then 'repealed' when 'de' then 'in_force' end status from documents), r as (select doc_id, case when source in ('src4','src5') then 'source type ' || source when source <> 'treaty' and regexp_matches(name,'(agreement|convention)') then 'name of an agreement' when regexp_matches(name,'(draft|bill|proposal)') then 'name of a draft' when status is null or status <> 'in_force' then 'status ' || coalesce(status,'unknown') when source in ('src18','src19') then 'source type not allowed' else 'eligible' end reason from s) select doc_id, reason, reason = 'eligible' eligible from r",
     ),
     "draft_watermark_docs": (draft_watermark_docs, "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) filter (regexp_matches(lower(line),'(^|[^a-z])(that|und|que)([^a-z]|$)')) marked, count(*) pages from l group by doc_id having marked >= 2 and marked >= 0.1 * pages"),
     "source_hash_identity": (source_hash_identity, "select doc_id, sha256(text) sha256, strlen(text)::bigint byte_length, doc_id::varchar || ':' || substr(sha256(text),1,16) cache_key from documents"),
     "exact_duplicate_docs": (exact_duplicate_docs, "select sha256(text) sha256, count(*) n, min(doc_id) first_id from documents group by 1 having count(*) > 1"),
-    "corpus_fingerprint": (corpus_fingerprint, "select source, sha256(string_agg(doc_id::varchar || ':' || sha256(text), chr(10) order by doc_id)) fingerprint, count(*) n from documents group by source"),
+    "corpus_fingerprint": (corpus_fingerprint, "with h as (select source, sha256(doc_id::varchar || ':' || sha256(text)) h from documents) select source, sum(('0x' || substr(h,1,15))::bigint)::varchar || '-' || sum(('0x' || substr(h,16,15))::bigint)::varchar fingerprint, count(*) n from h group by source"),
     "embedding_cache_missing": (embedding_cache_missing, "select doc_id item_id from documents where doc_id not in (select vec_id from embeddings)"),
     "generation_prune": (generation_prune, "select source, count(*) kept from documents where length(text) % 3 <> 0 and lang = 'en' group by source"),
 }

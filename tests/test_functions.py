@@ -11,8 +11,8 @@ def values(spark, column, given_):
 
 
 def test_section_base(spark):
-    got = values(spark, X.section_base, ["s. 26", "section 116b", "26.1", "Schedule 1 clause 8", "Act 1999", "none", None])
-    assert got == ["26", "116B", "26.1", "sch1cl8", None, None, None]
+    got = values(spark, X.section_base, ["s. 26", "section 116b", "26.1", "Schedule 1 cl. 8", "Act 1999", "none", None, "Sch 1A cl 2", "Schedule 2 para 4", "reschedule 3", "s. 474.17A(1)", "reg. 0999"])
+    assert got == ["26", "116B", "26.1", "sch1cl8", None, None, None, "sch1Acl2", "sch2", "3", "474.17A", "0999"]
 
 
 def test_law_identity(spark):

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import curation, graph, matching, retrieval, scoring, segmentation
+from lodestrata.functions import text as X
+from lodestrata.operators import corpus, curation, gates, graph, matching, retrieval, scoring, segmentation
 
 
 def test_bm25_prefers_rare_terms(spark):
@@ -66,3 +67,125 @@ def test_two_hops_on_a_cycle(spark):
 def test_section_ladder(spark, wanted, found, hit):
     one = spark.createDataFrame([(wanted,)], "section string")
     assert bool(matching.section_hits(one, spark.createDataFrame([(found,)], "section string"), []).count()) is hit
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_location_gate(spark):
+    cases = [("#pr26-", "26", "PASS"), ("#pr26-", "27", "FAIL"), ("page 42", "129", "PASS"), ("#PR12A", "12A", "PASS"), ("#pr12-", "", "FAIL"), ("#pr12-", None, "FAIL"), ("see #pr9", "9", "WARN"), (None, "9", "WARN"), ("Vol. 2", None, "PASS")]
+    for place, base, want in cases:
+        assert one(spark, gates.g2_location(F.lit(place), F.lit(base))) == want, (place, base)
+
+
+def test_modality_gate(spark):
+    cases = [("the law prohibits export", "no such word", "", "WARN"), ("a duty is required", "shallow mustard", "", "WARN"), ("requires it", "consent is required", "", "PASS"), ("requires it", "they may keep", "", "WARN"), ("requires it", "", "x" * 1600 + " must", "WARN"), ("requires it", "", "one must", "PASS"), ("nothing", "", "", "PASS"), (None, None, None, "PASS"), ("a ban", "one may not", None, "PASS")]
+    for claim, snippet, text, want in cases:
+        assert one(spark, gates.g6_modality(F.lit(claim), F.lit(snippet), F.lit(text))) == want, (claim, snippet)
+
+
+def test_dangling_gate(spark):
+    known = F.array(F.lit("25"), F.lit("9"), F.lit("7A"))
+    cases = [("powers under section 999 of this Act", ["999"]), ("see section 25 for details", []), ("section 5 of the Contracts Act and section 9", []), ("Section 7a, section 8 and SECTION 8", ["8"]), ("section 30 of the said Privacy Act", []), ("section 30 of that very Act", ["30"]), ("x" * 3000 + " section 1", []), (None, [])]
+    for text, want in cases:
+        assert one(spark, gates.g8_lost(F.lit(text), known)) == want, text
+        assert one(spark, gates.g8_dangling(F.lit(text), known)) == ("WARN" if want else "PASS")
+    assert one(spark, gates.g8_dangling(F.lit("section 4"), F.lit(None).cast("array<string>"))) == "PASS"
+
+
+FITS = [
+    ("P7-I1", "any", "Data Bill 2024", "FAIL"),
+    ("P7-I1", "any", "Billing Act", "PASS"),
+    ("P6-I1", "A firm may transfer personal data outside the country.", "Act", "FAIL"),
+    ("P6-I1", "A firm must not transfer personal data outside the country.", "Act", "PASS"),
+    ("P6-I1", "A firm must not disclose data.", "Act", "FAIL"),
+    ("P6-I4", "A firm may transfer data abroad only if consent is given.", "Act", "PASS"),
+    ("P6-I4", "A firm may transfer data abroad.", "Act", "FAIL"),
+    ("P6-I4", "None shall send data to another country except in accordance with rules.", "Act", "PASS"),
+    ("P6-I2", "Every register of documents must be kept, and maintained in the capital.", "Act", "PASS"),
+    ("P6-I2", "Every register of documents must be kept.", "Act", "FAIL"),
+    ("P6-I2", "Records must be preserved and maintained at an office within the state.", "Act", "PASS"),
+    ("P6-I2", "An operator shall not hold or\ntake any record outside Malaysia.", "Act", "PASS"),
+    ("P6-I3", "The Minister may name a computer system located outside the state.", "Act", "FAIL"),
+    ("P6-I3", "A provider must keep its server infrastructure within the country as a condition of service.", "Act", "PASS"),
+    ("P6-I3", "Servers must be located in another country.", "Act", "FAIL"),
+    ("P7-I3", "The office need only keep a register for 5 years, and must hold it.", "Act", "FAIL"),
+    ("P7-I3", "A firm must retain every record for at least 5 years.", "Act", "PASS"),
+    ("P7-I3", "A firm must keep staff records for the period prescribed.", "Act", "WARN"),
+    ("P7-I3", "A permit shall be kept for a year.", "Act", "FAIL"),
+    ("P7-I5", "An authorized officer may search computer data without first obtaining a warrant.", "Act", "PASS"),
+    ("P7-I5", "An authorised officer may search computer data under a warrant issued by a magistrate.", "Act", "WARN"),
+    ("P7-I5", "The Attorney-General may issue a warrant for access to computer data.", "Act", "PASS"),
+    ("P7-I5", "Anyone may look around.", "Act", "FAIL"),
+    (None, None, None, "PASS"),
+]
+
+
+def test_fit_gate(spark):
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(FITS)], "k int, indicator string, said string, law string, want string")
+    got = rows.select("k", "want", gates.g7_fit(F.col("indicator"), F.col("said"), F.col("said"), F.col("law")).alias("got")).collect()
+    assert [(FITS[r.k], r.got) for r in got if r.got != r.want] == []
+    far = gates.g7_fit(F.lit("P6-I4"), F.lit(""), F.lit("x" * 2100 + " transfer abroad if"), F.lit("Act"))
+    assert one(spark, far) == "FAIL"
+
+
+def test_blocked(spark):
+    good = "<p>words</p>" * 400
+    cases = [(403, good, True), (200, good, False), (200, "short", True), (404, "short", False), (500, "captcha", False), (200, "Are You a Robot?" + good, True), (200, good + "captcha", False), (200, None, True), (None, good, False)]
+    for status, body, want in cases:
+        assert one(spark, corpus.blocked(F.lit(status).cast("int"), F.lit(body))) == want, status
+
+
+def test_bm25_equals_brute_force(spark):
+    import collections
+    import math
+    import random
+
+    random.seed(3)
+    pool = [f"w{k}" for k in range(30)]
+    texts = [(k, None if k == 5 else " ".join(random.choices(pool, k=k % 17))) for k in range(80)]
+    asked = [(q, t) for q in range(6) for t in random.sample(pool, 4)] + [(9, "absent")]
+    got = retrieval.bm25(spark.createDataFrame(texts, "item_id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, term string"), 5).collect()
+    n = len(texts)
+    words = {k: (t or "").split() for k, t in texts}
+    mean = sum(map(len, words.values())) / (n - 1)
+    df = collections.Counter(w for x in words.values() for w in set(x))
+    want = set()
+    for q in {q for q, _ in asked}:
+        scores = {}
+        for k, x in words.items():
+            s = 0
+            for t in {t for p, t in asked if p == q} & set(x):
+                idf = math.log((n - df[t] + 0.5) / (df[t] + 0.5))
+                f = x.count(t)
+                s += (idf if idf > 0 else retrieval.LEAST_IDF) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / mean))
+            if s:
+                scores[k] = round(s, 6)
+        want |= {(q, k, scores[k], r + 1) for r, k in enumerate(sorted(scores, key=lambda k: (-scores[k], k))[:5])}
+    assert {tuple(r) for r in got} == want
+
+
+def test_law_pairs_lose_nothing(spark):
+    import itertools
+
+    names = ["Personal Data Protection Act 2012", "Data Protection Act", "Personal Data Protection (Amendment) Act 2020", "Privacy Act", "The Privacy and Data Act", "Act", "", "Evidence Act 1950", "Data Protection Commission Act", "Data Protection Commission (Amendment) Act 1999"]
+    left = spark.createDataFrame([(x,) for x in names], "law string")
+    got = {tuple(r) for r in matching.law_pairs(left, left).collect()}
+    pairs = spark.createDataFrame([*itertools.product(names, names)], "a string, b string")
+    assert got == {(r.a, r.b) for r in pairs.where(X.same_law(X.law_tokens(F.col("a")), X.law_tokens(F.col("b")))).collect()}
+
+
+def test_error_rates(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [("the cat sat", "the cat sat"), ("tbe cat", "the cat sat down"), ("", "one two"), ("été  à", "ete a b"), ("a b c d", "d c b a")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", *(c.alias(k) for k, c in X.error_rates(F.col("a"), F.col("b")).items())).collect()
+    assert all((r.char_edits, r.chars, r.word_edits, r.words) == (edits(r.a, r.b), len(r.b), edits(r.a.split(), r.b.split()), len(r.b.split())) for r in got)
