@@ -147,9 +147,11 @@ def error_rates(reading: Column, truth: Column) -> dict[str, Column]:
     Words are numbered within a pair and stand as one character each, so that both distances are Levenshtein's."""
     split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
     every = F.array_distinct(F.concat(split(reading), split(truth)))
-    sign = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(every, w) + 0x4E00), 4, "0")), "UTF-16BE")
-    coded = lambda x: F.array_join(F.transform(split(x), sign), "")
-    return {"char_edits": F.levenshtein(reading, truth), "chars": F.length(truth), "word_edits": F.levenshtein(coded(reading), coded(truth)), "words": F.size(split(truth))}
+    sign = lambda w, known: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4E00)), "UTF-16BE")
+    coded = lambda x, known: F.array_join(F.transform(split(x), lambda w: sign(w, known)), "")
+    # The words of the pair are bound by a transformation, or they would be told anew for each of them.
+    edits = F.transform(F.array(every), lambda known: F.levenshtein(coded(reading, known), coded(truth, known)))
+    return {"char_edits": F.levenshtein(reading, truth), "chars": F.length(truth), "word_edits": F.element_at(edits, 1), "words": F.size(split(truth))}
 
 
 #: Legal functions, of which a text has the first that matches.

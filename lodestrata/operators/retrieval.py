@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +64,7 @@ def exact_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
 #: Scores that are held at once, texts of a batch times queries.
 _SCORES = 1 << 22
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, allowed: Column | None = None) -> DataFrame:
@@ -92,9 +92,9 @@ def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, al
                 if text is not None:
                     words = _WORD.findall(text)
                     length[k] = len(words)
-                    own = Counter(w for w in words if w in terms)
+                    own = Counter(filter(terms.__contains__, words))
                     row += [k] * len(own)
-                    term += [terms[w] for w in own]
+                    term += map(terms.__getitem__, own)
                     n += own.values()
             return length, *(np.array(x, dtype=np.int64) for x in (row, term, n))
 
@@ -135,10 +135,13 @@ def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, al
                     part = weights.value[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * length[row] / mean))
                     many = starts[term + 1] - starts[term]
                     to = np.repeat(starts[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    scores = np.zeros((batch.num_rows, len(ids)))
-                    np.add.at(scores, (np.repeat(row, many), pairs[to, 1]), np.repeat(part, many))
-                    text, query = np.nonzero(scores)
-                    best += cut([(query, batch.column("item_id").take(pa.array(text)), np.round(scores[text, query], 6))])
+                    cell = np.repeat(row * len(ids), many) + pairs[to, 1]
+                    scores = np.round(np.bincount(cell, np.repeat(part, many), batch.num_rows * len(ids)), 6).reshape(-1, len(ids))
+                    wanted = scores > 0
+                    if limit and batch.num_rows > limit:
+                        wanted &= scores >= np.partition(scores, batch.num_rows - limit, axis=0)[batch.num_rows - limit]
+                    text, query = np.nonzero(wanted)
+                    best += cut([(query, batch.column("item_id").take(pa.array(text)), scores[text, query])])
                     held += len(best[-1][0])
                     if limit is None or held > 4 * limit * len(ids):
                         if limit is None:

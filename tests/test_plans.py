@@ -63,3 +63,59 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_cer_metrics_against_brute_force(spark, tmp_path):
+    texts = {1: "small mill\nall. done " * 9, 2: "", 3: None, 4: "one two three. four five six seven eight nine\tten m", 5: "é m l."}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, t in texts.items():
+        words = (t or "").split()
+        pieces = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+        read = [p.replace("m", "rn").replace("l", "1").replace(".", "") for p in pieces]
+        chars, n = max(1, sum(map(len, pieces))), max(1, len(words))
+        want[k] = (round(sum(edits(r, p) for r, p in zip(read, pieces, strict=True)) / chars, 6), round(sum(edits(r.split(), p.split()) for r, p in zip(read, pieces, strict=True)) / n, 6))
+    got = {r.doc_id: (r.cer, r.wer) for r in plans.queries()["cer_metrics"](spark, str(tmp_path)).collect()}
+    assert got == {k: (pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6)) for k, (a, b) in want.items()}
+
+
+def test_gate_fit_against_brute_force(spark, duck):
+    from lodestrata.operators.gates import FIT, FIT_REACH
+    from lodestrata.plans.documents import INDICATORS, PROVISIONS
+
+    def verdict(k, text):
+        said, indicator = PROVISIONS[k % len(PROVISIONS)].lower(), INDICATORS[k % len(INDICATORS)]
+        blob = f"{said} {text[:FIT_REACH].lower()}"
+        has = lambda *names: all(re.search(FIT[n], blob) for n in names)
+        if k % 11 == 0:
+            return "FAIL"
+        if indicator in ("P6-I1", "P6-I4") and not has("abroad", "transfer"):
+            return "FAIL"
+        if indicator == "P6-I1":
+            return "PASS" if has("ban") else "FAIL"
+        if indicator == "P6-I4":
+            return "PASS" if has("condition") else "FAIL"
+        if indicator == "P6-I2":
+            return "PASS" if has("retain", "records", "domestic", "duty") or has("records", "kept_out") else "FAIL"
+        if indicator == "P6-I3":
+            return "PASS" if has("infrastructure", "domestic") and (has("duty") or has("service_condition")) else "FAIL"
+        if indicator == "P7-I3":
+            if not has("retain", "records", "duty") or has("ceiling") or re.search(FIT["licence"], said) and not re.search(FIT["data"], said):
+                return "FAIL"
+            return "PASS" if has("duration") else "WARN"
+        if indicator == "P7-I5":
+            return "FAIL" if not has("government", "access", "object") else "WARN" if has("judicial") and not has("without_judicial") else "PASS"
+        return "PASS"
+
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    got = {r.doc_id: r.g7 for r in plans.queries()["gate_fit"](spark, SF_DIR).collect()}
+    assert got == {k: verdict(k, t) for k, t in texts.items()} and set(got.values()) == {"PASS", "WARN", "FAIL"}
