@@ -20,9 +20,11 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is
-    unset, as in tests on one machine."""
+    unset and all runs on one machine, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
@@ -58,11 +60,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds of long texts at once."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # noqa: BLE001  a static or unknown setting
-            continue
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def with_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:

@@ -82,5 +82,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op7_line_dedup, op8_mixing, op9_piece_bpe, op10_warc)}
 
 
+_VECTORS = "select vec_id, label, {0} v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+#: Links by brute force, and the smallest vec_id that recursion reaches.
+OP3_SQL = f"""
+with recursive v as ({_VECTORS.format("embedding::double[]")}),
+good as (select vec_id, label, v, sqrt(list_dot_product(v, v)) size from v where label is not null and list_dot_product(v, v) > 0),
+link as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a, min(b) b from reach group by a),
+n as (select a, count(*) n from link group by a)
+select e.vec_id, coalesce(n.n, 0)::bigint n_links, least(coalesce(least.b, e.vec_id), e.vec_id)::bigint component_id, least(coalesce(least.b, e.vec_id), e.vec_id) = e.vec_id kept
+from embeddings e left join n on n.a = e.vec_id left join least on least.a = e.vec_id
+"""
+OP5_SQL = f"""
+with v as ({_VECTORS.format("list_transform(embedding, lambda x: floor(64 * x::double))")}),
+s as (select q.vec_id query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int "rank", vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
+"""
+#: Ten hexadecimal digits are eight of base 32.
+OP10_SQL = """
+with p as (select page_id, strlen(coalesce(html, ''))::bigint n, sha1(coalesce(html, '')) h from pages),
+d as (select page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) & 31)::int + 1, 1)), '') payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) first from d)
+select page_id, n payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; the tests hold the others against brute force."""
+    return {"op3_vector_dedup": OP3_SQL, "op5_topk": OP5_SQL, "op10_warc": OP10_SQL}

@@ -747,3 +747,69 @@ def test_pipeline(spark):
 
 def test_registered():
     assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == set(map(str, range(1, 11)))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{SF_DIR}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF_DIR)
+    told = con.sql(queries.oracle_sql()[name])
+    columns = sorted(df.columns)
+    assert sorted(told.columns) == columns
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: kinds[k] for c, k in df.dtypes} == dict(zip(told.columns, map(str, told.types), strict=True))
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = con.sql(f"select {quoted} from ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def folder(tmp_path, spark, rows):
+    """Tables of one's own, as the queries read them."""
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+ODD = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "An MIT license, the Apache-license; GENERAL public  License\nmit license", None, None), (3, "An MIT license, the Apache-license; GENERAL public  License\nmit license", None, None), (None, "Beerware licence \u00e9t\u00e9", "en", "b"), (5, "general public license " * 3000, "fr", "b"), (6, " \n\t ", "en", None)]
+
+
+def test_op4_columns(spark, tmp_path):
+    got = queries.op4_license_scan(spark, folder(tmp_path, spark, ODD)).collect()
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    want = []
+    for i, text, *_ in ODD:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        at = sorted((k, label) for p, label in phrases.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        want.append(str((i, len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))))
+    assert sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == sorted(want)
+    assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
+    assert {r.labels for r in got if r.doc_id is None} == {"beerware"}
+
+
+def test_op9_columns(spark, tmp_path, library):
+    got = queries.op9_piece_bpe(spark, folder(tmp_path, spark, ODD)).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, text, *_ in ODD:
+        ids = library.encode(text or "")
+        want.append(str((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))))
+    assert sorted(str((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256)) for r in got) == sorted(want)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    good = ["the people of the town went home", "a river runs by the old mill", "letters came in the morning", "they sold bread at the market", "rain fell on the garden wall", "the music of the house was soft"]
+    rows = [*ODD, *((10 + k, f"{good[k % 6]} and {good[(k + k // 6 + 1) % 6]} at {k}\n{good[(k + 3) % 6]} again", "en", "ab"[k % 2]) for k in range(24))]
+    base = folder(tmp_path, spark, rows)
+    labels(spark, [(10 + k, 1, 0) for k in range(24)] + [(None, None, None)]).write.parquet(f"{base}/labels.parquet")
+    docs = documents(spark, rows)  # with columns of clashing names
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, base)
+        assert out.columns == docs.columns and 0 < out.count()
+        assert step(spark, docs.limit(0), base).count() == 0
+    out = corpus_pipeline.run(spark, base).collect()
+    assert {r.doc_id for r in out} <= {r[0] for r in rows} and all(len(r.ids) == r.n_tokens for r in out)
