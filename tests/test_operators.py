@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
-from lodestrata.operators import corpus, curation, gates, graph, matching, retrieval, scoring, segmentation
+from lodestrata.operators import corpus, curation, gates, graph, matching, retrieval, review, scoring, segmentation
 
 
 def test_bm25_prefers_rare_terms(spark):
@@ -189,3 +189,37 @@ def test_error_rates(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = df.select("a", "b", *(c.alias(k) for k, c in X.error_rates(F.col("a"), F.col("b")).items())).collect()
     assert all((r.char_edits, r.chars, r.word_edits, r.words) == (edits(r.a, r.b), len(r.b), edits(r.a.split(), r.b.split()), len(r.b.split())) for r in got)
+
+
+def test_escalation_reasons(spark):
+    def reasons(applies=True, confidence=0.9, indicator="P6-I2", snippet="a duty", context="There is A  Duty here", gold=False, expected=False):
+        return one(spark, review.escalation_reasons(*(F.lit(x) for x in (applies, confidence, indicator, snippet, context, gold, expected))))
+
+    assert reasons() == [] and reasons(applies=None) == []
+    assert reasons(applies=False, gold=True, expected=True) == ["known-anchor-rejected"] and reasons(applies=False, expected=True) == ["expected-anchor-rejected"]
+    assert reasons(snippet="") == reasons(snippet="no") == reasons(snippet=None) == ["snippet-not-source-locatable"]
+    assert reasons(confidence=0.75, gold=True) == ["low-confidence-known-anchor"] and reasons(confidence=None) == ["low-confidence-positive"]
+    assert reasons(indicator="6.1", context="a duty except") == ["ban-vs-condition-ambiguity"] and reasons(indicator="P7-I5", context="a duty by court order") == ["judicial-access-ambiguity"]
+
+
+def test_recovered_anchors_keep_half_a_confidence(spark):
+    rows = [(1, False, 0.9, "s", "whole"), (2, False, 0.0, "s", "whole"), (3, True, 0.9, "s", "whole"), (4, False, 0.3, "s", "whole"), (5, None, None, "s", "whole")]
+    df = spark.createDataFrame(rows, "id long, applies boolean, confidence double, snippet string, text string")
+    got = {r.id: (r.applies, r.confidence, r.snippet, r.recovered) for r in review.recover_anchors(df, spark.createDataFrame([(1,), (1,), (2,), (3,), (5,), (None,)], "id long"), "id").collect()}
+    assert got == {1: (True, 0.5, "whole", True), 2: (True, 0.5, "whole", True), 3: (True, 0.9, "s", False), 4: (False, 0.3, "s", False), 5: (True, 0.5, "whole", True)}
+
+
+def test_interrupted_builds_are_not_taken_over(spark):
+    provisions = spark.createDataFrame([("a", "f", "g0", k) for k in range(3)] + [("b", "f", "g0", 9), (None, "f", "g0", 10)], "economy string, fingerprint string, generation string, id long")
+    builds = spark.createDataFrame([("a", "f", 2, "g0"), ("b", "f", 1, "g0")], "economy string, fingerprint string, unit_count long, generation string")
+    stamped = lambda b: {(r.economy, r.generation) for r in review.restamp(provisions, b, "g1").collect()}
+    assert stamped(builds) == {("a", "g0"), ("b", "g1"), (None, "g0")}
+    done = spark.createDataFrame([("a", "f", 3, "g1"), ("b", "f", 0, "g1")], builds.schema)
+    assert stamped(review.complete_build(builds, done)) == {("a", "g1"), ("b", "g1"), (None, "g0")}
+
+
+def test_verdicts_need_one_version_and_all_new_findings(spark):
+    found = spark.createDataFrame([("i", "l", "1", "NEW"), ("i", "l", "2", "KNOWN")], "indicator string, law string, article string, tag string")
+    of = lambda rows: [r.verdict for r in review.with_verdicts(found, spark.createDataFrame(rows, "indicator string, law string, article string, version string, verdict string, fresh boolean"), "v2").orderBy("article").collect()]
+    assert of([("i", "l", "1", "v2", "holds", True)]) == ["holds", None]
+    assert of([("i", "l", "1", "v1", "holds", True)]) == of([("i", "l", "1", "v2", "holds", False)]) == of([("i", "l", "2", "v2", "holds", True)]) == of([]) == [None, None]
