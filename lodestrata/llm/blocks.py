@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import delete, fresh_path, small_batches
+from .common import delete, disposable, fresh_path, small_batches
 
 #: Bytes of text after which a block ends (a longer text is a block of its own), and what a row counts at least.
 BLOCK_BYTES, ROW_BYTES = 16 << 20, 64
@@ -49,6 +49,7 @@ class Blocks:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         docs.mapInArrow(deal, schema).write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(buckets, "_block").saveAsTable(self.name)
         self.df = self.spark.table(self.name)
+        disposable(self, self.drop)
 
     def drop(self) -> None:
         """Deletes the table, once nothing reads it any more."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,34 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
+#: By identity, what is written within a scratch, held so that no other takes its identity, and how it is deleted.
+_SCRATCH: list[dict[int, tuple[object, Callable[[], None]]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """What is written within is deleted at the end, but for what kept() takes out."""
+    _SCRATCH.append({})
+    try:
+        yield
+    finally:
+        for _, discard in _SCRATCH.pop().values():
+            discard()
+
+
+def disposable(thing: object, discard: Callable[[], None]) -> None:
+    if _SCRATCH:
+        _SCRATCH[-1][id(thing)] = thing, discard
+
+
+def kept(thing: DataFrame) -> DataFrame:
+    """thing, which outlives the scratch within which it was written and belongs to the one around it."""
+    found = _SCRATCH[-1].pop(id(thing), None)
+    if found and len(_SCRATCH) > 1:
+        _SCRATCH[-2][id(thing)] = found
+    return thing
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs
     a reread."""
@@ -44,6 +73,7 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    disposable(out, lambda: delete(spark, path))
     return out
 
 

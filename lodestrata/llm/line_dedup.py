@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Guard, small_batches, stage
+from .common import Guard, kept, scratch, small_batches, stage
 from .graph import bucket_pieces, components, dealt_pieces, whole_groups
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -251,17 +251,19 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences of lines, and (doc_id, tag, lines): the sorted numbers of the lines that go."""
-    every = stage(occurrences(docs), "lines")
-    first = F.min(F.struct("doc_id", "line", "tag")).alias("at")
-    firsts = stage(every.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "line-firsts")
-    connected = stage(components(links(docs, firsts)), "line-components").withColumnRenamed("node", "_node")
-    fuzzy = firsts.withColumn("node", _node()).join(connected.hint("merge"), F.col("node") == F.col("_node")).select("h1", "h2", "at", "component")
-    least = fuzzy.groupBy("component").agg(F.min("at").alias("keep")).withColumnRenamed("component", "_c")
-    fuzzy = fuzzy.join(least, F.col("component") == F.col("_c")).select("h1", "h2", "keep")
-    exact = firsts.where("n > 1").select("h1", "h2", F.col("at").alias("keep"))
-    # A line that is both repeated and connected takes its component's place, the smaller one.  Written, so
-    # that Spark can split what occurs most often.
-    goal = stage(exact.unionByName(fuzzy).groupBy("h1", "h2").agg(F.min("keep").alias("keep")), "line-goals").withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
+    with scratch():
+        every = kept(stage(occurrences(docs), "lines"))
+        first = F.min(F.struct("doc_id", "line", "tag")).alias("at")
+        firsts = stage(every.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "line-firsts")
+        connected = stage(components(links(docs, firsts)), "line-components").withColumnRenamed("node", "_node")
+        fuzzy = firsts.withColumn("node", _node()).join(connected.hint("merge"), F.col("node") == F.col("_node")).select("h1", "h2", "at", "component")
+        least = fuzzy.groupBy("component").agg(F.min("at").alias("keep")).withColumnRenamed("component", "_c")
+        fuzzy = fuzzy.join(least, F.col("component") == F.col("_c")).select("h1", "h2", "keep")
+        exact = firsts.where("n > 1").select("h1", "h2", F.col("at").alias("keep"))
+        # A line that is both repeated and connected takes its component's place, the smaller one.  Written, so
+        # that Spark can split what occurs most often.
+        goal = kept(stage(exact.unionByName(fuzzy).groupBy("h1", "h2").agg(F.min("keep").alias("keep")), "line-goals"))
+    goal = goal.withColumnsRenamed({"h1": "_h1", "h2": "_h2"})
     gone = every.join(goal.hint("merge"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~F.struct("doc_id", "line", "tag").eqNullSafe(F.col("keep")))
     return every, gone.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 
 from . import kneser_ney as kn
 from .blocks import Blocks
-from .common import Guard, stage
+from .common import Guard, kept, scratch, stage
 
 #: Perplexities are told apart by thousandths of their logarithm.
 STEP = 1e-3
@@ -38,8 +38,8 @@ def perplexity(blocks: Blocks, counts: DataFrame) -> DataFrame:
     log-probability of a character under each part's model (null without characters or without the part)."""
     sizes = kn.symbols(counts)
     answers = kn.answers(kn.requests(blocks, 0), model(kn.parts(counts)))
-    kept = ["_block", "_row", "doc_id", "lang"]
-    schema = StructType([*(blocks.df.schema[c] for c in kept)]).add("n_symbols", LongType())
+    columns = ["_block", "_row", "doc_id", "lang"]
+    schema = StructType([*(blocks.df.schema[c] for c in columns)]).add("n_symbols", LongType())
     for k in range(PARTS):
         schema = schema.add(f"nll{k}", DoubleType())
     values = [f"{v}{k}" for k in range(PARTS) for v in "qg"]
@@ -59,7 +59,7 @@ def perplexity(blocks: Blocks, counts: DataFrame) -> DataFrame:
             np.add.at(total.T, rows, np.add.reduceat(logs, starts))
             np.add.at(n, rows, np.diff([*starts, len(keys)]))
         nll = [pa.array(-total[k] / np.maximum(n, 1), mask=(n == 0) | (k not in sizes)) for k in range(PARTS)]
-        return pa.table([*(docs.column(c) for c in kept), pa.array(n), *nll], names=schema.names)
+        return pa.table([*(docs.column(c) for c in columns), pa.array(n), *nll], names=schema.names)
 
     return blocks.join(["doc_id", "lang", "text"], answers, run, schema)
 
@@ -80,7 +80,19 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
 
 def _judged(blocks: Blocks, labels: DataFrame, quantile: float) -> DataFrame:
     """(_block, _row, doc_id, lang, n_symbols, perplexity, bound, keep) of each document."""
-    trusted = _trusted(labels)
+    with scratch():
+        scored = kept(_scored(blocks, _trusted(labels)))
+    cuts = stage(thresholds(scored, quantile), "quality-cuts")
+    own = cuts.where("not lang_pooled").select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
+    pooled = cuts.where("lang_pooled").select("bound").first()
+    bound = F.coalesce("_own", F.lit(pooled and pooled.bound).cast("double"))
+    keep = (F.col("n_symbols") > 0) & F.coalesce(F.col("nll") < bound, F.lit(True))
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return out.select("_block", "_row", "doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), F.exp(bound).alias("bound"), keep.alias("keep"))
+
+
+def _scored(blocks: Blocks, trusted: DataFrame) -> DataFrame:
+    """(_block, _row, doc_id, lang, part, n_symbols, nll) of each document, staged; part of the trusted ones."""
     counts = stage(kn.counts(blocks, blocks.labelled(trusted), ["part"]), "quality-counts")
     found = perplexity(blocks, counts).join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = [f"nll{k}" for k in range(PARTS)]
@@ -89,14 +101,7 @@ def _judged(blocks: Blocks, labels: DataFrame, quantile: float) -> DataFrame:
     for k in range(PARTS):
         rest = [F.col(n) for n in names if n != f"nll{k}"]
         others = F.when(F.col("part") == k, sum(rest[1:], rest[0]) / len(rest)).otherwise(others)
-    scored = stage(found.withColumn("nll", F.when(F.col("part").isNull(), by_all).otherwise(others)).drop(*names), "quality-scores")
-    cuts = stage(thresholds(scored, quantile), "quality-cuts")
-    own = cuts.where("not lang_pooled").select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
-    pooled = cuts.where("lang_pooled").select("bound").first()
-    bound = F.coalesce("_own", F.lit(pooled and pooled.bound).cast("double"))
-    keep = (F.col("n_symbols") > 0) & F.coalesce(F.col("nll") < bound, F.lit(True))
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    return out.select("_block", "_row", "doc_id", "lang", "n_symbols", F.exp("nll").alias("perplexity"), F.exp(bound).alias("bound"), keep.alias("keep"))
+    return stage(found.withColumn("nll", F.when(F.col("part").isNull(), by_all).otherwise(others)).drop(*names), "quality-scores")
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
@@ -110,14 +115,16 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFr
     documents; without any trusted document all other texts are kept.  Rows that share a doc_id share its label; repeated
     rows are judged alike.  An empty table gives no rows.  Other columns of docs are ignored."""
     blocks = Blocks(docs.select("doc_id", "lang", "text"))
-    return _judged(blocks, labels, quantile).drop("_block", "_row")
+    judged = _judged(blocks, labels, quantile).drop("_block", "_row")
+    blocks.drop()
+    return judged
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
     """docs without the documents that score() rejects, in the columns of docs."""
     guard = Guard(docs, ["doc_id", "lang", "text"])
     blocks = Blocks(guard.df)
-    kept = _judged(blocks, labels, quantile).where("keep").select("_block", "_row")
+    good = _judged(blocks, labels, quantile).where("keep").select("_block", "_row")
     names = guard.df.columns
 
     def run(rows: pa.Table, own: pa.Table) -> pa.Table:
@@ -125,4 +132,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> Da
         stays[own.column("_row").to_numpy()] = True
         return rows.select(names).filter(pa.array(stays))
 
-    return guard.restore(blocks.join(names, kept, run, guard.df.schema))
+    return guard.restore(blocks.join(names, good, run, guard.df.schema))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Guard, small_batches, stage, with_columns
+from .common import Guard, kept, scratch, small_batches, stage, with_columns
 from .graph import bucket_pieces, components, search_pieces, spanning
 
 BITS, SEGMENTS, SEED, SHINGLE = 64, 2, 42, 3
@@ -87,9 +87,10 @@ def groups(prints: DataFrame) -> DataFrame:
     """(fp, first, component, component_id) for prints(fp, first): first is the smallest doc_id of a
     fingerprint, component the smallest of all fingerprints connected with it, component_id their smallest
     doc_id, which may be null or shared by components."""
-    connected = components(links(prints.select("fp"))).withColumnRenamed("node", "_fp")
-    named = prints.join(connected, F.col("fp") == F.col("_fp"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = stage(named, "simhash-groups")
+    with scratch():
+        connected = components(links(prints.select("fp"))).withColumnRenamed("node", "_fp")
+        named = prints.join(connected, F.col("fp") == F.col("_fp"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        named = kept(stage(named, "simhash-groups"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_c")
     return named.join(least, F.col("component") == F.col("_c")).select("fp", "first", "component", "component_id")
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StructType
 
 from . import kneser_ney as kn
 from .blocks import Blocks
-from .common import stage
+from .common import kept, scratch, stage
 
 #: Characters in a window; a document's features are the mean log-likelihood ratio of a character, over the
 #: whole text and over its most toxic windows of these lengths.
@@ -136,7 +136,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a document with contradicting labels counts as toxic; null labels are ignored.  Without toxic or without
     ordinary rows all documents score the base rate.  An empty table gives no rows.  Only doc_id and text of
     docs are read."""
-    found = stage(featured(docs, labels), "toxicity")
+    with scratch():
+        found = kept(stage(featured(docs, labels), "toxicity"))
     rows = found.where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(CALIBRATION_ROWS).select("toxic", *FEATURES).toArrow()
     x = np.column_stack([rows.column(n).to_numpy() for n in FEATURES])
     y = rows.column("toxic").to_numpy().astype(float)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import kept, scratch, small_batches, stage
 from .graph import bucket_pieces, components, search_pieces
 
 COSINE = 0.98
@@ -191,17 +191,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     good = valid(slim).where(F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0)).withColumn("embedding", plain)
     # A representative has a number of its own, written with it: a vec_id may stand for several.
     groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    reps = stage(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
-    slim_reps = reps.select("rep", F.xxhash64("label").alias("label"), "copies", "embedding")
-    found = None
-    for dim in dimensions(reps):
-        some = links(slim_reps.where(F.size("embedding") == dim), dim, cosine)
-        found = some if found is None else found.unionByName(some)
-    found = stage(found, "vector-links")
-    connected = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    others = found.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "_rep")
-    named = reps.join(others, F.col("rep") == F.col("_rep"), "left").join(connected, F.col("rep") == F.col("node"), "left")
-    named = stage(named.select("label", "embedding", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-groups")
+    with scratch():
+        reps = stage(groups.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")
+        slim_reps = reps.select("rep", F.xxhash64("label").alias("label"), "copies", "embedding")
+        found = None
+        for dim in dimensions(reps):
+            some = links(slim_reps.where(F.size("embedding") == dim), dim, cosine)
+            found = some if found is None else found.unionByName(some)
+        found = stage(found, "vector-links")
+        connected = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+        others = found.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "_rep")
+        named = reps.join(others, F.col("rep") == F.col("_rep"), "left").join(connected, F.col("rep") == F.col("node"), "left")
+        named = kept(stage(named.select("label", "embedding", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-groups"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_component")
     named = named.join(least, F.col("component") == F.col("_component")).select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "n_links", "component_id")
     met = good.join(named.hint("merge"), (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_embedding"))).select("vec_id", "n_links", "component_id")
