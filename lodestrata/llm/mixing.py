@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .blocks import Blocks
 from .common import Guard, stage
 
 #: Weights of the sources in code point order, repeating; the share of all words that a mix holds; how often
@@ -21,8 +24,9 @@ _CELLS = 1024
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with size, the number of words of the text (0 for null)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+    """docs with size, the number of words of the text (0 for null), and _tag, which tells apart texts that share
+    a doc_id."""
+    return docs.withColumn("_tag", F.xxhash64("text")).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -55,7 +59,8 @@ def placed(docs: DataFrame, goals: DataFrame) -> DataFrame:
     before = sums.select(F.col("source").alias("_source"), F.col("_piece").alias("_of"), (F.sum("_sum").over(Window.partitionBy("source").orderBy("_piece")) - F.col("_sum")).alias("_before"))
     goals = goals.select(F.col("source").alias("_goal"), "source_size", "target")
     before = before.join(goals, F.col("_source").eqNullSafe(F.col("_goal"))).drop("_goal")
-    within = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    order = [c for c in ("_key", "doc_id", "size", "_tag") if c in dealt.columns]
+    within = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     out = dealt.withColumn("_upto", within - F.col("size"))
     out = out.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_piece") == F.col("_of")))
     return out.withColumn("start", F.col("_before") + F.col("_upto")).drop("_key", "_piece", "_upto", "_source", "_of", "_before")
@@ -128,14 +133,17 @@ def mixture(docs: DataFrame) -> DataFrame:
     row holds the words taken.  Documents without words (null and empty texts) are in no mix; repeated rows are
     documents of their own; an empty table gives no rows."""
     guard = Guard(docs, ["doc_id", "source", "text"])
-    marked = sized(guard.df)
-    where, pieces = takes(marked.select("doc_id", "source", "size"))
-    named = where.where("size > 0").join(pieces.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "epoch", "taken", "slot"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
-    # Repeated rows are told apart by number: the k-th of equal documents takes the k-th of their places.
-    alike = Window.partitionBy("doc_id", "source", "size").orderBy("start")
-    places = named.withColumn("_copy", F.dense_rank().over(alike)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "_copy", "taken", "slot", "start", "epoch")
-    own = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size")) & (F.col("_nth") == F.col("_copy"))
+    blocks = Blocks(guard.df)
+    where, pieces = takes(sized(blocks.df.select("_block", "_row", "doc_id", "source", "text")).drop("text"))
+    pieces = pieces.select(F.col("source").alias("_source"), F.col("start").alias("_start"), "epoch", "taken", "slot")
+    places = where.where("size > 0").join(pieces, F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start")))
+    names, added = guard.df.columns, ["size", "taken", "slot", "epoch", "start"]
+    schema = StructType([*guard.df.schema.fields, *(places.schema[c] for c in added)])
+
+    def run(rows: pa.Table, own: pa.Table) -> pa.Table:
+        met = rows.select(names).take(own.column("_row"))
+        return pa.table([*met.columns, *(own.column(c) for c in added)], names=schema.names)
+
+    out = blocks.join(names, places.select("_block", "_row", *added), run, schema).orderBy("slot", "epoch", "start")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("taken").cast("int")), "")
-    out = own.join(places, on).orderBy("slot", "epoch", "start")
     return guard.restore(out.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text"))))
