@@ -173,8 +173,9 @@ def write(pages: DataFrame, target: str, least_bytes: int = 0, roll: int = ROLL)
     records = with_columns(met, [*columns, "response"], "record binary", final).select(named, "place", "record")
     firsts = with_columns(placed.select(named).distinct().withColumn("place", F.lit(-1).cast("long")), ["file", "place"], "record binary", opening)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Files are few and large, so ranges deal them out more evenly than hashes.
-    dealt = records.unionByName(firsts).repartitionByRange(n, "file").sortWithinPartitions("file", "place").select("file", F.col("record").cast("string").alias("value"))
+    # Files are few and large, so their numbers deal them out more evenly than hashes.
+    to = F.pmod(F.col("file").cast("long"), F.lit(n)).cast("int")
+    dealt = records.unionByName(firsts).repartitionById(n, to).sortWithinPartitions("file", "place").select("file", F.col("record").cast("string").alias("value"))
     temporary = f"{target}/_temporary-records"
     dealt.write.partitionBy("file").option("lineSep", _END.decode()).option("compression", "none").text(temporary)
     _commit(spark, temporary, target, roll)
