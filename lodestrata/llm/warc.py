@@ -26,7 +26,7 @@ from .common import delete, small_batches, stage, unstage, with_columns
 ROLL = 16 << 20
 #: Every record's date, as archives must not depend on when they are written.
 DATE = "2024-01-01T00:00:00Z"
-LEVEL = 1
+LEVEL = 6
 _END, _STEP = b"\x00", 4096
 
 
