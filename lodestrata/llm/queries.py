@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, mixing, piece_bpe, quality, simhash, topk, toxicity, vector_dedup, warc
+from . import alignment, license_scan, line_dedup, mixing, periodic, piece_bpe, quality, simhash, token_counts, topk, toxicity, vector_dedup, warc
 from .common import fresh_path, table
 
 
@@ -18,6 +19,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_vocabulary() -> str:
+    """The path of the public byte-level 50k vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,8 +86,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words, of one document in ten with a tail that repeats its first words; a null doc_id changes none."""
+    h, n = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"), repeated_tail)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score(table(spark, sf_dir, "documents"), byte_vocabulary(), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op7_line_dedup, op8_mixing, op9_piece_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_quality, op2_toxicity, op3_vector_dedup, op4_license_scan, op5_topk, op6_simhash, op7_line_dedup, op8_mixing, op9_piece_bpe, op10_warc, op11_periodic, op12_token_counts, op13_alignment)}
 
 
 _VECTORS = "select vec_id, label, {0} v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
