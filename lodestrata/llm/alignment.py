@@ -32,7 +32,7 @@ class Bits:
 
     @staticmethod
     def at(places: np.ndarray, n: int) -> Bits:
-        marks = np.zeros((n + 64) // 64 * 64, dtype=np.uint8)
+        marks = np.zeros((n // 64 + 2) * 64, dtype=np.uint8)  # ranks are asked up to n + 1
         marks[places] = 1
         return Bits(np.packbits(marks, bitorder="little").view("<u8"))
 

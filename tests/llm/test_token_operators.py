@@ -257,6 +257,14 @@ def test_alignment_equals_brute_force(spark, sides, monkeypatch):
     assert alignment.score(docs.limit(0), queries.byte_vocabulary(), queries.piece_model()).count() == 0
 
 
+@pytest.mark.parametrize("n", range(60, 70))
+def test_bits_of_any_length(n):
+    places = np.array([k for k in range(1, n + 1) if k % 3 == 0 or k == n])
+    bits = alignment.Bits.at(places, n)
+    assert bits.select().tolist() == places.tolist()
+    assert bits.rank(np.arange(n + 2)).tolist() == [int((places < k).sum()) for k in range(n + 2)]
+
+
 def test_op13_equals_brute_force(spark, sides, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("length(text) < 3000")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
