@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +20,17 @@ def build(app: str = "lodestrata", master: str | None = None, **settings: str) -
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names: its lineage ends there.  A temporary folder
+    stands in only where the setting is absent and all runs on one machine, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
+        context.setCheckpointDir(found)
+    return df.checkpoint()
