@@ -99,8 +99,9 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.n
 
 
 def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, part, toxic, x0, ...): the features of each document in lower case; part and toxic of those learned from.
-    One learned from is judged by the models of the other parts, any other by the mean of all."""
+    """(doc_id, part, toxic, x0, ..., unseen_x0, ...): the features of each document in lower case by the mean of all
+    models, whatever its labels and doc_id; of those learned from also part, toxic and the features by the models of
+    the other parts."""
     blocks, known = Blocks(docs.select("doc_id", F.lower("text").alias("text"))), _known(labels)
     mine = blocks.labelled(known)
     counts = stage(kn.counts(blocks, mine, ["part", "toxic"]), "toxicity-counts")
@@ -115,31 +116,33 @@ def featured(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.table([rows.column("doc_id"), *(pa.array(every[k][:, j]) for k in range(PARTS) for j in range(len(FEATURES)))], names=schema.names)
 
     found = blocks.join(["doc_id", "text"], answers, run, schema).join(known.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    mean = lambda name, ks: sum(F.col(f"{name}_{k}") for k in ks) / len(ks)
 
-    def of(name: str) -> Column:
-        mean = lambda ks: sum(F.col(f"{name}_{k}") for k in ks) / len(ks)
-        out = mean(range(PARTS))
+    def unseen(name: str) -> Column:
+        out = F.lit(None).cast("double")
         for k in range(PARTS):
-            out = F.when(F.col("part") == k, mean([j for j in range(PARTS) if j != k])).otherwise(out)
+            out = F.when(F.col("part") == k, mean(name, [j for j in range(PARTS) if j != k])).otherwise(out)
         return out
 
-    return found.select("doc_id", "part", "toxic", *(of(n).alias(n) for n in FEATURES))
+    return found.select("doc_id", "part", "toxic", *(mean(n, range(PARTS)).alias(n) for n in FEATURES), *(unseen(n).alias(f"unseen_{n}") for n in FEATURES))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
     Learns from labelled rows whose crc32(doc_id) mod 5 is not 0, in PARTS parts.  The n-gram counts of all
-    of them, by part and class, make the models.  The score is a logistic function of featured(), fitted on
-    at most CALIBRATION_ROWS of the rows learned from, none judged by a model that has seen it.  Null and empty texts take
+    of them, by part and class, make the models.  The score is one logistic function of the text's features, so equal
+    texts score equal; it is fitted on at most CALIBRATION_ROWS of the rows learned from, there none judged by a model
+    that has seen it.  Null and empty texts take
     the score of features that are all 0.  A null doc_id counts as not held out; repeated rows score alike;
     a document with contradicting labels counts as toxic; null labels are ignored.  Without toxic or without
     ordinary rows all documents score the base rate.  An empty table gives no rows.  Only doc_id and text of
     docs are read."""
     with scratch():
         found = kept(stage(featured(docs, labels), "toxicity"))
-    rows = found.where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(CALIBRATION_ROWS).select("toxic", *FEATURES).toArrow()
-    x = np.column_stack([rows.column(n).to_numpy() for n in FEATURES])
+    unseen = [f"unseen_{n}" for n in FEATURES]
+    rows = found.where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id", *unseen).limit(CALIBRATION_ROWS).select("toxic", *unseen).toArrow()
+    x = np.column_stack([rows.column(n).to_numpy() for n in unseen])
     y = rows.column("toxic").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # sums in one order
     centre, scale, weights = fit(x[order], y[order])
