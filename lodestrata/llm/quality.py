@@ -82,7 +82,7 @@ def _judged(blocks: Blocks, labels: DataFrame, quantile: float) -> DataFrame:
     """(_block, _row, doc_id, lang, n_symbols, perplexity, bound, keep) of each document."""
     with scratch():
         scored = kept(_scored(blocks, _trusted(labels)))
-    cuts = stage(thresholds(scored, quantile), "quality-cuts")
+    cuts = stage(thresholds(scored.withColumn("nll", F.col("unseen")), quantile), "quality-cuts")
     own = cuts.where("not lang_pooled").select(F.col("lang").alias("_lang"), F.col("bound").alias("_own"))
     pooled = cuts.where("lang_pooled").select("bound").first()
     bound = F.coalesce("_own", F.lit(pooled and pooled.bound).cast("double"))
@@ -92,25 +92,26 @@ def _judged(blocks: Blocks, labels: DataFrame, quantile: float) -> DataFrame:
 
 
 def _scored(blocks: Blocks, trusted: DataFrame) -> DataFrame:
-    """(_block, _row, doc_id, lang, part, n_symbols, nll) of each document, staged; part of the trusted ones."""
+    """(_block, _row, doc_id, lang, part, n_symbols, nll, unseen) of each document, staged: nll by the mean of all
+    models; part of the trusted ones, and unseen, by the mean of the models of other parts."""
     counts = stage(kn.counts(blocks, blocks.labelled(trusted), ["part"]), "quality-counts")
     found = perplexity(blocks, counts).join(trusted.hint("merge"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = [f"nll{k}" for k in range(PARTS)]
-    by_all = F.array_min(F.filter(F.array(*names), lambda x: x.isNotNull()))
-    others = F.lit(None).cast("double")
+    told = F.filter(F.array(*names), lambda x: x.isNotNull())
+    mean = lambda some: F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(some), F.lit(0))
+    unseen = F.lit(None).cast("double")
     for k in range(PARTS):
-        rest = [F.col(n) for n in names if n != f"nll{k}"]
-        others = F.when(F.col("part") == k, sum(rest[1:], rest[0]) / len(rest)).otherwise(others)
-    return stage(found.withColumn("nll", F.when(F.col("part").isNull(), by_all).otherwise(others)).drop(*names), "quality-scores")
+        unseen = F.when(F.col("part") == k, mean(F.filter(F.array(*(F.col(n) for n in names if n != f"nll{k}")), lambda x: x.isNotNull()))).otherwise(unseen)
+    return stage(found.withColumns({"nll": mean(told), "unseen": unseen}).drop(*names), "quality-scores")
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.997) -> DataFrame:
     """One row per document: doc_id, lang, n_symbols, perplexity, bound, keep.
 
-    The documents labelled quality 1 are dealt into PARTS parts, and a model is trained on each.  A trusted
-    document is judged by the models of the other parts, so that no model has seen it, any other by that
-    model which finds it likeliest.  A document is kept if its perplexity stays within the bound that `quantile`
-    of its language's trusted documents keep.  Null and empty texts have no perplexity and aren't kept; a
+    The documents labelled quality 1 are dealt into PARTS parts, and a model is trained on each.  Every document
+    is judged by the mean log-probability of all models, so equal texts are judged alike, labelled or not.  It is
+    kept if its perplexity stays within the bound that `quantile` of its language's trusted documents keep, where each
+    of them is judged by the models of the other parts, which have not seen it.  Null and empty texts have no perplexity and aren't kept; a
     null lang is a language of its own; languages without trusted documents take the bound of all trusted
     documents; without any trusted document all other texts are kept.  Rows that share a doc_id share its label; repeated
     rows are judged alike.  An empty table gives no rows.  Other columns of docs are ignored."""
