@@ -72,7 +72,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     Slot i stands at the golden-ratio point frac(i * GOLDEN); the cumulative shares of the targets map it to
     a source, and a source's slots in their order take its blocks 0, 1, ...  So the points that fall into its
     share decide how many blocks a source gives, a few more or less than its target asks for, and where they
-    stand.  A source whose share no point meets gives one block at the end.  Slots are ranked within runs,
+    stand.  A source whose share no point meets gives one block at the end.  Blocks end where the target does.  Slots are ranked within runs,
     after the slots of the runs before."""
     spark = goals.sparkSession
     total = goals.agg(F.sum("target")).first()[0] or 0
@@ -99,13 +99,14 @@ def takes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     block = BLOCK
     plan = schedule(goals, block).select(F.col("source").alias("_source"), "rank", "slot")
     where = stage(placed(spots, goals), "mixing-places")
-    runs = where.where("size > 0").select("source", "start", "size", F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")) for e in range(REPEATS)))).alias("x"))
-    runs = runs.select("source", "start", "size", "x.epoch", "x.at")
+    runs = where.where("size > 0").select("source", "start", "size", F.round("target").cast("long").alias("goal"), F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")) for e in range(REPEATS)))).alias("x"))
+    runs = runs.select("source", "start", "size", "goal", "x.epoch", "x.at")
     parts = runs.withColumn("part", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     met = parts.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("rank")))
     low = F.col("rank") * block
-    taken = F.least(F.col("at") + F.col("size"), low + block) - F.greatest(F.col("at"), low)
-    return where, met.withColumn("taken", taken).groupBy("source", "start", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
+    # A source's last block ends at its target.
+    taken = F.least(F.col("at") + F.col("size"), low + block, "goal") - F.greatest(F.col("at"), low)
+    return where, met.withColumn("taken", taken).where("taken > 0").groupBy("source", "start", "epoch").agg(F.sum("taken").alias("taken"), F.min("slot").alias("slot"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -114,7 +115,8 @@ def mix(docs: DataFrame) -> DataFrame:
     size is the number of words; source_size and target those of the document's source; taken the words
     that the mix takes of it, at most REPEATS times its size.  A source's documents are shuffled by a hash
     of doc_id and cut, as one run of words that is passed REPEATS times, into equal blocks; the mix takes
-    the blocks that schedule() has slots for, which come within a few blocks of the target.  slots has the place of the document
+    the blocks that schedule() has slots for, up to its target rounded to words, so a source gives its target or a
+    few blocks less.  slots has the place of the document
     in the mix, the first slot of the schedule that takes some of it, for each pass that does; documents of
     one slot follow one another in their source's order.  Null texts have size 0 and give nothing; a
     null source is a source of its own, last in order; a null doc_id is shuffled like any other.  Repeated

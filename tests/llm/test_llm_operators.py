@@ -120,13 +120,14 @@ def test_quality_decisions_equal_brute_force(spark):
     own = [[t for i, t, *_ in rows if part.get(i) == k and i is not None] for k in (0, 1)]
     models = [brute(x, len(set("".join(x))) + 1) for x in own]
     nll = lambda k, t: float(-np.log(models[k](t)).mean())
-    judged = [None if not t else nll(1 - part[i], t) if i in part else min(nll(0, t), nll(1, t)) for i, t, *_ in rows]
+    judged = [None if not t else (nll(0, t) + nll(1, t)) / 2 for _, t, *_ in rows]
+    unseen = [nll(1 - part[i], t) if t and i in part else None for i, t, *_ in rows]
 
     def bound(some):
         steps = sorted(int(np.floor(x / quality.STEP)) for x in some)
         return (steps[int(np.ceil(0.75 * len(steps) - 1e-9)) - 1] + 1) * quality.STEP
 
-    of = {lang: [x for x, r in zip(judged, rows, strict=True) if x and r[0] in part and r[2] == lang] for lang in ("en", None)}
+    of = {lang: [x for x, r in zip(unseen, rows, strict=True) if x and r[2] == lang] for lang in ("en", None)}
     want = []
     for x, r in zip(judged, rows, strict=True):
         cut = bound(of[r[2]]) if of.get(r[2]) else bound([*of["en"], *of[None]])
@@ -220,6 +221,13 @@ def test_blocks_keep_every_row(spark, monkeypatch):
     blocks.drop()
 
 
+def test_small_sources_end_at_their_targets(spark):
+    docs = documents(spark, [(1, "w " * 7, "en", "a"), (2, "w", "en", "b"), (3, "w", "en", None), (4, "w " * 900, "en", "c")])
+    rows = mixing.mix(docs).collect()
+    for r in rows:
+        assert r.taken <= 2 * r.size and (r.taken == round(r.target) if r.target < mixing.BLOCK else abs(r.taken - r.target) <= 3 * mixing.BLOCK)
+
+
 def test_quality(spark, odd, none):
     good = "The people of the town went to the market in the morning and came home at night. " * 3
     rows = [(k, f"{good} {k}", "en", "a") for k in range(60)] + [(100, "QX#! ZZ@@ 0x0x " * 30, "en", "a"), (101, "", "en", "a")]
@@ -229,10 +237,23 @@ def test_quality(spark, odd, none):
     assert all(got[k] for k in range(60)) and not got[100] and not got[101]
     kept = quality.keep_good(docs, known)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
-    assert quality.score(odd, labels(spark)).count() == odd.count()
+    judged = {r.doc_id: (r.n_symbols, r.perplexity, r.keep) for r in quality.score(odd, labels(spark)).collect()}
+    assert len(judged) == 7 and judged[1] == judged[2] == (0, None, False) and judged[5] == (480_000, None, True) and judged[None][2]
     assert quality.score(none, labels(spark)).count() == 0
 
 
+def test_equal_texts_are_judged_alike(spark):
+    """Whether a text is labelled, and under which doc_id it stands, changes neither its score nor its perplexity."""
+    texts = [*TRUSTED, "you vile wretch", "a vile thing", "", None]
+    docs = documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts * 4)])
+    known = labels(spark, [(k, int(k % len(texts) < len(TRUSTED)), int(texts[k % len(texts)] in texts[-4:-2])) for k in range(3 * len(texts)) if k % 5])
+    for found, column in ((toxicity.score(docs, known), "score"), (quality.score(docs, known), "perplexity")):
+        values = collections.defaultdict(set)
+        for r in found.collect():
+            values[texts[r.doc_id % len(texts)]].add(None if r[column] is None else round(r[column], 12))
+        assert all(len(v) == 1 for v in values.values()) and (column == "score") == (values[None] == values[""] != {None})
+
+
 def test_toxicity_held_out(spark, odd, none):
     rng = np.random.default_rng(3)
     words = ["market", "people", "garden", "river", "window", "table", "morning", "letter", "house", "music"]
@@ -244,6 +265,9 @@ def test_toxicity_held_out(spark, odd, none):
     assert np.mean(right) > 0.95 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert toxicity.score(odd, labels(spark, [(1, None, None), (3, 1, 1)])).count() == odd.count()
     assert toxicity.score(none, labels(spark)).count() == 0
+    # Two rows of one toxic document are all there is to learn from: all score the base rate.
+    known = labels(spark, [(3, 1, 1), (3, 1, 0), (5, 1, None)])
+    assert {(r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.score(odd, known).collect()} == {(k, round(2.5 / 3, 9), 1) for k in (1, 2, 3, None, 5, 6, 7)}
 
 
 # Vectors
@@ -607,7 +631,7 @@ def by_hand(rows, golden=None):
     for i in range(int(total // mixing.BLOCK) + 1):
         point = i * golden % 1.0
         blocks.update(s for s, a, b in bounds if a <= point < b)
-    return size, target, {s: max(1, blocks[s]) * mixing.BLOCK for s, *_ in bounds}
+    return size, target, {s: min(max(1, blocks[s]) * mixing.BLOCK, round(target[s])) for s, *_ in bounds}
 
 
 @pytest.mark.parametrize("golden", [None, 0.25])
