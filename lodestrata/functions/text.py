@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Words that tell nothing of a law's identity.
 LAW_STOP_WORDS = ("act", "acts", "the", "of", "and", "a", "an", "no", "pu")
-#: Words of amending instruments.
-AMENDMENT_WORDS = ("amendment", "amending", "amended", "amend")
+#: Words of amending instruments, and what numbers an instrument.
+AMENDMENT_WORDS = ("amendment", "amending")
+NUMBERING = "^(?:[0-9]+|[a-z][0-9]+)$"
 ACCENTED, PLAIN = "äçèéêíñóöüáâúîô", "aceeeinoouaauio"
 
 
@@ -22,10 +23,11 @@ def normalize_law(x: Column) -> Column:
 
 
 def normalize_law_name(x: Column) -> Column:
-    """Drops parentheses that hold an acronym or a register number, turns & into and; others stay."""
-    x = F.regexp_replace(x, r"\(\s*[A-Z]{2,10}\s*\)", " ")
-    x = F.regexp_replace(x, r"\(\s*(?:No\.?\s*|Act\s+)?[0-9]+(?:\s+of\s+[0-9]{4})?\s*\)", " ")
-    return collapse(F.regexp_replace(x, "&", " and "))
+    """A title in lower case, letters a-z and digits only: parentheses that hold an acronym or a register identifier
+    go, those of other words stay, & becomes and."""
+    alias = r"\(\s*(?:[A-Z][A-Z0-9.&/-]{1,14}|(?i:Act|No\.?)\s*[0-9]+(?i:[A-Z-]*))\s*\)"
+    x = F.replace(F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), alias, " ")), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
 def law_tokens(x: Column, stop: tuple[str, ...] = LAW_STOP_WORDS) -> Column:
@@ -35,8 +37,8 @@ def law_tokens(x: Column, stop: tuple[str, ...] = LAW_STOP_WORDS) -> Column:
 
 
 def family(tokens: Column) -> Column:
-    """Tokens without amendment words and numbers."""
-    return F.filter(tokens, lambda t: ~t.isin(*AMENDMENT_WORDS) & ~t.rlike("^[0-9]+$"))
+    """Tokens without amendment words, numbers and letters with a number."""
+    return F.filter(tokens, lambda t: ~t.isin(*AMENDMENT_WORDS) & ~t.rlike(NUMBERING))
 
 
 def same_law(a: Column, b: Column) -> Column:
@@ -81,16 +83,6 @@ def section_key(x: Column) -> Column:
     return F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"), F.upper(F.regexp_extract(x, "([A-Za-z]*)$", 1)).alias("suffix"))
 
 
-#: Reference patterns in their priority; a space stands for optional white space.
-REFERENCES = (r"sch(?:edule)?\.? ([0-9]+)", r"(?:art(?:icle)?s?)\.? ([0-9]+[a-z]?)", r"(?:sections?|ss?)\.? ([0-9]+[a-z]{0,2}(?:\([0-9a-z]+\))*)", r"(?:regulations?|regs?)\.? ([0-9]+[a-z]?)", r"(?:part) ([0-9]+|[ivxlc]+)", r"(?:apps?|principles?) ([0-9]+(?:\.[0-9]+)?)")
-
-
-def extract_refs(x: Column) -> Column:
-    """References by pattern priority, without white space, each once regardless of case."""
-    found = [F.regexp_extract_all(F.lower(x), F.lit(rf"(?:^|[^a-z0-9])({p.replace(' ', chr(92) + 's*')})"), F.lit(1)) for p in REFERENCES]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda r: F.regexp_replace(r, r"\s+", "")))
-
-
 def plain_letters(x: Column) -> Column:
     """Lower case without the accents of Latin letters."""
     return F.translate(F.lower(x), ACCENTED, PLAIN)
@@ -141,27 +133,76 @@ def open_ending(x: Column) -> Column:
     return F.when(end.rlike(r"[:—-]$"), "FAIL_OPEN_LIST").when(F.lower(end).rlike(r"(^|[^a-z])(and|or|but|if|unless|where|the|of|to)[,;]?$"), "FAIL_DANGLING_CONNECTOR")
 
 
+def _sign(word: Column, known: Column) -> Column:
+    """One character for each of the known words, by its place; surrogates are passed over."""
+    code = F.array_position(known, word) + 0x4E00
+    return F.decode(F.unhex(F.lpad(F.hex(code + F.when(code >= 0xD800, 0x800).otherwise(0)), 8, "0")), "UTF-32")
+
+
+def list_edits(one: Column, two: Column) -> Column:
+    """Levenshtein's distance of two arrays of strings."""
+    coded = lambda x, known: F.array_join(F.transform(x, lambda w: _sign(w, known)), "")
+    return F.element_at(F.transform(F.array(F.array_distinct(F.concat(one, two))), lambda known: F.levenshtein(coded(one, known), coded(two, known))), 1)
+
+
+# The tokens of a citation.
+CITATION_TOKEN = r"(?i)\b\d+(?:\.\d+)?[A-Z]{0,3}\b|\([a-z0-9ivxlcdm]+\)"
+
+
+def citation_tokens(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(CITATION_TOKEN), F.lit(0))
+
+
+def citation_accuracy(reading: Column, truth: Column) -> Column:
+    """1 less the edits of a reading's list of citation tokens by the truth's tokens, of which one at least counts."""
+    return 1 - list_edits(citation_tokens(reading), citation_tokens(truth)) / F.greatest(F.size(citation_tokens(truth)), F.lit(1))
+
+
 def error_rates(reading: Column, truth: Column) -> dict[str, Column]:
     """Edits of a reading by characters and by words, and the truth's characters and words.
 
     Words are numbered within a pair and stand as one character each, so that both distances are Levenshtein's."""
     split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
     every = F.array_distinct(F.concat(split(reading), split(truth)))
-    sign = lambda w, known: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4E00)), "UTF-16BE")
-    coded = lambda x, known: F.array_join(F.transform(split(x), lambda w: sign(w, known)), "")
+    coded = lambda x, known: F.array_join(F.transform(split(x), lambda w: _sign(w, known)), "")
     # The words of the pair are bound by a transformation, or they would be told anew for each of them.
     edits = F.transform(F.array(every), lambda known: F.levenshtein(coded(reading, known), coded(truth, known)))
     return {"char_edits": F.levenshtein(reading, truth), "chars": F.length(truth), "word_edits": F.element_at(edits, 1), "words": F.size(split(truth))}
 
 
-#: Legal functions, of which a text has the first that matches.
-LEGAL_FUNCTIONS = (("prohibition", r"(shall not|must not|prohibit|may not)"), ("consent", r"consent"), ("exception", r"(except|unless|exempt)"), ("obligation", r"(shall|must|required)"), ("definition", r"(means|includes)"))
+# What a provision does, of which a text has the first that matches, and what makes it speak directly
+# to an indicator.
+LEGAL_FUNCTIONS = (
+    ("framework", r"purpose|object|framework|national cyber security system|govern"),
+    ("incident", r"incident|notify|notification|report"),
+    ("risk_audit", r"risk assessment|audit|vulnerability|exercise"),
+    ("controls", r"code of practice|standard|measure|mechanism|program|plan"),
+    ("retention", r"retain|keep|preserve|year|month|day"),
+    ("data_access", r"computer(?:i[sz]ed)? data|access to data|produce document|intercept"),
+    ("search_seizure", r"search|seiz|enter premises|warrant"),
+    ("investigation", r"investigat|authorised officer|authorized officer"),
+)
+DIRECT = {
+    "P7-I1": r"purpose|govern|personal data protection|horizontal",
+    "P7-I2": r"cyber security system|cybersecurity framework|risk management|incident",
+    "P7-I3": r"at least|not less than|for (?:a period of )?\w+ years?|\d+ years?",
+    "P7-I4": r"data protection officer|impact assessment|responsible for compliance",
+    "P7-I5": r"without (?:first )?(?:obtaining )?(?:a )?warrant|computer(?:i[sz]ed)? data|intercept",
+}
 
 
 def legal_function(x: Column) -> Column:
-    out = F.lit("other")
+    out, low = F.lit("other"), F.lower(x)
     for name, pattern in reversed(LEGAL_FUNCTIONS):
-        out = F.when(F.lower(x).rlike(pattern), name).otherwise(out)
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def directness(indicator: Column, x: Column) -> Column:
+    """1 if the text speaks directly to the indicator, else 0."""
+    out, low = F.lit(0), F.lower(x)
+    for name, pattern in DIRECT.items():
+        out = F.when((indicator == name) & low.rlike(pattern), 1).otherwise(out)
     return out
 
 
@@ -175,11 +216,34 @@ def split_acts(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"[;\n]+"), lambda a: F.trim(a)), lambda a: a != "")
 
 
-def indicator_code(x: Column) -> Column:
-    """'6.4' or 'Indicator 6.4' as P6-I4; null without such a number."""
-    found = r"(?:^|[^0-9.])([0-9]{1,2})\.([0-9]{1,2})(?:[^0-9.]|\.(?:[^0-9]|$)|$)"
-    pillar, number = (F.regexp_extract(x, found, k) for k in (1, 2))
-    return F.when(pillar != "", F.concat(F.lit("P"), pillar, F.lit("-I"), number))
+# The policies' names and the indicators that they stand for.
+POLICY_INDICATORS = {
+    "ban and local processing requirements": "P6-I1",
+    "local storage requirements": "P6-I2",
+    "infrastructure requirements": "P6-I3",
+    "conditional flow regimes": "P6-I4",
+    "not in agreement with binding commitments on data transfer": "P6-I5",
+    "lack of comprehensive legal framework for data protection": "P7-I1",
+    "lack of dedicated legal framework for cybersecurity": "P7-I2",
+    "minimum period of data retention requirements": "P7-I3",
+    "data protection impact assessment or data protection officer requirements": "P7-I4",
+    "requirements to allow government access to personal data": "P7-I5",
+}
+
+
+def policy_name(x: Column) -> Column:
+    """A policy's name in lower case, & as and, without other punctuation."""
+    return collapse(F.regexp_replace(F.replace(F.lower(x), F.lit("&"), F.lit("and")), "[^a-z0-9 ]+", " "))
+
+
+def indicator_code(x: Column, pillar: Column | None = None) -> Column:
+    """'6.4' or 'Indicator 6.4' as P6-I4, or a policy by its name; else the pillar alone as P6-I?, if it is one of the
+    twelve; else null."""
+    one, two = (F.nullif(F.regexp_extract(x, r"\b([0-9]{1,2})\.([0-9]{1,2})\b", k), F.lit("")).cast("int") for k in (1, 2))
+    code = F.when(one.between(1, 12), F.concat(F.lit("P"), one.cast("string"), F.lit("-I"), two.cast("string")))
+    name = F.element_at(F.create_map(*(F.lit(v) for pair in POLICY_INDICATORS.items() for v in pair)), policy_name(x))
+    whole = F.floor(pillar.try_cast("double")).cast("int") if pillar is not None else F.lit(None).cast("int")
+    return F.coalesce(code, name, F.when(whole.between(1, 12), F.concat(F.lit("P"), whole.cast("string"), F.lit("-I?"))))
 
 
 def expects_anchor(score: Column, restrictive_when_high: Column) -> Column:
@@ -189,14 +253,6 @@ def expects_anchor(score: Column, restrictive_when_high: Column) -> Column:
     return F.when(n.isNull(), True).when(restrictive_when_high, n > 0).otherwise(n < 1)
 
 
-def citation_path(x: Column) -> Column:
-    """The section and its bracketed parts of a citation, outermost first: 12(1)(a) gives 12, 12(1), 12(1)(a)."""
-    base = F.regexp_extract(x, r"([0-9]+[A-Za-z]{0,3})(\([0-9A-Za-z]+\))*", 1)
-    parts = F.regexp_extract_all(F.regexp_extract(x, r"[0-9]+[A-Za-z]{0,3}((?:\([0-9A-Za-z]+\))*)", 1), F.lit(r"(\([0-9A-Za-z]+\))"), F.lit(1))
-    path = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.concat(base, F.when(k > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(k, F.lit(1))), "")).otherwise("")))
-    return F.when(base == "", F.array().cast("array<string>")).otherwise(path)
-
-
 def expand_citations(x: Column) -> Column:
     """'Sections 4, 5A and 7(1)' as s4, s5A, s7(1), each once."""
     found = F.regexp_extract_all(F.regexp_extract(x, r"(?i)(?:sections?|ss?\.?)\s+(.*)$", 1), F.lit(r"([0-9]+[A-Za-z]{0,2}(?:\([0-9A-Za-z]+\))*)"), F.lit(1))
@@ -224,16 +280,3 @@ def usable_unit(x: Column, least: int = 30, most: int = 20_000) -> Column:
 
 def needs_review(confidence: Column, warned: Column, escalated: Column, tag: Column) -> Column:
     return (F.coalesce(confidence, F.lit(0.0)) < 0.8) | F.coalesce(warned, F.lit(False)) | F.coalesce(escalated, F.lit(False)) | F.coalesce(tag == "NEW", F.lit(False))
-
-
-#: Roles of a reference by the words before it, the strongest last.
-REFERENCE_ROLES = (("operative", r"(shall|must|may not|prohibit)"), ("definition", r"(means|defined|definition)"), ("supporting", r"(see|under|pursuant)"), ("instrument_title", r"(act|regulations|order)$"))
-
-
-def reference_role(before: Column) -> Column:
-    """The role that the 90 characters before a reference give it."""
-    near = F.lower(F.substring(before, -90, 90))
-    out = F.lit("negative_evidence")
-    for name, pattern in reversed(REFERENCE_ROLES):
-        out = F.when(near.rlike(pattern), name).otherwise(out)
-    return out

@@ -32,16 +32,6 @@ def blocked(status: Column, body: Column) -> Column:
     return F.coalesce(status.isin(403, 429, 503) | ((status == 200) & challenge), F.lit(False))
 
 
-def legal_status(text: Column) -> dict[str, Column]:
-    """The status that the markers of a text tell, in order of their weight, and whether they disagree."""
-    low = F.lower(text)
-    found = {"repealed": low.rlike("repealed"), "not_commenced": low.rlike("not yet (commenced|in force)"), "superseded": low.rlike("superseded"), "in_force": low.rlike("(current version|in force)")}
-    status = F.lit("unknown")
-    for name, hit in reversed(found.items()):
-        status = F.when(hit, name).otherwise(status)
-    return {"status": status, "conflict": sum((hit.cast("int") for hit in found.values()), F.lit(0)) > 1}
-
-
 def page_route(chars: Column, quality: Column, text_area: Column, spans: Column, bands: Column, images: Column) -> Column:
     """How a page is read: NATIVE_SIMPLE, NATIVE_COMPLEX, SCANNED, MIXED or REVIEW."""
     return (

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import directness, legal_function
+
 
 def curate(rows: DataFrame, by: list[str], kind: str, rank: list[Column], limit: Column | int) -> DataFrame:
     """rows with chosen and place: in each group the best row of every kind first, then the others by rank,
@@ -16,6 +18,34 @@ def curate(rows: DataFrame, by: list[str], kind: str, rank: list[Column], limit:
     return out.withColumn("chosen", F.col("place") <= limit)
 
 
+#: How many findings of an instrument an indicator keeps; two for any other.
+LIMITS = {"P7-I1": 1, "P7-I2": 2, "P7-I3": 3, "P7-I4": 2, "P7-I5": 2}
+FINDING = ["economy", "indicator", "law"]
+
+
+def curate_findings(findings: DataFrame) -> DataFrame:
+    """findings(economy, indicator, law, section, snippet, rationale, tag, alignment, risks, confidence) with
+    legal_function, place and chosen: of the NEW ones of an instrument those kept are, best first, one for each legal
+    function and then the others, up to the indicator's limit.  Known findings and absences are all chosen, without a
+    place.  Better is: aligned, direct, fewer risks (an array), more confident, pinpointed, the later section."""
+    said = F.concat_ws(" ", F.coalesce("snippet", F.lit("")), F.coalesce("rationale", F.lit("")))
+    out = findings.withColumn("legal_function", legal_function(said)).withColumn("_new", F.coalesce((F.col("tag") == "NEW") & ~F.contains(F.col("snippet"), F.lit("NO_EVIDENCE_FOUND")), F.lit(False)))
+    limit = F.lit(2)
+    for name, n in LIMITS.items():
+        limit = F.when(F.col("indicator") == name, n).otherwise(limit)
+    rank = [
+        F.desc(F.coalesce(F.col("alignment").isin("exact", "anchor"), F.lit(False))),
+        F.desc(directness(F.col("indicator"), said)),
+        F.coalesce(F.size("risks"), F.lit(0)),
+        F.desc("confidence"),
+        F.desc(F.contains(F.coalesce("section", F.lit("")), F.lit("("))),
+        F.desc("section"),
+    ]
+    new = curate(out.where("_new"), FINDING, "legal_function", rank, limit)
+    rest = out.where("not _new").withColumn("place", F.lit(None).cast("int")).withColumn("chosen", F.lit(True))
+    return new.unionByName(rest).drop("_new")
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import collapse, parse_date
@@ -29,9 +29,13 @@ def g4_currentness(status: Column, date: Column) -> Column:
     return F.when(status.isNull() | (status == "unknown"), "WARN").when(status != "in_force", "FAIL").when(parse_date(date).isNull(), "WARN").otherwise("PASS")
 
 
-def g5_exceptions(indicator: Column, snippet: Column, text: Column, words: str) -> Column:
+#: Words of exception.
+EXCEPTIONS = r"(?i)\bunless\b|\bexcept\b|subject to|provided that|notwithstanding"
+
+
+def g5_exceptions(indicator: Column, snippet: Column, text: Column, words: str = EXCEPTIONS) -> Column:
     """Words of exception in the text but not in the snippet."""
-    hidden = F.lower(text).rlike(words) & ~F.lower(snippet).rlike(words)
+    hidden = text.rlike(words) & ~snippet.rlike(words)
     return F.when(hidden & (indicator == "P6-I1"), "FAIL").when(hidden, "WARN").otherwise("PASS")
 
 
@@ -128,13 +132,85 @@ def overall(*gates: Column) -> Column:
     return F.when(F.exists(F.array(*gates), lambda g: g == "FAIL"), "FAIL").when(F.exists(F.array(*gates), lambda g: g == "WARN"), "WARN").otherwise("PASS")
 
 
-def eligibility(source_type: Column, name: Column, status: Column, allowed: tuple[str, ...], denied: tuple[str, ...]) -> Column:
-    """Why a document gives no evidence, or 'eligible'."""
-    return (
-        F.when(source_type.isin(*denied), F.concat(F.lit("source type "), source_type))
-        .when((source_type != "treaty") & F.lower(name).rlike("(agreement|convention)"), "name of an agreement")
-        .when(F.lower(name).rlike("(draft|bill|proposal)"), "name of a draft")
-        .when(status.isNull() | (status != "in_force"), F.concat(F.lit("status "), F.coalesce(status, F.lit("unknown"))))
-        .when(~source_type.isin(*allowed), "source type not allowed")
-        .otherwise("eligible")
-    )
+# Source types that give no evidence and why, those that may, and what names betray.
+INELIGIBLE_TYPES = {
+    "bill": "BILL_OR_DRAFT",
+    "draft": "BILL_OR_DRAFT",
+    "consultation": "CONSULTATION",
+    "international_agreement": "INTERNATIONAL_AGREEMENT",
+    "commentary": "SECONDARY_COMMENTARY",
+    "company_policy": "COMPANY_POLICY",
+}
+ELIGIBLE_TYPES = ("act", "statute", "regulation", "official_code", "official_instrument", "treaty")
+INELIGIBLE_NAMES = (
+    ("BILL_OR_DRAFT", r"(?i)\b(bill|draft|exposure draft)\b"),
+    ("CONSULTATION", r"(?i)\bconsultation|discussion paper\b"),
+    ("INTERNATIONAL_AGREEMENT", r"(?i)\b(agreement|treaty|rcep)\b"),
+    ("SECONDARY_COMMENTARY", r"(?i)\b(commentary|client alert|legal update|blog)\b"),
+    ("COMPANY_POLICY", r"(?i)\b(company|corporate) policy\b"),
+)
+
+
+def eligibility(name: Column, source_type: Column, status: Column) -> Column:
+    """Why an instrument gives no evidence, or null: its type, what its name betrays (a declared treaty may be named as
+    one), a status other than in force (null: unknown), or a type that isn't on the list."""
+    kind, name = F.lower(F.trim(source_type)), F.coalesce(name, F.lit(""))
+    status = F.coalesce(status, F.lit("unknown"))
+    out = F.when(~F.coalesce(kind.isin(*ELIGIBLE_TYPES), F.lit(False)), "UNSUPPORTED_SOURCE_TYPE")
+    out = F.when(status != "in_force", F.concat(F.lit("STATUS_"), F.upper(status))).otherwise(out)
+    for reason, pattern in reversed(INELIGIBLE_NAMES):
+        told = name.rlike(pattern)
+        if reason == "INTERNATIONAL_AGREEMENT":
+            told = told & ~F.coalesce(kind == "treaty", F.lit(False))
+        out = F.when(told, reason).otherwise(out)
+    for denied, reason in INELIGIBLE_TYPES.items():
+        out = F.when(kind == denied, reason).otherwise(out)
+    return out
+
+
+#: A page that a draft marks, and how many and what share of the pages must be.
+DRAFT_PAGE, DRAFT_PAGES, DRAFT_SHARE = r"(?im)^\s*(?:exposure\s+)?draft\s*$", 2, 0.10
+
+
+def content_eligibility(pages: DataFrame, keys: list[str], documents: DataFrame) -> DataFrame:
+    """documents(keys) with draft_pages, pages and reason: EMPTY_DOCUMENT without pages(keys, text),
+    BILL_OR_DRAFT_CONTENT if enough of them hold a line that is only the mark of a draft, else null."""
+    marked = F.count_if(F.coalesce(F.col("text").rlike(DRAFT_PAGE), F.lit(False)))
+    each = pages.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(marked.alias("draft_pages"), F.count("*").alias("pages"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    out = documents.select(*keys).distinct().join(each, on, "left").drop(*(f"_{k}" for k in keys))
+    draft = (F.col("draft_pages") >= DRAFT_PAGES) & (F.col("draft_pages") / F.col("pages") >= DRAFT_SHARE)
+    reason = F.when(F.col("pages").isNull(), "EMPTY_DOCUMENT").when(draft, "BILL_OR_DRAFT_CONTENT")
+    return out.withColumn("reason", reason).fillna(0, ["draft_pages", "pages"])
+
+
+# What tells a status, of which the first decides, and what contradicts one in force.
+STATUS_MARKERS = (
+    ("repealed", r"\brepealed|ceased to be in force\b", "official fact contains repeal marker"),
+    ("superseded", r"\bsuperseded|replaced by\b", "official fact contains supersession marker"),
+    ("not_yet_effective", r"\bnot yet (in force|commenced)|commences on\b", "official fact contains future-commencement marker"),
+    ("draft", r"\b(bill|draft)\b", "official fact identifies a bill/draft"),
+)
+IN_FORCE = r"\b(current|latest|in force|compilation)\b"
+CONTRADICTS = r"\brepealed|superseded|ceased to be in force\b"
+
+
+def resolve_status(fact: Column, current_as_at: Column, explicit: Column) -> dict[str, Column]:
+    """status, rule and conflict of an official fact: an explicit status wins, then the markers in their order, then an
+    assertion of currency that bears a date; one in force conflicts with words of repeal."""
+    low = F.lower(F.coalesce(fact, F.lit("")))
+    dated = F.coalesce(current_as_at != "", F.lit(False))
+    current = dated & low.rlike(IN_FORCE)
+    status = F.when(current, "in_force").otherwise("unknown")
+    rule = F.when(current, "official current/latest compilation assertion plus date").otherwise("no sufficient official legal-status assertion")
+    for name, pattern, why in reversed(STATUS_MARKERS):
+        status, rule = F.when(low.rlike(pattern), name).otherwise(status), F.when(low.rlike(pattern), why).otherwise(rule)
+    told = F.coalesce(explicit != "", F.lit(False))
+    status, rule = F.when(told, explicit).otherwise(status), F.when(told, "official structured status field").otherwise(rule)
+    return {"status": status, "rule": rule, "conflict": (status == "in_force") & low.rlike(CONTRADICTS)}
+
+
+def status_allows_final(status: Column, conflict: Column, url: Column, fact: Column) -> Column:
+    """In force, without conflict, from a fact with an address."""
+    filled = lambda x: F.coalesce(x != "", F.lit(False))
+    return F.coalesce((status == "in_force") & ~conflict, F.lit(False)) & filled(url) & filled(fact)

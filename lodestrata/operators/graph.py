@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.gates import CROSS_REFERENCE, REFERENCE_REACH
+
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(node, hop): the nodes within `hops` undirected steps of seeds(node), at their least distance."""
@@ -30,3 +32,14 @@ def paths(first: DataFrame, second: DataFrame) -> DataFrame:
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges whose target is no node."""
     return edges.join(nodes.select(F.col("node").alias("_n")), F.col("dst") == F.col("_n"), "left_anti")
+
+
+def section_references(provisions: DataFrame) -> DataFrame:
+    """(src, rel, dst) for provisions(id, economy, law, text): an edge to each section of the same act that the first
+    REFERENCE_REACH characters name; references to another act that is named give none."""
+    near = F.substring(F.coalesce(F.col("text"), F.lit("")), 1, REFERENCE_REACH)
+    base, act = (F.regexp_extract_all(near, F.lit(CROSS_REFERENCE), F.lit(k)) for k in (1, 2))
+    met = provisions.select("id", "economy", "law", F.explode(F.arrays_zip(base.alias("base"), act.alias("act"))).alias("x"))
+    met = met.where((F.col("x.act") == "") | F.lower(F.trim(F.col("x.act"))).rlike("^(this |that |the said)"))
+    target = F.concat(F.lit("section:"), "economy", F.lit(":"), "law", F.lit(":s. "), F.upper("x.base"))
+    return met.select(F.col("id").alias("src"), F.lit("CROSS_REFERENCES").alias("rel"), target.alias("dst")).distinct()

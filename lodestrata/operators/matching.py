@@ -129,3 +129,12 @@ def token_disagreement(one: DataFrame, two: DataFrame, keys: list[str], pattern:
     met = one.withColumnRenamed("text", "_a").join(two.withColumnRenamed("text", "_b"), keys, "left")
     apart = F.array_sort(F.array_union(F.array_except(tokens(F.col("_a")), tokens(F.col("_b"))), F.array_except(tokens(F.col("_b")), tokens(F.col("_a")))))
     return met.select(*keys, apart.alias("apart"))
+
+
+def structure_accuracy(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, expected, shared, accuracy): the share of the distinct paths (arrays) of expected(keys, path) that
+    found(keys, path) has too."""
+    one = expected.where("path is not null").select(*keys, "path").distinct()
+    two = found.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("path").alias("_path")).distinct()
+    met = one.join(two, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("path") == F.col("_path")], "left")
+    return met.groupBy(*keys).agg(F.count("*").alias("expected"), F.count("_path").alias("shared"), F.round(F.count("_path") / F.count("*"), 6).alias("accuracy"))

@@ -21,10 +21,43 @@ def nominal_alpha(ratings: DataFrame) -> DataFrame:
     return one.select(F.round(alpha, 3).alias("alpha"), "units", F.col("all").alias("ratings"))
 
 
-def indicator_score(horizontal: Column, real: Column, restrictive: Column) -> Column:
-    """0, 0.5 or 1 from a horizontal rule, the number of real rows and the indicator's polarity."""
-    raw = F.when(horizontal, 1.0).when(real > 0, 0.5).otherwise(0.0)
-    return F.when(restrictive, 1.0 - raw).otherwise(raw)
+# The scores of indicators without evidence, with evidence of some sectors only, and with evidence that
+# holds for all sectors.
+SCORES = {
+    "P6-I1": (0.0, 0.5, 1.0),
+    "P6-I2": (0.0, 0.5, 1.0),
+    "P6-I3": (0.0, 1.0, 1.0),
+    "P6-I4": (0.0, 0.5, 1.0),
+    "P6-I5": (1.0, 0.0, 0.0),
+    "P7-I1": (1.0, 0.5, 0.0),
+    "P7-I2": (1.0, 0.5, 0.0),
+    "P7-I3": (0.0, 1.0, 1.0),
+    "P7-I4": (0.0, 0.5, 1.0),
+    "P7-I5": (0.0, 1.0, 1.0),
+}
+COURT_GATED = "COURT-GATED"
+
+
+def indicator_score(indicator: Column, real: Column, horizontal: Column, gated: Column) -> Column:
+    """The score that an indicator's number of real rows, whether one of them is horizontal, and how many of them stand
+    under a court's control give; access that is so controlled throughout scores 0, as do unknown indicators."""
+    out = F.lit(0.0)
+    for name, (none, some, all_) in SCORES.items():
+        own = F.when(real == 0, none).when(horizontal, all_).otherwise(some)
+        out = F.when(indicator == name, own).otherwise(out)
+    return F.when((indicator == "P7-I5") & (real > 0) & (gated == real), 0.0).otherwise(out)
+
+
+def indicator_scores(evidence: DataFrame, keys: list[str], indicators: DataFrame) -> DataFrame:
+    """indicators(keys, indicator) with real, horizontal and score, from evidence(keys, indicator, section, coverage,
+    notes): rows whose section is empty or n/a are no evidence."""
+    real = F.coalesce(~F.col("section").isin("n/a", ""), F.lit(False))
+    flat = F.col("coverage").startswith("Horizontal")
+    names = [*keys, "indicator"]
+    gated = F.contains(F.concat_ws(" ", *(F.col(c).cast("string") for c in evidence.columns)), F.lit(COURT_GATED))
+    each = evidence.where(real).groupBy(*(F.col(c).alias(f"_{c}") for c in names)).agg(F.count("*").alias("real"), F.coalesce(F.bool_or(flat), F.lit(False)).alias("horizontal"), F.count_if(gated).alias("_gated"))
+    met = indicators.select(*names).distinct().join(each, [F.col(c) == F.col(f"_{c}") for c in names], "left").fillna(0, ["real", "_gated"]).fillna(False, ["horizontal"])
+    return met.select(*names, "real", "horizontal", indicator_score(F.col("indicator"), F.col("real"), F.col("horizontal"), F.col("_gated")).alias("score"))
 
 
 def score_band(values: list[Column], own: Column, gold: Column) -> dict[str, Column]:

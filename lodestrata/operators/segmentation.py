@@ -143,13 +143,3 @@ def after_last(rows: DataFrame, by: list[str], order: str, title: Column) -> Dat
 def occurrence_distinct(rows: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """Each value of a group once, at its first place."""
     return rows.groupBy(*by, value).agg(F.min(order).alias(order))
-
-
-#: Openings of the parts of a rule; a part reaches to the next full stop.
-COMPONENTS = {"exception": r"(except|unless|does not apply)", "condition": r"(if|where|provided that)", "definition": r"(means|includes)", "note": r"note:", "cross_reference": r"(subject to|under section)"}
-
-
-def rule_components(text: Column) -> Column:
-    """The number of parts of each role in a text, as a map."""
-    pairs = [(F.lit(role), F.regexp_count(F.lower(text), F.lit(rf"(^|[^a-z]){pattern}[^.]*"))) for role, pattern in COMPONENTS.items()]
-    return F.create_map(*(x for pair in pairs for x in pair))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import citations, corpus, documents, matching, retrieval, review, statutes
+from lodestrata.plans import citations, corpus, documents, matching, retrieval, review, rules, statutes
 
-_ALL = retrieval.QUERIES | matching.QUERIES | documents.QUERIES | corpus.QUERIES | citations.QUERIES | review.QUERIES | statutes.QUERIES
+_ALL = retrieval.QUERIES | matching.QUERIES | documents.QUERIES | corpus.QUERIES | citations.QUERIES | review.QUERIES | statutes.QUERIES | rules.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,23 +16,12 @@ def _citation() -> Column:
     return F.concat(F.lit("Section "), (n % 90 + 1).cast("string"), F.lit("A("), (n % 4 + 1).cast("string"), F.lit(")(b)"))
 
 
-def citation_paths(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.array_join(X.citation_path(_citation()), "|").alias("path"), X.citation_tier(F.when(F.col("o_orderkey") % 2 == 0, _citation()).otherwise("Section 5")).alias("tier"))
-
-
 def citation_lists(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_orderkey")
     text = F.concat(F.lit("Sections "), (n % 9).cast("string"), F.lit(", "), (n % 7).cast("string"), F.lit("A and "), (n % 9).cast("string"))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(X.expand_citations(text), ",").alias("refs"))
 
 
-def indicator_codes(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Indicator "), (F.col("p_size") % 7 + 1).cast("string"), F.lit("."), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.col("p_name"))
-    return p.select("p_partkey", X.indicator_code(text).alias("code"), X.expects_anchor(F.when(F.col("p_partkey") % 4 == 0, F.lit("n/a")).otherwise((F.col("p_size") % 3 / 2.0).cast("string")), F.col("p_partkey") % 2 == 0).alias("expected"))
-
-
 def split_cells(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     cell = F.concat(F.col("p_name"), F.lit(" ;; "), F.col("p_brand"), F.lit("\n "), F.col("p_type"))
@@ -96,11 +85,6 @@ def review_needed(spark: SparkSession, d: str) -> DataFrame:
     return line.groupBy(need.alias("review")).agg(F.count("*").alias("n"))
 
 
-def component_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.explode(segmentation.rule_components(F.col("text"))).alias("role", "n"))
-    return docs.groupBy("role").agg(F.count_if(F.col("n") > 0).alias("docs"))
-
-
 def usable_units(spark: SparkSession, d: str) -> DataFrame:
     unit = X.usable_unit(F.col("line"))
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -110,9 +94,7 @@ def usable_units(spark: SparkSession, d: str) -> DataFrame:
 _COMPONENT = "select '{0}' role, count(*) filter (regexp_matches(lower(text), '(^|[^a-z]){1}')) docs from documents"
 
 QUERIES = {
-    "citation_paths": (citation_paths, "with n as (select o_orderkey, (o_orderkey % 90 + 1)::varchar || 'A' b, '(' || (o_orderkey % 4 + 1)::varchar || ')' p from orders) select o_orderkey, b || '|' || b || p || '|' || b || p || '(b)' path, case when o_orderkey % 2 = 0 then '[verify-pinpoint]' else '[verify]' end tier from n"),
     "citation_lists": (citation_lists, "with n as (select o_orderkey, 's' || (o_orderkey % 9)::varchar a, 's' || (o_orderkey % 7)::varchar || 'A' b from orders) select o_orderkey, a || ',' || b refs from n"),
-    "indicator_codes": (indicator_codes, "select p_partkey, case when p_partkey % 3 = 0 then 'P' || (p_size % 7 + 1)::varchar || '-I' || (p_partkey % 5)::varchar end code, case when p_partkey % 4 = 0 then true when p_partkey % 2 = 0 then p_size % 3 > 0 else p_size % 3 < 2 end expected from part"),
     "split_cells": (split_cells, "select p_partkey, 0::int place, p_name act from part union all select p_partkey, 1, p_brand from part union all select p_partkey, 2, p_type from part"),
     "markdown_cleanup": (markdown_cleanup, "select page_id, 'See the page and ' || page_id::varchar plain, url urls from pages"),
     "build_fingerprints": (build_fingerprints, "select page_id, sha256(sha256(html) || chr(31) || '1.0' || chr(31) || 'statute' || chr(31) || 'malay,treaty' || chr(31)) fingerprint from pages"),
@@ -124,6 +106,5 @@ QUERIES = {
     "contents_dropped": (contents_dropped, "with m as (select *, max(turn) filter (role = 'user') over (partition by conv_id) t from conversations) select conv_id, turn, role from m where t is null or turn >= t"),
     "first_occurrences": (first_occurrences, "select user_id, event_type, min(event_id) event_id from events group by 1, 2"),
     "review_needed": (review_needed, "select 1 - l_discount * 3 < 0.8 or l_tax > 0.07 or l_quantity > 49 review, count(*) n from lineitem group by 1"),
-    "component_counts": (component_counts, " union all ".join(_COMPONENT.format(role, pattern) for role, pattern in segmentation.COMPONENTS.items())),
     "usable_units": (usable_units, "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) units, sum(length(substr(line,1,20000)))::bigint chars from l where length(trim(line)) >= 30 group by 1"),
 }

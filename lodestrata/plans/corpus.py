@@ -28,11 +28,6 @@ def fetch_checks(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(corpus.blocked(status, F.col("html")).alias("blocked"), corpus.media_suffix(F.col("url"), F.when(F.col("page_id") % 5 == 0, "application/PDF")).alias("suffix")).agg(F.count("*").alias("n"))
 
 
-def status_cascade(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "In Force"), F.when(F.col("doc_id") % 5 == 0, "repealed by"), F.when(F.col("doc_id") % 7 == 0, "not yet commenced"), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in corpus.legal_status(text).items()))
-
-
 def page_routing(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
     n, images = F.length("html"), F.col("page_id") % 4 == 0
@@ -139,13 +134,6 @@ def reviewer_independence(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("event_type").alias("stages"), (F.countDistinct(F.col("event_id") % 4) >= F.countDistinct("event_type")).alias("independent"))
 
 
-def structure_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Shared over expected tags of neighbouring pages of a host's path."""
-    p = table(spark, d, "pages").select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z]+)"), F.lit(1))).alias("tags"))
-    q = p.select((F.col("page_id") - 1).alias("page_id"), F.col("tags").alias("expected"))
-    return p.join(q, "page_id").select("page_id", F.round(F.size(F.array_intersect("tags", "expected")) / F.greatest(F.size("expected"), F.lit(1)), 4).alias("accuracy"))
-
-
 def projection_equality(spark: SparkSession, d: str) -> DataFrame:
     """Rows of either side that the other lacks."""
     o, line = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
@@ -153,7 +141,7 @@ def projection_equality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(X.words(F.col("text"))), 1, 10), " ").alias("first_words"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(X.words(F.col("text"))), " ").alias("words"))
 
 
 def recent_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +161,6 @@ QUERIES = {
     "corpus_scan": (corpus_scan, "select doc_id, lang economy, true evidence_eligible, 'in_force' legal_status from documents where lang = 'de' and n_chars > 1000 and doc_id % 4 <> 0"),
     "domain_whitelist": (domain_whitelist, f"select distinct h as \"domain\" from (select {_H} h from pages) where h like '%.org' or h like 't%'"),
     "fetch_checks": (fetch_checks, "select page_id % 13 = 0 or page_id % 11 <> 0 and (regexp_matches(lower(substr(html,1,4000)),'(captcha|are you a robot)') or strlen(html) < 2000) blocked, case when contains(lower(url),'.pdf') or page_id % 5 = 0 then '.pdf' when contains(lower(url),'.epub') then '.epub' else '.html' end suffix, count(*) n from pages group by 1, 2"),
-    "status_cascade": (status_cascade, "with t as (select doc_id, lower(concat_ws(' ', case when doc_id % 3 = 0 then 'In Force' end, case when doc_id % 5 = 0 then 'repealed by' end, case when doc_id % 7 = 0 then 'not yet commenced' end, text)) t from documents), m as (select doc_id, contains(t,'repealed') a, regexp_matches(t,'not yet (commenced|in force)') b, contains(t,'superseded') c, regexp_matches(t,'(current version|in force)') d from t) select doc_id, case when a then 'repealed' when b then 'not_commenced' when c then 'superseded' when d then 'in_force' else 'unknown' end status, a::int+b::int+c::int+d::int > 1 conflict from m"),
     "page_routing": (page_routing, "with n as (select length(html) n, page_id % 4 = 0 i from pages) select case when n % 2000 < 25 and i then 'SCANNED' when n % 2000 < 25 then 'REVIEW' when n % 7 > 5 then 'REVIEW' when i and n % 50 < 3 then 'MIXED' when n % 300 > 250 or n % 10 > 8 then 'NATIVE_COMPLEX' else 'NATIVE_SIMPLE' end route, count(*) n from n group by 1"),
     "words_to_lines": (words_to_lines, "with w as (select doc_id, unnest(range(len(p))) k, unnest(p) word from (select doc_id, string_split(text,' ') p from documents)) select doc_id, (k // 12)::bigint block, min(k)::int place, sha256(string_agg(word,' ' order by k)) sha256 from w group by 1, 2"),
     "upsert_latest": (upsert_latest, "select o_custkey k, o_orderdate as \"version\", o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey % 2 desc, o_orderkey desc) = 1"),
@@ -191,9 +178,8 @@ QUERIES = {
     "strongest_role": (strongest_role, "select user_id, event_type, case event_type when 'purchase' then 3 when 'signup' then 2 else 1 end::int strength, event_id from events qualify row_number() over (partition by user_id order by strength desc, event_id) = 1"),
     "best_hints": (best_hints, "select l_partkey, l_orderkey, l_linenumber, l_quantity, l_discount from lineitem qualify rank() over (partition by l_partkey order by l_quantity desc, l_discount desc) = 1"),
     "reviewer_independence": (reviewer_independence, "select user_id, strftime(ts,'%Y-%m-%d') as \"day\", count(distinct event_type) stages, count(distinct event_id % 4) >= count(distinct event_type) independent from events group by 1, 2"),
-    "structure_accuracy": (structure_accuracy, "with p as (select page_id, list_distinct(regexp_extract_all(html,'<([a-z]+)',1)) t from pages) select p.page_id, round(len(list_intersect(p.t, q.t)) / greatest(len(q.t),1), 4)::double accuracy from p join p q on q.page_id = p.page_id + 1"),
     "projection_equality": (projection_equality, "select o_orderkey k, 'orders' side from orders where o_orderkey not in (select l_orderkey from lineitem) union all select distinct l_orderkey, 'lines' from lineitem where l_orderkey not in (select o_orderkey from orders)"),
-    "ordered_distinct": (ordered_distinct, f"with w as (select doc_id, {_W} w from documents), u as (select doc_id, unnest(range(len(w))) k, unnest(w) x from w), f as (select doc_id, x, min(k) k from u group by 1, 2 qualify row_number() over (partition by doc_id order by min(k)) <= 10) select d.doc_id, coalesce(string_agg(x, ' ' order by k), '') first_words from documents d left join f using (doc_id) group by 1"),
+    "ordered_distinct": (ordered_distinct, f"with w as (select doc_id, {_W} w from documents), u as (select doc_id, unnest(range(len(w))) k, unnest(w) x from w), f as (select doc_id, x, min(k) k from u group by 1, 2) select d.doc_id, coalesce(string_agg(x, ' ' order by k), '') words from documents d left join f using (doc_id) group by 1"),
     "recent_rows": (recent_rows, "select event_id, ts, event_type from events order by ts desc, event_id desc limit 20"),
     "growth_by_month": (growth_by_month, "with f as (select o_custkey, min(o_orderdate) s from orders group by 1), n as (select strftime(s,'%Y-%m') as \"month\", count(*) joined from f group by 1) select \"month\", joined, sum(joined) over (order by \"month\")::bigint total from n"),
 }

@@ -98,11 +98,6 @@ def gate_currentness(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(gates.g4_currentness(status, date).alias("g4")).agg(F.count("*").alias("n"))
 
 
-def gate_exception_outside(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", gates.g5_exceptions(F.when(F.col("lang") == "en", "P6-I1").otherwise("P7-I1"), F.substring("text", 1, 200), F.col("text"), EXCEPTIONS).alias("g5"))
-
-
 def gate_modality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     k = F.col("doc_id") % 7
@@ -157,12 +152,6 @@ def gate_overall(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy(gates.overall(one, two, three).alias("overall")).agg(F.count("*").alias("n"))
 
 
-def indicator_score(spark: SparkSession, d: str) -> DataFrame:
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(labels, F.col("doc_id") == F.col("_id")).groupBy("source").agg(F.bool_or((F.col("toxic") == 1) & (F.col("n_chars") > 8000)).alias("h"), F.count_if(F.col("quality") == 0).alias("real"))
-    return rows.select("source", scoring.indicator_score(F.col("h"), F.col("real"), F.substring("source", -1, 1) == "1").alias("score"))
-
-
 def score_band(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
     votes = [F.col("quality").cast("double"), F.col("toxic").cast("double"), (F.col("doc_id") % 3 / 2.0).cast("double")]
@@ -254,15 +243,13 @@ def unicode_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cer_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Character and word error rates of each text, eight words at a time, against a reading of it that takes
-    rn for m, 1 for l, and loses full stops."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    pieces = F.transform(F.filter(F.sequence(F.lit(1), F.size("w") + 1, F.lit(8)), lambda k: k <= F.size("w")), lambda k: F.array_join(F.slice("w", k, F.lit(8)), " "))
-    reading = F.translate(F.replace("line", F.lit("m"), F.lit("rn")), "l.", "1")
-    rates = X.error_rates(reading, F.col("line"))
-    lines = table(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.explode_outer(pieces).alias("line")).select("doc_id", *(c.alias(k) for k, c in rates.items()))
-    share = lambda edits, of: F.round(F.coalesce(F.sum(edits), F.lit(0)) / F.greatest(F.coalesce(F.sum(of), F.lit(0)), F.lit(1)), 6)
-    return lines.groupBy("doc_id").agg(share("char_edits", "chars").alias("cer"), share("word_edits", "words").alias("wer"))
+    """Character and word error rates of each whole text against a reading of it that takes rn for m, 1 for l, and loses
+    full stops."""
+    reading = F.translate(F.replace("text", F.lit("m"), F.lit("rn")), "l.", "1")
+    rates = X.error_rates(reading, F.col("text"))
+    share = lambda edits, of: F.round(F.coalesce(F.col(edits), F.lit(0)) / F.greatest(F.coalesce(F.col(of), F.lit(0)), F.lit(1)), 6)
+    docs = table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in rates.items()))
+    return docs.select("doc_id", share("char_edits", "chars").alias("cer"), share("word_edits", "words").alias("wer"))
 
 
 def snippet_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +290,6 @@ QUERIES = {
     "reference_extract": (reference_extract, "select page_id, unnest(regexp_extract_all(lower(url), '/(en|fr|de|es)/([0-9]+)', 0)) path from pages"),
     "gate_location": (gate_location, "with p as (select page_id, page_id::varchar || case when page_id % 2 = 0 then 'a' else 'b' end b, coalesce(case page_id % 5 when 0 then '#pr' || page_id || 'a-' when 1 then 'page 4' when 2 then 'see #pr9' when 3 then '#sc7-' end, '') p from pages) select page_id, case when starts_with(p,'#pr') or starts_with(p,'#sc') then case when contains(p,b) then 'PASS' else 'FAIL' end when contains(p,'page') or contains(p,'vol') then 'PASS' else 'WARN' end g2 from p"),
     "gate_currentness": (gate_currentness, "select case when o_orderstatus = 'P' then 'WARN' when o_orderstatus <> 'F' then 'FAIL' when o_orderkey % 2 <> 0 then 'WARN' else 'PASS' end g4, count(*) n from orders group by 1"),
-    "gate_exception_outside": (gate_exception_outside, f"with h as (select doc_id, lang, regexp_matches(lower(text),'{EXCEPTIONS}') and not regexp_matches(lower(substr(text,1,200)),'{EXCEPTIONS}') h from documents) select doc_id, case when h and lang='en' then 'FAIL' when h then 'WARN' else 'PASS' end g5 from h"),
     "gate_modality": (gate_modality, "select doc_id, case when doc_id % 7 in (0,3,4) and not regexp_matches(lower(substr(text,1,1500)),'\\bmust\\b|\\bshall\\b|is required|are required|\\bmay not\\b') then 'WARN' else 'PASS' end g6 from documents"),
     "gate_dangling_refs": (gate_dangling_refs, "select l_partkey dst, count(*) n from lineitem where l_partkey not in (select p_partkey from part where p_size > 5) group by 1"),
     "gate_dangling": (
@@ -312,7 +298,6 @@ QUERIES = {
     ),
     "gate_fit": (gate_fit, None),
     "gate_overall": (gate_overall, "with g as (select trim(substr(text,5,40)) <> '' and contains(trim(regexp_replace(lower(text),'\\s+',' ','g')), trim(regexp_replace(lower(substr(text,5,40)),'\\s+',' ','g'))) a, contains(lower(text),'license') b, lang from documents) select case when not a or lang='es' then 'FAIL' when b then 'WARN' else 'PASS' end overall, count(*) n from g group by 1"),
-    "indicator_score": (indicator_score, "with r as (select source, bool_or(toxic=1 and n_chars>8000) h, count(*) filter (quality=0) real from documents join labels using (doc_id) group by 1), s as (select source, case when h then 1.0 when real > 0 then 0.5 else 0.0 end s from r) select source, (case when source like '%1' then 1.0 - s else s end)::double score from s"),
     "score_band": (score_band, "with v as (select doc_id, quality::double q, toxic::double t, (doc_id % 3 / 2.0)::double m, (doc_id % 2)::double o, case when doc_id % 5 <> 0 then quality::double end g from labels) select doc_id, least(o,q,t,m) low, greatest(o,q,t,m) high, greatest(o,q,t,m)-least(o,q,t,m) spread, abs(o-g) divergence, greatest(o,q,t,m)-least(o,q,t,m) >= 0.5 or coalesce(o<>g,false) review from v"),
     "agreement_alpha": (agreement_alpha, "with r as (select doc_id u, quality v from labels union all select doc_id, 1-toxic from labels where doc_id % 9 <> 0), c as (select u, v, count(*) n from r group by 1,2), s as (select u, sum(n) m, sum(n*n) q from c group by 1), a as (select sum((m*m-q)/(m-1)) filter (m>1) apart, sum(m) filter (m>1) paired, count(*) units from s), e as (select sum(n) t, sum(n*n) q from (select v, count(*) n from r group by 1)) select round(1-(apart/paired)/((t*t-q)/(t*(t-1))),3)::double alpha, units, t::bigint ratings from a, e"),
     "majority_vote": (majority_vote, "with v as (select user_id, event_type, case when value > 1 then value > 15 end a from events), n as (select user_id, event_type, count(*) filter (a) refuted, count(a) votes from v group by 1,2) select *, case when refuted >= 2 then 'RECOMMEND-REJECT' when refuted = 0 then 'RECOMMEND-KEEP' else 'SPLIT-REVIEW' end verdict from n"),

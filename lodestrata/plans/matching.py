@@ -11,11 +11,6 @@ from lodestrata.operators import curation, matching
 from lodestrata.session import table
 
 
-def law_name_normalize(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat_ws(" ", F.col("p_name"), F.lit("(PDPA) & Part (No. 12)"), F.col("p_brand"))
-    return table(spark, d, "part").select("p_partkey", X.normalize_law_name(name).alias("name"), X.normalize_law(name).alias("plain"), F.array_join(X.law_tokens(name), " ").alias("tokens"))
-
-
 def law_identity_match(spark: SparkSession, d: str) -> DataFrame:
     """Part names as laws against types as laws."""
     part = table(spark, d, "part")
@@ -205,7 +200,6 @@ def coverage_complete(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "law_name_normalize": (law_name_normalize, "with p as (select p_partkey, p_name || ' and Part ' || p_brand \"name\", trim(regexp_replace(lower(p_name || ' pdpa part no 12 ' || p_brand), '[^a-z0-9 ]+', ' ', 'g')) plain from part) select p_partkey, trim(regexp_replace(\"name\", '\\s+', ' ', 'g')) \"name\", plain, array_to_string(list_sort(list_filter(list_distinct(string_split(plain, ' ')), lambda t: not list_contains(['act','acts','the','of','and','a','an','no','pu',''], t))), ' ') tokens from p"),
     "law_identity_match": (law_identity_match, "select distinct p_type || ' Act' as \"left\", 'The ' || p_type || ' (Amendment) Law' as \"right\" from part"),
     "section_base_parse": (section_base_parse, "with n as (select page_id, (page_id % 900 + 1)::varchar n from pages) select page_id, n || 'A' base, 's. ' || n || 'a' \"ref\", 'sch' || n || case when page_id % 2 = 0 then 'cl' || n else '' end schedule, null::varchar as \"year\" from n"),
     "section_ladder_join": (section_ladder_join, "select p_brand brand, count(*) n, count(distinct p_partkey) sections from part join lineitem on l_partkey = p_partkey group by 1"),

@@ -84,20 +84,6 @@ def coverage_per_query(spark: SparkSession, d: str) -> DataFrame:
     return _phrases(spark, d).select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def eligibility_reason(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    status = F.when(F.col("lang") == "en", "in_force").when(F.col("lang") == "fr", "repealed").when(F.col("lang") == "de", "in_force")
-    reason = gates.eligibility(F.col("source"), F.substring_index("text", "\n", 1), status, tuple(f"src{k}" for k in range(18)), ("src4", "src5"))
-    return docs.select("doc_id", reason.alias("reason"), (reason == "eligible").alias("eligible"))
-
-
-def draft_watermark_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a marker on two lines and a tenth of all lines at least."""
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    n = F.count_if(F.lower("line").rlike("(^|[^a-z])(that|und|que)([^a-z]|$)"))
-    return lines.groupBy("doc_id").agg(n.alias("marked"), F.count("*").alias("pages")).where("marked >= 2 and marked >= 0.1 * pages")
-
-
 def source_hash_identity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", content_hash(F.col("text")).alias("sha256"), F.octet_length("text").cast("long").alias("byte_length"), cache_key(F.col("doc_id"), F.col("text")).alias("cache_key"))
@@ -139,11 +125,6 @@ QUERIES = {
     "candidate_merge": (candidate_merge, f"{_BM25}, u as (select query_id, item_id, sparse from ({_EXACT}) union all select query_id, item_id, sparse from leg) select item_id, max(sparse)::double sparse, array_to_string(list_sort(list(query_id)), ',') matched, count(distinct query_id) n_queries from u group by item_id"),
     "union_cap_record": (union_cap_record, f"{_BM25}, u as (select item_id from ({_EXACT}) union select item_id from leg) select count(*) input_count, least(count(*), 400)::bigint kept, count(*) > 400 truncated from u"),
     "coverage_per_query": (coverage_per_query, f"{_BM25} select b.item_id query_id, count(distinct leg.item_id) n from benchmark b left join leg on leg.query_id = b.item_id group by 1"),
-    "eligibility_reason": (
-        eligibility_reason,
-        "with s as (select doc_id, source, lower(string_split(text, chr(10))[1]) name, case lang when 'en' then 'in_force' when 'fr' then 'repealed' when 'de' then 'in_force' end status from documents), r as (select doc_id, case when source in ('src4','src5') then 'source type ' || source when source <> 'treaty' and regexp_matches(name,'(agreement|convention)') then 'name of an agreement' when regexp_matches(name,'(draft|bill|proposal)') then 'name of a draft' when status is null or status <> 'in_force' then 'status ' || coalesce(status,'unknown') when source in ('src18','src19') then 'source type not allowed' else 'eligible' end reason from s) select doc_id, reason, reason = 'eligible' eligible from r",
-    ),
-    "draft_watermark_docs": (draft_watermark_docs, "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) filter (regexp_matches(lower(line),'(^|[^a-z])(that|und|que)([^a-z]|$)')) marked, count(*) pages from l group by doc_id having marked >= 2 and marked >= 0.1 * pages"),
     "source_hash_identity": (source_hash_identity, "select doc_id, sha256(text) sha256, strlen(text)::bigint byte_length, doc_id::varchar || ':' || substr(sha256(text),1,16) cache_key from documents"),
     "exact_duplicate_docs": (exact_duplicate_docs, "select sha256(text) sha256, count(*) n, min(doc_id) first_id from documents group by 1 having count(*) > 1"),
     "corpus_fingerprint": (corpus_fingerprint, "with h as (select source, sha256(doc_id::varchar || ':' || sha256(text)) h from documents) select source, sum(('0x' || substr(h,1,15))::bigint)::varchar || '-' || sum(('0x' || substr(h,16,15))::bigint)::varchar fingerprint, count(*) n from h group by source"),

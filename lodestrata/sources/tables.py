@@ -204,5 +204,5 @@ def known_rows(named: DataFrame, economy: Column) -> DataFrame:
 
     cell = lambda prefix: F.get(F.map_values(F.map_filter("cells", lambda k, v: k.startswith(prefix) & (F.trim(v) != ""))), F.lit(0))
     refs = F.map_values(F.map_filter("cells", lambda k, v: k.startswith("reference") & (F.trim(v) != "")))
-    out = named.select(economy.alias("economy"), indicator_code(F.coalesce(cell("indicator"), cell("pillar"))).alias("indicator"), F.explode(split_acts(cell("act"))).alias("act"), cell("score").alias("score"), refs.alias("references"))
+    out = named.select(economy.alias("economy"), indicator_code(cell("indicator"), cell("pillar")).alias("indicator"), F.explode(split_acts(cell("act"))).alias("act"), cell("score").alias("score"), refs.alias("references"))
     return out.where("economy is not null and economy <> ''")

@@ -22,9 +22,10 @@ def test_law_identity(spark):
 
 
 def test_names(spark):
-    assert values(spark, X.normalize_law_name, ["Data Act (PDPA) & Rules (No. 12) (Draft)"]) == ["Data Act and Rules (Draft)"]
+    names = {"Data Act (PDPA) & Rules (No. 12) (Draft)": "data act and rules draft", "Act (Act 854-A) (AB2.C) 2010": "act 2010", "(pdpa) X": "pdpa x", "A (No 7b)": "a", "": "", "B ((C D) E)": "b c d e"}
+    assert values(spark, X.normalize_law_name, [*names, None]) == [*names.values(), ""]
+    assert values(spark, lambda x: X.family(X.law_tokens(x)), ["Word (Amendment) Act 2010 A123 ab12 amended"]) == [["ab12", "amended", "word"]]
     assert values(spark, X.url_host, ["https://www.A.gov.sg:8/x?y", "no url"]) == ["a.gov.sg", ""]
-    assert values(spark, X.extract_refs, ["See Section 12(1), section 12(1) and art. 5"]) == [["art.5", "section12(1)"]]
     assert values(spark, X.furniture_print, ["Page 12 of  30"]) == ["page # of #"]
 
 
@@ -58,8 +59,6 @@ def test_located_text_folds_to_the_snippet(source, at, n):
 
 
 def test_citations(spark):
-    assert values(spark, X.citation_path, ["s 12(1)(a)", "12A", "none"]) == [["12", "12(1)", "12(1)(a)"], ["12A"], []]
     assert values(spark, X.expand_citations, ["Sections 4, 5A and 7(1)", "x"]) == [["s4", "s5A", "s7(1)"], []]
-    assert values(spark, X.indicator_code, ["Indicator 6.4", "6.4", "v1.2.3", None]) == ["P6-I4", "P6-I4", None, None]
-    assert values(spark, X.reference_role, ["No person shall, ", "as defined in ", "Data Act", "something"]) == ["operative", "definition", "instrument_title", "negative_evidence"]
+    assert values(spark, X.indicator_code, ["Indicator 6.4", "6.4", "v11.2.3", "13.1", "Infrastructure  Requirements!", None]) == ["P6-I4", "P6-I4", "P2-I3", None, "P6-I3", None]
     assert values(spark, X.strip_markdown, ["**a** [b](http://c)"]) == ["a b"]
