@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
 def test_unicode_metrics_reads_whole_texts(spark, tmp_path):
     from lodestrata.functions.text import LEGAL_FUNCTIONS
 
-    rows = [(1, "plain words " * 40 + "whoever shall not do so"), (2, "plain words " * 40), (3, None)]
+    rows = [(1, "simple words " * 40 + "whoever investigates it"), (2, "simple words " * 40), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     kind = lambda t: next((n for n, p in LEGAL_FUNCTIONS if re.search(p, (t or "").lower())), "other")
     got = {r.doc_id: r.kind for r in plans.queries()["unicode_metrics"](spark, str(tmp_path)).collect()}
