@@ -127,10 +127,21 @@ def unicode_quality(x: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(1 - bad / n)
 
 
+def balanced(x: Column) -> Column:
+    """Whether each bracket of a text is closed by its own kind, in order."""
+    pairs = F.create_map(*(F.lit(c) for c in ")(][}{"))
+    kept = F.filter(F.split(F.regexp_replace(x, r"[^()\[\]{}]", ""), ""), lambda c: c != "")
+    closing = lambda s, c: F.when(F.substring(s, -1, 1) == F.element_at(pairs, c), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise("!")
+    return F.aggregate(kept, F.lit(""), lambda s, c: F.when(s == "!", s).when(c.isin(*"([{"), F.concat(s, c)).otherwise(closing(s, c))) == ""
+
+
 def open_ending(x: Column) -> Column:
-    """Why a text can't end there: a list opener, a dangling connector, or null."""
-    end = F.rtrim(x)
-    return F.when(end.rlike(r"[:—-]$"), "FAIL_OPEN_LIST").when(F.lower(end).rlike(r"(^|[^a-z])(and|or|but|if|unless|where|the|of|to)[,;]?$"), "FAIL_DANGLING_CONNECTOR")
+    """Why a text can't end there: it introduces a list, ends with and, or, or the word of a reference, or leaves a
+    bracket open; else null."""
+    end = F.regexp_replace(x, r"\s+$", "")
+    end = F.regexp_replace(end, r"[\"'’”)\]}]+$", "")
+    words = r"(?i)\b(?:and|or|section|subsection|paragraph|subparagraph|article|regulation|schedule|clause|part)\s*$"
+    return F.when(end.rlike("[:—–]$"), "FAIL_OPEN_LIST").when(end.rlike(words), "FAIL_DANGLING_CONNECTOR").when(~balanced(x), "FAIL_UNBALANCED_STRUCTURE")
 
 
 def _sign(word: Column, known: Column) -> Column:

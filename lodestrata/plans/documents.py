@@ -253,10 +253,24 @@ def cer_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snippet_closure(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 20, 60).alias("snippet"), F.col("text").alias("source"))
+    """Passages of labelled rules written from a document's words (all of them for every other document), found again
+    from fragments: of a rule, of a list's introduction and item, of a note, of an open end, and of nothing."""
+    k = F.col("doc_id")
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
+    w = F.array_join(F.when(k % 2 == 0, words).otherwise(F.slice(words, 1, 30)), " ")
+    source = F.concat(F.lit("Heading words (1) The officer may "), w, F.lit(" for it. (2) A separate rule "), w, F.lit(" where: (a) it is late. (b) it is so; and (c) it ends. Note 1 says so. Tail of (it and"))
+    snippet = F.element_at(F.array(*map(F.lit, ("Officer may", "A  separate rule", "Note 1 says", "Tail of", "zz missing", "it is late"))), (F.floor(k / 2) % 6 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", snippet.alias("snippet"), source.alias("source"))
     return segmentation.closure(rows).select("doc_id", "code", "start", "end")
 
 
+CLOSURE_SQL = """with d as (select doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: w <> '') w from documents),
+w as (select doc_id, doc_id // 2 % 6 k, array_to_string(case when doc_id % 2 = 0 then w else list_slice(w, 1, 30) end, ' ') w from d),
+p as (select doc_id, k, 14 a, 14 + length('(1) The officer may ' || w || ' for it.') b, 14 + length('(1) The officer may ' || w || ' for it. (2) A separate rule ' || w || ' where: (a) it is late. (b) it is so; and (c) it ends.') c from w),
+s as (select *, case k when 0 then a when 1 then b + 1 when 2 then c + 1 when 3 then c + 17 when 5 then b + 1 end s, case k when 0 then b when 1 then c when 2 then c + 16 when 3 then c + 32 when 5 then c end e from p)
+select doc_id, case when k = 4 then 'FAIL_UNBALANCED_STRUCTURE' when k = 3 then 'FAIL_DANGLING_CONNECTOR' when e - s > 3000 then 'FAIL_CLOSURE_OVER_HARD_LIMIT' when e - s > 700 then 'PASS_LONG_BUT_CLOSED' else 'PASS_CLOSED' end code, s::int "start", e::int "end" from s"""
+
+
 def section_parse(spark: SparkSession, d: str) -> DataFrame:
     """The running numbers of a conversation's turns as headings, some out of order."""
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.length("text") % 60).cast("int").alias("number"), F.when(F.length("text") % 7 == 0, "A").otherwise("").alias("suffix"))
@@ -314,7 +328,7 @@ QUERIES = {
     "session_counts": (session_counts, "with g as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end f from events window w as (partition by user_id order by ts)), s as (select user_id, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from g), c as (select user_id, s, count(*) n from s group by 1, 2) select user_id, count(*) sessions, max(n) longest from c group by 1"),
     "unicode_metrics": (unicode_metrics, None),
     "cer_metrics": (cer_metrics, None),
-    "snippet_closure": (snippet_closure, None),
+    "snippet_closure": (snippet_closure, CLOSURE_SQL),
     "section_parse": (section_parse, None),
     "page_window_bind": (page_window_bind, None),
 }

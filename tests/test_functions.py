@@ -1,9 +1,10 @@
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
-from lodestrata.functions.closure import balanced, close, ends_sentence, folded, locate
+from lodestrata.functions.closure import balanced, close, ends_sentence, folded, g9, locate, open_ending
 
 
 def values(spark, column, given_):
@@ -38,13 +39,43 @@ def test_closure():
     code, start, end, text = close("shall transfer  DATA", source)
     assert code == "PASS_CLOSED" and source[start:end] == text == "No person shall transfer data (see s. 4) unless permitted."
     assert close("Another rule", source)[0] == "FAIL_DANGLING_CONNECTOR"
-    assert close("rule", "A rule applies to:")[0] == "FAIL_OPEN_LIST"
-    assert close("rule", "A rule (that applies")[0] == "FAIL_UNBALANCED_STRUCTURE"
-    assert close("missing", source)[0] == "FAIL_NOT_FOUND"
+    assert close("rule", "A rule applies to:")[0] == "FAIL_OPEN_LIST" and close("rule", "A rule of this Part")[0] == "FAIL_DANGLING_CONNECTOR"
+    assert close("rule", "A rule (that applies")[0] == "FAIL_UNBALANCED_STRUCTURE" and close("rule", "A rule that applies")[0] == "FAIL_UNBALANCED_STRUCTURE"
+    assert close("missing", source) == ("FAIL_UNBALANCED_STRUCTURE", None, None, None)
     assert close("word", "word " * 200 + ".")[0] == "PASS_LONG_BUT_CLOSED"
     assert close("word", "word " * 900 + ".")[0] == "FAIL_CLOSURE_OVER_HARD_LIMIT"
 
 
+CLOSED = [
+    ("The court may", "(1) The rule holds where: (a) the court may order it. (b) it is late; and (c) it is due. A rule follows.", "(1) The rule holds where: (a) the court may order it. (b) it is late; and (c) it is due."),
+    ("keep it for the time:", "One must keep it for the time: (a) seven years; (b) until then; and (c) longer if a court says so. Another rule.", "One must keep it for the time: (a) seven years; (b) until then; and (c) longer if a court says so."),
+    ("ensure that:", "One must ensure that: (a) where it holds: (i) it is kept. (ii) it is sent. (b) all else is kept. The next begins.", "One must ensure that: (a) where it holds: (i) it is kept. (ii) it is sent. (b) all else is kept."),
+    ("an or", "One may order where: ( a ) it is so; or ( b ) an oral thing is likely. Explanation 1.—It is (c) no part.", "One may order where: ( a ) it is so; or ( b ) an oral thing is likely."),
+    ("look at", "A heading without a stop (1) One may look at it all. (2) Another may not.", "(1) One may look at it all."),
+    ("s. 474.17", "Under s. 474.17 and Art. 2.1, No. 8 holds for A. Smith. The next one.", "Under s. 474.17 and Art. 2.1, No. 8 holds for A. Smith."),
+    ("second", "First\n\nThe second one (said \"so.\") holds? Yes.", "The second one (said \"so.\") holds?"),
+]
+
+
+@pytest.mark.parametrize("snippet, source, want", CLOSED)
+def test_passages(snippet, source, want):
+    code, start, end, text = close(snippet, source)
+    assert (code, text, source[start:end]) == ("PASS_CLOSED", want, want)
+
+
+def test_blocks_below_their_introduction_belong_to_it():
+    source = "A thing must: hold well. second one is kept. third one too. After it."
+    blocks = [{"class": "subsection", "text": "A thing must: hold well."}, {"class": "paragraph", "text": "second one is kept."}, {"class": None, "text": "(b) odd"}, {"class": "paragraph", "text": "third one too."}, {"class": "subsection", "text": "After it."}]
+    assert close("A thing must:", source, blocks=blocks)[3] == "A thing must: hold well. second one is kept. third one too."
+    assert close("A thing must:", source, blocks=[*blocks[:1], *blocks[4:]])[3] == close("A thing must:", source)[3] == "A thing must: hold well."
+    assert g9("PASS_LONG_BUT_CLOSED") == "PASS" and g9("FAIL_OPEN_LIST") == "FAIL"
+
+
+def test_open_endings(spark):
+    texts = {"it holds:": "FAIL_OPEN_LIST", "it holds —)": "FAIL_OPEN_LIST", "this and ": "FAIL_DANGLING_CONNECTOR", "under section\"": "FAIL_DANGLING_CONNECTOR", "(it holds": "FAIL_UNBALANCED_STRUCTURE", "a (b].": "FAIL_UNBALANCED_STRUCTURE", ")(": "FAIL_UNBALANCED_STRUCTURE", "a ([b]) holds.": None, "sand": None, "": None}
+    assert values(spark, X.open_ending, [*texts]) == [*texts.values()] == [open_ending(t) for t in texts]
+
+
 def test_stops():
     assert not ends_sentence("s. 4", 1) and not ends_sentence("3.5", 1) and ends_sentence("done. Next", 4)
     assert balanced("a (b [c])") and not balanced("a (b]") and not balanced(")")
