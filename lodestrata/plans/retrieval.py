@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as X
 from lodestrata.functions.hashing import cache_key, content_hash
 from lodestrata.operators import gates, retrieval
-from lodestrata.session import table
+from lodestrata.session import fresh_path, table
+from lodestrata.sources import term_index
 
 _WORDS = "list_filter(regexp_split_to_array(translate(lower({0}),'äçèéêíñóöüáâúîô','aceeeinoouaauio'),'[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
@@ -113,7 +114,22 @@ def generation_prune(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.coalesce("generation", F.lit("")) == "en").groupBy("source").agg(F.count("*").alias("kept"))
 
 
+def term_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's passages as queries against an index of the documents' terms."""
+    index = term_index.TermIndex(spark, fresh_path(spark, "terms"))
+    index.build(_texts(spark, d).withColumnRenamed("lang", "scope"))
+    return index.search(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 50)
+
+
+_ANALYSED = "list_filter(string_split(lower(regexp_replace({0}, '[^0-9A-Za-zÀ-￿ ]+', ' ', 'g')), ' '), lambda w: w <> '')"
+TERM_INDEX_SQL = f"""with d as (select doc_id, {_ANALYSED.format("text")} w from documents), s as (select count(*) n, avg(len(w)) a from d where len(w) > 0),
+t as (select doc_id, len(w) dl, unnest(w) t from d), f as (select doc_id, dl, t, count(*) f from t group by all), df as (select t, count(*) df from f group by 1),
+q as (select item_id query_id, unnest({_ANALYSED.format("text")}) t from benchmark), m as (select query_id, t, count(*) m from q where length(t) > 1 group by 1, 2),
+sc as (select query_id, doc_id item_id, round(sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * dl / a))), 6) score from m join f using (t) join df using (t), s group by 1, 2)
+select query_id, item_id, score, (row_number() over (partition by query_id order by score desc, item_id))::int "rank" from sc qualify row_number() over (partition by query_id order by score desc, item_id) <= 50"""
+
 QUERIES = {
+    "term_index_topk": (term_index_topk, TERM_INDEX_SQL),
     "exact_phrase_hits": (exact_phrase_hits, f"select query_id, item_id doc_id, sparse from ({_EXACT})"),
     "bm25_topk": (bm25_topk, f"{_BM25} select query_id, item_id, sparse, rank from leg"),
     "source_type_scope_before_rank": (source_type_scope_before_rank, f"{_TOKENS} select query_id, doc_id item_id, sparse, (row_number() over (partition by query_id order by sparse desc, doc_id))::int rank from sc where source not in ('src1','src3','src7') qualify rank <= 40"),

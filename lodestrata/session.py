@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def build(app: str = "lodestrata", master: str | None = None, **settings: str) -> SparkSession:
     """A session with UTC, ANSI arithmetic and adaptive execution; partitions are left to the cluster."""
     builder = SparkSession.builder.appName(app)
@@ -22,15 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is absent and all runs on one
+    machine, as in tests."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = _OWN.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='lodestrata-')}")
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names: its lineage ends there.  A temporary folder
-    stands in only where the setting is absent and all runs on one machine, as in tests."""
+    """df checkpointed in the shared folder: its lineage ends there."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-            found = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
