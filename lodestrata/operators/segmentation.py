@@ -95,21 +95,32 @@ def html_sections(html: Column) -> Column:
 
 
 def page_windows(units: DataFrame, pages: DataFrame, most: int = 6) -> DataFrame:
-    """(unit_id, volume, first, last): the earliest and narrowest window of up to `most` consecutive pages
-    whose joined text holds a unit's text, by volume.
-
-    Units and pages of a volume meet in one task, page by page in order, so a volume must fit a worker."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("page")
-        texts, numbers, out = right["text"].tolist(), right["page"].tolist(), []
-        for unit, text in zip(left["unit_id"], left["text"], strict=True):
-            hit = next(((i, i + n - 1) for n in range(1, most + 1) for i in range(len(texts) - n + 1) if text in " ".join(texts[i : i + n])), None)
-            if hit:
-                out.append((unit, key[0], numbers[hit[0]], numbers[hit[1]]))
-        return pd.DataFrame(out, columns=["unit_id", "volume", "first", "last"])
-
-    return units.groupBy("volume").cogroup(pages.groupBy("volume")).applyInPandas(run, "unit_id long, volume long, first long, last long")
+    """(unit_id, volume, first, last): of the windows of up to `most` consecutive pages whose texts, joined by spaces,
+    hold a unit's text, the narrowest and of these the earliest, by volume.
+
+    A window that holds a unit has a page with each of its inner words, so a unit meets the windows around the pages of
+    its rarest one only; a unit without inner words meets all windows of its volume.  Null units are in no window, null
+    pages are empty."""
+    order = Window.partitionBy("volume").orderBy("page")
+    placed = pages.select("volume", "page", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("at"))
+    ahead = F.collect_list(F.struct("page", "text")).over(order.rowsBetween(0, most - 1))
+    windows = placed.select(F.col("volume").alias("_v"), F.col("at").alias("_at"), ahead.alias("ahead"))
+    words = placed.select(F.col("volume").alias("_v"), "at", F.explode(F.array_distinct(F.split("text", " "))).alias("_w"))
+    often = words.groupBy("_v", "_w").agg(F.count("*").alias("n"))
+    wanted = units.where("text is not null").select("unit_id", "volume", "text", F.array_distinct(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0)))).alias("inner"))
+    some = wanted.where("size(inner) > 0")
+    met = some.select("unit_id", "volume", F.size("inner").alias("k"), F.explode("inner").alias("w")).join(often, (F.col("volume") == F.col("_v")) & (F.col("w") == F.col("_w")))
+    rarest = met.groupBy("unit_id", "volume", "k").agg(F.count("*").alias("found"), F.min(F.struct("n", "w")).getField("w").alias("w")).where("found = k").select("unit_id", "volume", "w")
+    near = rarest.join(words, (F.col("volume") == F.col("_v")) & (F.col("w") == F.col("_w"))).select("unit_id", "volume", F.explode(F.sequence(F.greatest(F.col("at") - most + 1, F.lit(1)), F.col("at"))).alias("start")).distinct()
+    near = near.join(some.select(F.col("unit_id").alias("_u"), F.col("volume").alias("_uv"), "text"), (F.col("unit_id") == F.col("_u")) & (F.col("volume") == F.col("_uv"))).select("unit_id", "volume", "text", "start")
+    one = near.join(windows, (F.col("volume") == F.col("_v")) & (F.col("start") == F.col("_at")))
+    two = wanted.where("size(inner) = 0").join(windows, F.col("volume") == F.col("_v")).withColumn("start", F.col("_at"))
+    both = one.select("unit_id", "volume", "text", "start", "ahead").unionByName(two.select("unit_id", "volume", "text", "start", "ahead"))
+    joined = lambda n: F.array_join(F.transform(F.slice("ahead", F.lit(1), n), lambda p: p["text"]), " ")
+    least = F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.contains(joined(n), F.col("text"))), F.lit(1))
+    hits = both.withColumn("n", least).where("n is not null")
+    best = hits.groupBy("unit_id", "volume").agg(F.min(F.struct("n", "start", F.col("ahead")[0]["page"].alias("first"), F.element_at("ahead", F.col("n"))["page"].alias("last"))).alias("b"))
+    return best.select("unit_id", "volume", "b.first", "b.last")
 
 
 def closure(rows: DataFrame, hard: int = 3000, soft: int = 700) -> DataFrame:

@@ -289,6 +289,11 @@ _TAGS = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', '
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '')"
 _GOV = "(regexp_matches(h,'(^|\\.)gov(\\.[a-z]{2})?$') or regexp_matches(h,'(^|\\.)(parliament|legislation)\\.'))"
 
+WINDOW_SQL = """with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) i, lead(text) over (partition by conv_id order by turn) nxt from conversations),
+u as (select conv_id * 1000 + turn unit_id, conv_id volume, concat_ws(' ', text, nxt) text from t),
+w as (select a.conv_id, a.i, n, string_agg(b.text, ' ' order by b.i) txt, min(b.turn) f, max(b.turn) l from t a, range(1, 7) r(n), t b where a.conv_id = b.conv_id and b.i >= a.i and b.i < a.i + n group by all having count(*) = n)
+select unit_id, volume, f "first", l "last" from u join w on volume = conv_id and contains(txt, text) qualify row_number() over (partition by unit_id order by n, i) = 1"""
+
 QUERIES = {
     "html_sections": (html_sections, f"with s as (select page_id, regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1) p from pages) select page_id, (i-1)::int section, {_TAGS.format('p[i]')} body from (select page_id, p, unnest(range(1, len(p)+1)) i from s)"),
     "html_clean_text": (html_clean_text, "with c as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html,'<[^>]*>',' ','g'),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&'),'[\\s\\x{00A0}\\x{2009}\\x{202F}]+',' ','g')) t from pages) select page_id, sha256(t) sha256, length(t)::bigint n from c"),
@@ -330,5 +335,5 @@ QUERIES = {
     "cer_metrics": (cer_metrics, None),
     "snippet_closure": (snippet_closure, CLOSURE_SQL),
     "section_parse": (section_parse, None),
-    "page_window_bind": (page_window_bind, None),
+    "page_window_bind": (page_window_bind, WINDOW_SQL),
 }

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestrata.operators.curation import latest_decisions
-
 
 def deduplicated(events: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
     """Each key once, as long as its repeats come within the delay."""
@@ -30,19 +29,51 @@ def sliding_counts(events: DataFrame, at: str, by: list[str], length: str, slide
     return events.withWatermark(at, delay).groupBy(F.window(at, length, slide).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
+#: Folders that the followed ledger's keys are dealt into by their hash.
+BUCKETS = 64
+
+
 def follow_ledger(entries: DataFrame, path: str, checkpoint: str, key: str, kind: str, at: str, tie: str, correction: str) -> StreamingQuery:
-    """Keeps, under path, the latest valid decisions of an append-only ledger.
+    """Keeps, under path, the latest valid decisions of an append-only ledger: latest_followed().
 
-    Every batch is merged with the entries so far and written as a new version, path/v=<batch>; a batch that
-    is run again after a failure writes the same version."""
+    Of each key the state is its latest decision of each kind and its last correction, which is all that later entries
+    can be judged by.  A batch merges with the state of the buckets that its keys fall into, and writes these buckets
+    anew, as files of its own number; so it costs what it touches and not what was said before.  A batch that is run
+    again after a failure reads the versions before it and writes the same."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        every = batch
-        if number > 0:
-            before = spark.read.schema(type(batch.schema)([*batch.schema.fields]).add("_batch", "long")).parquet(f"{path}/entries")
-            every = before.where(F.col("_batch") < number).drop("_batch").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{path}/entries/_batch={number}")
-        latest_decisions(every, key, kind, at, tie, correction).write.mode("overwrite").parquet(f"{path}/latest/v={number}")
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+        dealt = batch.withColumn("_bucket", bucket)
+        touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())
+        if not touched:
+            return
+        before = _versions(spark, path, batch, number).where(F.col("_bucket").isin(touched)).drop("_v")
+        every = before.unionByName(dealt)
+        last = Window.partitionBy(key, kind).orderBy(F.desc(at), F.desc(tie))
+        kept = every.withColumn("_since", F.max(F.when(F.col(kind) == correction, F.col(at))).over(Window.partitionBy(key)))
+        kept = kept.where((F.col(kind) == correction) | F.col("_since").isNull() | (F.col(at) > F.col("_since"))).drop("_since")
+        kept = kept.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        kept.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/state/_v={number}")
 
     return entries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, like: DataFrame, upto: int | None) -> DataFrame:
+    """The state's newest rows of each bucket, of the versions before `upto`."""
+    schema = type(like.schema)([*like.schema.fields]).add("_v", "long").add("_bucket", "integer")
+    if upto == 0:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).option("basePath", f"{path}/state").option("ignoreMissingFiles", "true")
+    try:
+        rows = found.parquet(f"{path}/state")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    rows = rows if upto is None else rows.where(F.col("_v") < upto)
+    newest = rows.select("_bucket", "_v").distinct().groupBy(F.col("_bucket").alias("_b")).agg(F.max("_v").alias("_newest"))
+    return rows.join(newest, (F.col("_bucket") == F.col("_b")) & (F.col("_v") == F.col("_newest"))).drop("_b", "_newest")
+
+
+def latest_followed(spark: SparkSession, path: str, like: DataFrame, kind: str, correction: str) -> DataFrame:
+    """The latest valid decisions that follow_ledger() keeps under path, in the columns of like."""
+    return _versions(spark, path, like, None).where(F.col(kind) != correction).select(*like.columns)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,22 @@ def test_verdicts_need_one_version_and_all_new_findings(spark):
     of = lambda rows: [r.verdict for r in review.with_verdicts(found, spark.createDataFrame(rows, "indicator string, law string, article string, version string, verdict string, fresh boolean"), "v2").orderBy("article").collect()]
     assert of([("i", "l", "1", "v2", "holds", True)]) == ["holds", None]
     assert of([("i", "l", "1", "v1", "holds", True)]) == of([("i", "l", "1", "v2", "holds", False)]) == of([("i", "l", "2", "v2", "holds", True)]) == of([]) == [None, None]
+
+
+def test_windows_of_pages_hold_their_units(spark):
+    from lodestrata.operators import segmentation
+
+    rnd = random.Random(4)
+    words = ["a", "b", "c", "dd", "e"]
+    pages = [(v, p * 2, None if p == 3 else " ".join(rnd.choice(words) for _ in range(rnd.randrange(6)))) for v in (1, 2) for p in range(9)]
+    text = {v: [t or "" for w, _, t in pages if w == v] for v in (1, 2)}
+    number = {v: [p for w, p, _ in pages if w == v] for v in (1, 2)}
+    units = [(k, rnd.choice([1, 2]), " ".join(rnd.choice(words) for _ in range(rnd.randrange(9)))) for k in range(80)] + [(100, 1, " ".join(text[1][0:3])), (101, 2, " ".join(text[2])[3:40]), (102, 1, None), (103, 3, "a"), (104, 1, "a zz b")]
+    want = set()
+    for k, v, t in units:
+        own = text.get(v, [])
+        hit = t is not None and next(((n, i) for n in range(1, 7) for i in range(len(own) - n + 1) if t in " ".join(own[i : i + n])), None)
+        if hit:
+            want.add((k, v, number[v][hit[1]], number[v][hit[1] + hit[0] - 1]))
+    found = segmentation.page_windows(spark.createDataFrame(units, "unit_id long, volume long, text string"), spark.createDataFrame(pages, "volume long, page long, text string"))
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 20

@@ -16,13 +16,21 @@ def drained(df, mode, name):
 
 def test_ledger_follows_batches(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    parts = [[(1, "k", "s", "2024-01-01", "approved")], [(2, "k", "fix", "2024-01-02", ""), (3, "m", "s", "2024-01-03", "open")]]
-    for rows in parts:
+    parts = [
+        [(1, "k", "s", "2024-01-01", "approved"), (2, "n", "s", "2024-01-05", "open"), (3, "p", "s", "2024-01-01", "open"), (4, "p", "t", "2024-01-01", "open")],
+        [(5, "k", "fix", "2024-01-02", ""), (6, "m", "s", "2024-01-03", "open"), (7, "n", "s", "2024-01-04", "late"), (8, "p", "s", "2024-01-01", "tie")],
+        [(9, "k", "s", "2024-01-02", "too early"), (10, "k", "t", "2024-01-03", "approved")],
+    ]
+    for k, rows in enumerate(parts):
         entries(spark, rows).write.mode("append").parquet(source)
-        ledger.follow_ledger(spark.readStream.schema(SCHEMA).parquet(source), out, str(tmp_path / "check"), "key", "stage", "at", "id", "fix").awaitTermination()
-    got = spark.read.parquet(f"{out}/latest/v=1").collect()
-    want = latest_decisions(entries(spark, sum(parts, [])), "key", "stage", "at", "id", "fix").collect()
-    assert sorted(map(str, got)) == sorted(map(str, want)) and [r.key for r in got] == ["m"]
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        ledger.follow_ledger(stream, out, str(tmp_path / "check"), "key", "stage", "at", "id", "fix").awaitTermination()
+        every = entries(spark, sum(parts[: k + 1], []))
+        got = ledger.latest_followed(spark, out, every, "stage", "fix").collect()
+        want = latest_decisions(every, "key", "stage", "at", "id", "fix").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == [4, 4, 5][k]
+    # Only the buckets of a batch's keys are written.
+    assert len(list((tmp_path / "out/state/_v=2").glob("_bucket=*"))) == 1
 
 
 def test_windows_and_repeats(spark, tmp_path):
