@@ -70,7 +70,8 @@ def derive_graph(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def guarded_edges(edges: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
-    bad = edges.where(~F.col("rel").isin(*allowed)).select("rel").limit(1).collect()
+    """edges, all of whose types are allowed; ValueError if one, or a null, isn't."""
+    bad = edges.where(~F.coalesce(F.col("rel").isin(*allowed), F.lit(False))).select("rel").limit(1).collect()
     if bad:
         raise ValueError(f"edge type {bad[0][0]} is not allowed")
     return edges
@@ -110,7 +111,7 @@ def ordered_lookup(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return ids.join(rows, key).orderBy("place")
 
 
-def wildcard_rules(rows: DataFrame, rules: DataFrame, fields: list[str], order: str, limit: int = 10_000) -> DataFrame:
+def wildcard_rules(rows: DataFrame, rules: DataFrame, fields: list[str], order: str) -> DataFrame:
     """rows(id, fields) with the first rule that fits; a blank field of a rule fits anything.
 
     Each pattern of blanks is an equality join on the other fields; there are at most 2**len(fields)."""

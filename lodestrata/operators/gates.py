@@ -214,3 +214,9 @@ def status_allows_final(status: Column, conflict: Column, url: Column, fact: Col
     """In force, without conflict, from a fact with an address."""
     filled = lambda x: F.coalesce(x != "", F.lit(False))
     return F.coalesce((status == "in_force") & ~conflict, F.lit(False)) & filled(url) & filled(fact)
+
+
+def structure_too_thin(units: Column, pages: Column) -> Column:
+    """Whether a document has fewer units than a fifth of its pages, or than three; null counts as none."""
+    count = lambda x: F.coalesce(x, F.lit(0))
+    return count(units) < F.greatest(F.lit(3), F.floor(count(pages) / 5))

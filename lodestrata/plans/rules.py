@@ -267,6 +267,13 @@ def act_references(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("src", "dst")
 
 
+def structure_floor(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines as units, and up to forty pages."""
+    units = table(spark, d, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("_k")).agg(F.count("*").alias("units"))
+    met = table(spark, d, "orders").join(units, F.col("o_orderkey") == F.col("_k"), "left")
+    return met.select("o_orderkey", gates.structure_too_thin(F.col("units"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey") % 41)).alias("thin"))
+
+
 REFERENCES_SQL = """with l as (select l_orderkey::varchar law, l_linenumber n from lineitem), e as (select law, n, unnest([n::varchar || 'B', '9', '77']) s from l)
 select distinct law || '-' || n::varchar src, 'section:AU:' || law || ':s. ' || s dst from e where n <> 7 or s <> '77'"""
 
@@ -284,5 +291,6 @@ QUERIES = {
     "citation_readings": (citation_readings, "select o_orderkey, [1.0, 0.666667, 0.333333, 0.0][o_orderkey % 4 + 1]::double accuracy, o_orderkey % 4 > 0 apart from orders"),
     "structure_accuracy": (structure_accuracy, "with p as (select distinct l_orderkey act, l_returnflag, l_linestatus, l_linenumber, l_quantity > 25 hit from lineitem), q as (select act, l_returnflag, l_linestatus, l_linenumber, bool_or(hit) hit from p group by all) select act, count(*) expected, count(*) filter (hit) shared, round(count(*) filter (hit) / count(*), 6)::double accuracy from q group by 1"),
     "gate_exception_outside": (gate_exception_outside, EXCEPTION_SQL),
+    "structure_floor": (structure_floor, "with u as (select l_orderkey k, count(*) n from lineitem where l_quantity > 10 group by 1) select o_orderkey, coalesce(n, 0) < greatest(3, case when o_custkey % 9 <> 0 then o_custkey % 41 else 0 end // 5) thin from orders left join u on k = o_orderkey"),
     "act_references": (act_references, REFERENCES_SQL),
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
-from lodestrata.operators import curation, gates, graph, matching, references, scoring
+from lodestrata.operators import corpus, curation, gates, graph, matching, references, scoring
 
 
 def applied(spark, rows, schema, column):
@@ -199,3 +199,16 @@ def test_references_within_an_act(spark):
 def test_words_of_exception(spark):
     rows = [("P6-I1", "must go", "must go unless late", "FAIL"), ("P7-I1", "must go", "must go. Notwithstanding", "WARN"), ("P6-I1", "go UNLESS late", "go unless late", "PASS"), ("P6-I1", "must go", "it is exceptional", "PASS"), ("P6-I1", "must go", "Subject To this", "FAIL")]
     assert applied(spark, [r[:3] for r in rows], "i string, s string, t string", gates.g5_exceptions(F.col("i"), F.col("s"), F.col("t"))) == [r[3] for r in rows]
+
+
+def test_edges_of_allowed_types_only(spark):
+    edges = spark.createDataFrame([("a", "HAS", "b"), ("b", "CITES", "c")], "src string, rel string, dst string")
+    assert corpus.guarded_edges(edges, ("HAS", "CITES")).count() == 2
+    for bad in (edges, edges.withColumn("rel", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError):
+            corpus.guarded_edges(bad, ("HAS",))
+
+
+def test_documents_of_too_few_units(spark):
+    rows = [(2, 1, True), (3, 19, False), (3, 20, True), (4, 24, False), (None, None, True), (3, None, False)]
+    assert applied(spark, [r[:2] for r in rows], "u int, p int", gates.structure_too_thin(F.col("u"), F.col("p"))) == [r[2] for r in rows]
