@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import collapse
+from lodestrata.operators.curation import first_of
+from lodestrata.operators.segmentation import page_windows
 
 #: The confidences below which a decision is looked at again, and that of a recovered anchor.
 LOW_POSITIVE, LOW_ANCHOR, RECOVERED = 0.72, 0.80, 0.5
@@ -127,3 +129,38 @@ def title_id(url: Column, host: str = r"legislation\.gov\.au") -> Column:
     """The register's identifier in an address, null without one."""
     found = F.regexp_extract(url, rf"{host}/([CF][0-9]{{4}}[A-Z][0-9]{{5}})", 1)
     return F.when(found != "", found)
+
+
+#: The candidates of an indicator that are screened, and how many at once.
+SCREEN_CAP, SCREEN_BATCH = 200, 12
+
+
+def screened(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The candidates(indicator, place, ...) that decisions(indicator, batch, index, relevant) keep: place counts from 1,
+    those behind SCREEN_CAP are not screened, and an index that a batch doesn't have keeps none.  A candidate that is
+    kept twice stays twice."""
+    at = F.col("place") - 1
+    kept = decisions.where("relevant").select(F.col("indicator").alias("_i"), F.col("batch").alias("_b"), F.col("index").alias("_k"))
+    on = (F.col("indicator") == F.col("_i")) & (F.floor(at / SCREEN_BATCH) == F.col("_b")) & (at % SCREEN_BATCH == F.col("_k"))
+    return candidates.where(F.col("place").between(1, SCREEN_CAP)).join(kept, on).drop("_i", "_b", "_k")
+
+
+def consolidated(rows: DataFrame, keys: list[str], run: str, place: str, ranks: dict[str, int], economy: str, then: list[str]) -> DataFrame:
+    """Of rows of several runs the first of each key, by run and place, with rank: by the economy's rank (others last),
+    then the given columns, then run and place."""
+    first = first_of(rows, keys, [F.col(run), F.col(place)])
+    rank = F.lit(9)
+    for name, n in ranks.items():
+        rank = F.when(F.col(economy) == name, n).otherwise(rank)
+    return first.withColumn("economy_rank", rank).orderBy("economy_rank", *then, run, place)
+
+
+def realigned(units: DataFrame, pages: DataFrame, law: str, version: str) -> DataFrame:
+    """The units(unit_id, law, volume, text, alignment) of one law that were not aligned exactly and now are, with first,
+    last, alignment and version; only these are to be upserted, all others stay untouched."""
+    open_ = units.where((F.col("law") == law) & (F.coalesce("alignment", F.lit("")) != "exact"))
+    volumes = open_.select("volume").distinct()
+    found = page_windows(open_.select("unit_id", "volume", "text"), pages.join(volumes, "volume", "left_semi"))
+    found = found.select(F.col("unit_id").alias("_u"), F.col("volume").alias("_v"), "first", "last")
+    met = open_.join(found, (F.col("unit_id") == F.col("_u")) & (F.col("volume") == F.col("_v"))).drop("_u", "_v")
+    return met.withColumn("alignment", F.lit("exact")).withColumn("version", F.lit(version))

@@ -5,12 +5,12 @@ every branch of its rule."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import legal
 from lodestrata.functions import text as X
-from lodestrata.operators import curation, gates, graph, matching, references, scoring
+from lodestrata.operators import curation, gates, graph, matching, references, review, scoring
 from lodestrata.session import table
 
 
@@ -274,6 +274,43 @@ def structure_floor(spark: SparkSession, d: str) -> DataFrame:
     return met.select("o_orderkey", gates.structure_too_thin(F.col("units"), F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey") % 41)).alias("thin"))
 
 
+def screen_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a segment as candidates by balance, screened by decisions that orders stand for."""
+    c = table(spark, d, "customer")
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    candidates = c.select(F.col("c_mktsegment").alias("indicator"), place.alias("place"), "c_custkey")
+    o = table(spark, d, "orders").select((F.col("o_orderkey") % 20).alias("batch"), (F.col("o_custkey") % 15 - 1).alias("index"), (F.col("o_orderstatus") == "F").alias("relevant"), "o_orderpriority")
+    decisions = o.withColumn("indicator", _pick(F.length("o_orderpriority"), ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"))).drop("o_orderpriority")
+    return review.screened(candidates, decisions).groupBy("indicator", "c_custkey").agg(F.count("*").alias("n"))
+
+
+SCREEN_SQL = f"""with c as (select c_mktsegment i, c_custkey, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) place from customer),
+o as (select o_orderkey % 20 b, o_custkey % 15 - 1 k, {_sql("length(o_orderpriority)", ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"))} i from orders where o_orderstatus = 'F')
+select c.i indicator, c_custkey, count(*) n from c join o on c.i = o.i and place <= 200 and (place - 1) // 12 = b and (place - 1) % 12 = k group by 1, 2"""
+
+
+def consolidated_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of seven runs, which repeat parts of suppliers."""
+    line = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("economy"), F.col("l_suppkey").alias("law"), F.col("l_partkey").alias("section"), F.col("l_linenumber").alias("run"), F.col("l_orderkey").alias("place"))
+    found = review.consolidated(line, ["economy", "law", "section"], "run", "place", {"R": 0, "A": 1}, "economy", ["law"])
+    return found.select("economy", "law", "section", "run", "place", "economy_rank")
+
+
+def realigned_units(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as volumes and turns as pages; pairs of turns as units, some already aligned, some not found."""
+    turns = table(spark, d, "conversations")
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = F.when(F.col("turn") % 4 == 3, F.concat("text", F.lit(" zz"))).otherwise(F.concat_ws(" ", "text", nxt))
+    units = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), _pick(F.col("conv_id"), ("A", "B", "A")).alias("law"), F.col("conv_id").alias("volume"), said.alias("text"), _pick("turn", ("none", "exact", None)).alias("alignment"))
+    found = review.realigned(units, turns.select(F.col("conv_id").alias("volume"), F.col("turn").alias("page"), "text"), "A", "v2")
+    return found.select("unit_id", "volume", "first", "last", "alignment", "version")
+
+
+REALIGN_SQL = f"""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) i, lead(text) over (partition by conv_id order by turn) nxt from conversations),
+u as (select conv_id * 1000 + turn unit_id, conv_id volume, case when turn % 4 = 3 then text || ' zz' else concat_ws(' ', text, nxt) end as text from t where {_sql("conv_id", ("A", "B", "A"))} = 'A' and turn % 3 <> 1),
+w as (select a.conv_id, a.i, n, string_agg(b.text, ' ' order by b.i) txt, min(b.turn) f, max(b.turn) l from t a, range(1, 7) r(n), t b where a.conv_id = b.conv_id and b.i >= a.i and b.i < a.i + n group by all having count(*) = n)
+select unit_id, volume, f "first", l "last", 'exact' alignment, 'v2' as version from u join w on volume = conv_id and contains(txt, text) qualify row_number() over (partition by unit_id order by n, i) = 1"""
+
 REFERENCES_SQL = """with l as (select l_orderkey::varchar law, l_linenumber n from lineitem), e as (select law, n, unnest([n::varchar || 'B', '9', '77']) s from l)
 select distinct law || '-' || n::varchar src, 'section:AU:' || law || ':s. ' || s dst from e where n <> 7 or s <> '77'"""
 
@@ -291,6 +328,9 @@ QUERIES = {
     "citation_readings": (citation_readings, "select o_orderkey, [1.0, 0.666667, 0.333333, 0.0][o_orderkey % 4 + 1]::double accuracy, o_orderkey % 4 > 0 apart from orders"),
     "structure_accuracy": (structure_accuracy, "with p as (select distinct l_orderkey act, l_returnflag, l_linestatus, l_linenumber, l_quantity > 25 hit from lineitem), q as (select act, l_returnflag, l_linestatus, l_linenumber, bool_or(hit) hit from p group by all) select act, count(*) expected, count(*) filter (hit) shared, round(count(*) filter (hit) / count(*), 6)::double accuracy from q group by 1"),
     "gate_exception_outside": (gate_exception_outside, EXCEPTION_SQL),
+    "screen_survivors": (screen_survivors, SCREEN_SQL),
+    "consolidated_runs": (consolidated_runs, "select l_returnflag economy, l_suppkey law, l_partkey as section, l_linenumber run, l_orderkey place, (case l_returnflag when 'R' then 0 when 'A' then 1 else 9 end)::int economy_rank from lineitem qualify row_number() over (partition by l_returnflag, l_suppkey, l_partkey order by l_linenumber, l_orderkey) = 1"),
+    "realigned_units": (realigned_units, REALIGN_SQL),
     "structure_floor": (structure_floor, "with u as (select l_orderkey k, count(*) n from lineitem where l_quantity > 10 group by 1) select o_orderkey, coalesce(n, 0) < greatest(3, case when o_custkey % 9 <> 0 then o_custkey % 41 else 0 end // 5) thin from orders left join u on k = o_orderkey"),
     "act_references": (act_references, REFERENCES_SQL),
 }
