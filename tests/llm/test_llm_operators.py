@@ -770,7 +770,7 @@ def test_pipeline(spark):
 
 
 def test_registered():
-    assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", n)[1] for n in queries.queries()} == set(map(str, range(1, 14)))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
