@@ -187,6 +187,12 @@ class PieceBpe:
         get, make = self._words.get, self._encode_word
         return np.frombuffer(b"".join([get(w) or make(w) for w in self.chunks(SPACE + text.replace(" ", SPACE))]), dtype=np.int32)
 
+    def forget(self, least: int = 50_000) -> None:
+        """Empties caches of that many entries, so that an idle worker holds little."""
+        for cache in (self._words, self._parts, self._pairs):
+            if len(cache) >= least:
+                cache.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
         out = b"".join([surface[i] for i in ids.tolist()])
@@ -230,6 +236,7 @@ def _map(table: DataFrame, model_path: str, added: list[tuple[str, str]]) -> Dat
             if "decoded" in names:
                 new["decoded"] = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(new[n] for n in names)], names=schema.names)
+        bpe.forget()
 
     return guard.restore(docs.mapInArrow(run, schema), [n for n, _ in added])
 
