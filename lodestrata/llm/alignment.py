@@ -7,10 +7,12 @@ ranges of tokens.  The OR's stretches each lie in one token of either side: they
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -77,6 +79,7 @@ def _lengths(surface: list[bytes]) -> np.ndarray:
 class Aligner:
     def __init__(self, a: str, b: bytes):
         self.a, self.b = token_counts.loaded(a), piece_bpe.loaded(b)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=b)
         self.size_a, self.size_b = _lengths(self.a.surface), _lengths(self.b.surface)
         top = max(len(self.size_a), len(self.size_b))
         self.width = len(str(top)) + 1
@@ -84,6 +87,26 @@ class Aligner:
         self.digits = np.array([str(k).ljust(self.width) for k in range(top)], dtype=f"S{self.width}").view(np.uint8).reshape(top, self.width)
         self.n_digits = np.array([len(str(k)) for k in range(top)], dtype=np.int64)
 
+    def _encode_b(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids under b.  Texts are cut where no merge crosses; the library encodes the new words of all texts at once."""
+        known, mark = self.b._words, piece_bpe.SPACE
+        cut = [self.b.chunks(mark + t.replace(" ", mark)) if t else [] for t in texts]
+        used = set().union(*cut)
+        if len(known) + len(used) > piece_bpe.CACHE:
+            known.clear()
+        # The library puts a space before what it encodes, so it is given the words that begin with one.
+        fit = lambda w: w[0] == mark and 1 < len(w) <= 40
+        others = {w: self.b._encode_word(w) for w in used.difference(known) if not fit(w)}
+        new = [w for w in used.difference(known, others) if fit(w)]
+        ids = self.library.encode([w[1:].replace(mark, " ") for w in new], num_threads=1) if new else []
+        known.update((w, array("i", x).tobytes()) for w, x in zip(new, ids, strict=True))
+        known.update(others)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), dtype=np.int32) for own in cut]
+        for w in others:
+            if len(w) > 40:
+                del known[w]
+        return out
+
     def parts(self, texts: list[str | None]) -> Iterator[tuple[int, int, Aligned]]:
         """The alignment of texts[i:j], stretch by stretch.  Null and empty texts have no tokens, nor have those
         where the bytes of either side's tokens aren't a space and the text."""
@@ -95,7 +118,7 @@ class Aligner:
                 j += 1
             own = [" " + t if t else "" for t in texts[i:j]]
             a = self.a.encode(own)
-            b = [self.b.encode(t) for t in texts[i:j]]
+            b = self._encode_b(texts[i:j])
             for k, t in enumerate(own):
                 raw = t.encode()
                 if not t or self.size_a[a[k]].sum() != len(raw) or self.size_b[b[k]].sum() != len(raw) or (piece_bpe.SPACE in t and self._differs(raw, b[k])):
