@@ -66,12 +66,13 @@ def rule_components(text: Column) -> Column:
 
     def opening(s: Column, x: Column) -> Column:
         at = s["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["word"])).alias("at"), F.concat(s["starts"], F.array(at)).alias("starts"))
+        new = F.struct((at + F.length(x["word"])).alias("at"), F.concat(s["starts"], F.array(at)).alias("starts"))
+        return F.when(x["word"].isNull(), s).otherwise(new)
 
     def stretches(role: str, pattern: str) -> Column:
-        # Where an opening stands is the length of the stretches and openings before it.
+        # Where an opening stands is the length of the stretches and openings before it; behind the last is one more.
         opened, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(opened)).alias("gap"), opened.alias("word"))
+        zipped = F.arrays_zip(between.alias("gap"), opened.alias("word"))
         return F.transform(F.aggregate(zipped, none, opening, lambda s: s["starts"]), lambda at: span(role, at, stop(at)))
 
     parts += [stretches(role, pattern) for role, pattern in COMPONENTS.items()]

@@ -222,12 +222,13 @@ def rule_units(found: DataFrame, acts: DataFrame, least: int = 30, most: int = 2
     body = F.regexp_replace("body", F.concat(F.lit(r"^\Q"), F.col("number"), F.lit(r"\E\.\s*")), F.lit(""))
     own = acts.select(F.col("doc_id").alias("_d"), "economy", "act_name", "act_ref", "law_number_ref", "source_url", "citation", "ocr")
     met = found.withColumn("body", body).join(own, F.col("doc_id") == F.col("_d"))
+    # A section's parts are told once, not again for each of its pieces.
+    met = met.withColumn("_raw", F.substring("body", 1, most)).withColumn("_parts", legal.rule_components(F.col("_raw")))
     each = met.withColumn("piece", F.explode(pieces(number, F.col("body")))).where(F.length("piece.text") >= least)
     template = F.lit(legal.CITATION_TEMPLATES["statute"])
     for name, text in legal.CITATION_TEMPLATES.items():
         template = F.when(F.col("citation") == name, F.lit(text)).otherwise(template)
     document = F.concat(F.lower(F.substring("economy", 1, 2)), F.lit(":"), "act_ref")
-    raw = F.substring("body", 1, most)
     return each.select(
         "doc_id",
         F.concat(document, F.lit(":s"), F.replace(F.replace(F.col("piece.label"), F.lit("("), F.lit("-")), F.lit(")"), F.lit(""))).alias("id"),
@@ -237,12 +238,12 @@ def rule_units(found: DataFrame, acts: DataFrame, least: int = 30, most: int = 2
         "law_number_ref",
         F.concat(template, "piece.label").alias("article_section"),
         F.substring("piece.text", 1, most).alias("text"),
-        raw.alias("raw_context"),
+        F.col("_raw").alias("raw_context"),
         "source_url",
         F.concat(F.lit("page "), F.col("page").cast("string")).alias("location_reference"),
         number.alias("section_number"),
         F.when(F.col("ocr"), "ocr").otherwise("native_text").alias("extraction"),
-        legal.rule_components(raw).alias("rule_components"),
+        F.col("_parts").alias("rule_components"),
     )
 
 
@@ -253,5 +254,5 @@ def parse(pages: DataFrame, acts: DataFrame) -> DataFrame:
     labels take; null for the common one's.  ocr: the text comes from images, so section letters are repaired.
     Documents without acts give no units, nor do null texts or those without headings; repeated pages repeat."""
     lines = staged(enacted(repaired(lines_of(pages), acts.where("ocr"))))
-    headings = staged(best_headings(accepted(candidates(lines, acts))))
+    headings = staged(best_headings(accepted(staged(candidates(lines, acts)))))
     return rule_units(sections(lines, headings), acts)

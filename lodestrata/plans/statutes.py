@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import legal
 from lodestrata.operators import markup_acts, statutes
-from lodestrata.session import table
+from lodestrata.session import staged, table
 
 TITLE = "Universal Plain Word Act 1979"
 #: Sections of a page, and the most sections of an act, whose numbers have three digits.
@@ -53,7 +53,7 @@ def _units(spark: SparkSession, d: str, mark: Column, grammar: str | None, conte
         pages = pages.unionByName(front.select("doc_id", F.lit(0).cast("long").alias("page"), "text"))
     own = {"economy": F.lit("Malaysia"), "act_name": F.lit(TITLE), "act_ref": F.col("doc_id").cast("string"), "law_number_ref": F.lit(None).cast("string"), "source_url": F.lit("https://x"), "grammar": F.lit(grammar), "citation": F.lit(grammar), "ocr": F.lit(False)}
     acts = table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in own.items()))
-    units = statutes.parse(pages, acts)
+    units = statutes.parse(staged(pages), acts)
     each = F.struct("id", F.concat_ws("|", "id", "article_section", "location_reference", "text", F.size("rule_components").cast("string")).alias("said"))
     told = F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["said"]), "\n")
     return units.groupBy("doc_id").agg(F.count("*").alias("units"), F.sha2(told, 256).alias("said"))

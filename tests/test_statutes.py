@@ -153,3 +153,11 @@ def test_headings_that_are_none(spark):
     texts = {"removes some": False, "Moving of words": True, "Telephones (Listening and Access) Act": False, "see Section 5": False, "": True, "  ": True, "Listening and words": True}
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", legal.plausible_heading(F.col("x"), law_tokens(F.lit(name))).alias("p")).collect()
     assert {r.x: r.p for r in rows} == texts
+
+
+def test_rule_components_are_told_once_for_a_section(spark):
+    acts = spark.createDataFrame([(1, "Malaysia", "Data Act", "ref", None, "https://x", None, None, False)], ACT)
+    found = spark.createDataFrame([(1, 1, "4", "4. Rule (1) One may go if it rains. (2) Two may stay where it is dry.")], "doc_id long, page int, number string, body string")
+    plan = statutes.rule_units(found, acts)._jdf.queryExecution().optimizedPlan().toString()
+    # What opens a role's parts and what stands between is sought once each, before pieces are made.
+    assert plan.count("provided that") == 2 and plan.index("Generate") < plan.index("provided that")
