@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -172,13 +176,23 @@ def citation_accuracy(reading: Column, truth: Column) -> Column:
 def error_rates(reading: Column, truth: Column) -> dict[str, Column]:
     """Edits of a reading by characters and by words, and the truth's characters and words.
 
-    Words are numbered within a pair and stand as one character each, so that both distances are Levenshtein's."""
-    split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    every = F.array_distinct(F.concat(split(reading), split(truth)))
-    coded = lambda x, known: F.array_join(F.transform(split(x), lambda w: _sign(w, known)), "")
-    # The words of the pair are bound by a transformation, or they would be told anew for each of them.
-    edits = F.transform(F.array(every), lambda known: F.levenshtein(coded(reading, known), coded(truth, known)))
-    return {"char_edits": F.levenshtein(reading, truth), "chars": F.length(truth), "word_edits": F.element_at(edits, 1), "words": F.size(split(truth))}
+    Texts may be long, so edits are counted in bands of bit vectors."""
+    words = F.size(F.filter(F.split(truth, r"\s+"), lambda w: w != ""))
+    return {"char_edits": _text_edits(False)(reading, truth), "chars": F.length(truth), "word_edits": _text_edits(True)(reading, truth), "words": words}
+
+
+WHITE = re.compile(r"\s+", re.ASCII)
+
+
+def _text_edits(by_words: bool) -> Callable[..., Column]:
+    """A function of two texts: their Levenshtein distance by characters or words, null if either is."""
+    from lodestrata.functions.edits import edits
+
+    def count(one: pa.Array, two: pa.Array) -> pa.Array:
+        cut = (lambda x: [w for w in WHITE.split(x) if w]) if by_words else str
+        return pa.array([None if a is None or b is None else edits(cut(a), cut(b)) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)], pa.int32())
+
+    return F.arrow_udf(count, "int")
 
 
 # What a provision does, of which a text has the first that matches, and what makes it speak directly

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -93,3 +95,26 @@ def test_citations(spark):
     assert values(spark, X.expand_citations, ["Sections 4, 5A and 7(1)", "x"]) == [["s4", "s5A", "s7(1)"], []]
     assert values(spark, X.indicator_code, ["Indicator 6.4", "6.4", "v11.2.3", "13.1", "Infrastructure  Requirements!", None]) == ["P6-I4", "P6-I4", "P2-I3", None, "P6-I3", None]
     assert values(spark, X.strip_markdown, ["**a** [b](http://c)"]) == ["a b"]
+
+
+def test_edits_in_bands(monkeypatch):
+    from lodestrata.functions import edits as bands
+
+    def plain(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    long = "".join(chr(97 + k * k % 23) for k in range(60_000))
+    assert bands.edits(long, long.replace("a", "")) == long.count("a") > 64
+    pick = random.Random(5)
+    for step, least in ((1024, 64), (1, 1), (3, 1), (7, 2)):
+        monkeypatch.setattr(bands, "STEP", step)
+        monkeypatch.setattr(bands, "LEAST", least)
+        for _ in range(100):
+            a = "".join(pick.choices("abc", k=pick.randrange(40)))
+            b = "".join(c for c in a for _ in range(pick.choice((0, 1, 1, 1, 2)))) if pick.random() < 0.5 else "".join(pick.choices("abc", k=pick.randrange(40)))
+            assert bands.edits(a, b) == plain(a, b)
