@@ -62,6 +62,12 @@ def _cuts(part: pa.Table, keys: list[str]) -> list[int]:
     return [0, *np.flatnonzero(new).tolist(), part.num_rows]
 
 
+def met(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """Their join by shuffles.  Either side grows with the input, and what is broadcast passes through the driver whole
+    and stays there until it is collected, once for each round."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def bucket_pieces(rows: DataFrame, key: str, member: Column, size: int, useful: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """rows in buckets of two or more by key, as (key, left, right, chunk, carried columns).
 
@@ -73,9 +79,9 @@ def bucket_pieces(rows: DataFrame, key: str, member: Column, size: int, useful:
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), kept.alias("_kept")).where("_kept")
     sizes = sizes.select(F.col(key).alias("_key"), F.ceil(F.col("_n") / size).cast("int").alias("_chunks"))
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("_chunks")).cast("int")
-    met = rows.join(sizes, F.col(key) == F.col("_key")).withColumn("chunk", own)
+    dealt = met(rows, sizes, F.col(key) == F.col("_key")).withColumn("chunk", own)
     others = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda c: F.struct(F.least(c, F.col("chunk")).alias("left"), F.greatest(c, F.col("chunk")).alias("right")))
-    return met.withColumn("_piece", F.explode(others)).select(key, "_piece.left", "_piece.right", "chunk", *(carry or []))
+    return dealt.withColumn("_piece", F.explode(others)).select(key, "_piece.left", "_piece.right", "chunk", *(carry or []))
 
 
 def dealt_pieces(pieces: DataFrame, key: str) -> DataFrame:
@@ -120,11 +126,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if k % 2 == 0:
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "_a")
-            new = both.join(least, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            new = met(both, least, F.col("a") == F.col("_a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             least = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
-            met = now.join(least, F.col("a") == F.col("_a"))
-            new = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+            new = met(now, least, F.col("a") == F.col("_a")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         new = stage(new.where("a <> b").distinct(), "edges")
         unstage(now)
         now = new

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Guard, kept, scratch, small_batches, stage, with_columns
-from .graph import bucket_pieces, components, search_pieces, spanning
+from .graph import bucket_pieces, components, met, search_pieces, spanning
 
 BITS, SEGMENTS, SEED, SHINGLE = 64, 2, 42, 3
 WIDTH = BITS // SEGMENTS
@@ -89,10 +89,10 @@ def groups(prints: DataFrame) -> DataFrame:
     doc_id, which may be null or shared by components."""
     with scratch():
         connected = components(links(prints.select("fp"))).withColumnRenamed("node", "_fp")
-        named = prints.join(connected, F.col("fp") == F.col("_fp"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        named = met(prints, connected, F.col("fp") == F.col("_fp"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
         named = kept(stage(named, "simhash-groups"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id")).withColumnRenamed("component", "_c")
-    return named.join(least, F.col("component") == F.col("_c")).select("fp", "first", "component", "component_id")
+    return met(named, least, F.col("component") == F.col("_c")).select("fp", "first", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are read."""
     marked = stage(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "simhash")
     found = groups(marked.groupBy("fp").agg(F.min("doc_id").alias("first"))).select(F.col("fp").alias("_fp"), "component_id")
-    out = marked.join(found, F.col("fp") == F.col("_fp"))
+    out = met(marked, found, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
@@ -120,5 +120,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = groups(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stays = found.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("component", "component_id").agg(F.min("fp").alias("_fp"))
     guard = Guard(docs, ["doc_id", "text"])
-    out = with_fingerprint(guard.df).join(stays, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = met(with_fingerprint(guard.df), stays, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     return guard.restore(out.dropDuplicates(["fp"]))

@@ -837,3 +837,9 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert step(spark, docs.limit(0), base).count() == 0
     out = corpus_pipeline.run(spark, base).collect()
     assert {r.doc_id for r in out} <= {r[0] for r in rows} and all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_simhash_broadcasts_nothing_that_grows(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} and word{k % 5} go on {k % 9}") for k in range(60)], "doc_id long, text string")
+    for found in (simhash.near_duplicates(docs), simhash.keep_first(docs)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
