@@ -28,12 +28,19 @@ def _packs(df: DataFrame, size: str, key: str) -> Iterator[list]:
         yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).collect()
 
 
+def _small_batches(texts: DataFrame) -> None:
+    """Bounds what a Python worker holds of whole texts or vectors at once, whatever the size of its partition."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def exact_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, item_id, sparse) where a text (item_id, text) holds a phrase (query_id, phrase), case folded.
 
     An automaton finds all phrases of a pack in one pass over the texts, whatever their number."""
     import ahocorasick
 
+    _small_batches(texts)
     spark, out = texts.sparkSession, None
     low = texts.select("item_id", F.lower("text").alias("text"))
     wanted = phrases.select("query_id", F.lower("phrase").alias("phrase")).where("trim(phrase) <> ''").distinct()
@@ -74,6 +81,7 @@ def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, al
     are scored against every batch of texts, and a task hands on its own best `limit` of each query, so no
     row is made for a query and a text that doesn't rank.  The document frequencies that are gathered are
     those of a pack's terms.  Without a limit all scores come, unranked."""
+    _small_batches(texts)
     spark, out = texts.sparkSession, None
     ok = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
     plain = texts.select("item_id", plain_letters(F.col("text")).alias("text"), ok.alias("ok"))
@@ -165,10 +173,15 @@ def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = LEG_LIMIT, al
     return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+#: Similarities that are held at once, vectors of a batch times queries.
+_CELLS = 1 << 20
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, floor: float = DENSE_FLOOR) -> DataFrame:
     """(query_id, item_id, dense, rank): each query's most similar vectors, cut at the floor after the limit.
 
     Packs of queries are multiplied with every batch of vectors; a batch hands on its own best `limit`."""
+    _small_batches(vectors)
     spark, out = vectors.sparkSession, None
     for rows in _packs(queries, "8 * size(embedding)", "query_id"):
         rows = sorted(rows, key=lambda r: r.query_id)
@@ -181,10 +194,15 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT,
                     continue
                 x = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
                 item = batch.column("item_id").to_numpy()
-                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                s = np.round(np.divide(q @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0), 5)
-                order = np.lexsort((np.broadcast_to(item, s.shape), -s), axis=1)[:, :limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(item[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "item_id", "dense"])
+                size = np.linalg.norm(x, axis=1)
+                # Some queries at a time, so that no matrix grows with their number.
+                some = max(1, _CELLS // len(x))
+                for at in range(0, len(ids), some):
+                    own, part = ids[at : at + some], q[at : at + some]
+                    norms = np.linalg.norm(part, axis=1)[:, None] * size[None, :]
+                    s = np.round(np.divide(part @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0), 5)
+                    order = np.lexsort((np.broadcast_to(item, s.shape), -s), axis=1)[:, :limit]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, order.shape[1])), pa.array(item[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "item_id", "dense"])
 
         part = vectors.select("item_id", "embedding").mapInArrow(run, "query_id long, item_id long, dense double")
         out = part if out is None else out.unionByName(part)

@@ -244,3 +244,15 @@ def test_windows_of_pages_hold_their_units(spark):
             want.add((k, v, number[v][hit[1]], number[v][hit[1] + hit[0] - 1]))
     found = segmentation.page_windows(spark.createDataFrame(units, "unit_id long, volume long, text string"), spark.createDataFrame(pages, "volume long, page long, text string"))
     assert {tuple(r) for r in found.collect()} == want and len(want) > 20
+
+
+def test_cosine_in_small_matrices(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    vectors = spark.createDataFrame([(k, [float(k * k % 7 - 3), float(k % 5 - 2), 1.0]) for k in range(40)], "item_id long, embedding array<double>")
+    queries = vectors.where("item_id % 3 = 0").withColumnRenamed("item_id", "query_id")
+    found = lambda: sorted(map(tuple, retrieval.cosine_topk(vectors, queries, 4).collect()))
+    whole = found()
+    # Whole texts and vectors come in small batches, and a matrix has a bounded number of queries.
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    monkeypatch.setattr(retrieval, "_CELLS", 20)
+    assert found() == whole and whole
