@@ -1,7 +1,8 @@
 """Acts from markup: XHTML with heading classes, and portal pages with anchored sections.
 
-Markup is read block by block in its order; what stands above a section is told by windows over the headings alone,
-the last of each level that no higher one has ended; blocks find their section as lines of statutes do."""
+Markup is read block by block in its order, and the blocks of a part that stand under one heading are one row; what
+stands above a section is told by windows over the headings alone, the last of each level that no higher one has ended;
+blocks before a part's first heading belong to the last one before it."""
 
 from __future__ import annotations
 
@@ -10,14 +11,14 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import legal
-from lodestrata.operators.statutes import under_marks
-from lodestrata.session import staged
+from lodestrata.session import fresh_path
 
 # The classes and anchors of the two kinds of markup.
 PARAGRAPH = re.compile(r"<p\b([^>]*)>(.*?)</p>", re.I | re.S)
@@ -37,34 +38,87 @@ SUB_ANCHOR = re.compile(r'<a name="((?:pr|Sc)[^"]*?ps(\d+[A-Z]*)-)"\s*>')
 TITLE = re.compile(r"<title>([^<]*)</title>")
 CURRENT = re.compile(r"Current version as at ([0-9]{1,2} [A-Za-z]{3} [0-9]{4})")
 
+TAG = re.compile(r"<[^>]+>")
+#: Rows that are handed on at once.
+ROWS = 4096
+
 BLOCKS = "page long, line long, start long, end long, class string, level int, number string, anchor string, text string"
+#: A heading, or what stands before a part's first one, with what is shown of the blocks from it to before the next.
+FRAGMENTS = "page long, line long, level int, number_line long, number string, anchor string, text string, lines array<long>, classes array<string>, texts array<string>, toc_lines array<long>, toc_texts array<string>"
 
 
 def plain(markup: str) -> str:
     """Tags to spaces, entities resolved, white space collapsed."""
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", markup)).split())
+    return " ".join(html.unescape(TAG.sub(" ", markup) if "<" in markup else markup).split())
+
+
+@lru_cache(1024)
+def _tag(attributes: str) -> tuple[str, int | None]:
+    """A paragraph's class and level."""
+    css, head = CLASS.search(attributes), HEADING.search(attributes)
+    return (css[1].split() or ["plain"])[0].lower() if css else "plain", int(head[1]) if head else None
 
 
 def _blocks(page: int, text: str) -> Iterator[tuple]:
     """The paragraphs of one part in order, with their place in its characters."""
     for line, m in enumerate(PARAGRAPH.finditer(text)):
-        css = CLASS.search(m[1])
-        head, number, anchor = HEADING.search(m[1]), SECTION_NUMBER.search(m[0]), ELEMENT_ID.search(m[0])
-        yield page, line, m.start(), m.end(), (css[1].split() or ["plain"])[0].lower() if css else "plain", head and int(head[1]), number and number[1].strip().rstrip("."), anchor and anchor[1], plain(m[2])
+        css, level = _tag(m[1])
+        number = anchor = None
+        # Most paragraphs have neither; other letters may equal an ASCII one but for their case.
+        low = m[0].lower() if m[0].isascii() else ""
+        if not low or "charsectno" in low:
+            number = SECTION_NUMBER.search(m[0])
+        if not low or "id=" in low:
+            anchor = ELEMENT_ID.search(m[0])
+        yield page, line, m.start(), m.end(), css, level, number and number[1].strip().rstrip("."), anchor and anchor[1], plain(m[2])
 
 
 def blocks(parts: DataFrame) -> DataFrame:
     """(doc_id, BLOCKS) of parts(doc_id, page, text), the parts of documents of markup; null texts have none."""
-    schema = type(parts.schema)([parts.schema["doc_id"], *_schema(BLOCKS)])
+    return _mapped(parts, ["page", "text"], BLOCKS, lambda page, text: _blocks(page, text or ""))
+
+
+def _fragments(page: int, text: str) -> Iterator[tuple]:
+    """The FRAGMENTS of one part in order; what no unit shows is left out."""
+    own = None
+    for _, line, _, _, css, level, number, anchor, said in _blocks(page, text):
+        if own is None or level is not None:
+            if own:
+                yield tuple(own)
+            own = [page, line, level, None, None, *((None, None) if level is None else (anchor, said)), [], [], [], [], []]
+        if own[4] is None and number is not None:
+            own[3:5] = line, number
+        if css == "toc5":
+            own[10].append(line)
+            own[11].append(said)
+        if own[2] in (None, 5) and said and not css.startswith(("acthead", "toc")):
+            own[7].append(line)
+            own[8].append(css)
+            own[9].append(said)
+    if own:
+        yield tuple(own)
+
+
+def _mapped(df: DataFrame, columns: list[str], ddl: str, found) -> DataFrame:
+    """(doc_id, ddl): what found gives for the columns of each row of df, ROWS rows or a little more at a time."""
+    schema = type(df.schema)([df.schema["doc_id"], *_schema(ddl)])
+    names, arrow = schema.names, _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, page, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "text")), strict=True):
-                rows = [(doc, *b) for b in _blocks(page, text or "")]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_arrow(schema))
+            rows: list[tuple] = []
+            for values in zip(*(batch.column(c).to_pylist() for c in ("doc_id", *columns)), strict=True):
+                rows += [(values[0], *x) for x in found(*values[1:])]
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
 
-    return parts.select("doc_id", "page", "text").mapInArrow(run, schema)
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df.select("doc_id", *columns).mapInArrow(run, schema)
 
 
 def _schema(ddl: str):
@@ -118,20 +172,25 @@ def _above(heads: DataFrame) -> DataFrame:
 
 
 def _pieces(number: Column, found: Column) -> Column:
-    """array<struct<label, blocks>>: what begins with a labelled block of class subsection; blocks before the first
-    and topic headings are in none; without any, one piece of all blocks."""
-    kept = F.filter(found, lambda b: b["class"] != "subsectionhead")
-    empty = F.slice(F.array(F.struct(number.alias("label"), found.alias("blocks"))), 1, 0)
-
-    def step(s: Column, b: Column) -> Column:
-        label = F.when(b["class"] == "subsection", F.nullif(F.regexp_extract(b["text"], SUBSECTION, 1), F.lit("")))
-        new = F.concat(s, F.array(F.struct(F.concat(number, F.lit("("), label, F.lit(")")).alias("label"), F.array(b).alias("blocks"))))
+    """array<struct<label, blocks, text>>: what begins with a labelled block of class subsection; blocks before the
+    first and topic headings are in none; without any, one piece of all blocks."""
+    label = lambda b: F.when(b["class"] == "subsection", F.nullif(F.regexp_extract(b["text"], SUBSECTION, 1), F.lit("")))
+    kept = F.transform(F.filter(found, lambda b: b["class"] != "subsectionhead"), lambda b: F.struct(label(b).alias("label"), b.alias("block")))
+    whole = F.array(F.struct(number.alias("label"), found.alias("blocks")))
+
+    def step(s: Column, x: Column) -> Column:
+        block = F.array(x["block"])
+        new = F.concat(s, F.array(F.struct(F.concat(number, F.lit("("), x["label"], F.lit(")")).alias("label"), block.alias("blocks"))))
         last = F.try_element_at(s, F.lit(-1))
-        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["label"].alias("label"), F.concat(last["blocks"], F.array(b)).alias("blocks"))))
-        return F.when(label.isNotNull(), new).when(F.size(s) > 0, longer).otherwise(s)
+        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["label"].alias("label"), F.concat(last["blocks"], block).alias("blocks"))))
+        return F.when(x["label"].isNotNull(), new).when(F.size(s) > 0, longer).otherwise(s)
 
-    split = F.aggregate(kept, empty, step)
-    return F.when(F.size(split) > 0, split).otherwise(F.array(F.struct(number.alias("label"), found.alias("blocks"))))
+    split = F.aggregate(kept, F.slice(whole, 1, 0), step, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
+    return F.transform(split, lambda p: F.struct(p["label"].alias("label"), p["blocks"].alias("blocks"), _joined(p["blocks"]).alias("text")))
+
+
+def _joined(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda b: b["text"]), " ")
 
 
 def parse(parts: DataFrame, acts: DataFrame, prefix: str = "au", least: int = 30, most: int = 20_000) -> DataFrame:
@@ -141,30 +200,38 @@ def parse(parts: DataFrame, acts: DataFrame, prefix: str = "au", least: int = 30
     A section is a heading of level 5 whose markup tells its number; clauses of schedules are cited by these,
     sections with decimals as such; what follows a heading of endnotes is no law.  Only blocks of class subsection
     begin a subsection.  Documents without acts or such headings give no units."""
-    every = staged(blocks(parts))
-    heads = every.where("level is not null")
-    marks = heads.select("doc_id", "page", "line", "level")
-    body = under_marks(every, marks, ["level"]).where("h.level = 5")
-    hidden = F.col("class").startswith("acthead") | F.col("class").startswith("toc") | (F.col("text") == "")
-    block = F.when(~hidden, F.struct("page", "line", "class", "text"))
-    at = F.struct("page", "line", "number")
-    found = body.groupBy(F.col("doc_id").alias("_d"), F.col("h.page").alias("_p"), F.col("h.line").alias("_l")).agg(F.min(F.when(F.col("number").isNotNull(), at)).alias("_n"), F.sort_array(F.collect_list(block)).alias("_b"))
-    met = _above(heads).join(found, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("line") == F.col("_l"))).where("_n is not null")
+    path = fresh_path(parts.sparkSession, "fragments")
+    _mapped(parts, ["page", "text"], FRAGMENTS, lambda page, text: _fragments(page, text or "")).write.parquet(path)
+    every = parts.sparkSession.read.parquet(path)
+    number = F.when(F.col("number").isNotNull(), F.struct("page", F.col("number_line").alias("line"), "number")).alias("number")
+    blocks_ = F.transform(F.arrays_zip("lines", "classes", "texts"), lambda x: F.struct(F.col("page").alias("page"), x["lines"].alias("line"), x["classes"].alias("class"), x["texts"].alias("text"))).alias("blocks")
+    heads = every.where("level is not null").select("doc_id", "page", "line", "level", "anchor", "text")
+    on = (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.col("line") == F.col("_l"))
+    # What stands before a part's first heading belongs to the last one of the parts before.
+    before = F.last(F.when(F.col("level").isNotNull(), F.struct("page", "line", "level")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0))
+    led = every.select("doc_id", "page", "line", "level").withColumn("_h", before).where("level is null and _h.level = 5").select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("line").alias("_l"), "_h").distinct()
+    led = every.where("level is null").select("doc_id", "page", "line", number, blocks_).join(led, on).select("doc_id", F.col("_h.page").alias("page"), F.col("_h.line").alias("line"), "number", "blocks")
+    body = every.where("level = 5").select("doc_id", "page", "line", number, blocks_).unionByName(led)
+    body = body.groupBy(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("line").alias("_l"))
+    # All that is told of a section comes together before its blocks do, which are shuffled once.
+    met = _above(heads).join(body.agg(F.min("number").alias("_n")).where("_n is not null"), on).drop("_d", "_p", "_l")
     number = F.col("_n.number")
-    met = met.select("doc_id", "anchor", "hierarchy", F.when(~F.contains(number, F.lit(".")), F.col("_schedule")).alias("schedule"), number.alias("section_number"), F.col("text").alias("_title"), F.transform("_b", lambda b: F.struct(b["class"].alias("class"), b["text"].alias("text"))).alias("_b"))
-    tocs = every.where((F.col("class") == "toc5") & F.col("text").rlike(TOC))
+    met = met.select("doc_id", "page", "line", "anchor", "hierarchy", F.when(~F.contains(number, F.lit(".")), F.col("_schedule")).alias("schedule"), number.alias("section_number"), F.col("text").alias("_title"))
+    tocs = every.select("doc_id", "page", F.explode(F.arrays_zip("toc_lines", "toc_texts")).alias("t")).select("doc_id", "page", F.col("t.toc_lines").alias("line"), F.col("t.toc_texts").alias("text")).where(F.col("text").rlike(TOC))
     hints = tocs.groupBy(F.col("doc_id").alias("_d"), F.regexp_extract("text", TOC, 1).alias("_n")).agg(F.min(F.struct("page", "line", F.trim(F.regexp_extract("text", TOC, 2)).alias("hint"))).alias("_hint"))
     met = met.join(hints, (F.col("doc_id") == F.col("_d")) & (F.col("section_number") == F.col("_n")), "left").drop("_d", "_n")
     own = acts.select(F.col("doc_id").alias("_d"), "economy", "act_name", "act_ref", "law_number_ref", "source_url")
-    met = met.join(own, F.col("doc_id") == F.col("_d"))
-    joined = lambda found: F.array_join(F.transform(found, lambda b: b["text"]), " ")
-    each = met.withColumn("piece", F.explode(_pieces(F.col("section_number"), F.col("_b")))).withColumn("_text", joined(F.col("piece.blocks"))).where(F.length("_text") >= least)
+    met = met.join(own, F.col("doc_id") == F.col("_d")).drop("_d")
+    shown = F.transform(F.sort_array(F.flatten(F.collect_list("blocks"))), lambda b: F.struct(b["class"].alias("class"), b["text"].alias("text")))
+    met = met.join(body.agg(shown.alias("_b")), on).drop("_d", "_p", "_l")
     title = F.trim(F.regexp_replace("_title", F.concat(F.lit(r"^\Q"), "section_number", F.lit(r"\E\s*")), F.lit("")))
-    heading = F.substring(title, 1, 120)
+    first = lambda word: F.coalesce(F.try_element_at(F.filter("hierarchy", lambda x: x.rlike(rf"(?i)^{word}\b")), F.lit(1)), F.lit(""))
+    met = met.withColumns({"heading": F.substring(title, 1, 120), "part": first("Part"), "division": first("Division")})
+    each = met.withColumn("piece", F.explode(_pieces(F.col("section_number"), F.col("_b")))).where(F.length("piece.text") >= least)
+    heading = F.col("heading")
     flat = F.replace(F.replace(F.col("piece.label"), F.lit("("), F.lit("-")), F.lit(")"), F.lit(""))
     document = F.concat(F.lit(f"{prefix}:"), "act_ref")
     inside = F.col("schedule").isNotNull()
-    first = lambda word: F.coalesce(F.try_element_at(F.filter("hierarchy", lambda x: x.rlike(rf"(?i)^{word}\b")), F.lit(1)), F.lit(""))
     labels = F.filter(F.transform("piece.blocks", lambda b: F.regexp_extract(b["text"], ITEM, 1)), lambda x: x != "")
     return each.select(
         "doc_id",
@@ -174,17 +241,17 @@ def parse(parts: DataFrame, acts: DataFrame, prefix: str = "au", least: int = 30
         F.col("act_name").alias("law_name"),
         "law_number_ref",
         F.when(inside, F.concat(F.lit("Sch "), "schedule", F.lit(", cl. "), "piece.label")).otherwise(F.concat(F.lit("s. "), "piece.label")).alias("article_section"),
-        F.substring("_text", 1, most).alias("text"),
-        F.substring(joined(F.col("_b")), 1, most).alias("raw_context"),
+        F.substring("piece.text", 1, most).alias("text"),
+        F.substring(_joined(F.col("_b")), 1, most).alias("raw_context"),
         "source_url",
         F.lit("unaligned").alias("location_reference"),
         "section_number",
-        heading.alias("heading"),
+        heading,
         "anchor",
         F.col("_hint.hint").alias("toc_hint"),
         F.concat("hierarchy", F.array(heading)).alias("hierarchy_path"),
-        first("Part").alias("part"),
-        first("Division").alias("division"),
+        "part",
+        "division",
         "schedule",
         F.col("piece.blocks").alias("semantic_blocks"),
         labels.alias("hierarchy_labels"),
@@ -226,16 +293,7 @@ def _anchored(page: str, suffix: str) -> Iterator[tuple]:
 def anchored_sections(pages: DataFrame, suffix: str = "") -> DataFrame:
     """(doc_id, SECTIONS) of pages(doc_id, text): the sections of each portal page with their subsections by anchor,
     under the part whose heading stands before them.  suffix is cut from the title; null texts give none."""
-    schema = type(pages.schema)([pages.schema["doc_id"], *_schema(SECTIONS)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows = [(doc, *s) for s in _anchored(text or "", suffix)]
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_arrow(schema))
-
-    return pages.select("doc_id", "text").mapInArrow(run, schema)
+    return _mapped(pages, ["text"], SECTIONS, lambda text: _anchored(text or "", suffix))
 
 
 def section_units(sections: DataFrame, acts: DataFrame) -> DataFrame:

@@ -92,3 +92,14 @@ def test_anchored_sections(spark, acts):
     one = units["australia:REF:pr26-ps2A-"]
     assert (one.law_name, one.article_section, one.source_url, one.current_as_at) == ("Word Act", "s. 26(2A)", "https://x#pr26-", "5 Jul 2024")
     assert [c.role for c in one.rule_components] == ["principal_rule", "exception"] and one.raw_context == "(1) One & two\n(2A) Three, except four"
+
+
+def test_a_part_gives_a_row_for_each_heading_and_what_stands_before_it_goes_back(spark, acts):
+    head = lambda n: f'<p class="ActHead5" id="i{n}"><span class="CharSectno">{n}</span> Title</p>'
+    long = "that is said at some length, by which it is a unit"
+    pages = [f'<p class="toc5">1 Listed</p>{head(1)}<p class="subsection">(1) One {long}</p><p>(a) more</p>', f'<p class="subsection">(2) Two {long}</p>', f"<P CLASS='Subsection'>(3) Thr&eacute;e {long}</P>{head(2)}<p>Last {long}</p>"]
+    assert [(x[1], x[2], len(x[9])) for x in markup_acts._fragments(2, pages[2])] == [(0, None, 1), (1, 5, 1)]
+    doc = acts.select("doc_id").first()[0]
+    rows = spark.createDataFrame([(doc, k, t) for k, t in enumerate(pages)], acts.select("doc_id").schema.add("page", "long").add("text", "string"))
+    units = {r.article_section: (r.text.split(" that")[0], r.toc_hint, r.anchor) for r in markup_acts.parse(rows, acts).collect()}
+    assert units == {"s. 1(1)": ("(1) One", "Listed", "i1"), "s. 1(2)": ("(2) Two", "Listed", "i1"), "s. 1(3)": ("(3) Thrée", "Listed", "i1"), "s. 2": ("Last", None, "i2")}
