@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import family, law_tokens, same_law, section_ancestors
+from lodestrata.session import spread
 
 
 def law_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -134,7 +135,9 @@ def token_disagreement(one: DataFrame, two: DataFrame, keys: list[str], pattern:
 def structure_accuracy(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, expected, shared, accuracy): the share of the distinct paths (arrays) of expected(keys, path) that
     found(keys, path) has too."""
-    one = expected.where("path is not null").select(*keys, "path").distinct()
-    two = found.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("path").alias("_path")).distinct()
-    met = one.join(two, [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("path") == F.col("_path")], "left")
-    return met.groupBy(*keys).agg(F.count("*").alias("expected"), F.count("_path").alias("shared"), F.round(F.count("_path") / F.count("*"), 6).alias("accuracy"))
+    one = expected.where("path is not null").select(*keys, "path", F.lit(True).alias("_e"), F.lit(False).alias("_f"))
+    # Null keys equal none.
+    two = found.dropna(subset=[*keys, "path"]).select(*keys, "path", F.lit(False).alias("_e"), F.lit(True).alias("_f"))
+    # All of a key's paths are in one partition: no join, and no second shuffle.
+    each = spread(one.unionByName(two), *keys).groupBy(*keys, "path").agg(F.max("_e").alias("_e"), F.max("_f").alias("_f")).where("_e")
+    return each.groupBy(*keys).agg(F.count("*").alias("expected"), F.count_if("_f").alias("shared"), F.round(F.count_if("_f") / F.count("*"), 6).alias("accuracy"))

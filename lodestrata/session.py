@@ -48,3 +48,14 @@ def staged(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows of a partition of spread().
+SPREAD = 1 << 20
+
+
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """df dealt by keys over as many partitions as keep about SPREAD rows of it, or of like, in each, so that what a task
+    holds does not grow with the input.  Both sides of a join must be dealt alike, or Spark deals one anew."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df if like is None else like).count() // SPREAD))
+    return df.repartition(n, *keys)

@@ -212,3 +212,15 @@ def test_edges_of_allowed_types_only(spark):
 def test_documents_of_too_few_units(spark):
     rows = [(2, 1, True), (3, 19, False), (3, 20, True), (4, 24, False), (None, None, True), (3, None, False)]
     assert applied(spark, [r[:2] for r in rows], "u int, p int", gates.structure_too_thin(F.col("u"), F.col("p"))) == [r[2] for r in rows]
+
+
+def test_tasks_do_not_grow_with_the_rows(spark, monkeypatch):
+    from lodestrata import session
+
+    monkeypatch.setattr(session, "SPREAD", 50)
+    rows = spark.range(1000).selectExpr("id % 300 k", "array(string(id % 7), null) path")
+    some = spark.createDataFrame([(None, ["0", None]), (5, ["5", None]), (6, None)], "k long, path array<string>")
+    found = matching.structure_accuracy(rows.unionByName(some), rows.where("k < 9"), ["k"])
+    assert "RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString() and session.spread(rows, "k").rdd.getNumPartitions() >= 20
+    got = {r.k: (r.expected, r.shared) for r in found.collect()}
+    assert len(got) == 301 and got[None] == (1, 0) and all(shared == (n if k < 9 else 0) for k, (n, shared) in got.items() if k is not None)
