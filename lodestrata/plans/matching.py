@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import hashing
 from lodestrata.functions import text as X
 from lodestrata.operators import curation, matching
-from lodestrata.session import table
+from lodestrata.session import spread, table
 
 
 def law_identity_match(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +195,8 @@ def coverage_complete(spark: SparkSession, d: str) -> DataFrame:
     """Orders all of whose parts were found among large lines."""
     line = table(spark, d, "lineitem")
     found = line.where("l_quantity > 10").select(F.col("l_partkey").alias("_p")).distinct()
-    each = line.join(found, F.col("l_partkey") == F.col("_p"), "left").groupBy("l_orderkey").agg(F.bool_and(F.col("_p").isNotNull()).alias("complete"))
+    found = spread(found, "_p", like=line)
+    each = spread(line.select("l_orderkey", "l_partkey"), "l_partkey").join(found, F.col("l_partkey") == F.col("_p"), "left").groupBy("l_orderkey").agg(F.bool_and(F.col("_p").isNotNull()).alias("complete"))
     return each.groupBy("complete").agg(F.count("*").alias("n"))
 
 

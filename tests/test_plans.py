@@ -117,3 +117,16 @@ def test_gate_fit_against_brute_force(spark, duck):
     texts = dict(duck.sql("select doc_id, text from documents").fetchall())
     got = {r.doc_id: r.g7 for r in plans.queries()["gate_fit"](spark, SF_DIR).collect()}
     assert got == {k: verdict(k, t) for k, t in texts.items()} and set(got.values()) == {"PASS", "WARN", "FAIL"}
+
+
+def test_coverage_deals_both_sides_by_rows(spark, monkeypatch):
+    from lodestrata import session
+    from lodestrata.plans import matching
+
+    d = "/root/testdata/sf0.001"
+    whole = {tuple(r) for r in matching.coverage_complete(spark, d).collect()}
+    monkeypatch.setattr(session, "SPREAD", 100)
+    found = matching.coverage_complete(spark, d)
+    n = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
+    assert found._jdf.queryExecution().executedPlan().toString().count(f", {n}), REPARTITION_BY_NUM") == 2
+    assert {tuple(r) for r in found.collect()} == whole
