@@ -111,7 +111,8 @@ def _places(text: Column) -> Column:
             ref = F.concat(F.lit(f"{prefix} "), F.regexp_replace(x["number"], r"\s+", ""))
             return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), start.alias("start"), end.alias("end")))).alias("found"))
 
-        return F.aggregate(zipped, none, step, lambda s: s["found"])
+        # Most texts lack most forms, and are then read once for each and not three times.
+        return F.when(text.rlike(pattern), F.aggregate(zipped, none, step, lambda s: s["found"])).otherwise(F.array().cast("array<struct<kind:int,ref:string,start:int,end:int>>"))
 
     return F.flatten(F.array(*(of(k, p, prefix) for k, (p, prefix) in enumerate(REFERENCES))))
 

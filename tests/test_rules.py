@@ -224,3 +224,10 @@ def test_tasks_do_not_grow_with_the_rows(spark, monkeypatch):
     assert "RepartitionByExpression" in found._jdf.queryExecution().analyzed().toString() and session.spread(rows, "k").rdd.getNumPartitions() >= 20
     got = {r.k: (r.expected, r.shared) for r in found.collect()}
     assert len(got) == 301 and got[None] == (1, 0) and all(shared == (n if k < 9 else 0) for k, (n, shared) in got.items() if k is not None)
+
+
+def test_forms_that_a_text_lacks_are_sought_once(spark):
+    assert str(references._places(F.col("t"))).lower().count("rlike") >= len(references.REFERENCES)
+    rows = spark.createDataFrame([(1, "By Sec. 5(1) and Section 7, Rule 8"), (2, "nothing"), (3, "")], "k long, t string")
+    got = {r.k: [(p.kind, p.ref, p.start) for p in r.p] for r in rows.select("k", references._places(F.col("t")).alias("p")).collect()}
+    assert got == {1: [(5, "s. 7", 17), (6, "s. 5(1)", 3), (9, "r. 8", 28)], 2: [], 3: []}
