@@ -20,6 +20,10 @@ BANDS, ROWS = 12, 4
 #: Lines of a bucket that are compared with one another at once.
 CHUNK = 256
 _SLICE = 1 << 18
+#: Characters whose hashes are computed at once: their arrays stay in a core's cache.
+_CACHED = 1 << 15
+#: Shingles of groups of lines that are compared at once.
+_TOGETHER = 1 << 17
 _U = np.uint64
 _FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -27,7 +31,9 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 
 def normal(line: str) -> str:
     """What lines are compared by: lower case, single spaces."""
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # Of white space, only the space itself is printable.
+    return low.strip(" ") if "  " not in low and low.isprintable() else " ".join(low.split())
 
 
 def lines(text: str | None) -> list[tuple[int, str]]:
@@ -40,9 +46,21 @@ def shingles(line: str) -> frozenset[str]:
     return frozenset(line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
 
 
+def _portions(found: list[str]) -> Iterator[list[str]]:
+    """Stretches of found of about _CACHED characters."""
+    ends = np.cumsum([len(x) for x in found])
+    cuts = [0, *np.flatnonzero(np.diff(ends // _CACHED)) + 1, len(found)]
+    return (found[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
+
 def _codes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of the SHINGLE characters from each place of lines of SHINGLE characters or more on, and the
     number of places of each line."""
+    each = [_some_codes(x) for x in _portions(found)]
+    return np.concatenate([h for h, _ in each]), np.concatenate([n for _, n in each])
+
+
+def _some_codes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(x) for x in found])
     h = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U)
     factor, step = _FAMILIES[0], 1
@@ -58,36 +76,81 @@ def _codes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, length - SHINGLE + 1
 
 
-def similar_roots(h: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """For each line, one that similar lines connect it with: the same for all of a component.
+def similar_roots(h: np.ndarray, length: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each line, one of its group that similar lines of it connect it with: the same for all of a component.
 
-    h has the hashes of the lines' shingles one after the other, length how many each has.  What a line
-    shares with all others is counted at once, from the places where its shingles occur."""
-    n = len(length)
-    values, at = np.unique(h, return_inverse=True)
-    both = np.unique(np.repeat(np.arange(n), length) * len(values) + at)
-    owner, at = np.divmod(both, len(values))
-    size = np.bincount(owner, minlength=n)
-    ends = np.cumsum(size)
-    begins = ends - size
-    marked = np.zeros(len(values), dtype=np.int32)
-    root, rest = np.arange(n), np.ones(n, dtype=bool)
-    for start in range(n):
-        front = [start] if rest[start] else []
-        rest[start] = False
-        while front and rest.any():
-            i = front.pop()
-            own = at[begins[i] : ends[i]]
-            marked[own] = 1
-            common = np.add.reduceat(marked[at], begins)
-            marked[own] = 0
-            new = np.flatnonzero(rest & (common >= SIMILARITY * (size + size[i] - common) - 1e-9))
-            root[new] = start
-            rest[new] = False
-            front += new.tolist()
+    h has the hashes of the lines' shingles one after the other, length how many each has, cuts where groups of
+    lines begin, and end last.  Groups are searched at once while they have about _TOGETHER shingles."""
+    ends = np.concatenate([[0], np.cumsum(length)])[cuts]
+    root = np.arange(len(length))
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + _TOGETHER, side="right")) - 1)
+        root[cuts[a] : cuts[b]] = cuts[a] + _roots(h[ends[a] : ends[b]], length[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1]))
+        a = b
     return root
 
 
+def _roots(h: np.ndarray, length: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """similar_roots() of groups of so many members.  In each round every group marks one line's shingles, and what
+    it shares with its other lines is counted for all groups at once.
+
+    A shingle is known by its hash without the few bits that number the lines, and by its group."""
+    n = len(length)
+    group = np.repeat(np.arange(len(members)), members)
+    low = _U((1 << (n - 1).bit_length()) - 1)
+    x = h ^ np.repeat((group.astype(_U) + _U(1)) * _FAMILIES[0], length)
+    x &= ~low
+    x |= np.repeat(np.arange(n, dtype=_U), length)
+    x.sort()
+    x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+    value = np.concatenate([[0], np.cumsum((x[1:] ^ x[:-1]) > low)])
+    marked = np.zeros(value[-1] + 1, dtype=np.int32)
+    x = (x & low).view(np.int64) << 32 | value
+    x.sort()
+    at, size = x & 0xFFFFFFFF, np.bincount(x >> 32, minlength=n)
+    begins = np.cumsum(size) - size
+    held, own, starts = np.arange(n), at, begins  # lines that may be left, and their shingles
+    root, rest, waiting = np.arange(n), np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
+    while True:
+        # Of each group with lines left, one that was found and waits, else its first.
+        open_ = np.zeros(len(members), dtype=bool)
+        open_[group[rest]] = True
+        waiting &= open_[group]
+        chosen = _firsts(np.flatnonzero(waiting), group)
+        open_[group[chosen]] = False
+        chosen = np.concatenate([chosen, _firsts(np.flatnonzero(rest & open_[group]), group)])
+        rest[chosen] = waiting[chosen] = False
+        if not rest.any():
+            return root
+        front = np.full(len(members), -1)
+        front[group[chosen]] = chosen
+        if 2 * size[rest].sum() < len(own):
+            held = np.flatnonzero(rest)
+            own = at[_ranges(begins[held], size[held])]
+            starts = np.cumsum(size[held]) - size[held]
+        values = at[_ranges(begins[chosen], size[chosen])]
+        marked[values] = 1
+        common = np.add.reduceat(marked[own], starts)
+        marked[values] = 0
+        by = front[group[held]]
+        found = rest[held] & (by >= 0) & (common >= SIMILARITY * (size[held] + size[by] - common) - 1e-9)
+        by, found = by[found], held[found]
+        root[found] = root[by]
+        rest[found], waiting[found] = False, True
+
+
+def _firsts(some: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The first of each group of some sorted lines."""
+    return some[np.flatnonzero(np.diff(group[some], prepend=-1))]
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])
+
+
 def _ids(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes of lines as two longs."""
     raw = b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in found)
@@ -95,22 +158,27 @@ def _ids(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(found: list[str]) -> np.ndarray:
-    """A row of BANDS keys for each line, which must have SHINGLE characters or more.
+    """A row of BANDS keys for each line, which must have SHINGLE characters or more."""
+    return np.concatenate([_some_keys(x) for x in _portions(found)])
+
 
-    Each of ROWS hash families puts a line's shingles into BANDS bins and keeps the least value of each; a
+def _some_keys(found: list[str]) -> np.ndarray:
+    """Each of ROWS hash families puts a line's shingles into BANDS bins and keeps the least value of each; a
     bin without shingles takes that of the next bin that has some.  Band j holds bin j of every family."""
-    h, length = _codes(found)
+    h, length = _some_codes(found)
     base = np.repeat(np.arange(len(found)) * BANDS, length)
     signature = np.full((ROWS, len(found) * BANDS), _EMPTY, dtype=np.uint32)
+    where = np.empty(len(h), dtype=np.int64)
     for f, factor in enumerate(_FAMILIES):
         g = h * factor
         g ^= g >> _U(31)
-        # Two families of each product: one half tells the bin, the other the value.
-        halves = (g >> _U(32)).astype(np.uint32), g.astype(np.uint32)
-        for side in (0, 1):
-            where = (((halves[side] >> np.uint32(16)) * np.uint32(BANDS)) >> np.uint32(16)).astype(np.int64)
+        # Two families of each product: the upper bits of one half tell the bin, the other half is the value.
+        halves, quarters = g.view("<u4").reshape(-1, 2), g.view("<u2").reshape(-1, 4)
+        for side, (quarter, half) in enumerate(((3, 0), (1, 1))):
+            np.multiply(quarters[:, quarter], BANDS, out=where, dtype=np.int64)
+            where >>= 16
             where += base
-            np.minimum.at(signature[2 * f + side], where, halves[1 - side])
+            np.minimum.at(signature[2 * f + side], where, np.ascontiguousarray(halves[:, half]))
     signature = signature.reshape(ROWS, len(found), BANDS)
     filled = signature.copy()
     for k in range(1, BANDS):
@@ -131,20 +199,21 @@ def _tag() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, line, h1, h2) of each line that isn't blank."""
+    """(doc_id, tag, line, n, h1, h2) of each line that isn't blank; n: how many such lines its document has."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lines(x) for x in batch.column("text").to_pylist()]
-            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            each = np.array([len(x) for x in found], dtype=np.int64)
+            row = np.repeat(np.arange(len(found)), each)
             flat = [x for one in found for x in one]
             h1, h2 = _ids([x for _, x in flat])
             own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in flat], pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "tag", "line", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in flat], pa.int32()), pa.array(each[row], pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "tag", "line", "n", "h1", "h2"])
 
-    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, line int, h1 long, h2 long")
+    return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, line int, n int, h1 long, h2 long")
 
 
 def bands(docs: DataFrame) -> DataFrame:
@@ -237,11 +306,7 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cuts in whole_groups(batches, ["key", "left", "right"]):
             h, length = _codes(part.column("x").to_pylist())
-            ends = np.concatenate([[0], np.cumsum(length)])
-            root = np.arange(part.num_rows)
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a > 1:
-                    root[a:b] = a + similar_roots(h[ends[a] : ends[b]], length[a:b])
+            root = similar_roots(h, length, np.array(cuts))
             own = np.flatnonzero(root != np.arange(len(root)))
             node = part.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(own)), node.take(pa.array(root[own]))], names=["a", "b"])
@@ -281,7 +346,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id comes before all others.  Other columns are ignored."""
     every, gone = removed(docs)
     ids = docs.select("doc_id", _tag().alias("tag")).distinct()
-    counts = every.select("doc_id", "tag", "line").distinct().groupBy("doc_id", "tag").agg(F.count("*").alias("n_lines")).withColumnsRenamed({"doc_id": "_a", "tag": "_at"})
+    counts = every.groupBy("doc_id", "tag").agg(F.max("n").alias("n_lines")).withColumnsRenamed({"doc_id": "_a", "tag": "_at"})
     gone = gone.withColumnsRenamed({"doc_id": "_b", "tag": "_bt"})
     same = lambda i, t: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("tag") == F.col(t))
     out = ids.join(counts.hint("merge"), same("_a", "_at"), "left").join(gone.hint("merge"), same("_b", "_bt"), "left")

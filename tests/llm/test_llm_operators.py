@@ -549,6 +549,33 @@ def test_lines_of_unlike_documents_with_one_id(spark, doc_id):
     assert got == sorted([(str(doc_id), 2, []), (str(doc_id), 2, [1]), ("9", 2, [0, 1])])
 
 
+@pytest.mark.parametrize("together", [1, 1 << 17])
+def test_groups_of_lines_are_searched_at_once(monkeypatch, together):
+    monkeypatch.setattr(line_dedup, "_TOGETHER", together)
+    rng = np.random.default_rng(3)
+    groups = []
+    for size in (1, 2, 40, 1, 7):
+        x = list(rng.choice([*"abcd"], 100))
+        groups.append([])
+        for _ in range(size):  # each like the one before, so that components are chains
+            x[rng.integers(100)] = "e"
+            groups[-1].append("".join(x))
+        rng.shuffle(groups[-1])
+    groups.append(groups[2][:9])  # the same lines in another group
+    found = [x for g in groups for x in g]
+    sets = [line_dedup.shingles(x) for x in found]
+    cuts = np.cumsum([0, *map(len, groups)])
+    expected = list(range(len(found)))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for i in range(a, b):
+            for j in range(a, i):
+                if len(sets[i] & sets[j]) >= line_dedup.SIMILARITY * len(sets[i] | sets[j]):
+                    p, q = sorted((expected[i], expected[j]))
+                    expected[a:b] = [p if x == q else x for x in expected[a:b]]
+    assert line_dedup.similar_roots(*line_dedup._codes(found), cuts).tolist() == expected
+    assert len(set(expected)) < len(found)
+
+
 def test_shared_keys_cross_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 9), (4, 1), (4, 2)]
