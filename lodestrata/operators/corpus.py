@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from lodestrata.operators.curation import first_of
 
@@ -45,10 +46,21 @@ def page_route(chars: Column, quality: Column, text_area: Column, spans: Column,
 
 
 def words_to_lines(words: DataFrame, keys: list[str], order: str, word: str) -> DataFrame:
-    """The words of each line joined in their order; lines keep the place of their first word."""
-    parts = F.array_sort(F.collect_list(F.struct(order, word)))
-    out = words.groupBy(*keys).agg(F.min(order).alias("place"), parts.alias("_p"))
-    return out.withColumn("line", F.array_join(F.transform("_p", lambda p: p[word]), " ")).drop("_p")
+    """The words of each line joined in their order; lines keep the place of their first word.
+
+    Where word is an array, a row holds a run of words, of which the first has the place order and each other one the
+    place after.  Runs are shuffled whole, and joined with others word by word only where a line has several."""
+    many = isinstance(words.schema[word].dataType, ArrayType)
+    run = F.col(word) if many else F.array(word)
+    # Shuffled as one text, but for runs that it would not tell apart again.
+    plain = (F.size(run) > 0) & ~F.exists(run, lambda w: w.isNull() | F.contains(w, F.lit(" ")))
+    runs = words.select(*keys, F.col(order).alias("_at"), F.when(plain, F.array_join(run, " ")).alias("_t"), F.when(~plain, run).alias("_w"))
+    # Dealt beforehand: lists of runs that are all different would only be sorted and copied before the shuffle.
+    out = runs.repartition(*keys).groupBy(*keys).agg(F.min("_at").alias("place"), F.collect_list(F.struct("_at", "_t", "_w")).alias("_p"))
+    parts = F.transform("_p", lambda p: F.transform(F.coalesce(p["_w"], F.split(p["_t"], " ")), lambda w, k: F.struct((p["_at"] + k if many else p["_at"]).alias("at"), w.alias("word"))))
+    several = F.array_join(F.transform(F.array_sort(F.flatten(parts)), lambda x: x["word"]), " ")
+    one = F.col("_p")[0]
+    return out.withColumn("line", F.when(F.size("_p") > 1, several).otherwise(F.coalesce(one["_t"], F.array_join(one["_w"], " ")))).drop("_p")
 
 
 def upsert(current: DataFrame, batch: DataFrame, keys: list[str], version: str) -> DataFrame:

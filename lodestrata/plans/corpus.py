@@ -36,8 +36,11 @@ def page_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words_to_lines(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "word")).withColumn("block", F.floor(F.col("k") / 12))
-    return corpus.words_to_lines(words, ["doc_id", "block"], "k", "word").select("doc_id", "block", "place", F.sha2("line", 256).alias("sha256"))
+    """Lines of twelve words, read as the runs in which the words of a text stand."""
+    texts = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(12)), lambda k: F.slice("w", k, F.lit(12)))
+    words = texts.select("doc_id", F.posexplode(runs).alias("b", "words")).select("doc_id", F.col("b").cast("long").alias("block"), (F.col("b") * 12).alias("k"), "words")
+    return corpus.words_to_lines(words, ["doc_id", "block"], "k", "words").select("doc_id", "block", "place", F.sha2("line", 256).alias("sha256"))
 
 
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:

@@ -256,3 +256,13 @@ def test_cosine_in_small_matrices(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
     monkeypatch.setattr(retrieval, "_CELLS", 20)
     assert found() == whole and whole
+
+
+def test_lines_of_runs_of_words_are_those_of_their_words(spark):
+    runs = [(1, 0, ["a", "", "b c"]), (1, 3, ["d"]), (2, 5, ["x", None, "z"]), (2, 6, ["y"]), (3, 0, ["one", "two"]), (4, 2, []), (5, 1, [""])]
+    words = [(doc, k + i, w) for doc, k, run in runs for i, w in enumerate(run)]
+    got = lambda rows, kind: {r.doc: (r.place, r.line) for r in corpus.words_to_lines(spark.createDataFrame(rows, f"doc long, k int, w {kind}"), ["doc"], "k", "w").collect()}
+    assert got(runs, "array<string>") == got(words, "string") | {4: (2, "")}
+    assert got(words, "string") == {1: (0, "a  b c d"), 2: (5, "x y z"), 3: (0, "one two"), 5: (1, "")}
+    late = spark.createDataFrame([("b", "2"), ("a", "1")], "k string, w string").selectExpr("0 doc", "*")
+    assert corpus.words_to_lines(late, ["doc"], "k", "w").first().line == "1 2"
