@@ -94,32 +94,43 @@ def html_sections(html: Column) -> Column:
     return F.transform(found, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), r"\s+", " ")))
 
 
+#: Pages whose windows page_windows() keeps together.
+BLOCK = 8
+
+
 def page_windows(units: DataFrame, pages: DataFrame, most: int = 6) -> DataFrame:
     """(unit_id, volume, first, last): of the windows of up to `most` consecutive pages whose texts, joined by spaces,
     hold a unit's text, the narrowest and of these the earliest, by volume.
 
     A window that holds a unit has a page with each of its inner words, so a unit meets the windows around the pages of
-    its rarest one only; a unit without inner words meets all windows of its volume.  Null units are in no window, null
+    its rarest one only; a unit without inner words meets all windows of its volume.  Both
+    are brought together once for all windows that begin in a block of BLOCK pages.  Null units are in no window, null
     pages are empty."""
     order = Window.partitionBy("volume").orderBy("page")
     placed = pages.select("volume", "page", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("at"))
-    ahead = F.collect_list(F.struct("page", "text")).over(order.rowsBetween(0, most - 1))
-    windows = placed.select(F.col("volume").alias("_v"), F.col("at").alias("_at"), ahead.alias("ahead"))
+    ahead = F.collect_list(F.struct("page", "text")).over(order.rowsBetween(0, BLOCK + most - 2))
+    blocks = placed.select(F.col("volume").alias("_v"), F.col("at").alias("_at"), ahead.alias("ahead")).where((F.col("_at") - 1) % BLOCK == 0)
     words = placed.select(F.col("volume").alias("_v"), "at", F.explode(F.array_distinct(F.split("text", " "))).alias("_w"))
     often = words.groupBy("_v", "_w").agg(F.count("*").alias("n"))
     wanted = units.where("text is not null").select("unit_id", "volume", "text", F.array_distinct(F.slice(F.split("text", " "), 2, F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0)))).alias("inner"))
     some = wanted.where("size(inner) > 0")
     met = some.select("unit_id", "volume", F.size("inner").alias("k"), F.explode("inner").alias("w")).join(often, (F.col("volume") == F.col("_v")) & (F.col("w") == F.col("_w")))
     rarest = met.groupBy("unit_id", "volume", "k").agg(F.count("*").alias("found"), F.min(F.struct("n", "w")).getField("w").alias("w")).where("found = k").select("unit_id", "volume", "w")
-    near = rarest.join(words, (F.col("volume") == F.col("_v")) & (F.col("w") == F.col("_w"))).select("unit_id", "volume", F.explode(F.sequence(F.greatest(F.col("at") - most + 1, F.lit(1)), F.col("at"))).alias("start")).distinct()
-    near = near.join(some.select(F.col("unit_id").alias("_u"), F.col("volume").alias("_uv"), "text"), (F.col("unit_id") == F.col("_u")) & (F.col("volume") == F.col("_uv"))).select("unit_id", "volume", "text", "start")
-    one = near.join(windows, (F.col("volume") == F.col("_v")) & (F.col("start") == F.col("_at")))
-    two = wanted.where("size(inner) = 0").join(windows, F.col("volume") == F.col("_v")).withColumn("start", F.col("_at"))
-    both = one.select("unit_id", "volume", "text", "start", "ahead").unionByName(two.select("unit_id", "volume", "text", "start", "ahead"))
-    joined = lambda n: F.array_join(F.transform(F.slice("ahead", F.lit(1), n), lambda p: p["text"]), " ")
-    least = F.try_element_at(F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda n: F.contains(joined(n), F.col("text"))), F.lit(1))
-    hits = both.withColumn("n", least).where("n is not null")
-    best = hits.groupBy("unit_id", "volume").agg(F.min(F.struct("n", "start", F.col("ahead")[0]["page"].alias("first"), F.element_at("ahead", F.col("n"))["page"].alias("last"))).alias("b"))
+    near = rarest.join(words, (F.col("volume") == F.col("_v")) & (F.col("w") == F.col("_w"))).select("unit_id", "volume", F.explode(F.sequence(F.greatest(F.col("at") - most + 1, F.lit(1)), F.col("at"))).alias("start"))
+    block = (F.col("start") - 1 - (F.col("start") - 1) % BLOCK + 1).alias("block")
+    near = near.groupBy("unit_id", "volume", block).agg(F.collect_set("start").alias("starts"))
+    near = near.join(some.select(F.col("unit_id").alias("_u"), F.col("volume").alias("_uv"), "text"), (F.col("unit_id") == F.col("_u")) & (F.col("volume") == F.col("_uv"))).select("unit_id", "volume", "text", "block", "starts")
+    one = near.join(blocks, (F.col("volume") == F.col("_v")) & (F.col("block") == F.col("_at")))
+    every = F.sequence(F.col("_at"), F.col("_at") + F.least(F.size("ahead"), F.lit(BLOCK)) - 1)
+    two = wanted.where("size(inner) = 0").join(blocks, F.col("volume") == F.col("_v")).withColumn("starts", every)
+    both = one.select("unit_id", "volume", "text", "_at", "starts", "ahead").unionByName(two.select("unit_id", "volume", "text", "_at", "starts", "ahead"))
+    joined = lambda s, n: F.array_join(F.transform(F.slice("ahead", s - F.col("_at") + 1, n), lambda p: p["text"]), " ")
+    fits = lambda s: F.sequence(F.lit(1), F.least(F.lit(most), F.size("ahead") - s + F.col("_at")))
+    least = lambda s: F.try_element_at(F.filter(fits(s), lambda n: F.contains(joined(s, n), F.col("text"))), F.lit(1))
+    found = F.array_min(F.filter(F.transform("starts", lambda s: F.struct(least(s).alias("n"), s.alias("start"))), lambda h: h["n"].isNotNull()))
+    hits = both.withColumn("h", found).where("h is not null").withColumn("_k", F.col("h.start") - F.col("_at"))
+    page = lambda k: F.element_at("ahead", k)["page"]
+    best = hits.groupBy("unit_id", "volume").agg(F.min(F.struct("h.n", "h.start", page(F.col("_k") + 1).alias("first"), page(F.col("_k") + F.col("h.n")).alias("last"))).alias("b"))
     return best.select("unit_id", "volume", "b.first", "b.last")
 
 

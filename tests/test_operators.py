@@ -266,3 +266,23 @@ def test_lines_of_runs_of_words_are_those_of_their_words(spark):
     assert got(words, "string") == {1: (0, "a  b c d"), 2: (5, "x y z"), 3: (0, "one two"), 5: (1, "")}
     late = spark.createDataFrame([("b", "2"), ("a", "1")], "k string, w string").selectExpr("0 doc", "*")
     assert corpus.words_to_lines(late, ["doc"], "k", "w").first().line == "1 2"
+
+
+@pytest.mark.parametrize("block", [1, 3, 8])
+def test_page_windows_across_blocks_of_pages(spark, monkeypatch, block):
+    monkeypatch.setattr(segmentation, "BLOCK", block)
+    pages = [(1, 2 * k, f"a w{k % 9} b{k} c") for k in range(21)] + [(2, 5, None), (2, 6, "a"), (3, 0, "p q r")]
+    text = {v: [x or "" for w, _, x in pages if w == v] for v in (1, 2, 3)}
+    number = {v: [p for w, p, _ in pages if w == v] for v in (1, 2, 3)}
+    units = [(k, 1, " ".join(text[1][k : k + n])) for k, n in [(0, 1), (1, 6), (7, 2), (8, 1), (6, 4), (15, 6), (3, 7)]]
+    units += [(20, 1, "w4"), (21, 1, "c a w8 b8"), (22, 2, "a"), (23, 2, ""), (24, 2, None), (25, 3, "q r"), (26, 1, "c a"), (27, 3, "p x r")]
+    expected = []
+    for unit, volume, wanted in units:
+        t = text[volume]
+        found = [(n, i) for n in range(1, 7) for i in range(len(t) - n + 1) if wanted is not None and wanted in " ".join(t[i : i + n])]
+        if found:
+            n, i = min(found)
+            expected.append((unit, volume, number[volume][i], number[volume][i + n - 1]))
+    units = spark.createDataFrame(units, "unit_id long, volume long, text string")
+    got = segmentation.page_windows(units, spark.createDataFrame(pages, "volume long, page int, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
