@@ -3,12 +3,12 @@ connected components of which one line each is kept."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Guard, kept, scratch, small_batches, stage
@@ -24,6 +24,10 @@ _SLICE = 1 << 18
 _CACHED = 1 << 15
 #: Shingles of groups of lines that are compared at once.
 _TOGETHER = 1 << 17
+#: Lines of groups whose pairs are counted at once, all of them.
+_FEW = 4
+#: Rows (key, h1) that are packed at once, and packs by ranges of keys for each partition.
+_PACKED, _PACKS = 1 << 20, 4
 _U = np.uint64
 _FAMILIES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -38,7 +42,11 @@ def normal(line: str) -> str:
 
 def lines(text: str | None) -> list[tuple[int, str]]:
     """The number and the normal form of each line that isn't blank."""
-    found = enumerate(map(normal, (text or "").split("\n")))
+    low = (text or "").lower()
+    if "  " not in low and low.replace("\n", "").isprintable():  # so is every line
+        found = enumerate(x.strip(" ") for x in low.split("\n"))
+    else:
+        found = enumerate(map(normal, (text or "").split("\n")))
     return [x for x in found if x[1]]
 
 
@@ -81,29 +89,73 @@ def similar_roots(h: np.ndarray, length: np.ndarray, cuts: np.ndarray) -> np.nda
 
     h has the hashes of the lines' shingles one after the other, length how many each has, cuts where groups of
     lines begin, and end last.  Groups are searched at once while they have about _TOGETHER shingles."""
+    members = np.diff(cuts)
+    root = np.arange(len(length))
+    for few in (True, False):
+        group = (members <= _FEW) == few
+        line = np.flatnonzero(np.repeat(group, members))
+        if len(line):
+            own, size = h[np.repeat(np.repeat(group, members), length)], length[line]
+            root[line] = line[_searched(own, size, np.append(0, np.cumsum(members[group])), _roots_of_few if few else _roots)]
+    return root
+
+
+def _searched(h: np.ndarray, length: np.ndarray, cuts: np.ndarray, search: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     ends = np.concatenate([[0], np.cumsum(length)])[cuts]
     root = np.arange(len(length))
     a = 0
     while a < len(cuts) - 1:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + _TOGETHER, side="right")) - 1)
-        root[cuts[a] : cuts[b]] = cuts[a] + _roots(h[ends[a] : ends[b]], length[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1]))
+        root[cuts[a] : cuts[b]] = cuts[a] + search(h[ends[a] : ends[b]], length[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1]))
         a = b
     return root
 
 
-def _roots(h: np.ndarray, length: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """similar_roots() of groups of so many members.  In each round every group marks one line's shingles, and what
-    it shares with its other lines is counted for all groups at once.
+def _marked(h: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """The sorted distinct shingles of lines, and a mask of the low bits, which number the line.
 
     A shingle is known by its hash without the few bits that number the lines, and by its group."""
     n = len(length)
-    group = np.repeat(np.arange(len(members)), members)
     low = _U((1 << (n - 1).bit_length()) - 1)
     x = h ^ np.repeat((group.astype(_U) + _U(1)) * _FAMILIES[0], length)
     x &= ~low
     x |= np.repeat(np.arange(n, dtype=_U), length)
     x.sort()
-    x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+    return x[np.concatenate([[True], x[1:] != x[:-1]])], low
+
+
+def _roots_of_few(h: np.ndarray, length: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """similar_roots() of groups of _FEW lines at most: a shingle's lines stand side by side, so what lines share is
+    counted for all pairs."""
+    n, group = len(length), np.repeat(np.arange(len(members)), members)
+    x, low = _marked(h, length, group)
+    line = (x & low).view(np.int64)
+    x &= ~low
+    size = np.bincount(line, minlength=n)
+    common = np.zeros(n * _FEW, dtype=np.int64)
+    for d in range(1, int(members.max())):
+        at = np.flatnonzero(x[d:] == x[:-d])
+        apart = line[at + d] - line[at]
+        common += np.bincount((line[at] * _FEW + apart)[apart < _FEW], minlength=n * _FEW)
+    common = common.reshape(n, _FEW)
+    pairs = []
+    for d in range(1, min(_FEW, n)):
+        c = common[:-d, d]
+        pairs.append(np.flatnonzero((group[d:] == group[:-d]) & (c >= SIMILARITY * (size[d:] + size[:-d] - c) - 1e-9)))
+    root = np.arange(n)
+    for _ in range(1, _FEW):
+        for d, a in enumerate(pairs, 1):
+            root[a + d] = least = np.minimum(root[a], root[a + d])
+            root[a] = np.minimum(root[a], least)
+    return root
+
+
+def _roots(h: np.ndarray, length: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """similar_roots() of groups of so many members.  In each round every group marks one line's shingles, and what
+    it shares with its other lines is counted for all groups at once."""
+    n = len(length)
+    group = np.repeat(np.arange(len(members)), members)
+    x, low = _marked(h, length, group)
     value = np.concatenate([[0], np.cumsum((x[1:] ^ x[:-1]) > low)])
     marked = np.zeros(value[-1] + 1, dtype=np.int32)
     x = (x & low).view(np.int64) << 32 | value
@@ -199,7 +251,8 @@ def _tag() -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, line, n, h1, h2) of each line that isn't blank; n: how many such lines its document has."""
+    """(doc_id, tag, line, n, h1, h2) of each line that isn't blank; n: how many such lines its document has.
+    A document without any gives one row whose line and hashes are null."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -207,26 +260,56 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [lines(x) for x in batch.column("text").to_pylist()]
             each = np.array([len(x) for x in found], dtype=np.int64)
-            row = np.repeat(np.arange(len(found)), each)
-            flat = [x for one in found for x in one]
+            row = np.repeat(np.arange(len(found)), np.maximum(each, 1))
+            none = each[row] == 0
+            flat = [x for one in found for x in one or [(0, "")]]
             h1, h2 = _ids([x for _, x in flat])
             own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([k for k, _ in flat], pa.int32()), pa.array(each[row], pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "tag", "line", "n", "h1", "h2"])
+            line = np.array([k for k, _ in flat], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(line, mask=none), pa.array(each[row], pa.int32()), pa.array(h1, mask=none), pa.array(h2, mask=none)], names=["doc_id", "tag", "line", "n", "h1", "h2"])
 
     return docs.select("doc_id", _tag().alias("tag"), "text").mapInArrow(run, f"doc_id {kind}, tag long, line int, n int, h1 long, h2 long")
 
 
+def _parts(spark: SparkSession) -> int:
+    return _PACKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _packs(found: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h1) as (part, pack): what has keys of one of so many equal ranges is packed, sorted by key."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def done() -> pa.RecordBatch:
+        key, h1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(key.view(_U))
+        x = np.stack([key[order], h1[order]], axis=1)
+        part = (x[:, 0].view(_U) >> _U(32)) * _U(parts) >> _U(32)
+        cuts = np.flatnonzero(np.diff(part, prepend=_U(parts)))
+        ends = np.append(cuts, len(x)) * x.strides[0]
+        pack = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x)])
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pack], names=["part", "pack"])
+
+    for one in found:
+        held.append(one)
+        if sum(len(key) for key, _ in held) >= _PACKED:
+            yield done()
+            held = []
+    if held:
+        yield done()
+
+
 def bands(docs: DataFrame) -> DataFrame:
-    """(key, h1) for each band of each line of SHINGLE characters or more."""
+    """_packs() of (key, h1) for each band of each line of SHINGLE characters or more."""
+    parts = _parts(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held: dict[str, None] = {}  # different lines; repeats from one slice to the next go later
         size = 0
 
-        def done() -> pa.RecordBatch:
+        def done() -> tuple[np.ndarray, np.ndarray]:
             some = [*held]
             h1, _ = _ids(some)
-            return pa.RecordBatch.from_arrays([pa.array(band_keys(some).ravel()), pa.array(np.repeat(h1, BANDS))], names=["key", "h1"])
+            return band_keys(some).ravel(), np.repeat(h1, BANDS)
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -240,33 +323,34 @@ def bands(docs: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return docs.select("text").mapInArrow(run, "key long, h1 long")
+    return docs.select("text").mapInArrow(lambda batches: _packs(keys(batches), parts), "part int, pack binary")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows (key, h1) whose key has two h1 at least, in one pass over sorted rows that holds
-    none of them longer than a batch."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The distinct rows (key, h1) whose key has two h1 at least, of rows as they are or in _packs().
+
+    Spark moves and sorts packs and no rows; a task holds the rows of one range of keys at a time."""
+    n, parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _parts(rows.sparkSession)
+    if "pack" not in rows.columns:
+        rows = rows.mapInArrow(lambda batches: _packs(((b.column("key").to_numpy(), b.column("h1").to_numpy()) for b in batches), parts), "part int, pack binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros((2, 0), dtype=np.int64)  # the last distinct row, and whether it has been sent
-        sent = True
-        for batch in batches:
-            x = np.concatenate([last, [batch.column(k).to_numpy() for k in ("key", "h1")]], axis=1)
-            new = np.ones(x.shape[1], dtype=bool)
-            new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-            x = x[:, new]
-            same = x[0, 1:] == x[0, :-1]
-            out = np.zeros(x.shape[1], dtype=bool)
-            out[:-1] |= same
-            out[1:] |= same
-            if last.shape[1] and sent:
-                out[0] = False
-            sent = bool(x.shape[1]) and (bool(out[-1]) or (x.shape[1] == 1 and sent and last.shape[1] == 1))
-            last = x[:, -1:]
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in x], names=["key", "h1"])
-
-    return rows.repartition(n, "key").sortWithinPartitions("key", "h1").mapInArrow(run, "key long, h1 long")
+        for some, _ in whole_groups(batches, ["part"]):
+            x = np.frombuffer(b"".join(some.column("pack").to_pylist()), dtype=np.int64).reshape(-1, 2)
+            order = np.argsort(x[:, 0])
+            x = x[order[_met(x[order, 0])]]
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))] if len(x) else x
+            x = x[_met(x[:, 0])]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, k].copy()) for k in (0, 1)], names=["key", "h1"])
+
+    return rows.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "key long, h1 long")
+
+
+def _met(key: np.ndarray) -> np.ndarray:
+    """Which of sorted keys equal a neighbour."""
+    same = key[1:] == key[:-1]
+    return np.append(same, False) | np.append(False, same) if len(key) else np.zeros(0, dtype=bool)
 
 
 def distinct_buckets(rows: DataFrame) -> DataFrame:
@@ -281,27 +365,31 @@ def _node() -> Column:
     return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
 
 
-def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def links(docs: DataFrame, buckets: DataFrame, near: DataFrame) -> DataFrame:
     """Edges (a, b) between lines, as 32 hex digits, that connect just what verified pairs connect.
 
-    firsts tells where each distinct line (h1, h2) first stands, as `at` (doc_id, line, tag)."""
-    buckets = stage(distinct_buckets(stage(shared(bands(docs)), "line-buckets")), "line-buckets")
-    wanted = buckets.select(F.col("h1").alias("_h")).distinct()
-    places = firsts.join(wanted.hint("merge"), F.col("h1") == F.col("_h"), "left_semi").groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line").alias("_lines")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
-    met = docs.select("doc_id", "text", _tag().alias("tag")).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("text", "_lines")
+    buckets has the lines (key, h1) that are compared, near tells where each distinct one of these (h1, h2) first
+    stands, as `at` (doc_id, line, tag)."""
+    places = near.groupBy("at.doc_id", "at.tag").agg(F.collect_list("at.line").alias("_lines")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    met = docs.select("doc_id", "text", _tag().alias("tag")).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("doc_id", "tag", "text", "_lines")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             found = []
-            for text, some in zip(batch.column("text").to_pylist(), batch.column("_lines").to_pylist(), strict=True):
+            for *own, text, some in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text", "_lines")), strict=True):
+                if own == last:  # repeated rows follow one another; a line met twice would do no harm
+                    continue
+                last = own
                 every = (text or "").split("\n")
                 found += [normal(every[k]) for k in some if k < len(every)]
             h1, h2 = _ids(found)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(found, pa.string())], names=["h1", "h2", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(found, pa.string())], names=["_h1", "h2", "x"])
 
-    texts = met.mapInArrow(take, "h1 long, h2 long, x string").dropDuplicates(["h1", "h2"])
-    rows = buckets.join(texts.withColumnRenamed("h1", "_h").hint("merge"), F.col("h1") == F.col("_h")).select("key", _node().alias("node"), "x")
-    pieces = bucket_pieces(rows, "key", F.col("node"), CHUNK, carry=["node", "x"])
+    texts = met.mapInArrow(take, "_h1 long, h2 long, x string")
+    # Buckets are cut into pieces before their texts are met, which are read, made and sorted once.
+    pieces = bucket_pieces(buckets, "key", F.col("h1"), CHUNK, carry=["h1"])
+    pieces = pieces.join(texts.hint("merge"), F.col("h1") == F.col("_h1")).select("key", "left", "right", _node().alias("node"), "x")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cuts in whole_groups(batches, ["key", "left", "right"]):
@@ -315,13 +403,17 @@ def links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of lines, and (doc_id, tag, lines): the sorted numbers of the lines that go."""
+    """occurrences(), and (doc_id, tag, lines): the sorted numbers of the lines that go."""
     with scratch():
         every = kept(stage(occurrences(docs), "lines"))
         first = F.min(F.struct("doc_id", "line", "tag")).alias("at")
-        firsts = stage(every.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "line-firsts")
-        connected = stage(components(links(docs, firsts)), "line-components").withColumnRenamed("node", "_node")
-        fuzzy = firsts.withColumn("node", _node()).join(connected.hint("merge"), F.col("node") == F.col("_node")).select("h1", "h2", "at", "component")
+        firsts = stage(every.where("line is not null").groupBy("h1", "h2").agg(first, F.count("*").alias("n")), "line-firsts")
+        buckets = stage(distinct_buckets(stage(shared(bands(docs)), "line-buckets")), "line-buckets")
+        wanted = buckets.select(F.col("h1").alias("_h")).distinct()
+        near = stage(firsts.select("h1", "h2", "at").join(wanted.hint("merge"), F.col("h1") == F.col("_h"), "left_semi"), "line-near")
+        connected = stage(components(links(docs, buckets, near)), "line-components").withColumnRenamed("node", "_node")
+        fuzzy = near.withColumn("node", _node()).join(connected.hint("merge"), F.col("node") == F.col("_node")).select("h1", "h2", "at", "component")
+        fuzzy = stage(fuzzy, "line-fuzzy")
         least = fuzzy.groupBy("component").agg(F.min("at").alias("keep")).withColumnRenamed("component", "_c")
         fuzzy = fuzzy.join(least, F.col("component") == F.col("_c")).select("h1", "h2", "keep")
         exact = firsts.where("n > 1").select("h1", "h2", F.col("at").alias("keep"))
@@ -345,13 +437,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     doc_id, or have none, are documents of their own; where they tie, a hash of the text decides.  A null
     doc_id comes before all others.  Other columns are ignored."""
     every, gone = removed(docs)
-    ids = docs.select("doc_id", _tag().alias("tag")).distinct()
-    counts = every.groupBy("doc_id", "tag").agg(F.max("n").alias("n_lines")).withColumnsRenamed({"doc_id": "_a", "tag": "_at"})
-    gone = gone.withColumnsRenamed({"doc_id": "_b", "tag": "_bt"})
-    same = lambda i, t: F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("tag") == F.col(t))
-    out = ids.join(counts.hint("merge"), same("_a", "_at"), "left").join(gone.hint("merge"), same("_b", "_bt"), "left")
+    counts = every.groupBy("doc_id", "tag").agg(F.max("n").alias("n_lines"))
+    gone = gone.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    out = counts.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
     lost = F.coalesce("lines", F.array().cast("array<int>"))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_removed"), lost.alias("removed"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_removed"), lost.alias("removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

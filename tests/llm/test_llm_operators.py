@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import graph, license_scan, line_dedup, mixing, piece_bpe, quality, queries, simhash, topk, toxicity, vector_dedup, warc
+from lodestrata.llm import common, graph, license_scan, line_dedup, mixing, piece_bpe, quality, queries, simhash, topk, toxicity, vector_dedup, warc
 from lodestrata.llm import kneser_ney as kn
 from lodestrata.llm.blocks import Blocks
 
@@ -583,6 +584,31 @@ def test_shared_keys_cross_batches(spark):
     assert got == [(2, 1), (2, 2), (2, 3), (4, 1), (4, 2)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4])
+def test_few_lines_are_searched_by_pairs(size):
+    steps = ["abcdefghijklmnopqrstuvwxyz0123456789" * 2 + x for x in ("", "ABCDEFGH", "ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWX")]
+    for order in itertools.permutations(range(size)):  # a chain, its ends unlike one another, beside a line like none
+        found = [*(steps[k] for k in order), "unlike all of them", steps[0]]
+        cuts, expected = np.array([0, size, size + 1, size + 2]), [0] * size + [size, size + 1]
+        assert line_dedup.similar_roots(*line_dedup._codes(found), cuts).tolist() == expected
+
+
+def test_texts_are_met_once_and_keys_are_moved_in_packs(spark, monkeypatch):
+    plans = []
+
+    def stage(df, what, own=common.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return own(df, what)
+
+    for module in (line_dedup, graph):
+        monkeypatch.setattr(module, "stage", stage)
+    long = "a line that stands in two documents, but for its end"
+    docs = documents(spark, [(1, f"{long} a", "en", "a"), (2, f"x\n{long} b", "en", "a"), (3, " \n", "en", "a"), (4, None, "en", "a")])
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in line_dedup.dedup(docs).collect()} == {1: (1, []), 2: (2, [1]), 3: (0, []), 4: (0, [])}
+    assert max(p.count("MapInArrow") for p in plans) == 2  # what makes the lines' texts, and what compares them
+    assert any("Exchange hashpartitioning(part" in p for p in plans)
+
+
 # Mixing
 
 
