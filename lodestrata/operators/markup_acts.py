@@ -38,6 +38,7 @@ SUB_ANCHOR = re.compile(r'<a name="((?:pr|Sc)[^"]*?ps(\d+[A-Z]*)-)"\s*>')
 TITLE = re.compile(r"<title>([^<]*)</title>")
 CURRENT = re.compile(r"Current version as at ([0-9]{1,2} [A-Za-z]{3} [0-9]{4})")
 
+DASH = re.compile(r"^[—–-]\s*")
 TAG = re.compile(r"<[^>]+>")
 #: Rows that are handed on at once.
 ROWS = 4096
@@ -265,11 +266,18 @@ def _anchored(page: str, suffix: str) -> Iterator[tuple]:
     """The sections of a portal's page in order."""
     title, current = TITLE.search(page), CURRENT.search(page)
     law = plain(title[1]).replace(suffix, "").strip() if title else ""
-    marks = [(m.start(), m[1], plain(m[2])) for m in PART_MARK.finditer(page)]
+    marks = PART_MARK.finditer(page)
+    mark, part, number_of_part = next(marks, None), "", ""
     at = page.find(CONTAINER)
     while at >= 0:
         begin, at = at + len(CONTAINER), page.find(CONTAINER, at + 1)
         chunk = page[begin : at if at >= 0 else len(page)]
+        while mark and mark.start() < begin:  # both go through the page once
+            if mark[1] == "No":
+                number_of_part = plain(mark[2])
+            else:
+                part = f"{number_of_part} {plain(mark[2])}".strip()
+            mark = next(marks, None)
         key = SECTION_ID.search(chunk)
         if not key:
             continue
@@ -277,17 +285,12 @@ def _anchored(page: str, suffix: str) -> Iterator[tuple]:
         number = strong[1] if strong else key[1].strip("-").removeprefix("pr")
         anchors = [*SUB_ANCHOR.finditer(chunk)]
         ends = [m.start() for m in anchors[1:]] + [len(chunk)]
-        subs = [(f"{number}({m[2]})", re.sub(r"^[—–-]\s*", "", plain(chunk[m.end() : e])), m[1]) for m, e in zip(anchors, ends, strict=False)]
+        subs = [(f"{number}({m[2]})", DASH.sub("", plain(chunk[m.end() : e])), m[1]) for m, e in zip(anchors, ends, strict=False)]
         subs = [s for s in subs if s[1]]
         if not subs:
             whole = plain(chunk[strong.end() if strong else heading.end() if heading else 0 :])
             subs = [(number, whole, key[1])] if whole else []
-        part = ""
-        before = [(k, kind, said) for k, kind, said in marks if k < begin]
-        name = next((x for x in reversed(before) if x[1] == "Hdr"), None)
-        if name:
-            part = f"{next((s for k, kind, s in reversed(before) if kind == 'No' and k < name[0]), '')} {name[2]}".strip()
-        yield law, current and current[1], key[1], number, plain(heading[1]) if heading else "", part, "\n".join(s[1] for s in subs), [dict(zip(("label", "text", "anchor"), s, strict=True)) for s in subs]
+        yield law, current and current[1], key[1], number, plain(heading[1]) if heading else "", part, "\n".join(s[1] for s in subs), subs
 
 
 def anchored_sections(pages: DataFrame, suffix: str = "") -> DataFrame:
@@ -300,7 +303,8 @@ def section_units(sections: DataFrame, acts: DataFrame) -> DataFrame:
     """One rule unit for each subsection of anchored_sections() in documents acts(doc_id, economy, act_ref,
     law_number_ref, last_amended, source_url)."""
     own = acts.select(F.col("doc_id").alias("_d"), "economy", "act_ref", "law_number_ref", "last_amended", "source_url")
-    met = sections.join(own, F.col("doc_id") == F.col("_d")).withColumn("sub", F.explode("subsections"))
+    # A section's text is told again from its subsections, so that it is not shuffled beside them.
+    met = sections.drop("text").join(own, F.col("doc_id") == F.col("_d")).withColumn("text", F.array_join("subsections.text", "\n")).withColumn("sub", F.explode("subsections"))
     document = F.concat(F.lower("economy"), F.lit(":"), "act_ref")
     return met.select(
         "doc_id",

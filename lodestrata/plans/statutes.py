@@ -16,10 +16,11 @@ PER_PAGE, MOST = 10, 900
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, k, m, v): the words of section k of m of a document."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda w: w != "")
-    docs = table(spark, d, "documents").select("doc_id", words.alias("w")).where("size(w) > 0")
+    # Runs of other letters become one space each, so no word is empty but for the only one of a text without any.
+    words = F.split(F.nullif(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), F.lit("")), " ")
+    docs = table(spark, d, "documents").select("doc_id", words.alias("w"))
     docs = docs.withColumn("s", F.greatest(F.lit(20), F.ceil(F.size("w") / MOST)).cast("int")).withColumn("m", F.ceil(F.size("w") / F.col("s")).cast("int"))
-    each = docs.select("doc_id", "m", "s", "w", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("k"))
+    each = docs.select("doc_id", "m", "s", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(1), F.col("m")))).alias("k"))
     return each.select("doc_id", "m", "k", F.slice("w", (F.col("k") - 1) * F.col("s") + 1, F.col("s")).alias("v"))
 
 

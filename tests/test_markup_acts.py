@@ -103,3 +103,15 @@ def test_a_part_gives_a_row_for_each_heading_and_what_stands_before_it_goes_back
     rows = spark.createDataFrame([(doc, k, t) for k, t in enumerate(pages)], acts.select("doc_id").schema.add("page", "long").add("text", "string"))
     units = {r.article_section: (r.text.split(" that")[0], r.toc_hint, r.anchor) for r in markup_acts.parse(rows, acts).collect()}
     assert units == {"s. 1(1)": ("(1) One", "Listed", "i1"), "s. 1(2)": ("(2) Two", "Listed", "i1"), "s. 1(3)": ("(3) Thrée", "Listed", "i1"), "s. 2": ("Last", None, "i2")}
+
+
+def test_parts_are_told_in_one_pass_and_a_section_is_shuffled_without_its_text(spark, acts):
+    mark = lambda kind, said: f'<td class="part{kind} x">{said}</td>'
+    section = lambda n: f'<div class="prov1"><td class="prov1Hdr" id="pr{n}-">H</td><td>Body {n}</td></div>'
+    page = mark("Hdr", "ALONE") + section(1) + mark("No", "PART 1") + section(2) + mark("Hdr", "FIRST") + mark("No", "PART 2") + section(3) + mark("Hdr", "SECOND") + mark("Hdr", "AGAIN") + section(4)
+    sections = markup_acts.anchored_sections(spark.createDataFrame([(1, page)], "doc_id long, text string"))
+    assert {r.section_number: r.part for r in sections.collect()} == {"1": "ALONE", "2": "ALONE", "3": "PART 1 FIRST", "4": "PART 2 AGAIN"}
+    units = markup_acts.section_units(sections, acts)
+    assert {r.text: r.raw_context for r in units.collect()} == {x: x for x in ("Body 1 PART 1", "Body 2 FIRST PART 2", "Body 3 SECOND AGAIN", "Body 4")}
+    above = units._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("MapInArrow")[0]
+    assert "Project" in above and " text#" not in above

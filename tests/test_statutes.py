@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import legal
 from lodestrata.functions.text import law_tokens
 from lodestrata.operators import statutes
+from lodestrata.plans import statutes as plans
 
 ACT = "doc_id long, economy string, act_name string, act_ref string, law_number_ref string, source_url string, grammar string, citation string, ocr boolean"
 
@@ -161,3 +162,11 @@ def test_rule_components_are_told_once_for_a_section(spark):
     plan = statutes.rule_units(found, acts)._jdf.queryExecution().optimizedPlan().toString()
     # What opens a role's parts and what stands between is sought once each, before pieces are made.
     assert plan.count("provided that") == 2 and plan.index("Generate") < plan.index("provided that")
+
+
+def test_words_are_made_once(spark, tmp_path):
+    texts = ["One, two", " 3 ", "", None, "é", "a-b!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = plans._words(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.m, r.k, list(r.v)) for r in words.collect()) == [(0, 1, 1, ["one", "two"]), (5, 1, 1, ["a", "b"])]
+    assert words._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("regexp_replace") == 1
