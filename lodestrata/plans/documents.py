@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.operators import gates, graph, scoring, segmentation
-from lodestrata.session import table
+from lodestrata.session import spread, table
 
 EXCEPTIONS = "(nicht|pas|not|sin)"
 
@@ -244,11 +244,13 @@ def unicode_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def cer_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Character and word error rates of each whole text against a reading of it that takes rn for m, 1 for l, and loses
-    full stops."""
+    full stops.
+
+    What a text costs is long beside its reading, so texts are dealt over all tasks, however few row groups hold them."""
     reading = F.translate(F.replace("text", F.lit("m"), F.lit("rn")), "l.", "1")
     rates = X.error_rates(reading, F.col("text"))
     share = lambda edits, of: F.round(F.coalesce(F.col(edits), F.lit(0)) / F.greatest(F.coalesce(F.col(of), F.lit(0)), F.lit(1)), 6)
-    docs = table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in rates.items()))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", *(c.alias(k) for k, c in rates.items()))
     return docs.select("doc_id", share("char_edits", "chars").alias("cer"), share("word_edits", "words").alias("wer"))
 
 

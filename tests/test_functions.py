@@ -118,3 +118,23 @@ def test_edits_in_bands(monkeypatch):
             a = "".join(pick.choices("abc", k=pick.randrange(40)))
             b = "".join(c for c in a for _ in range(pick.choice((0, 1, 1, 1, 2)))) if pick.random() < 0.5 else "".join(pick.choices("abc", k=pick.randrange(40)))
             assert bands.edits(a, b) == plain(a, b)
+
+
+def test_edits_leave_out_what_cannot_be_on_a_cheapest_way(monkeypatch):
+    from lodestrata.functions import edits as bands
+
+    met, places = [], bands._Ways._places
+    monkeypatch.setattr(bands._Ways, "_places", lambda self, own, low, high: met.append(high - low) or places(self, own, low, high))
+    text = "".join(chr(97 + k * k % 23) for k in range(40_000))
+    # The symbols' numbers tell all edits but for a few, however many they are.
+    assert bands.edits(text, text.replace("c", "C").replace("e", "")) == text.count("c") + text.count("e") > 4000
+    assert max(met) < 4 * bands.STEP
+    met.clear()
+    words = [f"w{k}" for k in range(5000)]
+    assert bands.edits(words, [w.replace("7", "x") for w in words]) == sum("7" in w for w in words) > 1000 and not met
+
+
+def test_edits_of_odd_sequences():
+    from lodestrata.functions.edits import edits
+
+    assert [edits(*x) for x in (("", ""), ("", "ab"), ("ab", "ab"), ([], ["a"]), (["a", "b"], ["b"]), ("a\U0001f600b", "a\U0001f601"), ("abc" * 400, "xyz" * 300))] == [0, 2, 0, 1, 1, 2, 1200]

@@ -86,6 +86,11 @@ def test_cer_metrics_against_brute_force(spark, tmp_path):
     assert got == {k: (pytest.approx(a, abs=1e-6), pytest.approx(b, abs=1e-6)) for k, (a, b) in want.items()}
 
 
+def test_cer_metrics_deals_texts_over_tasks(spark):
+    plan = plans.queries()["cer_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("hashpartitioning(doc_id")
+
+
 def test_gate_fit_against_brute_force(spark, duck):
     from lodestrata.operators.gates import FIT, FIT_REACH
     from lodestrata.plans.documents import INDICATORS, PROVISIONS
