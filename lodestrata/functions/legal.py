@@ -71,9 +71,12 @@ def rule_components(text: Column) -> Column:
 
     def stretches(role: str, pattern: str) -> Column:
         # Where an opening stands is the length of the stretches and openings before it; behind the last is one more.
-        opened, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        zipped = F.arrays_zip(between.alias("gap"), opened.alias("word"))
-        return F.transform(F.aggregate(zipped, none, opening, lambda s: s["starts"]), lambda at: span(role, at, stop(at)))
+        def told(opened: Column) -> Column:
+            zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), opened.alias("word"))
+            return F.transform(F.aggregate(zipped, none, opening, lambda s: s["starts"]), lambda at: span(role, at, stop(at)))
+
+        # Openings are bound by a lambda, so what is between them is sought only where there are any, and they once.
+        return F.flatten(F.transform(F.filter(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda x: F.size(x) > 0), told))
 
     parts += [stretches(role, pattern) for role, pattern in COMPONENTS.items()]
     return F.when(text.isNotNull(), F.concat(*parts))

@@ -3,8 +3,8 @@
 A document's lines are never gathered.  Lines that could be headings are few; whether one is accepted depends on
 those accepted before it, so the candidates of each document and pattern are scanned in chunks, as a state machine
 whose state is small: chunks run at once from a guess of the state before them, and those that guessed wrong run
-again from what their predecessor ended with, until all agree.  The lines find their sections by the headings of
-their block of lines and the last heading before it."""
+again from what their predecessor ended with, until all agree.  A page is cut into its sections' shares by its own
+headings and the last one before it, and it is shuffled once, by its document."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lodestrata.functions import legal
 from lodestrata.functions.text import collapse, law_tokens
-from lodestrata.session import staged
+from lodestrata.session import partitions, staged
 
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-#: Candidates of a document and pattern that one chunk has at least but for the last, and lines of a block.
+#: Candidates of a document and pattern that one chunk has at least but for the last, and lines of a block of them.
 CHUNK, BLOCK = 4096, 512
 # How far ahead a section's number may be, and how many accepted ones a sibling must differ from.
 JUMP, MEMORY = 40, 6
@@ -51,24 +51,40 @@ def repaired(lines: DataFrame, scanned: DataFrame) -> DataFrame:
     return met.select("doc_id", "page", "line", F.coalesce("_text", "text").alias("text"))
 
 
-def enacted(lines: DataFrame) -> DataFrame:
-    """The lines from a document's last enacting title on, which drops its table of contents; all without one."""
-    at = F.struct("page", "line")
-    start = lines.where(F.col("text").rlike(legal.ENACTING)).groupBy(F.col("doc_id").alias("_d")).agg(F.max(at).alias("_start"))
-    return lines.join(start, F.col("doc_id") == F.col("_d"), "left").where(F.col("_start").isNull() | (at >= F.col("_start"))).drop("_d", "_start")
-
-
-def candidates(lines: DataFrame, acts: DataFrame) -> DataFrame:
-    """(doc_id, pattern, page, line, number, key) of the lines that a pattern of the document's grammar or of the
-    common one takes for a heading, pattern being its rank there: those of a declared grammar come first."""
+def marks(runs: DataFrame) -> DataFrame:
+    """(doc_id, page, line, hits, enacting) of the lines of runs(doc_id, page, line, texts) that a pattern takes for a
+    heading or that are an enacting title, and of each page's first line; texts are the lines from line on.  A hit's
+    pattern is its rank: those of a grammar come before the common ones."""
     met = []
     for name, patterns in legal.SECTION_GRAMMARS.items():
         for k, p in enumerate(patterns):
-            hit = F.struct(F.lit(k + 10 * (name == "statute")).alias("pattern"), F.regexp_extract("text", p, 1).alias("number"), F.regexp_extract("text", p, 2).alias("heading"))
-            used = F.lit(name == "statute") | F.coalesce(F.col("grammar") == name, F.lit(False))
-            met.append(F.when(used & F.col("text").rlike(p), hit))
-    found = lines.join(acts.select(F.col("doc_id").alias("_d"), "grammar", law_tokens(F.col("act_name")).alias("_act")), F.col("doc_id") == F.col("_d"))
-    found = found.select("doc_id", "page", "line", "_act", F.explode(F.filter(F.array(*met), lambda x: x.isNotNull())).alias("h"))
+            hit = F.struct(F.lit(name).alias("grammar"), F.lit(k + 10 * (name == "statute")).alias("pattern"), F.regexp_extract("text", p, 1).alias("number"), F.regexp_extract("text", p, 2).alias("heading"))
+            met.append(F.when(F.col("text").rlike(p), hit))
+    # A filter over what is exploded would have Spark make it once more; lines that no pattern takes go by one pattern.
+    lines = runs.select("doc_id", "page", F.col("line").alias("_from"), F.posexplode_outer("texts").alias("_at", "text"))
+    enacting, line = F.col("text").rlike(legal.ENACTING), F.col("_from") + F.col("_at")
+    lines = lines.where(F.col("text").rlike(_any_heading()) | enacting | (line == 0))
+    return lines.select("doc_id", "page", line.alias("line"), F.filter(F.array(*met), lambda x: x.isNotNull()).alias("hits"), enacting.alias("enacting"))
+
+
+def _any_heading() -> str:
+    """What any pattern of SECTION_GRAMMARS takes."""
+    return "^(?:" + "|".join(f"(?:{p.replace('^', '', 1)})" for patterns in legal.SECTION_GRAMMARS.values() for p in patterns) + ")"
+
+
+def enacted(marked: DataFrame) -> DataFrame:
+    """The marks from a document's last enacting title on, which drops its table of contents; all without one."""
+    at = F.struct("page", "line")
+    start = marked.where("enacting").groupBy(F.col("doc_id").alias("_d")).agg(F.max(at).alias("_start"))
+    return marked.join(start, F.col("doc_id") == F.col("_d"), "left").where(F.col("_start").isNull() | (at >= F.col("_start"))).drop("_d", "_start")
+
+
+def candidates(marked: DataFrame, acts: DataFrame) -> DataFrame:
+    """(doc_id, pattern, page, line, number, key) of the marks that a pattern of the document's grammar or of the
+    common one takes for a heading."""
+    found = marked.where(F.size("hits") > 0).join(acts.select(F.col("doc_id").alias("_d"), F.col("grammar").alias("_grammar"), law_tokens(F.col("act_name")).alias("_act")), F.col("doc_id") == F.col("_d"))
+    used = lambda h: (h["grammar"] == "statute") | F.coalesce(F.col("_grammar") == h["grammar"], F.lit(False))
+    found = found.select("doc_id", "page", "line", "_act", F.explode(F.filter("hits", used)).alias("h"))
     found = found.where(legal.plausible_heading(F.col("h.heading"), F.col("_act")))
     return found.select("doc_id", "h.pattern", "page", "line", "h.number", legal.section_order(F.col("h.number")).alias("key"))
 
@@ -170,28 +186,48 @@ def best_headings(found: DataFrame) -> DataFrame:
     return found.join(best, (F.col("doc_id") == F.col("_d")) & (F.col("pattern") == F.col("best.pattern"))).select("doc_id", "page", "line", "number")
 
 
-def under_marks(lines: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
-    """lines(doc_id, page, line, ...) with h: the page, line and given columns of the last of marks(doc_id, page, line,
-    ...) at or before each in its document; lines before the first mark go.
+def _cut(runs: DataFrame, headings: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """(doc_id, h, lines) of the shares that sections have of runs(doc_id, page, line, texts): h is the last of
+    headings(doc_id, page, line, number) at or before each of its lines.  Lines before the first heading of a document
+    go.  The lines of repeated(doc_id, page) pages are apart, so that they can stand beside their like; others are one
+    text.
 
-    A line meets the marks of its block of lines and the last mark before that block, so no document is gathered."""
-    block = F.floor(F.col("line") / BLOCK)
-    on = ["doc_id", "page", "block"]
-    own = marks.withColumn("block", block).groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("page", "line", *columns))).alias("own"))
-    each = lines.select("doc_id", "page", block.alias("block")).distinct().join(own, on, "left")
-    before = F.last(F.element_at("own", -1), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "block").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("before", before).select(*(F.col(c).alias(f"_{c}") for c in on), "own", "before")
-    met = lines.join(each, (F.col("doc_id") == F.col("_doc_id")) & (F.col("page") == F.col("_page")) & (block == F.col("_block")))
-    upto = F.filter("own", lambda h: h["line"] <= F.col("line"))
-    return met.select(*lines.columns, F.coalesce(F.try_element_at(upto, F.lit(-1)), F.col("before")).alias("h")).where("h is not null")
+    Runs meet all headings of their document, which are few, so they are dealt by doc_id alone, as sections and their
+    units are after them."""
+    each = headings.groupBy(F.col("doc_id").alias("_d")).agg(F.sort_array(F.collect_list(F.struct("page", "line", "number"))).alias("all"))
+    if repeated is None:
+        each = each.withColumn("twice", F.lit(None).cast(ArrayType(runs.schema["page"].dataType)))
+    else:
+        each = each.join(repeated.groupBy(F.col("doc_id").alias("_e")).agg(F.collect_list("page").alias("twice")), F.col("_d") == F.col("_e"), "left")
+    met = runs.join(each, F.col("doc_id") == F.col("_d"))
+    before = F.slice(F.filter("all", lambda h: h["page"] < F.col("page")), -1, 1)
+    met = met.withColumn("heads", F.concat(before, F.filter("all", lambda h: h["page"] == F.col("page"))))
+
+    def share(h: Column, k: Column) -> Column:
+        first = F.when(h["page"] == F.col("page"), F.greatest(h["line"] - F.col("line"), F.lit(0))).otherwise(F.lit(0))
+        end = F.least(F.get("heads", k + 1)["line"] - F.col("line"), F.size("texts"))
+        return F.struct(h.alias("h"), first.alias("first"), F.greatest(end - first, F.lit(0)).alias("n"))
+
+    def lines(s: Column) -> Column:
+        own, at = F.slice("texts", s["first"] + 1, s["n"]), F.col("line") + s["first"]
+        row = lambda line, text: F.struct(F.col("page").alias("page"), line.alias("line"), text.alias("text"))
+        apart = F.transform(own, lambda t, k: row(at + k, t))
+        return F.struct(s["h"].alias("h"), F.when(F.coalesce(F.array_contains("twice", F.col("page")), F.lit(False)), apart).otherwise(F.array(row(at, F.array_join(own, "\n")))).alias("lines"))
+
+    shares = F.transform(F.filter(F.transform("heads", share), lambda s: s["n"] > 0), lines)
+    return met.select("doc_id", F.explode(shares).alias("s")).select("doc_id", "s.h", "s.lines")
+
+
+def _bodies(shares: DataFrame) -> DataFrame:
+    """(doc_id, page, line, number, body) of each section of shares(doc_id, h, lines)."""
+    joined = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("lines"))), lambda x: x["text"]), "\n")
+    return shares.groupBy("doc_id", "h").agg(collapse(joined).alias("body")).select("doc_id", "h.page", "h.line", "h.number", "body")
 
 
 def sections(lines: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, page, line, number, body) of each heading: the lines from it to before the next, white space
     collapsed.  Lines before a document's first heading are in none."""
-    met = under_marks(lines, headings, ["number"])
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n")
-    return met.groupBy("doc_id", "h").agg(collapse(joined).alias("body")).select("doc_id", "h.page", "h.line", "h.number", "body")
+    return _bodies(_cut(lines.select("doc_id", "page", "line", F.array("text").alias("texts")), headings))
 
 
 def pieces(number: Column, body: Column) -> Column:
@@ -209,10 +245,14 @@ def pieces(number: Column, body: Column) -> Column:
         due = F.coalesce(n == s["due"], F.lit(False))
         return F.struct((s["due"] + due.cast("int")).alias("due"), F.when(due, new).otherwise(longer).alias("found"))
 
-    found = F.aggregate(cut, start, step, lambda s: s["found"])
-    trimmed = F.transform(found, lambda x: F.struct(x["label"].alias("label"), F.trim(x["text"]).alias("text")))
     whole = F.array(F.struct(number.alias("label"), body.alias("text")))
-    return F.when(F.size(found) > 2, F.filter(trimmed, lambda x: x["text"] != "")).otherwise(whole)
+
+    def told(found: Column) -> Column:
+        trimmed = F.transform(found, lambda x: F.struct(x["label"].alias("label"), F.trim(x["text"]).alias("text")))
+        return F.when(F.size(found) > 2, F.filter(trimmed, lambda x: x["text"] != "")).otherwise(whole)
+
+    # Bound by a lambda, so that it is made once.
+    return F.flatten(F.transform(F.array(F.aggregate(cut, start, step, lambda s: s["found"])), told))
 
 
 def rule_units(found: DataFrame, acts: DataFrame, least: int = 30, most: int = 20_000) -> DataFrame:
@@ -247,12 +287,24 @@ def rule_units(found: DataFrame, acts: DataFrame, least: int = 30, most: int = 2
     )
 
 
-def parse(pages: DataFrame, acts: DataFrame) -> DataFrame:
+def parse(pages: DataFrame, acts: DataFrame, dealt: bool = False) -> DataFrame:
     """The rule units of pages(PAGES) of documents acts(ACTS).
 
     grammar names a grammar of SECTION_GRAMMARS that is tried before the common one, citation the one whose template
     labels take; null for the common one's.  ocr: the text comes from images, so section letters are repaired.
-    Documents without acts give no units, nor do null texts or those without headings; repeated pages repeat."""
-    lines = staged(enacted(repaired(lines_of(pages), acts.where("ocr"))))
-    headings = staged(best_headings(accepted(staged(candidates(lines, acts)))))
-    return rule_units(sections(lines, headings), acts)
+    Documents without acts give no units, nor do null texts or those without headings; repeated pages repeat.
+
+    Pages are read twice.  dealt: they are dealt by doc_id already, so that no text is shuffled here."""
+    if acts.where("ocr").isEmpty():
+        # Without a filter, for which Spark would make the texts once more.
+        runs = pages.select("doc_id", "page", F.lit(0).alias("line"), F.coalesce(F.split("text", LINE_END), F.array().cast("array<string>")).alias("texts"))
+    else:
+        lines = staged(repaired(lines_of(pages), acts.where("ocr")))
+        runs, dealt = lines.select("doc_id", "page", "line", F.array("text").alias("texts")), False
+    marked = staged(marks(runs))
+    headings = staged(best_headings(accepted(staged(candidates(enacted(marked), acts)))))
+    if not dealt:
+        # What follows is done by documents, up to whoever groups their units.
+        runs = runs.repartition(partitions(marked), "doc_id")
+    repeated = marked.where("line = 0").groupBy("doc_id", "page").agg(F.count("*").alias("n")).where("n > 1")
+    return rule_units(_bodies(_cut(runs, headings, repeated)), acts)

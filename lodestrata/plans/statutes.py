@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import legal
 from lodestrata.operators import markup_acts, statutes
-from lodestrata.session import staged, table
+from lodestrata.session import spread, table
 
 TITLE = "Universal Plain Word Act 1979"
 #: Sections of a page, and the most sections of an act, whose numbers have three digits.
 PER_PAGE, MOST = 10, 900
 
 
-def _words(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, k, m, v): the words of section k of m of a document."""
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, w, s, m) of docs(doc_id, text): a document's words, how many a section has, and its sections."""
     # Runs of other letters become one space each, so no word is empty but for the only one of a text without any.
     words = F.split(F.nullif(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), F.lit("")), " ")
-    docs = table(spark, d, "documents").select("doc_id", words.alias("w"))
-    docs = docs.withColumn("s", F.greatest(F.lit(20), F.ceil(F.size("w") / MOST)).cast("int")).withColumn("m", F.ceil(F.size("w") / F.col("s")).cast("int"))
+    docs = docs.select("doc_id", words.alias("w"))
+    return docs.withColumn("s", F.greatest(F.lit(20), F.ceil(F.size("w") / MOST)).cast("int")).withColumn("m", F.ceil(F.size("w") / F.col("s")).cast("int"))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, k, m, v): the words of section k of m of a document."""
+    docs = _split(table(spark, d, "documents"))
     each = docs.select("doc_id", "m", "s", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(1), F.col("m")))).alias("k"))
     return each.select("doc_id", "m", "k", F.slice("w", (F.col("k") - 1) * F.col("s") + 1, F.col("s")).alias("v"))
 
@@ -28,33 +35,41 @@ def _said(x: Column) -> Column:
     return F.array_join(x, " ")
 
 
-def _sections(spark: SparkSession, d: str, mark: Column) -> DataFrame:
-    """(doc_id, k, m, line): the text of section k of m, under the heading that mark begins."""
-    own = _words(spark, d)
-    half = F.floor(F.size("v") / 2).cast("int")
-    last = (F.col("k") % PER_PAGE == 0) | (F.col("k") == F.col("m"))
-    page = F.ceil(F.col("k") / PER_PAGE).cast("string")
+def _section(mark: Callable[[Column], Column], k: Column, v: Column) -> Column:
+    """The text of section k, of words v, under the heading that mark begins."""
+    half = F.floor(F.size(v) / 2).cast("int")
+    last = (k % PER_PAGE == 0) | (k == F.col("m"))
     lines = [
-        F.concat(mark, F.lit("Rule on the handling of "), F.element_at("v", 1)),
-        F.concat(F.lit("(1) Unless exempt, "), _said(F.slice("v", F.lit(1), half)), F.lit(" (ii) applies.")),
-        F.when(F.col("k") % 7 == 0, F.lit("2. Backward entry of a list")),
-        F.when(F.col("k") % 5 == 0, F.lit("Section 99B removes what the rule says")),
-        F.concat(F.lit("  (2) It means "), _said(F.slice("v", half + 1, F.size("v")))),
-        F.when(last, F.concat(page, F.lit("  "), F.lit(TITLE))),
+        F.concat(mark(k.cast("string")), F.lit("Rule on the handling of "), F.element_at(v, 1)),
+        F.concat(F.lit("(1) Unless exempt, "), _said(F.slice(v, F.lit(1), half)), F.lit(" (ii) applies.")),
+        F.when(k % 7 == 0, F.lit("2. Backward entry of a list")),
+        F.when(k % 5 == 0, F.lit("Section 99B removes what the rule says")),
+        F.concat(F.lit("  (2) It means "), _said(F.slice(v, half + 1, F.size(v)))),
+        F.when(last, F.concat(F.ceil(k / PER_PAGE).cast("string"), F.lit("  "), F.lit(TITLE))),
     ]
-    return own.select("doc_id", "k", "m", F.concat_ws("\n", *lines).alias("line"))
+    return F.concat_ws("\n", *lines)
 
 
-def _units(spark: SparkSession, d: str, mark: Column, grammar: str | None, contents: bool) -> DataFrame:
-    found = _sections(spark, d, mark)
-    pages = found.groupBy("doc_id", F.ceil(F.col("k") / PER_PAGE).alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def _pages(docs: DataFrame, mark: Callable[[Column], Column], contents: bool) -> DataFrame:
+    """(doc_id, page, text) of the acts that documents' words make, written where each document is; page 0 are contents."""
+    pages = F.sequence(F.lit(0 if contents else 1), F.ceil(F.col("m") / PER_PAGE).cast("int"))
+    each = _split(docs).select("doc_id", "m", "s", "w", F.explode(F.when(F.size("w") > 0, pages)).alias("page"))
+    # Sections before the page's own, and the words of each of its own.
+    before = ((F.col("page") - 1) * PER_PAGE).cast("int")
+    own = F.transform(F.sequence(before, F.least(before + PER_PAGE, F.col("m")) - 1), lambda k: F.slice("w", k * F.col("s") + 1, F.col("s")))
+    text = F.array_join(F.transform(own, lambda v, k: _section(mark, before + k + 1, v)), "\n")
     if contents:
-        listed = F.transform(F.sequence(F.lit(1), F.max("m")), lambda k: F.concat(k.cast("string"), F.lit(". Listed heading")))
-        front = found.groupBy("doc_id").agg(F.concat(F.array_join(listed, "\n"), F.lit("\nAn Act to say words.")).alias("text"))
-        pages = pages.unionByName(front.select("doc_id", F.lit(0).cast("long").alias("page"), "text"))
+        listed = F.transform(F.sequence(F.lit(1), F.col("m")), lambda k: F.concat(k.cast("string"), F.lit(". Listed heading")))
+        text = F.when(F.col("page") == 0, F.concat(F.array_join(listed, "\n"), F.lit("\nAn Act to say words."))).otherwise(text)
+    return each.select("doc_id", F.col("page").cast("long").alias("page"), text.alias("text"))
+
+
+def _units(spark: SparkSession, d: str, mark: Callable[[Column], Column], grammar: str | None, contents: bool) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
     own = {"economy": F.lit("Malaysia"), "act_name": F.lit(TITLE), "act_ref": F.col("doc_id").cast("string"), "law_number_ref": F.lit(None).cast("string"), "source_url": F.lit("https://x"), "grammar": F.lit(grammar), "citation": F.lit(grammar), "ocr": F.lit(False)}
-    acts = table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in own.items()))
-    units = statutes.parse(staged(pages), acts)
+    acts = docs.select("doc_id", *(c.alias(n) for n, c in own.items()))
+    # Texts are dealt as they are, and all else about a document is done where its text is.
+    units = statutes.parse(_pages(spread(docs, "doc_id"), mark, contents), acts, dealt=True)
     each = F.struct("id", F.concat_ws("|", "id", "article_section", "location_reference", "text", F.size("rule_components").cast("string")).alias("said"))
     told = F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["said"]), "\n")
     return units.groupBy("doc_id").agg(F.count("*").alias("units"), F.sha2(told, 256).alias("said"))
@@ -62,16 +77,16 @@ def _units(spark: SparkSession, d: str, mark: Column, grammar: str | None, conte
 
 def statute_units(spark: SparkSession, d: str) -> DataFrame:
     """Numbered sections behind a table of contents."""
-    return _units(spark, d, F.concat(F.col("k").cast("string"), F.lit(". ")), None, True)
+    return _units(spark, d, lambda k: F.concat(k, F.lit(". ")), None, True)
 
 
 def treaty_units(spark: SparkSession, d: str) -> DataFrame:
     """Articles with decimals under the treaty grammar."""
-    return _units(spark, d, F.concat(F.lit("Article "), F.col("k").cast("string"), F.lit(".1: ")), "treaty", False)
+    return _units(spark, d, lambda k: F.concat(F.lit("Article "), k, F.lit(".1: ")), "treaty", False)
 
 
 def malay_units(spark: SparkSession, d: str) -> DataFrame:
-    return _units(spark, d, F.concat(F.lit("Seksyen "), F.col("k").cast("string"), F.lit(". ")), "malay", False)
+    return _units(spark, d, lambda k: F.concat(F.lit("Seksyen "), k, F.lit(". ")), "malay", False)
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:

@@ -43,19 +43,22 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder: its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder as Parquet and read again: its lineage ends there."""
+    path = fresh_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a partition of spread().
 SPREAD = 1 << 20
 
 
+def partitions(df: DataFrame) -> int:
+    """As many as keep about SPREAD rows of df in each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SPREAD))
+
+
 def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
     """df dealt by keys over as many partitions as keep about SPREAD rows of it, or of like, in each, so that what a task
     holds does not grow with the input.  Both sides of a join must be dealt alike, or Spark deals one anew."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df if like is None else like).count() // SPREAD))
-    return df.repartition(n, *keys)
+    return df.repartition(partitions(df if like is None else like), *keys)

@@ -170,3 +170,27 @@ def test_words_are_made_once(spark, tmp_path):
     words = plans._words(spark, str(tmp_path))
     assert sorted((r.doc_id, r.m, r.k, list(r.v)) for r in words.collect()) == [(0, 1, 1, ["one", "two"]), (5, 1, 1, ["a", "b"])]
     assert words._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("regexp_replace") == 1
+
+
+def test_units_stay_where_their_documents_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.malay_units(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Texts are dealt once, and neither sections nor units are shuffled again.
+    assert "Exchange" not in plan[: plan.index("collect_list(lines")] and plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_repeated_pages_repeat(spark):
+    acts = spark.createDataFrame([(1, "Malaysia", "Data Act", "ref", None, "https://x", None, None, False)], ACT)
+    rows = [(1, 2, "and on"), (1, 1, f"1. Rule{TAIL}\nIt goes on"), (1, 1, f"1. Rule{TAIL}\nIt goes on"), (1, 3, None)]
+    got = statutes.parse(spark.createDataFrame(rows, "doc_id long, page int, text string"), acts).collect()
+    assert [r.text for r in got] == [f"Rule{TAIL} 1. Rule{TAIL} It goes on It goes on and on"]
+
+
+def test_what_a_pattern_takes_the_one_over_all_takes():
+    every = re.compile(statutes._any_heading().replace("(?:(?i)", "(?i:"))
+    for line in ("Section 12A. Rule", "3.5.1 Users", "12. Rule", "13A  More", "Article 14.11-B: Words", "Seksyen 12A. Kata", "  Perkara 5 Kata", "PERKARA 7  kata"):
+        assert every.search(line)
+    assert not any(every.search(line) for line in ("(1) Unless exempt", "words 12. Rule", "  (2) It means", "", "Sections 3"))
